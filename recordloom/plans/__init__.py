@@ -1,2 +1,2 @@
-from recordloom.plans import joins, merging, selection
+from recordloom.plans import extraction, joins, merging, selection
 from recordloom.plans.registry import ORACLES, QUERIES

@@ -162,8 +162,8 @@ def _flag_lists(spark, sf):
 
 FLAG_LIST_SQL = """
 flags AS (
-  SELECT l_orderkey, string_agg(l_returnflag, '|' ORDER BY at, l_returnflag) AS flags FROM (
-    SELECT l_orderkey, l_returnflag, min(l_linenumber) AS at
+  SELECT l_orderkey, string_agg(l_returnflag, '|' ORDER BY pos, l_returnflag) AS flags FROM (
+    SELECT l_orderkey, l_returnflag, min(l_linenumber) AS pos
     FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1, 2) GROUP BY 1)
 """
 
@@ -300,13 +300,13 @@ def day_lookup(spark, sf):
 
 @query(
     "check_references",
-    """WITH n AS (SELECT l_orderkey AS o, l_suppkey AS s, p_name AS t, min(l_linenumber) AS at
+    """WITH n AS (SELECT l_orderkey AS o, l_suppkey AS s, p_name AS t, min(l_linenumber) AS pos
                   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3),
-            named AS (SELECT o, t, min(at) AS at FROM n GROUP BY 1, 2),
+            named AS (SELECT o, t, min(pos) AS pos FROM n GROUP BY 1, 2),
             k AS (SELECT DISTINCT p_name FROM part WHERE p_size > 45 AND p_type IN ('PROMO', 'SMALL'))
        SELECT o AS l_orderkey,
-         coalesce(string_agg(t, '|' ORDER BY at, t) FILTER (p_name IS NOT NULL), '') AS resolved,
-         coalesce(string_agg(t, '|' ORDER BY at, t) FILTER (p_name IS NULL), '') AS dangling
+         coalesce(string_agg(t, '|' ORDER BY pos, t) FILTER (p_name IS NOT NULL), '') AS resolved,
+         coalesce(string_agg(t, '|' ORDER BY pos, t) FILTER (p_name IS NULL), '') AS dangling
        FROM named LEFT JOIN k ON t = p_name GROUP BY 1""",
 )
 def check_references(spark, sf):

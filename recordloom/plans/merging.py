@@ -64,8 +64,8 @@ def full_titles_compat(spark, sf):
 
 @query(
     "merge_labels",
-    """WITH d AS (SELECT l_partkey, l_returnflag, min(l_shipdate) AS at FROM lineitem GROUP BY 1, 2)
-       SELECT l_partkey, string_agg(l_returnflag, ', ' ORDER BY at, l_returnflag) AS session_types, count(*) > 1 AS shared
+    """WITH d AS (SELECT l_partkey, l_returnflag, min(l_shipdate) AS pos FROM lineitem GROUP BY 1, 2)
+       SELECT l_partkey, string_agg(l_returnflag, ', ' ORDER BY pos, l_returnflag) AS session_types, count(*) > 1 AS shared
        FROM d GROUP BY 1""",
 )
 def merge_labels(spark, sf):
@@ -153,8 +153,8 @@ def expected_counts(spark, sf):
 
 @query(
     "people_per_record",
-    """WITH p AS (SELECT l_orderkey, p_brand, min(l_linenumber) AS at FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
-       SELECT l_orderkey, string_agg(p_brand, '; ' ORDER BY at, p_brand) AS people FROM p GROUP BY 1""",
+    """WITH p AS (SELECT l_orderkey, p_brand, min(l_linenumber) AS pos FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
+       SELECT l_orderkey, string_agg(p_brand, '; ' ORDER BY pos, p_brand) AS people FROM p GROUP BY 1""",
 )
 def people_per_record(spark, sf):
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
@@ -166,8 +166,8 @@ def people_per_record(spark, sf):
 
 @query(
     "people_parts",
-    """WITH p AS (SELECT l_suppkey, l_orderkey, min(l_orderkey) AS at FROM lineitem GROUP BY 1, 2)
-       SELECT l_suppkey, CAST(floor(at / 1000.0) AS BIGINT) AS part, string_agg(CAST(l_orderkey AS VARCHAR), ' ' ORDER BY at) AS people
+    """WITH p AS (SELECT l_suppkey, l_orderkey, min(l_orderkey) AS pos FROM lineitem GROUP BY 1, 2)
+       SELECT l_suppkey, CAST(floor(pos / 1000.0) AS BIGINT) AS part, string_agg(CAST(l_orderkey AS VARCHAR), ' ' ORDER BY pos) AS people
        FROM p GROUP BY 1, 2""",
 )
 def people_parts(spark, sf):

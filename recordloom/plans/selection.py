@@ -61,10 +61,10 @@ def search(spark, sf):
 
 @query(
     "search_text",
-    "SELECT doc_id FROM documents WHERE contains(lower(text), 'ions of ') OR contains(lower(lang), 'ions of ')",
+    "SELECT doc_id FROM documents WHERE contains(lower(text), 'and the ') OR contains(lower(lang), 'and the ')",
 )
 def search_text(spark, sf):
-    return Q.search(table(spark, sf, "documents"), "ions of ", ["text", "lang"]).select("doc_id")
+    return Q.search(table(spark, sf, "documents"), "AND the ", ["text", "lang"]).select("doc_id")
 
 
 @query(
