@@ -46,12 +46,12 @@ def time_range(c: Column) -> Column:
 def long_date(c: Column) -> Column:
     """'Mon, May 18, 2026 ...' -> '2026-05-18'; only full month names count, else ''."""
     pattern = r"(Mon|Tue|Wed|Thu|Fri|Sat|Sun),\s*(\w+)\s+(\d{1,2}),\s*(\d{4})"
-    text = F.concat_ws(
-        " ",
-        F.initcap(F.regexp_extract(c, pattern, 2)),
-        F.regexp_extract(c, pattern, 3),
-        F.regexp_extract(c, pattern, 4),
-    )
+    month, day, year = (F.regexp_extract(c, pattern, i) for i in (2, 3, 4))
+    return F.when(month != "", _iso_date(F.concat_ws(" ", F.initcap(month), day, year))).otherwise("")
+
+
+def _iso_date(text: Column) -> Column:
+    """'May 18 2026' -> '2026-05-18', '' when it is no date. Guard it: a miss is costly."""
     parsed = F.try_to_timestamp(text, F.lit("MMMM d yyyy"))
     return F.coalesce(F.date_format(parsed, "yyyy-MM-dd"), F.lit(""))
 
@@ -75,13 +75,12 @@ def short_date_line(c: Column, year: int) -> Column:
     c = or_empty(c)
     day = r"(\w+day),\s*(\w+)\s+(\d{1,2})"
     times = r"(?i)(\d{1,2}(?::\d{2})?)\s*(AM|PM)?\s*[-\x{2013}\x{2014}]\s*(\d{1,2}(?::\d{2})?)\s*(AM|PM)"
-    text = F.concat_ws(
-        " ", F.initcap(F.regexp_extract(c, day, 2)), F.regexp_extract(c, day, 3), F.lit(str(year))
-    )
-    date = F.date_format(F.try_to_timestamp(text, F.lit("MMMM d yyyy")), "yyyy-MM-dd")
+    month = F.regexp_extract(c, day, 2)
+    text = F.concat_ws(" ", F.initcap(month), F.regexp_extract(c, day, 3), F.lit(str(year)))
+    date = F.when(month != "", _iso_date(text)).otherwise("")
     half = F.coalesce(F.nullif(F.regexp_extract(c, times, 2), F.lit("")), F.regexp_extract(c, times, 4))
     return F.struct(
-        F.coalesce(date, F.lit("")).alias("date"),
+        date.alias("date"),
         clock_24h(F.concat(F.regexp_extract(c, times, 1), half)).alias("start"),
         clock_24h(F.concat(F.regexp_extract(c, times, 3), F.regexp_extract(c, times, 4))).alias("end"),
     )

@@ -10,12 +10,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_ENDS = r"(?U)^\s+|\s+$"
+# Every Unicode whitespace character.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
-def strip(c: Column) -> Column:
+def strip(c: Column | str) -> Column:
     """Remove every kind of whitespace at both ends (Spark's ``trim`` removes spaces only)."""
-    return F.regexp_replace(c, _ENDS, "")
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def collapse(c: Column) -> Column:

@@ -16,7 +16,6 @@ from recordloom.functions.urls import without_fragment
 from recordloom.operators.dedup import first_wins
 from recordloom.operators.extract import has_class
 
-EVENT_COLUMNS = ["title", "date", "time", "end_time", "speaker", "session_type", "url", "abstract"]
 
 
 def _in_order():
@@ -77,30 +76,6 @@ def _with_context(nodes: DataFrame) -> DataFrame:
     ).filter(F.col("day_at").isNotNull() & F.col("box_at").isNotNull())
 
 
-def _events(n: DataFrame, base: str) -> DataFrame:
-    is_link = (F.col("tag") == "a") & F.col("title_at").isNotNull()
-    per_event = n.filter(F.col("event_at").isNotNull()).withColumns(
-        {
-            "title_text": first_in("event_at", _div("title-style"), F.col("text")),
-            "link_text": first_in("event_at", is_link, F.col("text")),
-            "link_href": first_in("event_at", is_link, or_empty(F.col("href"))),
-            "header": first_in("event_at", _div("hdr-style"), F.col("text")),
-            "end_note": first_in("event_at", (F.col("tag") == "span") & has_class("end-time"), F.col("text")),
-        }
-    )
-    direct = (F.col("pos") == F.col("event_at")) & (F.col("depth") == F.col("box_depth") + 1)
-    return per_event.filter(direct & F.col("title_text").isNotNull()).select(
-        "page_id",
-        "pos",
-        F.coalesce("link_text", "title_text").alias("title"),
-        "date",
-        "time",
-        end_time(F.col("end_note")).alias("end_time"),
-        class_type(F.col("classes"), or_empty(F.col("header"))).alias("session_type"),
-        F.when(F.col("link_text").isNotNull(), F.concat(F.lit(base), "link_href")).otherwise("").alias("url"),
-    )
-
-
 def item_type(item_classes: Column, header_classes: Column, block_classes: Column) -> Column:
     """Type of a listed item: its own class, else the header's, else the block's."""
     own = [(item_classes, "oral"), (item_classes, "poster"), (header_classes, "oral"), (header_classes, "poster")]
@@ -123,60 +98,65 @@ def item_times(text: Column, header: Column, box_time: Column) -> tuple[Column,
     return start, F.when(span != "", F.substring_index(span, "-", -1)).otherwise("")
 
 
-def _items(n: DataFrame, base: str) -> DataFrame:
+def calendar_events(nodes: DataFrame, base: str) -> DataFrame:
+    """Events, listed talks and posters, and exhibitor talks of calendar pages.
+
+    One pass: the pages are parsed and shuffled once, by page, and every window below
+    works on that partitioning.
+    """
+    is_link = F.col("tag") == "a"
+    in_title = is_link & F.col("title_at").isNotNull()
     is_header = _div("subevent-header")
-    per_part = n.filter(F.col("block_at").isNotNull() & F.col("part_at").isNotNull()).withColumns(
+    href = or_empty(F.col("href"))
+    n = _with_context(nodes).withColumns(
         {
+            "event_title": first_in("event_at", _div("title-style"), F.col("text")),
+            "event_link": first_in("event_at", in_title, F.col("text")),
+            "event_href": first_in("event_at", in_title, href),
+            "event_header": first_in("event_at", _div("hdr-style"), F.col("text")),
+            "end_note": first_in("event_at", (F.col("tag") == "span") & has_class("end-time"), F.col("text")),
+            "block_classes": first_in("block_at", F.col("pos") == F.col("block_at"), _classes()),
             "header": first_in("part_at", is_header, F.col("text")),
             "header_classes": first_in("part_at", is_header, F.col("classes")),
+            "item_link": first_in("item_at", is_link, F.col("text")),
+            "item_href": first_in("item_at", is_link, href),
+            "talk_link": first_in("talk_at", is_link, F.col("text")),
+            "talk_href": first_in("talk_at", is_link, href),
         }
     )
-    is_link = F.col("tag") == "a"
-    listed = per_part.filter(F.col("item_at").isNotNull()).withColumns(
-        {
-            "link_text": first_in("item_at", is_link, F.col("text")),
-            "link_href": first_in("item_at", is_link, or_empty(F.col("href"))),
-        }
+    is_event = (
+        (F.col("pos") == F.col("event_at"))
+        & (F.col("depth") == F.col("box_depth") + 1)
+        & F.col("event_title").isNotNull()
     )
-    start, end = item_times(F.col("text"), F.col("header"), F.col("time"))
-    return listed.filter(F.col("pos") == F.col("item_at")).select(
-        "page_id",
-        "pos",
-        F.coalesce("link_text", F.regexp_replace("text", r"^\[\d+:\d+\]\s*", "")).alias("title"),
-        "date",
-        start.alias("time"),
-        end.alias("end_time"),
-        item_type(F.col("classes"), F.col("header_classes"), F.col("block_classes")).alias("session_type"),
-        F.when(F.col("link_text").isNotNull(), F.concat(F.lit(base), "link_href")).otherwise("").alias("url"),
+    is_item = (
+        (F.col("pos") == F.col("item_at")) & F.col("block_at").isNotNull() & F.col("part_at").isNotNull()
     )
-
-
-def _booth_talks(n: DataFrame, base: str) -> DataFrame:
-    is_link = F.col("tag") == "a"
-    talks = n.filter(F.col("booth_at").isNotNull() & F.col("talk_at").isNotNull()).withColumns(
-        {
-            "link_text": first_in("talk_at", is_link, F.col("text")),
-            "link_href": first_in("talk_at", is_link, or_empty(F.col("href"))),
-        }
+    is_talk = (
+        (F.col("pos") == F.col("talk_at")) & F.col("booth_at").isNotNull() & F.col("talk_link").isNotNull()
     )
-    return talks.filter((F.col("pos") == F.col("talk_at")) & F.col("link_text").isNotNull()).select(
+    kind = F.when(is_event, "event").when(is_item, "item").when(is_talk, "talk")
+    rows = n.withColumn("kind", kind).filter(F.col("kind").isNotNull())
+    event, item = F.col("kind") == "event", F.col("kind") == "item"
+    start, end = item_times(F.col("text"), F.col("header"), F.col("time"))
+    link = F.when(event, F.col("event_link")).when(item, F.col("item_link")).otherwise(F.col("talk_link"))
+    target = F.when(event, F.col("event_href")).when(item, F.col("item_href")).otherwise(F.col("talk_href"))
+    plain = F.when(event, F.col("event_title")).otherwise(F.regexp_replace("text", r"^\[\d+:\d+\]\s*", ""))
+    return rows.select(
         "page_id",
         "pos",
-        F.col("link_text").alias("title"),
+        F.coalesce(link, plain).alias("title"),
         "date",
-        "time",
-        F.lit("").alias("end_time"),
-        F.lit("Exhibitor Talk").alias("session_type"),
-        F.concat(F.lit(base), "link_href").alias("url"),
-    )
-
-
-def calendar_events(nodes: DataFrame, base: str) -> DataFrame:
-    """Events, listed talks and posters, and exhibitor talks of calendar pages."""
-    n = _with_context(nodes).withColumn("block_classes", first_in("block_at", F.col("pos") == F.col("block_at"), _classes()))
-    rows = _events(n, base).unionByName(_items(n, base)).unionByName(_booth_talks(n, base))
-    filled = rows.withColumns({"speaker": F.lit(""), "abstract": F.lit("")})
-    return filled.filter(~missing(F.col("title"))).select("page_id", "pos", *EVENT_COLUMNS)
+        F.when(item, start).otherwise(F.col("time")).alias("time"),
+        F.when(event, end_time(F.col("end_note"))).when(item, end).otherwise("").alias("end_time"),
+        F.lit("").alias("speaker"),
+        F.when(event, class_type(F.col("classes"), or_empty(F.col("event_header"))))
+        .when(item, item_type(F.col("classes"), F.col("header_classes"), F.col("block_classes")))
+        .otherwise("Exhibitor Talk")
+        .alias("session_type"),
+        F.when(link.isNotNull(), F.concat(F.lit(base), target)).otherwise("").alias("url"),
+        F.lit("").alias("abstract"),
+    ).filter(~missing(F.col("title")))
 
 
 def table_rows(nodes: DataFrame, day_label: str) -> DataFrame:

@@ -52,7 +52,8 @@ def prefer_full_titles(
 
 def ordered_distinct(df: DataFrame, key: str, value: str, order: Sequence[str]) -> DataFrame:
     """One row per (key, value) with ``_at``, its first place. Copies merge before the shuffle."""
-    return df.groupBy(key, value).agg(F.min(F.struct(*order)).alias("_at"))
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    return df.groupBy(key, value).agg(F.min(place).alias("_at"))
 
 
 def distinct_lists(df: DataFrame, key: str, value: str, order: Sequence[str], out: str) -> DataFrame:

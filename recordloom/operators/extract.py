@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator, Mapping
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -239,6 +239,7 @@ NODE_SCHEMA = (
     "page_id long, pos int, end_pos int, depth int, tag string, classes array<string>, "
     "attrs map<string,string>, href string, text string"
 )
+NODES_PER_BATCH = 20_000
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _SILENT = frozenset(("script", "style"))
 
@@ -308,19 +309,43 @@ def extract_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") ->
     ``end_pos`` is the place of the last element below it, so "inside" is a range test.
     """
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    arrow_schema = pa.schema(
+        [
+            ("page_id", pa.int64()),
+            ("pos", pa.int32()),
+            ("end_pos", pa.int32()),
+            ("depth", pa.int32()),
+            ("tag", pa.string()),
+            ("classes", pa.list_(pa.string())),
+            ("attrs", pa.map_(pa.string(), pa.string())),
+            ("href", pa.string()),
+            ("text", pa.string()),
+        ]
+    )
+
+    def batch_of(ids: list, nodes: list[dict]) -> pa.RecordBatch:
+        columns = [pa.array(ids, pa.int64())]
+        for field in list(arrow_schema)[1:]:
+            values = [n[field.name] for n in nodes]
+            if field.name == "attrs":
+                values = [list(v.items()) for v in values]
+            columns.append(pa.array(values, field.type))
+        return pa.RecordBatch.from_arrays(columns, schema=arrow_schema)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for page_id, text in zip(batch["page_id"], batch["html"]):
-                for node in _Outline().outline(text or ""):
-                    rows.append({"page_id": page_id, **node})
-                if len(rows) > 20_000:
-                    yield pd.DataFrame(rows)
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows)
-
-    return pages.select(F.col(key).alias("page_id"), F.col(html).alias("html")).mapInPandas(
+            ids, nodes = [], []
+            for page_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = _Outline().outline(text or "")
+                ids.extend([page_id] * len(found))
+                nodes.extend(found)
+                if len(nodes) > NODES_PER_BATCH:
+                    yield batch_of(ids, nodes)
+                    ids, nodes = [], []
+            if nodes:
+                yield batch_of(ids, nodes)
+
+    return pages.select(F.col(key).cast("long").alias("page_id"), F.col(html).alias("html")).mapInArrow(
         parse, NODE_SCHEMA
     )
 

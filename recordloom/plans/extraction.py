@@ -17,7 +17,7 @@ STRIP = r"'^\s+|\s+$', '', 'g'"
 # tags and the entities of the tables removed, ends stripped
 PLAIN = (
     r"regexp_replace(replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]*>', '', 'g'), '&lt;', '<'), "
-    r"'&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&'), '^\s+|\s+$', '', 'g')"
+    r"'&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&'), '^\s+|\s+$', '', 'g')"
 )
 LINKS = (
     r"(SELECT page_id, url AS page_url, unnest(l) AS a, generate_subscripts(l, 1) - 1 AS pos FROM "
