@@ -1,2 +1,2 @@
-from recordloom.plans import extraction, joins, merging, normalising, selection
+from recordloom.plans import extraction, joins, merging, normalising, ranking, selection
 from recordloom.plans.registry import ORACLES, QUERIES
