@@ -23,11 +23,14 @@ from recordloom.functions import scores as S
 from recordloom.functions.lists import people_text, takeaways_text
 from recordloom.functions.text import clip, or_empty
 from recordloom.operators.scale import small_or_shuffled, top_k
+from recordloom.session import work_dir
 
 SEARCH_K = 150
 FINAL_K = 50
 MAX_UNITS = 2_000
 SLICE_ROWS = 100_000
+# Hits of a search (a few numbers each) that may be broadcast to fetch their texts.
+MAX_HITS = 500_000
 # Scores are compared after rounding, so that equal vectors tie whatever the summation order.
 DIGITS = 6
 
@@ -58,19 +61,21 @@ _WORD = re.compile(r"[^\W_]+")
 def hashed_words(dimensions: int = 256) -> Callable:
     """The built-in vectoriser: counts of words per hash bucket, as a Pandas UDF."""
 
+    class Buckets(dict):
+        def __missing__(self, word: str) -> int:
+            self[word] = bucket = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dimensions
+            return bucket
+
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def vectorise(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bucket: dict[str, int] = {}
+        bucket = Buckets()
         for texts in batches:
             if len(bucket) > 1_000_000:
                 bucket.clear()
             vectors = []
             for text in texts:
                 words = _WORD.findall(text or "")
-                for w in words:
-                    if w not in bucket:
-                        bucket[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dimensions
-                places = np.fromiter((bucket[w] for w in words), np.int64, len(words))
+                places = np.fromiter(map(bucket.__getitem__, words), np.int64, len(words))
                 vectors.append(np.bincount(places, minlength=dimensions).astype(np.float32))
             yield pd.Series(vectors)
 
@@ -269,49 +274,60 @@ def best_unit(
 
 
 def overlap_scorer(record: Column, unit: Column) -> Column:
-    """The built-in scorer: share of the unit's words found in the record."""
-    return F.round(S.token_overlap(S.tokens(record), S.tokens(unit)), DIGITS)
+    """The built-in scorer, over words: share of the unit's words found in the record."""
+    return F.round(S.token_overlap(record, unit), DIGITS)
 
 
-def with_texts(candidates: DataFrame, records: DataFrame, units: DataFrame, key: str, unit: str) -> DataFrame:
-    """Candidates with their record and unit texts.
+def shared_words(record: Column, unit: Column) -> Column:
+    """The built-in reason, over words: those record and unit have in common."""
+    return F.concat(F.lit("Shared terms: "), F.array_join(S.shared(record, unit), ", "))
 
-    Candidates are few against the records, so when they are within the broadcast bound
-    the records are only filtered in passing; otherwise both sides are shuffled.
-    """
-    looked_up = records.join(small_or_shuffled(candidates, 200_000), key)
-    return looked_up.join(small_or_shuffled(units, MAX_UNITS), unit)
 
+def as_text(c: Column) -> Column:
+    """``prepare`` for scorers and generators that read the plain texts."""
+    return c
 
-def rerank(
+
+def with_contents(
     candidates: DataFrame,
+    records: DataFrame,
+    units: DataFrame,
     key: str,
     unit: str,
     record_text: str,
     unit_text: str,
+    prepare: Callable[[Column], Column] = S.tokens,
+) -> DataFrame:
+    """Candidates with ``_record`` and ``_unit``: both texts, prepared once per record and unit.
+
+    Candidates are few against the records. While they are within the broadcast bound the
+    records are only filtered in passing; otherwise both sides are shuffled.
+    """
+    wanted = small_or_shuffled(candidates.select(key).distinct(), MAX_HITS)
+    hit = records.join(wanted, key, "left_semi").select(key, prepare(F.col(record_text)).alias("_record"))
+    asked = units.select(unit, prepare(F.col(unit_text)).alias("_unit"))
+    return hit.join(small_or_shuffled(candidates, MAX_HITS), key).join(small_or_shuffled(asked, MAX_UNITS), unit)
+
+
+def rerank(
+    candidates: DataFrame,
+    key: str,
+    unit: str,
     k: int = FINAL_K,
     scorer: Callable[[Column, Column], Column] = overlap_scorer,
 ) -> DataFrame:
     """Keep the k best candidates per unit by ``scorer`` (a column function or Pandas UDF)."""
-    scored = candidates.drop("rank").withColumn("rerank_score", scorer(F.col(record_text), F.col(unit_text)))
+    scored = candidates.drop("rank").withColumn("rerank_score", scorer(F.col("_record"), F.col("_unit")))
     return top_k(scored, [unit], [F.desc("rerank_score"), F.desc("score"), F.col(key)], k, [key])
 
 
-def shared_words(record: Column, unit: Column) -> Column:
-    """The built-in reason: the words record and unit have in common."""
-    words = S.shared(S.tokens(record), S.tokens(unit))
-    return F.concat(F.lit("Shared terms: "), F.array_join(words, ", "))
-
-
 def annotate(
     matched: DataFrame,
-    record_text: str,
-    unit_text: str,
     out: str = "recommendation_reason",
     generator: Callable[[Column, Column], Column] = shared_words,
 ) -> DataFrame:
     """Add a text per matched pair; pass a model as a Pandas UDF in ``generator``."""
-    return matched.withColumn(out, generator(F.col(record_text), F.col(unit_text)))
+    return matched.withColumn(out, generator(F.col("_record"), F.col("_unit")))
 
 
 def rank_per_unit(scored: DataFrame, unit: str, score: str, key: str, k: int) -> DataFrame:
@@ -329,18 +345,30 @@ def cascade(
     search_k: int = SEARCH_K,
     final_k: int = FINAL_K,
     vectoriser: Callable | None = None,
+    prepare: Callable[[Column], Column] = S.tokens,
     scorer: Callable[[Column, Column], Column] = overlap_scorer,
     generator: Callable[[Column, Column], Column] = shared_words,
 ) -> DataFrame:
-    """All units in one plan: cheap vector search, costly scorer on its hits only, reasons, ranks."""
+    """All units in one plan: cheap vector search, costly scorer on its hits only, reasons, ranks.
+
+    The hits are few (at most ``search_k`` per unit) and used twice, to fetch their texts and
+    to pair them with units, so they are computed once and kept in the shared work folder.
+    """
     r = vectorise(records.select(key, record_text), record_text, "vector", vectoriser)
     u = vectorise(units.select(unit, unit_text), unit_text, "vector", vectoriser)
-    hits = search(r, u, key, unit, "vector", search_k)
-    texts = with_texts(hits, records.select(key, record_text), units.select(unit, unit_text), key, unit)
-    top = rerank(texts, key, unit, record_text, unit_text, final_k, scorer)
-    reasons = annotate(top, record_text, unit_text, generator=generator)
+    hits = keep(search(r, u, key, unit, "vector", search_k), "hits")
+    pairs = with_contents(hits, records, units, key, unit, record_text, unit_text, prepare)
+    reasons = annotate(rerank(pairs, key, unit, final_k, scorer), generator=generator)
     return reasons.select(unit, key, "rank", "score", "rerank_score", "recommendation_reason")
 
 
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write a small intermediate result to the shared work folder and read it back."""
+    spark = df.sparkSession
+    path = work_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def unit_counts(matched: DataFrame, unit: str) -> DataFrame:
     return matched.groupBy(unit).agg(F.count("*").alias("n"))

@@ -36,7 +36,7 @@ NODE_TAGS = ["a", "li", "h1", "article", "nav", "p", "b", "br", "title", "script
     + r"""']) AS tag) WHERE regexp_matches(html, '<' || tag || '[ >]')""",
 )
 def html_nodes(spark, sf):
-    nodes = E.extract_nodes(table(spark, sf, "pages"))
+    nodes = E.extract_nodes(table(spark, sf, "pages", spread="page_id"))
     counted = nodes.filter(F.col("tag").isin(NODE_TAGS))
     return counted.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
@@ -51,7 +51,7 @@ def html_nodes(spark, sf):
 def node_texts(spark, sf):
     from pyspark.sql import Window
 
-    links = E.extract_nodes(table(spark, sf, "pages")).filter("tag = 'a'")
+    links = E.extract_nodes(table(spark, sf, "pages", spread="page_id")).filter("tag = 'a'")
     k = F.row_number().over(Window.partitionBy("page_id").orderBy("pos")) - 1
     return links.select("page_id", k.cast("long").alias("k"), X.strip("text").alias("text"), "href")
 
@@ -306,7 +306,7 @@ def _calendar_pages(spark, sf):
         F.lit('</div></div></div><div class="exhibitor-spot-talks"><div class="content talk"><a href="/x/'), "event_id",
         F.lit('">Booth '), "user_id", F.lit('</a></div><div class="content talk">no link</div></div></div></div></body></html>'),
     )
-    return table(spark, sf, "events").select(F.col("event_id").alias("page_id"), html.alias("html"))
+    return table(spark, sf, "events", spread="event_id").select(F.col("event_id").alias("page_id"), html.alias("html"))
 
 
 CALENDAR = """
@@ -338,7 +338,7 @@ def exhibitor_talks(spark, sf):
         F.regexp_extract(html, "(?s)<ul>(.*?)</ul>", 1),
         F.lit("</div></div></div>"),
     )
-    nodes = E.extract_nodes(table(spark, sf, "pages").select("page_id", booth.alias("html")))
+    nodes = E.extract_nodes(table(spark, sf, "pages", spread="page_id").select("page_id", booth.alias("html")))
     return C.calendar_events(nodes, "https://example.org").select("page_id", "title", "url", "session_type")
 
 
@@ -359,7 +359,7 @@ def table_rows(spark, sf):
     )
     day = F.when(F.col("o_orderstatus") == "P", "Mon 1").otherwise("Sun 12 Apr")
     html = F.concat(F.lit('<div class="day-wrapper"><h4 class="day-header"> '), day, F.lit("</h4><table>"), row, row, F.lit("</table></div>"))
-    pages = table(spark, sf, "orders").select(F.col("o_orderkey").alias("page_id"), html.alias("html"))
+    pages = table(spark, sf, "orders", spread="o_orderkey").select(F.col("o_orderkey").alias("page_id"), html.alias("html"))
     rows = C.table_rows(E.extract_nodes(pages), "Sun 12")
     people = F.transform("authors", lambda a: F.concat_ws(",", a["name"], a["affiliation"], a["profile_url"]))
     return rows.withColumn("authors", F.array_join(people, ";"))
@@ -394,7 +394,7 @@ def detail_rows(spark, sf):
         F.lit('<a href="/p/'), "c_custkey", F.lit('"><div class="media"><h5 class="media-heading">'), "c_name",
         F.lit('</h5><span class="text-black">'), "c_mktsegment", F.lit("</span><small>N"), "c_nationkey", F.lit("</small></div></a>"),
     )
-    pages = table(spark, sf, "customer").select(F.col("c_custkey").alias("page_id"), html.alias("html"))
+    pages = table(spark, sf, "customer", spread="c_custkey").select(F.col("c_custkey").alias("page_id"), html.alias("html"))
     rows = C.detail_rows(E.extract_nodes(pages))
     people = F.transform("authors", lambda a: F.concat_ws(",", a["name"], a["affiliation"], a["country"], a["profile_url"]))
     return rows.withColumn("authors", F.array_join(people, ";"))
@@ -430,7 +430,7 @@ def calendar_entries(spark, sf):
         F.lit('</a></div><div class="speaker-style">Ann</div><span class="end-time">(ends 11:00 AM)</span>'
               '<div class="content"><a href="/p/'), "event_id", F.lit('#y">Paper '), "event_id", F.lit("</a></div></div></div></div>"),
     )
-    pages = table(spark, sf, "events").select(F.col("event_id").alias("page_id"), html.alias("html"))
+    pages = table(spark, sf, "events", spread="event_id").select(F.col("event_id").alias("page_id"), html.alias("html"))
     rows = C.calendar_entries(E.extract_nodes(pages), "/v/").drop("pos", "day_no")
     return rows.withColumn("papers", F.array_join(F.transform("papers", lambda p: F.concat_ws(" ", p["title"], p["url"])), ";"))
 
@@ -463,7 +463,7 @@ def session_cards(spark, sf):
         F.lit('</a></h5><p class="text-muted">A * B '), "o_orderstatus", F.lit('</p></div><div class="abstract"> '), "o_orderpriority",
         F.lit('</div></div><div class="track-schedule-card"><p>no title</p></div></main>'),
     )
-    pages = table(spark, sf, "orders").select(F.col("o_orderkey").alias("page_id"), html.alias("html"))
+    pages = table(spark, sf, "orders", spread="o_orderkey").select(F.col("o_orderkey").alias("page_id"), html.alias("html"))
     return C.session_cards(E.extract_nodes(pages)).drop("pos")
 
 

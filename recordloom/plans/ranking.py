@@ -158,7 +158,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rerank_sco
 
 
 def _texts(spark, sf):
-    records = table(spark, sf, "documents").select("doc_id", F.col("text").alias("record_text"))
+    records = table(spark, sf, "documents", spread="doc_id").select("doc_id", F.col("text").alias("record_text"))
     units = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("unit_text"))
     return records, units
 
@@ -182,15 +182,17 @@ def text_search(spark, sf):
     )
 
 
+def _candidates(spark, sf):
+    records, units = _texts(spark, sf)
+    hits = M.keep(text_search(spark, sf), "hits")
+    return M.with_contents(hits, records, units, "doc_id", "item_id", "record_text", "unit_text")
+
+
 @query("rerank", MATCH + "SELECT item_id, doc_id, score, rerank_score, rank FROM ranked WHERE rank <= 50")
 def rerank(spark, sf):
-    records, units = _texts(spark, sf)
-    candidates = M.with_texts(text_search(spark, sf), records, units, "doc_id", "item_id")
-    return M.rerank(candidates, "doc_id", "item_id", "record_text", "unit_text").drop("record_text", "unit_text")
+    return M.rerank(_candidates(spark, sf), "doc_id", "item_id").drop("_record", "_unit")
 
 
 @query("annotate", MATCH + "SELECT item_id, doc_id, 'Shared terms: ' || words AS recommendation_reason FROM scored")
 def annotate(spark, sf):
-    records, units = _texts(spark, sf)
-    candidates = M.with_texts(text_search(spark, sf), records, units, "doc_id", "item_id")
-    return M.annotate(candidates, "record_text", "unit_text").select("item_id", "doc_id", "recommendation_reason")
+    return M.annotate(_candidates(spark, sf)).select("item_id", "doc_id", "recommendation_reason")

@@ -23,5 +23,15 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, spread: str | None = None) -> DataFrame:
+    """A table of the folder.
+
+    ``spread`` names a column to distribute rows by when the scan alone has fewer tasks than
+    the cluster has cores: for queries with heavy work per row on a table of one small file.
+    A table of many splits is read as it is, without a shuffle.
+    """
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread is not None and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, spread)
+    return df
