@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,12 +107,18 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(lengths > 0, lengths, 1.0)[:, None]
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """A list column of equal lengths as a float64 matrix, without a Python loop."""
+def _vectors(ids, column) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, float64 matrix) of an id and a list column, rows without a vector left out."""
     if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
+        ids, column = ids.combine_chunks(), column.combine_chunks()
+    lengths = pc.fill_null(pc.list_value_length(column), 0)
+    usable = pc.greater(lengths, 0)
+    if not pc.all(usable).as_py():
+        ids, column = ids.filter(usable), column.filter(usable)
+    if not len(column):
+        return np.empty(0, np.int64), np.empty((0, 0))
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    return ids.to_numpy(zero_copy_only=False), flat.reshape(len(column), -1)
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -156,10 +163,9 @@ def _small_units(units: DataFrame, unit: str, vector: str, max_units: int):
     rows = units.select(F.col(unit).cast("long"), vector).limit(max_units + 1).toArrow()
     if rows.num_rows > max_units:
         return None
-    order = np.argsort(rows.column(0).to_numpy(), kind="stable")
-    if not rows.num_rows:
-        return np.empty(0, np.int64), np.empty((0, 0))
-    return rows.column(0).to_numpy()[order], _matrix(rows.column(1))[order]
+    ids, matrix = _vectors(rows.column(0), rows.column(1))
+    order = np.argsort(ids, kind="stable")
+    return ids[order], matrix[order]
 
 
 def search(
@@ -175,8 +181,9 @@ def search(
 
     Ids are whole numbers. Rows without a vector cannot be scored and take no part.
     """
-    with_vector = records.filter(F.size(vector) > 0).select(F.col(key).cast("long").alias("_key"), vector)
-    wanted = units.filter(F.size(vector) > 0).select(F.col(unit).cast("long").alias("_unit"), vector)
+    # vectors are not tested in a filter: Spark would run a vectoriser once more for it
+    with_vector = records.select(F.col(key).cast("long").alias("_key"), vector)
+    wanted = units.select(F.col(unit).cast("long").alias("_unit"), vector)
     small = _small_units(wanted, "_unit", vector, max_units)
     if small is None:
         found = _search_blocks(with_vector, wanted, vector, k, max_units)
@@ -199,8 +206,9 @@ def _search_small(records: DataFrame, small, vector: str, k: int) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = _Heads(*shared.value, k)
         for batch in batches:
-            if batch.num_rows:
-                heads.add(batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1)))
+            ids, vectors = _vectors(batch.column(0), batch.column(1))
+            if len(ids):
+                heads.add(ids, vectors)
         columns = heads.columns()
         if len(columns[0]):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["_unit", "_key", "score"])
@@ -223,12 +231,14 @@ def _search_blocks(records: DataFrame, units: DataFrame, vector: str, k: int, ma
     right = right.withColumn("_slice", every_slice)
 
     def score(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            columns = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        else:
-            heads = _Heads(b.column("_unit").to_numpy(), _matrix(b.column(vector)), k)
-            heads.add(a.column("_key").to_numpy(), _matrix(a.column(vector)))
+        ids, vectors = _vectors(a.column("_key"), a.column(vector))
+        unit_ids, matrix = _vectors(b.column("_unit"), b.column(vector))
+        if len(ids) and len(unit_ids):
+            heads = _Heads(unit_ids, matrix, k)
+            heads.add(ids, vectors)
             columns = heads.columns()
+        else:
+            columns = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pa.table(dict(zip(["_unit", "_key", "score"], [pa.array(c) for c in columns])))
 
     meet = left.groupBy("_block", "_slice").cogroup(right.groupBy("_block", "_slice"))
@@ -239,8 +249,9 @@ def best_unit(
     records: DataFrame, units: DataFrame, key: str, unit: str, vector: str, max_units: int = MAX_UNITS
 ) -> DataFrame:
     """(key, unit, score): the unit every record fits best, ties by unit. One row per record."""
-    with_vector = records.filter(F.size(vector) > 0).select(F.col(key).cast("long").alias("_key"), vector)
-    wanted = units.filter(F.size(vector) > 0).select(F.col(unit).cast("long").alias("_unit"), vector)
+    # vectors are not tested in a filter: Spark would run a vectoriser once more for it
+    with_vector = records.select(F.col(key).cast("long").alias("_key"), vector)
+    wanted = units.select(F.col(unit).cast("long").alias("_unit"), vector)
     small = _small_units(wanted, "_unit", vector, max_units)
     if small is None:
         # seen from the other side: the records are what is searched for, one hit each
@@ -258,11 +269,12 @@ def best_unit(
         unit_ids, matrix = shared.value
         scaled = _unit_rows(matrix).T
         for batch in batches:
-            if batch.num_rows:
-                scores = np.round(_unit_rows(_matrix(batch.column(1))) @ scaled, DIGITS)
+            ids, vectors = _vectors(batch.column(0), batch.column(1))
+            if len(ids):
+                scores = np.round(_unit_rows(vectors) @ scaled, DIGITS)
                 best = scores.argmax(axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(unit_ids[best]), batch.column(0), pa.array(scores[np.arange(len(best)), best])],
+                    [pa.array(unit_ids[best]), pa.array(ids), pa.array(scores[np.arange(len(best)), best])],
                     ["_unit", "_key", "score"],
                 )
 

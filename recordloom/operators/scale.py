@@ -63,27 +63,38 @@ def top_k(
     )
 
 
-def number_rows(df: DataFrame, key: str, name: str = "row_no", ranges: int = 200) -> DataFrame:
-    """1..n in ascending order of a unique numeric ``key``, without one task sorting everything.
+def number_rows(df: DataFrame, key: str, name: str = "row_no", bins: int = 8_192, fine: int = 10) -> DataFrame:
+    """1..n in ascending order of a unique whole-number ``key``, without one task sorting everything.
 
-    The key range is cut at approximate quantiles; each range numbers its own rows and
-    adds the count of all lower ranges (at most ``ranges + 1`` of them, so they are broadcast).
+    The key range is cut into at most ``bins`` equal stretches by dropping low bits; stretches
+    with far more rows than the average are cut into ``2 ** fine`` more. Each stretch
+    numbers its own rows and adds the count of all rows before it. The counts are one row
+    per stretch, bounded by ``bins * (1 + 2 ** fine / 8)``, hence broadcast.
     """
-    points = [i / ranges for i in range(1, ranges)]
-    cuts = df.select(F.percentile_approx(key, points, ranges * 50)).first()[0] or []
-    edges = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<long>")
-    ranged = df.withColumn("_range", F.size(F.filter(edges, lambda e: e < F.col(key))))
-    below = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    lo, hi, n = df.agg(F.min(key), F.max(key), F.count(key)).first()
+    if not n:
+        return df.withColumn(name, F.lit(None).cast("long"))
+    shift = 0
+    while (hi >> shift) - (lo >> shift) >= bins:
+        shift += 1
+    fine = min(fine, shift)
+    wide = F.shiftright(F.col(key).cast("long"), shift)
+    counts = df.groupBy(wide.alias("_bin")).agg(F.count("*").alias("_rows"))
+    crowded = F.broadcast(counts.filter(F.col("_rows") > 8 * n / bins).select("_bin", F.lit(True).alias("_crowded")))
+    low_bits = F.shiftright(F.col(key).cast("long"), shift - fine).bitwiseAND(F.lit((1 << fine) - 1))
+    cut = df.withColumn("_bin", wide).join(crowded, "_bin", "left")
+    cut = cut.withColumn("_sub", F.when(F.col("_crowded"), low_bits).otherwise(F.lit(0).cast("long"))).drop("_crowded")
+    before = Window.orderBy("_bin", "_sub").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        ranged.groupBy("_range")
+        cut.groupBy("_bin", "_sub")
         .agg(F.count("*").alias("_n"))
-        .select("_range", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_offset"))
+        .select("_bin", "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(key))
+    inside = F.row_number().over(Window.partitionBy("_bin", "_sub").orderBy(key))
     return (
-        ranged.join(F.broadcast(offsets), "_range")
+        cut.join(F.broadcast(offsets), ["_bin", "_sub"])
         .withColumn(name, inside + F.col("_offset"))
-        .drop("_range", "_offset")
+        .drop("_bin", "_sub", "_offset")
     )
 
 
