@@ -15,19 +15,26 @@ _PLAIN = r"\d{1,2}(?::\d{2})?\s*(?:AM|PM)"
 def clock_24h(c: Column) -> Column:
     """'8:45 a.m.', '1 p.m.', '10 AM', '12 noon' -> 'HH:MM'; anything else -> ''."""
 
-    def convert(s: Column) -> Column:
-        hour = F.regexp_extract(s, _CLOCK, 1).try_cast("bigint")
-        minute = F.coalesce(F.regexp_extract(s, _CLOCK, 2).try_cast("bigint"), F.lit(0))
-        half = F.regexp_extract(s, _CLOCK, 3)
+    def read(s: Column) -> Column:
+        return F.struct(
+            F.regexp_extract(s, _CLOCK, 1).try_cast("bigint").alias("hour"),
+            F.regexp_extract(s, _CLOCK, 2).try_cast("bigint").alias("minute"),
+            F.regexp_extract(s, _CLOCK, 3).alias("half"),
+        )
+
+    def show(t: Column) -> Column:
+        hour, half = t["hour"], t["half"]
         hour24 = (
             F.when((half == "pm") & (hour != 12), hour + 12)
             .when(((half == "am") & (hour == 12)) | (half == "midnight"), F.lit(0))
             .when(half == "noon", F.lit(12))
             .otherwise(hour)
         )
-        return F.when(hour.isNotNull(), F.format_string("%02d:%02d", hour24, minute)).otherwise("")
+        text = F.format_string("%02d:%02d", hour24, F.coalesce(t["minute"], F.lit(0)))
+        return F.when(hour.isNotNull(), text).otherwise("")
 
-    return let(F.regexp_replace(F.lower(strip(or_empty(c))), r"[. ]", ""), convert)
+    bare = F.regexp_replace(F.lower(strip(or_empty(c))), r"[. ]", "")
+    return F.when(bare != "", let(let(bare, read), show)).otherwise("")
 
 
 def time_range(c: Column) -> Column:
@@ -43,17 +50,24 @@ def time_range(c: Column) -> Column:
     return let(F.regexp_replace(or_empty(c), r"\s+(--|\x{2014}|-)\s+", " - "), convert)
 
 
+# The month names that count.
+MONTHS = [
+    "January", "February", "March", "April", "May", "June", "July", "August", "September", "October",
+    "November", "December",
+]
+
+
 def long_date(c: Column) -> Column:
     """'Mon, May 18, 2026 ...' -> '2026-05-18'; only full month names count, else ''."""
     pattern = r"(Mon|Tue|Wed|Thu|Fri|Sat|Sun),\s*(\w+)\s+(\d{1,2}),\s*(\d{4})"
     month, day, year = (F.regexp_extract(c, pattern, i) for i in (2, 3, 4))
-    return F.when(month != "", _iso_date(F.concat_ws(" ", F.initcap(month), day, year))).otherwise("")
+    return _iso_date(F.initcap(month), day, year)
 
 
-def _iso_date(text: Column) -> Column:
-    """'May 18 2026' -> '2026-05-18', '' when it is no date. Guard it: a miss is costly."""
-    parsed = F.try_to_timestamp(text, F.lit("MMMM d yyyy"))
-    return F.coalesce(F.date_format(parsed, "yyyy-MM-dd"), F.lit(""))
+def _iso_date(month: Column, day: Column, year: Column) -> Column:
+    """'2026-05-18', '' when it is no date. Only full month names reach the parser."""
+    parsed = F.try_to_timestamp(F.concat_ws(" ", month, day, year), F.lit("MMMM d yyyy"))
+    return F.coalesce(F.when(month.isin(MONTHS), F.date_format(parsed, "yyyy-MM-dd")), F.lit(""))
 
 
 def date_line(c: Column) -> Column:
@@ -76,8 +90,7 @@ def short_date_line(c: Column, year: int) -> Column:
     day = r"(\w+day),\s*(\w+)\s+(\d{1,2})"
     times = r"(?i)(\d{1,2}(?::\d{2})?)\s*(AM|PM)?\s*[-\x{2013}\x{2014}]\s*(\d{1,2}(?::\d{2})?)\s*(AM|PM)"
     month = F.regexp_extract(c, day, 2)
-    text = F.concat_ws(" ", F.initcap(month), F.regexp_extract(c, day, 3), F.lit(str(year)))
-    date = F.when(month != "", _iso_date(text)).otherwise("")
+    date = _iso_date(F.initcap(month), F.regexp_extract(c, day, 3), F.lit(str(year)))
     half = F.coalesce(F.nullif(F.regexp_extract(c, times, 2), F.lit("")), F.regexp_extract(c, times, 4))
     return F.struct(
         date.alias("date"),
