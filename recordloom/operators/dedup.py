@@ -11,7 +11,7 @@ from recordloom.functions.text import or_empty
 from recordloom.operators.scale import first_per_key
 
 # No list cell holds more than this many entries: longer ones continue in the next part.
-PART_SIZE = 100_000
+PART_SIZE = 10_000
 
 
 def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Iterator, Mapping
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions import lists as L
@@ -21,6 +21,7 @@ from recordloom.functions.text import (
     collapse,
     first_value,
     label_value,
+    lines,
     missing,
     or_empty,
     slice_after,
@@ -352,3 +353,144 @@ def extract_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") ->
 
 def has_class(name: str, classes: str = "classes") -> Column:
     return F.array_contains(classes, name)
+
+
+# --- whole pages ----------------------------------------------------------------------------
+
+_BLOCK_END = r"(?i)<br\s*/?>|</(?:p|div|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|main)>"
+
+
+def page_text(html: Column) -> Column:
+    """Visible text with a line break after every block element, lines stripped, no empty ones."""
+    body = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|head)\b.*?</\1>", "")
+    return F.array_join(lines(plain_text(F.regexp_replace(body, _BLOCK_END, "\n"))), "\n")
+
+
+def text_sequence(html: Column) -> Column:
+    """The texts between tags in order, stripped, no empty ones."""
+    body = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1>", "")
+    return F.filter(F.transform(F.split(body, "<[^>]*>"), plain_text), lambda t: t != "")
+
+
+def tag_texts(html: Column, tag: str) -> Column:
+    """Texts of all elements of a kind that does not nest."""
+    found = F.regexp_extract_all(html, F.lit(rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"), F.lit(1))
+    return F.transform(found, plain_text)
+
+
+def oral_page(html: Column, base: str, skip: str = "ICLR") -> dict[str, Column]:
+    """All fields of a talk page. The title is the first h2 that is not site furniture."""
+    title = F.filter(
+        tag_texts(html, "h2"), lambda t: (t != "") & (t != "Main Navigation") & ~F.contains(t, F.lit(skip))
+    )
+    return oral_fields(or_empty(F.get(title, 0)), tag_texts(html, "h3"), page_text(html), anchors(html), base)
+
+
+def workshop_page(html: Column) -> dict[str, Column]:
+    """All fields of a workshop page."""
+    return workshop_fields(tag_text(html, "h1"), tag_texts(html, "h3"), page_text(html), anchors(html))
+
+
+def session_details(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """Detailed session records: heading, badges, abstract, speakers, labels, takeaways.
+
+    Elements are found on the node table, labelled values in the visible text. Only the few
+    extracted columns of the text side meet the node side, by page.
+    """
+    text = page_text(F.col(html))
+    block = F.regexp_extract(
+        text, r"(?s)Key Takeaways:\n(.+?)(?:\n(?:Add to Schedule|Register|Share)|\z)", 1
+    )
+    from_text = pages.select(
+        F.col(key).cast("long").alias("page_id"),
+        tag_text(F.col(html), "h1").alias("heading"),
+        block.alias("block"),
+        *[value.alias(name) for name, value in labelled_fields(text).items()],
+    )
+    nodes = extract_nodes(pages, key, html).withColumn("text", strip("text"))
+    in_page = Window.partitionBy("page_id")
+    is_label = F.col("tag").isin("span", "b") & F.contains("text", F.lit("Key Takeaways:"))
+    # the list belongs to the element around the label: the last one opened one level above it
+    nodes = nodes.withColumn("label_at", F.min(F.when(is_label, F.col("pos"))).over(in_page))
+    nodes = nodes.withColumn("label_depth", F.max(F.when(F.col("pos") == F.col("label_at"), F.col("depth"))).over(in_page))
+    around = (F.col("pos") < F.col("label_at")) & (F.col("end_pos") >= F.col("label_at"))
+    is_parent = around & (F.col("depth") == F.col("label_depth") - 1)
+    nodes = nodes.withColumns(
+        {
+            "parent_at": F.max(F.when(is_parent, F.col("pos"))).over(in_page),
+            "parent_end": F.max(F.when(is_parent, F.col("end_pos"))).over(in_page),
+        }
+    )
+    inside = F.col("pos").between(F.col("parent_at"), F.col("parent_end"))
+    nodes = nodes.withColumns(
+        {
+            "list_at": F.min(F.when(inside & (F.col("tag") == "ul"), F.col("pos"))).over(in_page),
+        }
+    )
+    nodes = nodes.withColumn("list_end", F.max(F.when(F.col("pos") == F.col("list_at"), F.col("end_pos"))).over(in_page))
+
+    def texts(condition: Column) -> Column:
+        found = F.array_sort(F.collect_list(F.when(condition, F.struct("pos", "text"))))
+        return F.transform(found, lambda n: n["text"])
+
+    is_abstract = (F.col("tag") == "div") & has_class("abstract")
+    is_item = (F.col("tag") == "li") & F.col("pos").between(F.col("list_at"), F.col("list_end"))
+    from_nodes = nodes.groupBy("page_id").agg(
+        texts(has_class("badge")).alias("badges"),
+        or_empty(F.min_by(F.when(is_abstract, F.col("text")), F.when(is_abstract, F.col("pos")))).alias("abstract"),
+        texts((F.col("tag") == "span") & has_class("p--medium")).alias("speaker_lines"),
+        texts(is_item).alias("items"),
+    )
+    joined = from_text.join(from_nodes, "page_id", "left")
+    none = F.array().cast("array<string>")
+    fields = {
+        **heading_fields(F.col("heading")),
+        **badge_fields(F.coalesce("badges", none)),
+        "abstract": or_empty(F.col("abstract")),
+        "key_takeaways": L.bulleted(F.coalesce("items", none), F.col("block"), BUTTON_TEXT),
+        "speakers": L.speaker_structs(F.coalesce("speaker_lines", none)),
+    }
+    return extract_fields(joined, fields).drop("heading", "block", "badges", "speaker_lines", "items")
+
+
+def detail_pages(pages: DataFrame, key: str = "page_id", html: str = "html", kind: str = "kind") -> DataFrame:
+    """The ``detail`` struct of calendar entries, by the kind of page.
+
+    An invited talk is read from its text sequence, a group session from its heading, time
+    line and cards. Pages without a title come out with '' throughout.
+    """
+    from recordloom.operators.calendar import session_cards
+
+    texts = F.transform(text_sequence(F.col(html)), collapse)
+    talk_title = collapse(tag_text(F.col(html), "h1"))
+    fields = talk_fields(F.col("texts"), F.col("talk_title"), {"title": F.lit("")})
+    heads = pages.select(
+        F.col(key).cast("long").alias("page_id"),
+        F.col(kind).alias("kind"),
+        texts.alias("texts"),
+        talk_title.alias("talk_title"),
+        collapse(tag_text(F.col(html), "h2")).alias("session_title"),
+        collapse(tag_text(F.col(html), "h5")).alias("session_room"),
+    )
+    heads = extract_fields(heads, {**fields, **session_fields(F.col("texts"))})
+    nodes = extract_nodes(pages, key, html)
+    in_page = Window.partitionBy("page_id")
+    is_head = (F.col("tag") == "h3") & collapse(F.col("text")).rlike("(?i)^abstract$")
+    after = nodes.withColumn("head", F.min(F.when(is_head, F.struct("pos", "end_pos", "depth"))).over(in_page))
+    after = after.filter((F.col("pos") == F.col("head.end_pos") + 1) & (F.col("depth") == F.col("head.depth")))
+    abstracts = after.select("page_id", collapse(F.col("text")).alias("abstract"))
+    cards = session_cards(nodes)
+    listed = F.array_sort(F.collect_list(F.struct("pos", "title", "url", "authors", "abstract")))
+    papers = cards.groupBy("page_id").agg(F.transform(listed, lambda p: p.dropFields("pos")).alias("papers"))
+    talk = F.col("kind") == "invited-talk"
+    detail = F.struct(
+        F.when(talk, F.col("talk_title")).otherwise(F.col("session_title")).alias("title"),
+        F.when(talk, F.col("room")).otherwise(F.col("session_room")).alias("room"),
+        F.when(talk, F.col("date_line")).otherwise("").alias("date_line"),
+        F.when(talk, "").otherwise(F.col("time_line")).alias("time_line"),
+        F.when(talk, F.col("speaker")).otherwise("").alias("speaker"),
+        F.when(talk, or_empty(F.col("abstract"))).otherwise("").alias("abstract"),
+        F.when(~talk, F.col("papers")).alias("papers"),
+    )
+    joined = heads.join(abstracts, "page_id", "left").join(papers, "page_id", "left")
+    return joined.select("page_id", "kind", detail.alias("detail"))

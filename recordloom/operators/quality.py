@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions.text import contains_ci, first_value, missing
-from recordloom.operators.scale import number_rows, small_or_shuffled
+from recordloom.operators.scale import number_rows
 
 UPLOAD_LIMIT = 1000
 
@@ -189,7 +189,7 @@ def reconcile_counts(df: DataFrame, key: str, expected: DataFrame) -> DataFrame:
     actual = df.groupBy(key).agg(F.count("*").alias("actual"))
     want = expected.filter(F.col("expected") > 0)
     return (
-        want.join(small_or_shuffled(actual), key, "left")
+        want.join(actual, key, "left")
         .withColumn("actual", F.coalesce("actual", F.lit(0)))
         .withColumn("short", F.col("actual") < F.col("expected"))
     )

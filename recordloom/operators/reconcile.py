@@ -36,13 +36,21 @@ def named_only(df: DataFrame, names: DataFrame, key: str) -> DataFrame:
 
 
 def snapshot_diff(
-    old: DataFrame, new: DataFrame, key: str, compare: Sequence[str] | None = None
+    old: DataFrame,
+    new: DataFrame,
+    key: str,
+    compare: Sequence[str] | None = None,
+    order: Sequence[str] | None = None,
 ) -> DataFrame:
     """One row per key with ``change`` in added, removed, common (and changed, on request).
 
-    Both sides need a unique key. By default only keys count; with ``compare`` a common
-    row whose listed columns differ is 'changed'. Columns come as ``old_*`` and ``new_*``.
+    The key is unique on both sides, or ``order`` says which row of a key is its first and
+    the others are dropped before the join. By default only keys count; with ``compare`` a
+    common row whose listed columns differ is 'changed'. Columns come as ``old_*`` and
+    ``new_*``.
     """
+    if order is not None:
+        old, new = first_per_key(old, [key], order), first_per_key(new, [key], order)
     rest = [c for c in new.columns if c != key]
     a = old.select(key, F.lit(True).alias("_old"), *[F.col(c).alias(f"old_{c}") for c in rest])
     b = new.select(key, F.lit(True).alias("_new"), *[F.col(c).alias(f"new_{c}") for c in rest])

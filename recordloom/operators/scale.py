@@ -8,14 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 20_000
+MAX_BROADCAST_BYTES = 128 * 1024 * 1024
 
 
-def small_or_shuffled(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that the side is within ``max_rows``.
+def small_or_shuffled(
+    df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES
+) -> DataFrame:
+    """Hint a broadcast only after measuring that the side is within ``max_rows`` and ``max_bytes``.
 
-    Beyond that the frame is returned as it is and Spark shuffles the join.
+    Beyond that the frame is returned as it is and Spark shuffles the join. Measuring reads
+    the side once, up to ``max_rows + 1`` rows, so use it for sides that are cheap to compute.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
+    width = F.sum(F.length(F.to_json(F.struct(*df.columns))).cast("long"))
+    rows, size = df.limit(max_rows + 1).agg(F.count("*"), width).first()
+    if rows <= max_rows and (size or 0) <= max_bytes:
         return F.broadcast(df)
     return df
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from recordloom.functions import lists as L
@@ -49,8 +50,6 @@ def html_nodes(spark, sf):
     + LINKS.format("html"),
 )
 def node_texts(spark, sf):
-    from pyspark.sql import Window
-
     links = E.extract_nodes(table(spark, sf, "pages", spread="page_id")).filter("tag = 'a'")
     k = F.row_number().over(Window.partitionBy("page_id").orderBy("pos")) - 1
     return links.select("page_id", k.cast("long").alias("k"), X.strip("text").alias("text"), "href")
@@ -246,7 +245,7 @@ def carry_forward_query(spark, sf):
         F.when(kind == "signup", F.date_format("ts", "yyyy-MM-dd")).alias("day"),
         F.when(kind.isin("view", "click"), F.concat("event_type", "event_id")).alias("slot"),
     )
-    return carry_forward(rows, ["user_id"], ["event_id"], ["day", "slot"], F.floor(F.col("event_id") / 1000))
+    return carry_forward(rows, ["user_id"], ["event_id"], ["day", "slot"], F.floor(F.col("event_id") / 100_000))
 
 
 @query(
@@ -568,3 +567,93 @@ def name_refs(spark, sf):
 def facet_labels(spark, sf):
     html = F.replace("html", F.lit('<a href="/'), F.lit('<label for="keytheme-desktop-'))
     return E.facet_labels(table(spark, sf, "pages").select(html.alias("html")), "html", "keytheme-desktop-")
+
+
+@query(
+    "session_details",
+    r"""SELECT doc_id AS page_id, 'T ' || source AS title, 'S' || doc_id AS session_id, 'Panel' AS session_type,
+          CASE WHEN lang = 'en' THEN 'Both' ELSE 'Virtual' END AS format, CASE WHEN lang = 'de' THEN 'No' ELSE 'Yes' END AS recording,
+          regexp_replace(text, """ + STRIP + r""") AS abstract, source AS industry, lang AS topic, '' AS technical_level, 'all' AS intended_audience,
+          '' AS nvidia_technology, CASE WHEN lang = 'fr' THEN 'first;second' ELSE 'point ' || doc_id || ';two' END AS key_takeaways,
+          'Ann:CTO:' || source AS speakers FROM documents""",
+)
+def session_details(spark, sf):
+    badge = F.when(F.col("lang") == "en", '<i class="badge">In-Person</i>').when(F.col("lang") == "de", '<i class="badge">Not Recorded</i>').otherwise("")
+    points = F.when(F.col("lang") == "fr", F.lit("<p>Key Takeaways:</p><p>first</p><p>• second</p><p>Register</p>")).otherwise(
+        F.concat(F.lit("<div><b>Key Takeaways:</b><ul><li>point "), "doc_id", F.lit("</li><li> two </li></ul></div><ul><li>other</li></ul>"))
+    )
+    html = F.concat(
+        F.lit("<html><head><title>x</title></head><body><h1>T "), "source", F.lit(" [S"), "doc_id", F.lit(']</h1><i class="badge">Panel</i><i class="badge">Virtual</i>'),
+        badge, F.lit('<div class="abstract"><p>'), "text", F.lit('</p></div><span class="p--medium">Ann | CTO | '), "source",
+        F.lit('</span><span class="p--medium">no bar</span><p>Industry: '), "source", F.lit("</p><p>Topic: "), "lang",
+        F.lit("</p><div>Intended Audience: all</div>"), points, F.lit("</body></html>"),
+    )
+    docs = table(spark, sf, "documents", spread="doc_id").select(F.col("doc_id").alias("page_id"), html.alias("html"))
+    out = E.session_details(docs)
+    people = F.transform("speakers", lambda p: F.concat_ws(":", p["name"], p["title"], p["company"]))
+    return out.withColumns({"key_takeaways": F.array_join("key_takeaways", ";"), "speakers": F.array_join(people, ";")})
+
+
+@query(
+    "oral_pages",
+    r"""SELECT conv_id * 1000 + turn AS page_id, 'Talk ' || role AS title, 'Ann · Bob' AS authors, 'Oral 1' AS session_name,
+          'https://e.org/session/' || conv_id AS session_url, '' AS openreview_url, '/slides/' || turn AS slides_url, 'Apr 24 2026' AS date,
+          '3:30 p.m.' AS start_time, '5 p.m.' AS end_time,
+          array_to_string(list_filter([regexp_replace(x, """ + STRIP + r""") for x in string_split(text, chr(10))], lambda y: y <> ''), chr(10)) AS abstract
+        FROM conversations""",
+)
+def oral_pages(spark, sf):
+    html = F.concat(
+        F.lit("<h2>Main Navigation</h2><h2>Talk "), "role", F.lit('</h2><h3>Oral</h3><h3>Ann · Bob</h3><a href="/session/'), "conv_id",
+        F.lit('">Oral 1</a><a href="/slides/'), "turn", F.lit('">Slides</a><div>Apr 24 2026 3:30 p.m. PDT - 5 p.m. PDT</div><div>Abstract:</div><p>'),
+        "text", F.lit("</p><div>Chat</div><p>more</p>"),
+    )
+    pages = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("page_id"), html.alias("html"))
+    return pages.select("page_id", *[c.alias(n) for n, c in E.oral_page(F.col("html"), "https://e.org").items()])
+
+
+@query(
+    "workshop_pages",
+    r"""SELECT conv_id * 1000 + turn AS page_id, 'W ' || role AS title, 'Sun, Apr 26, 2026' AS date, '5:00 AM' AS start_time, '1:00 PM' AS end_time,
+          'PDT' AS timezone, 'Cy · Di · Ed' AS organizers, '/proj/' || turn AS project_url,
+          array_to_string(list_filter([regexp_replace(x, """ + STRIP + r""") for x in string_split(text, chr(10))], lambda y: y <> ''), chr(10)) AS abstract
+        FROM conversations""",
+)
+def workshop_pages(spark, sf):
+    html = F.concat(
+        F.lit("<h1>W "), "role", F.lit('</h1><p>Sun, Apr 26, 2026 · 5:00 AM - 1:00 PM PDT</p><p>Cy · Di · Ed</p><a href="/proj/'), "turn",
+        F.lit('">Project Page</a><h3>Abstract</h3><p>'), "text", F.lit("</p><p>Log in</p>"),
+    )
+    pages = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("page_id"), html.alias("html"))
+    return pages.select("page_id", *[c.alias(n) for n, c in E.workshop_page(F.col("html")).items()])
+
+
+@query(
+    "detail_pages",
+    """SELECT o_orderkey AS page_id, CASE WHEN o_orderstatus = 'P' THEN 'invited-talk' ELSE 'session' END AS kind,
+         CASE WHEN o_orderstatus = 'P' THEN 'Talk ' || o_orderpriority ELSE 'Group ' || o_orderpriority END AS title,
+         'Hall ' || o_custkey AS room, CASE WHEN o_orderstatus = 'P' THEN 'Mon, May 18, 2026' ELSE '' END AS date_line,
+         CASE WHEN o_orderstatus = 'P' THEN '' ELSE 'Tue 19 May 1 p.m. PDT — 2:30 p.m. PDT' END AS time_line,
+         CASE WHEN o_orderstatus = 'P' THEN 'Dr ' || o_custkey ELSE '' END AS speaker,
+         CASE WHEN o_orderstatus = 'P' THEN 'About ' || o_orderkey ELSE '' END AS abstract,
+         CASE WHEN o_orderstatus = 'P' THEN NULL ELSE 'Paper ' || o_orderkey || ' /p/' || o_orderkey || ' A * B text' END AS papers FROM orders""",
+)
+def detail_pages(spark, sf):
+    talk = F.concat(
+        F.lit("<main><div>INVITED TALK</div><div>Mon, May 18, 2026</div><span>Hall "), "o_custkey", F.lit("</span><h1>Talk "), "o_orderpriority",
+        F.lit("</h1><p>Dr "), "o_custkey", F.lit("</p><h3> Abstract </h3><div><p>About "), "o_orderkey", F.lit("</p></div></main>"),
+    )
+    group = F.concat(
+        F.lit("<main><h2>Group "), "o_orderpriority", F.lit("</h2><h5>Hall "), "o_custkey",
+        F.lit('</h5><p>Tue 19 May 1 p.m. PDT\n — 2:30 p.m. PDT</p><div class="track-schedule-card"><div><h5><a href="/p/'), "o_orderkey",
+        F.lit('#x">Paper '), "o_orderkey", F.lit('</a></h5><p>A * B</p></div><div class="abstract">text</div></div></main>'),
+    )
+    is_talk = F.col("o_orderstatus") == "P"
+    pages = table(spark, sf, "orders", spread="o_orderkey").select(
+        F.col("o_orderkey").alias("page_id"),
+        F.when(is_talk, "invited-talk").otherwise("session").alias("kind"),
+        F.when(is_talk, talk).otherwise(group).alias("html"),
+    )
+    out = E.detail_pages(pages).select("page_id", "kind", "detail.*")
+    shown = F.transform("papers", lambda p: F.concat_ws(" ", p["title"], p["url"], p["authors"], p["abstract"]))
+    return out.withColumn("papers", F.array_join(shown, ";"))

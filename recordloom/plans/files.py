@@ -147,7 +147,7 @@ def per_unit_files(spark, sf):
     unit = F.concat("p_type", F.lit("/"), "p_brand", F.lit("?"))
     rows = table(spark, sf, "part").select(unit.alias("unit"), "p_partkey", "p_name")
     path = work_dir(spark, "units")
-    sinks.write_per_unit(rows, path, "unit", ["p_partkey"], files_per_unit=2)
+    sinks.write_per_unit(rows, path, "unit")
     return files.read_csv(spark, path, ["unit", "p_partkey", "p_name"])
 
 

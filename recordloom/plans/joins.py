@@ -62,6 +62,29 @@ def snapshot_diff_content(spark, sf):
     return diff.groupBy("change").agg(F.count("*").alias("n"))
 
 
+@query(
+    "snapshot_diff_batches",
+    """WITH o AS (SELECT l_partkey AS k, arg_min(l_shipmode, pos) AS t FROM (
+           SELECT l_partkey, l_orderkey * 100 + l_linenumber AS pos, l_returnflag || l_linestatus AS l_shipmode FROM lineitem WHERE l_quantity < 25
+           QUALIFY row_number() OVER (PARTITION BY l_partkey, pos ORDER BY l_shipmode) = 1) GROUP BY 1),
+       n AS (SELECT l_partkey AS k, arg_min(l_shipmode, pos) AS t FROM (
+           SELECT l_partkey, l_orderkey * 100 + l_linenumber AS pos, l_returnflag || l_linestatus AS l_shipmode FROM lineitem WHERE l_discount > 0.04
+           QUALIFY row_number() OVER (PARTITION BY l_partkey, pos ORDER BY l_shipmode) = 1) GROUP BY 1)
+       SELECT coalesce(o.k, n.k) AS l_partkey, o.t AS old_title, n.t AS new_title, CASE WHEN o.k IS NULL THEN 'added' WHEN n.k IS NULL THEN 'removed'
+         WHEN o.t <> n.t THEN 'changed' ELSE 'common' END AS change FROM o FULL OUTER JOIN n ON o.k = n.k""",
+)
+def snapshot_diff_batches(spark, sf):
+    """Two catalogues collected in batches, each id listed many times: first listing wins, then diff."""
+    lines = table(spark, sf, "lineitem").select(
+        "l_partkey", "l_quantity", "l_discount", (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("pos"),
+        F.concat("l_returnflag", "l_linestatus").alias("title"),
+    )
+    old = lines.filter("l_quantity < 25").select("l_partkey", "title", "pos")
+    new = lines.filter("l_discount > 0.04").select("l_partkey", "title", "pos")
+    diff = R.snapshot_diff(old, new, "l_partkey", compare=["title"], order=["pos", "title"])
+    return diff.select("l_partkey", "old_title", "new_title", "change")
+
+
 @query(
     "change_report",
     SNAPSHOTS

@@ -179,7 +179,7 @@ def people_parts(spark, sf):
 
 @query(
     "text_per_unit",
-    """SELECT conv_id, CAST(floor(turn / 100000.0) AS BIGINT) AS part,
+    """SELECT conv_id, CAST(floor(turn / 10000.0) AS BIGINT) AS part,
          string_agg('[' || role || '] ' || text, chr(10) ORDER BY turn) AS unit_text FROM conversations GROUP BY 1, 2""",
 )
 def text_per_unit(spark, sf):

@@ -73,14 +73,14 @@ def safe_name(c: Column) -> Column:
     return F.regexp_replace(c, UNSAFE_IN_NAMES, "_")
 
 
-def write_per_unit(df: DataFrame, path: str, unit: str, spread: Sequence[str], files_per_unit: int = 1) -> None:
-    """A CSV folder per unit under its sanitised name, ``files_per_unit`` files in each.
+def write_per_unit(df: DataFrame, path: str, unit: str) -> None:
+    """A CSV folder per unit under its sanitised name.
 
-    Raise ``files_per_unit`` with the rows per unit; rows are spread by the ``spread`` columns.
+    Rows are rebalanced by unit: small units end up in one file, and adaptive execution
+    splits a unit that holds too much for one task over several.
     """
     named = df.withColumn(unit, safe_name(F.col(unit)))
-    part = F.pmod(F.xxhash64(*spread), F.lit(files_per_unit))
-    write_csv(named.withColumn("_part", part).repartition(unit, "_part").drop("_part"), path, [unit])
+    write_csv(named.hint("rebalance", unit), path, [unit])
 
 
 def paper_csv_lines(papers: DataFrame) -> DataFrame:
