@@ -14,7 +14,7 @@ from recordloom.functions.schedule import end_time
 from recordloom.functions.text import collapse, first_value, missing, or_empty, strip
 from recordloom.functions.urls import without_fragment
 from recordloom.operators.dedup import first_wins
-from recordloom.operators.extract import has_class
+from recordloom.operators.extract import enclosing, has_class
 
 
 
@@ -22,15 +22,6 @@ def _in_order():
     return Window.partitionBy("page_id").orderBy("pos")
 
 
-def enclosing(is_container: Column) -> Column:
-    """Place of the nearest container around a node (or the node itself), null outside.
-
-    For containers that do not nest in each other.
-    """
-    last = F.last(F.when(is_container, F.struct("pos", "end_pos")), ignorenulls=True).over(_in_order())
-    return F.when(F.col("pos") <= last["end_pos"], last["pos"])
-
-
 def first_in(container: str, condition: Column, value: Column) -> Column:
     """``value`` of the first node inside the container that fits, on all its nodes."""
     inside = Window.partitionBy("page_id", container)
@@ -45,8 +36,8 @@ def _div(name: str) -> Column:
     return (F.col("tag") == "div") & has_class(name)
 
 
-def _with_context(nodes: DataFrame) -> DataFrame:
-    """Give every node its day, time box and blocks; a box or day without a text inherits."""
+def _with_context(nodes: DataFrame, inherit_time: bool) -> DataFrame:
+    """Give every node its day, time box and blocks; a day without a text inherits the one above."""
     n = nodes.withColumns(
         {
             "text": strip("text"),
@@ -68,10 +59,12 @@ def _with_context(nodes: DataFrame) -> DataFrame:
             "box_depth": first_in("box_at", F.col("pos") == F.col("box_at"), F.col("depth")),
         }
     )
+    above = F.last("box_text", ignorenulls=True).over(_in_order())
+    own = or_empty(F.max("box_text").over(Window.partitionBy("page_id", "box_at")))
     return n.withColumns(
         {
             "date": F.last("day_text", ignorenulls=True).over(_in_order()),
-            "time": F.last("box_text", ignorenulls=True).over(_in_order()),
+            "time": above if inherit_time else own,
         }
     ).filter(F.col("day_at").isNotNull() & F.col("box_at").isNotNull())
 
@@ -98,9 +91,10 @@ def item_times(text: Column, header: Column, box_time: Column) -> tuple[Column,
     return start, F.when(span != "", F.substring_index(span, "-", -1)).otherwise("")
 
 
-def calendar_events(nodes: DataFrame, base: str) -> DataFrame:
+def calendar_events(nodes: DataFrame, base: str, inherit_time: bool = True) -> DataFrame:
     """Events, listed talks and posters, and exhibitor talks of calendar pages.
 
+    A time box without a time takes the one above it, or '' when ``inherit_time`` is off.
     One pass: the pages are parsed and shuffled once, by page, and every window below
     works on that partitioning.
     """
@@ -108,7 +102,7 @@ def calendar_events(nodes: DataFrame, base: str) -> DataFrame:
     in_title = is_link & F.col("title_at").isNotNull()
     is_header = _div("subevent-header")
     href = or_empty(F.col("href"))
-    n = _with_context(nodes).withColumns(
+    n = _with_context(nodes, inherit_time).withColumns(
         {
             "event_title": first_in("event_at", _div("title-style"), F.col("text")),
             "event_link": first_in("event_at", in_title, F.col("text")),
@@ -257,29 +251,6 @@ def detail_rows(nodes: DataFrame) -> DataFrame:
     ).drop("paragraphs", "people")
 
 
-def session_cards(nodes: DataFrame) -> DataFrame:
-    """Talk cards of a group session page: title, url, authors, abstract per card."""
-    n = nodes.withColumns(
-        {
-            "text": collapse("text"),
-            "card_at": enclosing(_div("track-schedule-card")),
-            "head_at": enclosing(F.col("tag") == "h5"),
-        }
-    ).filter(F.col("card_at").isNotNull())
-
-    def pick(condition: Column, value: Column) -> Column:
-        return or_empty(F.min_by(F.when(condition, value), F.when(condition, F.col("pos"))))
-
-    in_head = (F.col("tag") == "a") & F.col("head_at").isNotNull()
-    cards = n.groupBy("page_id", F.col("card_at").alias("pos")).agg(
-        pick(F.col("tag") == "h5", F.col("text")).alias("title"),
-        pick(in_head, without_fragment(F.col("href"))).alias("url"),
-        pick(F.col("tag") == "p", F.col("text")).alias("authors"),
-        pick(has_class("abstract"), F.col("text")).alias("abstract"),
-    )
-    return cards.filter("title <> ''")
-
-
 def calendar_entries(nodes: DataFrame, path: str) -> DataFrame:
     """Top-level calendar blocks: kind and id from the link, times, label, room, listed papers."""
     n = nodes.withColumns(

@@ -351,6 +351,16 @@ def extract_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") ->
     )
 
 
+def enclosing(is_container: Column) -> Column:
+    """Place of the nearest container around a node (or the node itself), null outside.
+
+    For containers that do not nest in each other.
+    """
+    in_order = Window.partitionBy("page_id").orderBy("pos")
+    last = F.last(F.when(is_container, F.struct("pos", "end_pos")), ignorenulls=True).over(in_order)
+    return F.when(F.col("pos") <= last["end_pos"], last["pos"])
+
+
 def has_class(name: str, classes: str = "classes") -> Column:
     return F.array_contains(classes, name)
 
@@ -459,8 +469,6 @@ def detail_pages(pages: DataFrame, key: str = "page_id", html: str = "html", kin
     An invited talk is read from its text sequence, a group session from its heading, time
     line and cards. Pages without a title come out with '' throughout.
     """
-    from recordloom.operators.calendar import session_cards
-
     texts = F.transform(text_sequence(F.col(html)), collapse)
     talk_title = collapse(tag_text(F.col(html), "h1"))
     fields = talk_fields(F.col("texts"), F.col("talk_title"), {"title": F.lit("")})
@@ -473,15 +481,7 @@ def detail_pages(pages: DataFrame, key: str = "page_id", html: str = "html", kin
         collapse(tag_text(F.col(html), "h5")).alias("session_room"),
     )
     heads = extract_fields(heads, {**fields, **session_fields(F.col("texts"))})
-    nodes = extract_nodes(pages, key, html)
-    in_page = Window.partitionBy("page_id")
-    is_head = (F.col("tag") == "h3") & collapse(F.col("text")).rlike("(?i)^abstract$")
-    after = nodes.withColumn("head", F.min(F.when(is_head, F.struct("pos", "end_pos", "depth"))).over(in_page))
-    after = after.filter((F.col("pos") == F.col("head.end_pos") + 1) & (F.col("depth") == F.col("head.depth")))
-    abstracts = after.select("page_id", collapse(F.col("text")).alias("abstract"))
-    cards = session_cards(nodes)
-    listed = F.array_sort(F.collect_list(F.struct("pos", "title", "url", "authors", "abstract")))
-    papers = cards.groupBy("page_id").agg(F.transform(listed, lambda p: p.dropFields("pos")).alias("papers"))
+    joined = heads.join(_abstract_and_cards(extract_nodes(pages, key, html)), "page_id", "left")
     talk = F.col("kind") == "invited-talk"
     detail = F.struct(
         F.when(talk, F.col("talk_title")).otherwise(F.col("session_title")).alias("title"),
@@ -492,5 +492,49 @@ def detail_pages(pages: DataFrame, key: str = "page_id", html: str = "html", kin
         F.when(talk, or_empty(F.col("abstract"))).otherwise("").alias("abstract"),
         F.when(~talk, F.col("papers")).alias("papers"),
     )
-    joined = heads.join(abstracts, "page_id", "left").join(papers, "page_id", "left")
     return joined.select("page_id", "kind", detail.alias("detail"))
+
+
+def page_parts(nodes: DataFrame) -> DataFrame:
+    """Per page one row per talk card (``card_at`` is its place) and one for all the rest.
+
+    ``after_head`` is the text of the element after the 'Abstract' heading.
+    """
+    in_page = Window.partitionBy("page_id")
+    n = nodes.withColumns(
+        {
+            "text": collapse("text"),
+            "card_at": enclosing((F.col("tag") == "div") & has_class("track-schedule-card")),
+            "title_at": enclosing(F.col("tag") == "h5"),
+        }
+    )
+    is_head = (F.col("tag") == "h3") & F.col("text").rlike("(?i)^abstract$")
+    n = n.withColumn("head", F.min(F.when(is_head, F.struct("pos", "end_pos", "depth"))).over(in_page))
+    follows = (F.col("pos") == F.col("head.end_pos") + 1) & (F.col("depth") == F.col("head.depth"))
+
+    def pick(condition: Column, value: Column) -> Column:
+        return or_empty(F.min_by(F.when(condition, value), F.when(condition, F.col("pos"))))
+
+    title_link = (F.col("tag") == "a") & F.col("title_at").isNotNull()
+    return n.groupBy("page_id", "card_at").agg(
+        pick(F.col("tag") == "h5", F.col("text")).alias("title"),
+        pick(title_link, without_fragment(F.col("href"))).alias("url"),
+        pick(F.col("tag") == "p", F.col("text")).alias("authors"),
+        pick(has_class("abstract"), F.col("text")).alias("abstract"),
+        pick(follows, F.col("text")).alias("after_head"),
+    )
+
+
+def session_cards(nodes: DataFrame) -> DataFrame:
+    """Talk cards of a group session page: title, url, authors, abstract per card."""
+    cards = page_parts(nodes).filter(F.col("card_at").isNotNull() & (F.col("title") != ""))
+    return cards.withColumnRenamed("card_at", "pos").drop("after_head")
+
+
+def _abstract_and_cards(nodes: DataFrame) -> DataFrame:
+    is_card = F.col("card_at").isNotNull() & (F.col("title") != "")
+    card = F.struct("card_at", "title", "url", "authors", "abstract")
+    listed = F.array_sort(F.collect_list(F.when(is_card, card)))
+    return page_parts(nodes).groupBy("page_id").agg(
+        F.max("after_head").alias("abstract"), F.transform(listed, lambda p: p.dropFields("card_at")).alias("papers")
+    )

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 20_000
 MAX_BROADCAST_BYTES = 128 * 1024 * 1024
+# Keys a sketch keeps count of: those above about a thousandth of all rows are never missed.
+SKETCH_ITEMS = 4_096
 
 
 def small_or_shuffled(
@@ -160,18 +162,20 @@ def skew_join(
 ) -> DataFrame:
     """Join a many-rows side to a side with unique keys, spreading the hot keys.
 
-    The at most ``max_hot`` keys with ``min_rows`` rows or more are salted on the left and
-    copied once per salt on the right; every other key joins as usual. The list of hot
-    keys is bounded by ``max_hot``, hence broadcast. ``row_id`` tells left rows apart.
+    A frequent-items sketch over the key column (one small partial result per task, no
+    shuffle of keys) names the at most ``max_hot`` keys with about ``min_rows`` rows or
+    more. Those are salted on the left and copied once per salt on the right; every other
+    key joins as usual. Which keys get salted changes the spread, never the result. The
+    list is bounded by ``max_hot``, hence broadcast. ``row_id`` tells left rows apart.
     """
     key_hash = F.xxhash64(*on)
+    sketch = F.expr(f"approx_top_k(_key, {max_hot}, {SKETCH_ITEMS})")
     hot = (
-        left.groupBy(key_hash.alias("_key"))
-        .agg(F.count("*").alias("_rows"))
-        .filter(F.col("_rows") >= min_rows)
-        .orderBy(F.desc("_rows"), "_key")
-        .limit(max_hot)
-        .select("_key", F.lit(True).alias("_hot"))
+        left.select(key_hash.alias("_key"))
+        .agg(sketch.alias("_top"))
+        .select(F.inline("_top"))
+        .filter(F.col("count") >= min_rows)
+        .select(F.col("item").alias("_key"), F.lit(True).alias("_hot"))
     )
     zero = F.lit(0).cast("long")
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*row_id), F.lit(salts))).otherwise(zero)

@@ -463,7 +463,7 @@ def session_cards(spark, sf):
         F.lit('</div></div><div class="track-schedule-card"><p>no title</p></div></main>'),
     )
     pages = table(spark, sf, "orders", spread="o_orderkey").select(F.col("o_orderkey").alias("page_id"), html.alias("html"))
-    return C.session_cards(E.extract_nodes(pages)).drop("pos")
+    return E.session_cards(E.extract_nodes(pages)).drop("pos")
 
 
 @query(

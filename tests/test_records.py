@@ -130,6 +130,40 @@ def test_calendar_page(spark):
     ]
 
 
+def test_calendar_without_inherited_times(spark):
+    nodes = E.extract_nodes(spark.createDataFrame([(1, PAGE)], "page_id long, html string"))
+    rows = C.calendar_events(nodes, "", inherit_time=False).collect()
+    assert {r.title: r.time for r in rows if r.title in ("One & Two", "Booth", "Late")} == {"One & Two": "8 a.m.", "Booth": "", "Late": ""}
+
+
+CALENDAR = """<div class="gcol days"><div class="timebox"><div class="time">8:45 a.m.</div>
+<div class="eventsession pad room-grand-ballroom-1"><div class="hdr-style">Invited Talk:</div><div class="title-style"><a href="https://e.org/v/invited-talk/7#x">Big “Talk”</a></div></div>
+<div class="session pad"><div class="sessiontitle"><a href="https://e.org/v/session/8">Research-Track Oral Presentation: R1: Nets [8:30-10:00]</a></div>
+<div class="content"><a href="/v/oral/1">P1</a></div></div><div class="session pad"><div class="sessiontitle"><a href="/other">skip</a></div></div></div></div>"""
+TALK = """<main><div>INVITED TALK</div><div>Mon, May 18, 2026 ⋅ 8:45 AM – 9:05 AM PDT</div><div>Hall A</div><h1>Big Talk</h1><p>Dr Who</p><h3>Abstract</h3><div>On <b>x</b></div></main>"""
+GROUP = """<main><h2>R1: Nets</h2><h5>Hall B</h5><div>Tue 19 May 1 p.m. PDT — 2:30 p.m. PDT</div>
+<div class="track-schedule-card"><div><h5><a href="/v/oral/1#a">P1</a></h5><p class="text-muted">Ann ⋅ Bob ⋅</p></div><div class="abstract">A1</div></div>
+<div class="track-schedule-card"><div><h5>P2</h5></div></div></main>"""
+
+
+def test_pages_to_published_sessions(spark):
+    entries = C.calendar_entries(E.extract_nodes(spark.createDataFrame([(1, CALENDAR)], "page_id long, html string")), "/v/")
+    details = spark.createDataFrame([(7, "invited-talk", TALK), (8, "session", GROUP)], "page_id long, kind string, html string")
+    details = E.detail_pages(details).select(F.col("page_id").cast("string").alias("id"), "detail")
+    joined = entries.join(details, "id").withColumn("day", F.element_at(F.array(F.lit("MON 18 MAY")), F.col("day_no")))
+    cleaned = X.clean_frame(joined.drop("page_id", "pos", "day_no", "papers", "room"), "collapsed")
+    sessions = N.normalize_entries(cleaned, {"MON 18 MAY": "2026-05-18"}).drop("id")
+    rows = {r.title: r for r in sessions.collect()}
+    talk, p1, p2 = rows["Big Talk"], rows["P1"], rows["P2"]
+    assert (talk.type, talk.date, talk.startTime, talk.endTime, talk.location, talk.speaker, talk.abstract) == (
+        "Invited Talk", "2026-05-18", "08:45", "09:05", "Hall A", ["Dr Who"], "On x")
+    assert (p1.type, p1.date, p1.startTime, p1.endTime, p1.location, p1.speaker, p1.abstract, p1.topic, p1.sessionUrl) == (
+        "Oral Session", "2026-05-18", "13:00", "14:30", "Hall B", ["Ann", "Bob"], "A1", ["Research-Track", "R1: Nets"], "/v/oral/1")
+    assert (p2.speaker, p2.abstract, p2.sessionUrl) == ([], None, "")
+    flat = {r.title: r for r in N.to_flat_sessions(sessions).collect()}
+    assert (flat["P1"].topic, flat["P1"].key_themes) == ("R1: Nets", ["Research-Track", "R1: Nets"])
+
+
 def test_broken_html_gives_nodes(spark):
     pages = spark.createDataFrame([(1, "<p>a<p>b</div><br/>c<script>x<y</script>"), (2, ""), (3, None)], "page_id long, html string")
     rows = E.extract_nodes(pages).orderBy("pos").collect()
