@@ -195,12 +195,16 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, value: str, default: str
 def check_references(
     rows: DataFrame, row_key: str, titles: str, known: DataFrame, title: str
 ) -> DataFrame:
-    """Split each row's titles into those that exist and those that dangle, in their order."""
-    named = rows.select(row_key, F.posexplode(titles).alias("_pos", title))
+    """Split each row's titles into those that exist and those that dangle, in their order.
+
+    ``row_key`` is unique. A row without titles comes out with two empty lists.
+    """
+    named = rows.select(row_key, F.posexplode_outer(titles).alias("_pos", title))
     exists = known.select(title).distinct().withColumn("_known", F.lit(True))
     marked = skew_join(named, exists, [title], [row_key, "_pos"])
     kept = F.collect_list(F.when(F.col("_known"), F.struct("_pos", title)))
-    lost = F.collect_list(F.when(F.col("_known").isNull(), F.struct("_pos", title)))
+    absent = F.col("_known").isNull() & F.col(title).isNotNull()
+    lost = F.collect_list(F.when(absent, F.struct("_pos", title)))
     in_order = lambda c: F.transform(F.array_sort(c), lambda s: s[title])
     return marked.groupBy(row_key).agg(in_order(kept).alias("resolved"), in_order(lost).alias("dangling"))
 

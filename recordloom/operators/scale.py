@@ -79,19 +79,20 @@ def number_rows(df: DataFrame, key: str, name: str = "row_no", bins: int = 8_192
     numbers its own rows and adds the count of all rows before it. The counts are one row
     per stretch, bounded by ``bins * (1 + 2 ** fine / 8)``, hence broadcast.
     """
-    lo, hi, n = df.agg(F.min(key), F.max(key), F.count(key)).first()
-    if not n:
-        return df.withColumn(name, F.lit(None).cast("long"))
+    lo, hi, n = df.agg(F.min(key), F.max(key), F.count("*")).first()
+    if lo is None:
+        lo, hi = 0, 0
     shift = 0
     while (hi >> shift) - (lo >> shift) >= bins:
         shift += 1
     fine = min(fine, shift)
-    wide = F.shiftright(F.col(key).cast("long"), shift)
+    # rows without a key come first, in a stretch of their own
+    wide = F.coalesce(F.shiftright(F.col(key).cast("long"), shift), F.lit((lo >> shift) - 1))
     counts = df.groupBy(wide.alias("_bin")).agg(F.count("*").alias("_rows"))
     crowded = F.broadcast(counts.filter(F.col("_rows") > 8 * n / bins).select("_bin", F.lit(True).alias("_crowded")))
     low_bits = F.shiftright(F.col(key).cast("long"), shift - fine).bitwiseAND(F.lit((1 << fine) - 1))
     cut = df.withColumn("_bin", wide).join(crowded, "_bin", "left")
-    cut = cut.withColumn("_sub", F.when(F.col("_crowded"), low_bits).otherwise(F.lit(0).cast("long"))).drop("_crowded")
+    cut = cut.withColumn("_sub", F.coalesce(F.when(F.col("_crowded"), low_bits), F.lit(0).cast("long"))).drop("_crowded")
     before = Window.orderBy("_bin", "_sub").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         cut.groupBy("_bin", "_sub")

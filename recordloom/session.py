@@ -34,7 +34,7 @@ def work_dir(spark: SparkSession, name: str) -> str:
     Only a local session may fall back to a folder of this machine; on a cluster
     executors could not read each other's files there, so that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")

@@ -300,8 +300,8 @@ def test_pending_ignores_missing_keys(spark):
 def test_dangling_reference(spark):
     rows = spark.createDataFrame([(1, ["P1", "P none", "P2"]), (2, [])], "id int, titles array<string>")
     known = spark.createDataFrame([("P1",), ("P2",), ("P2",)], "t string")
-    got = R.check_references(rows, "id", "titles", known, "t").first()
-    assert (got.resolved, got.dangling) == (["P1", "P2"], ["P none"])
+    got = {r.id: (r.resolved, r.dangling) for r in R.check_references(rows, "id", "titles", known, "t").collect()}
+    assert got == {1: (["P1", "P2"], ["P none"]), 2: ([], [])}
 
 
 def test_flat_session_json_drops_absent_fields(spark):
@@ -318,6 +318,22 @@ def test_validation_rules(spark):
     assert Q.validate(rows, Q.flat_session_rules()).first().errors == ["end"]
 
 
+def test_upload_batches_keep_rows_without_a_key(spark):
+    df = spark.createDataFrame([(i if i % 5 else None,) for i in range(25)], "id long")
+    got = Q.upload_batches(df, "id", size=4).groupBy("batch").count().orderBy("batch").collect()
+    assert [(r.batch, r["count"]) for r in got] == [(i, 4) for i in range(6)] + [(6, 1)]
+    assert Q.upload_batches(df.limit(0), "id").count() == 0
+    assert Q.upload_batches(df.filter("id is null"), "id").count() == 5
+
+
+def test_envelopes_hold_one_venue_and_at_most_the_limit(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"t{i}", "A" if i % 3 else "B") for i in range(30)], "id long, title string, v string")
+    sinks.write_envelopes(df, str(tmp_path / "e"), "sessions", "id", F.col("v"), F.lit(2026), size=7)
+    docs = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "e")).collect()]
+    assert all(len(d["sessions"]) <= 7 and len({s["v"] for s in d["sessions"]}) == 1 for d in docs)
+    assert sorted(s["id"] for d in docs for s in d["sessions"]) == list(range(30))
+
+
 def test_per_unit_names(spark):
     assert value(spark, sinks.safe_name(F.lit('a<b>:"/\\|?*c'))) == "a_b" + "_" * 8 + "c"
 
