@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -89,10 +89,7 @@ def vectorise(df: DataFrame, text: str, out: str = "vector", vectoriser: Callabl
 
 
 def build_index(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(key, vector, norm) scaled to length one; rows without a usable vector are left out.
-
-    Write it once (for instance partitioned by a label) and search it many times.
-    """
+    """(key, vector, norm) scaled to length one; rows without a usable vector are left out."""
     norm = F.sqrt(
         F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
     )
@@ -101,6 +98,12 @@ def build_index(df: DataFrame, key: str, vector: str) -> DataFrame:
     return indexed.select(key, scaled.alias(vector), "norm")
 
 
+def write_index(index: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write an index once, to be searched many times, and return it as read back."""
+    index.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    return index.sparkSession.read.parquet(path)
+
+
 def _unit_rows(matrix: np.ndarray) -> np.ndarray:
     """Rows scaled to length one; a zero row stays zero."""
     lengths = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))

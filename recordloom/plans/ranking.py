@@ -8,6 +8,7 @@ from recordloom.functions import lists as L
 from recordloom.functions import scores as S
 from recordloom.operators import match as M
 from recordloom.plans.registry import query, table
+from recordloom.session import work_dir
 
 
 def _units(spark, sf):
@@ -60,7 +61,8 @@ def unit_counts(spark, sf):
          1.0 AS length FROM embeddings""",
 )
 def vector_index(spark, sf):
-    index = M.build_index(table(spark, sf, "embeddings"), "vec_id", "embedding")
+    built = M.build_index(table(spark, sf, "embeddings"), "vec_id", "embedding")
+    index = M.write_index(built, work_dir(spark, "index"))
     length = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
     return index.select(
         "vec_id",

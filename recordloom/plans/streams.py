@@ -54,7 +54,19 @@ def seen_ids(spark, sf):
 def new_ids(spark, sf):
     """Ids through a streaming de-duplication, written as they first appear."""
     out = work_dir(spark, "new")
-    stream = I.new_ids(I.read_stream(spark, f"{sf}/events.parquet"), "user_id").select("user_id")
+    stream = I.new_ids(I.read_stream(spark, f"{sf}/events.parquet"), "user_id", ["event_id"]).select("user_id")
     writer = stream.writeStream.format("parquet").option("path", f"{out}/ids").option("checkpointLocation", f"{out}/checkpoint")
     writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/ids")
+
+
+@query("new_ids_within", "SELECT DISTINCT user_id FROM events")
+def new_ids_within(spark, sf):
+    """The same with bounded state; the delay covers the whole span of the events."""
+    out = work_dir(spark, "within")
+    # event times without a zone are read as UTC instants, which watermarks need
+    stream = I.read_stream(spark, f"{sf}/events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
+    once = I.new_ids_within(stream, "user_id", ["event_id"], "at", "60 days").select("user_id")
+    writer = once.writeStream.format("parquet").option("path", f"{out}/ids").option("checkpointLocation", f"{out}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/ids")

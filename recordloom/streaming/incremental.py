@@ -113,11 +113,20 @@ def tracked_ids(spark: SparkSession, out: str, key: str) -> DataFrame:
     return last_per_key(_log(spark, out), [key], ["batch"]).drop("batch")
 
 
-def new_ids(stream: DataFrame, key: str) -> DataFrame:
-    """A stream with each id once, any one of its rows. For use inside a longer streaming plan."""
-    return stream.dropDuplicates([key])
+def new_ids(stream: DataFrame, key: str, row_id: Sequence[str], salts: int = 64) -> DataFrame:
+    """A stream with each id once, any one of its rows. For use inside a longer streaming plan.
+
+    Two rounds: the first keeps one row per id and salt, so the copies of a hot id are
+    dropped by many tasks; the second sees at most ``salts`` rows of any id, ever.
+    """
+    salted = stream.withColumn("_salt", F.pmod(F.xxhash64(*row_id), F.lit(salts)))
+    return salted.dropDuplicates([key, "_salt"]).drop("_salt").dropDuplicates([key])
 
 
-def new_ids_within(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
+def new_ids_within(
+    stream: DataFrame, key: str, row_id: Sequence[str], time: str, delay: str, salts: int = 64
+) -> DataFrame:
     """Like ``new_ids`` with bounded state: copies are dropped while within ``delay``."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+    salted = stream.withColumn("_salt", F.pmod(F.xxhash64(*row_id), F.lit(salts))).withWatermark(time, delay)
+    once = salted.dropDuplicatesWithinWatermark([key, "_salt"]).drop("_salt")
+    return once.dropDuplicatesWithinWatermark([key])

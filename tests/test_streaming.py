@@ -44,3 +44,13 @@ def test_seen_ids_over_loads(spark, tmp_path):
         I.track_ids(I.read_stream(spark, src, 1), "id", "v", out, chk).awaitTermination()
     got = {(r.id, r.first_seen, r.sightings) for r in I.tracked_ids(spark, out, "id").collect()}
     assert got == {("a", 1, 3), ("b", 2, 1), ("c", 4, 1)}
+
+
+def test_new_ids_over_loads(spark, tmp_path):
+    src, out, chk = (str(tmp_path / n) for n in ("src", "out", "chk"))
+    for part in ([("a", i) for i in range(50)] + [("b", 2)], [("a", 1), ("c", 3)], [("c", 9), ("b", 4)]):
+        _files(spark, src, [part])
+        once = I.new_ids(I.read_stream(spark, src, 1), "id", ["v"], salts=4)
+        writer = once.writeStream.format("parquet").option("path", out).option("checkpointLocation", chk)
+        writer.trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
