@@ -8,7 +8,7 @@ function for), on which everything else is DataFrame work.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -304,11 +304,16 @@ class _Outline(HTMLParser):
         return self.nodes
 
 
-def extract_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+def extract_nodes(
+    pages: DataFrame, key: str = "page_id", html: str = "html", tags: Sequence[str] | None = None
+) -> DataFrame:
     """One row per element: place, end of its subtree, depth, tag, classes, attributes, text.
 
-    ``end_pos`` is the place of the last element below it, so "inside" is a range test.
+    ``end_pos`` is the place of the last element below it, so "inside" is a range test. Outer
+    elements repeat the text of inner ones; name the ``tags`` wanted to leave the others
+    inside the task (places count all elements all the same).
     """
+    wanted = None if tags is None else frozenset(tags)
 
     arrow_schema = pa.schema(
         [
@@ -338,6 +343,8 @@ def extract_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") ->
             ids, nodes = [], []
             for page_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = _Outline().outline(text or "")
+                if wanted is not None:
+                    found = [n for n in found if n["tag"] in wanted]
                 ids.extend([page_id] * len(found))
                 nodes.extend(found)
                 if len(nodes) > NODES_PER_BATCH:

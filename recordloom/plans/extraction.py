@@ -37,9 +37,8 @@ NODE_TAGS = ["a", "li", "h1", "article", "nav", "p", "b", "br", "title", "script
     + r"""']) AS tag) WHERE regexp_matches(html, '<' || tag || '[ >]')""",
 )
 def html_nodes(spark, sf):
-    nodes = E.extract_nodes(table(spark, sf, "pages", spread="page_id"))
-    counted = nodes.filter(F.col("tag").isin(NODE_TAGS))
-    return counted.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+    nodes = E.extract_nodes(table(spark, sf, "pages", spread="page_id"), tags=NODE_TAGS)
+    return nodes.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -50,7 +49,7 @@ def html_nodes(spark, sf):
     + LINKS.format("html"),
 )
 def node_texts(spark, sf):
-    links = E.extract_nodes(table(spark, sf, "pages", spread="page_id")).filter("tag = 'a'")
+    links = E.extract_nodes(table(spark, sf, "pages", spread="page_id"), tags=["a"])
     k = F.row_number().over(Window.partitionBy("page_id").orderBy("pos")) - 1
     return links.select("page_id", k.cast("long").alias("k"), X.strip("text").alias("text"), "href")
 

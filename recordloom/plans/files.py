@@ -82,7 +82,7 @@ def csv_source(spark, sf):
     r"""WITH l AS (SELECT conv_id, turn, role, list_filter([regexp_replace(x, '^\s+|\s+$', '', 'g') for x in string_split(text, chr(10))], lambda y: y <> '') AS l
                    FROM conversations)
         SELECT 'Talk ' || conv_id || '-' || turn AS title, CASE WHEN turn % 2 = 0 THEN role END AS authors, 'Venue ' || role AS venue,
-          CASE WHEN turn = 1 THEN 0.0 ELSE turn * 0.25 END AS affinity_score, CAST(NULL AS VARCHAR) AS link, CAST(NULL AS VARCHAR) AS keywords,
+          CAST(CASE WHEN turn = 1 THEN 0.0 ELSE turn * 0.25 END AS DOUBLE) AS affinity_score, CAST(NULL AS VARCHAR) AS link, CAST(NULL AS VARCHAR) AS keywords,
           nullif(array_to_string(l, chr(10)), '') AS bibtex FROM l WHERE role <> 'system'""",
 )
 def text_records_source(spark, sf):

@@ -28,7 +28,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_i
 """
 
 
-@query("vector_search", UNITS + "SELECT label, vec_id, score, rank FROM r WHERE rank <= 150")
+@query("vector_search", UNITS + "SELECT CAST(label AS BIGINT) AS label, vec_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 150")
 def vector_search(spark, sf):
     return M.search(table(spark, sf, "embeddings"), _units(spark, sf), "vec_id", "label", "embedding")
 
@@ -36,20 +36,20 @@ def vector_search(spark, sf):
 @query(
     "best_unit",
     UNITS
-    + """SELECT vec_id, label, score FROM (
+    + """SELECT vec_id, CAST(label AS BIGINT) AS label, score FROM (
            SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS b FROM s) WHERE b = 1""",
 )
 def best_unit(spark, sf):
     return M.best_unit(table(spark, sf, "embeddings"), _units(spark, sf), "vec_id", "label", "embedding")
 
 
-@query("rank_per_unit", UNITS + "SELECT label, vec_id, score, rank FROM r WHERE rank <= 50")
+@query("rank_per_unit", UNITS + "SELECT CAST(label AS BIGINT) AS label, vec_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 50")
 def rank_per_unit(spark, sf):
     hits = M.search(table(spark, sf, "embeddings"), _units(spark, sf), "vec_id", "label", "embedding").drop("rank")
     return M.rank_per_unit(hits, "label", "score", "vec_id", M.FINAL_K)
 
 
-@query("unit_counts", UNITS + "SELECT label, count(*) AS n FROM r WHERE rank <= 50 GROUP BY 1")
+@query("unit_counts", UNITS + "SELECT CAST(label AS BIGINT) AS label, count(*) AS n FROM r WHERE rank <= 50 GROUP BY 1")
 def unit_counts(spark, sf):
     return M.unit_counts(rank_per_unit(spark, sf), "label")
 
@@ -58,7 +58,7 @@ def unit_counts(spark, sf):
     "vector_index",
     """SELECT vec_id, round(sqrt(list_sum([CAST(x AS DOUBLE) * x for x in embedding])), 6) AS norm,
          round(embedding[1] / sqrt(list_sum([CAST(x AS DOUBLE) * x for x in embedding])), 6) AS first_value,
-         1.0 AS length FROM embeddings""",
+         CAST(1 AS DOUBLE) AS length FROM embeddings""",
 )
 def vector_index(spark, sf):
     built = M.build_index(table(spark, sf, "embeddings"), "vec_id", "embedding")
@@ -168,7 +168,7 @@ def _texts(spark, sf):
 @query(
     "match_cascade",
     MATCH
-    + """SELECT item_id, doc_id, rank, score, rerank_score, 'Shared terms: ' || words AS recommendation_reason
+    + """SELECT item_id, doc_id, CAST(rank AS INTEGER) AS rank, score, rerank_score, 'Shared terms: ' || words AS recommendation_reason
          FROM ranked WHERE rank <= 50""",
 )
 def match_cascade(spark, sf):
@@ -176,7 +176,7 @@ def match_cascade(spark, sf):
     return M.cascade(records, units, "doc_id", "item_id", "record_text", "unit_text")
 
 
-@query("text_search", MATCH + "SELECT item_id, doc_id, score, rank FROM hits")
+@query("text_search", MATCH + "SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM hits")
 def text_search(spark, sf):
     records, units = _texts(spark, sf)
     return M.search(
@@ -190,7 +190,7 @@ def _candidates(spark, sf):
     return M.with_contents(hits, records, units, "doc_id", "item_id", "record_text", "unit_text")
 
 
-@query("rerank", MATCH + "SELECT item_id, doc_id, score, rerank_score, rank FROM ranked WHERE rank <= 50")
+@query("rerank", MATCH + "SELECT item_id, doc_id, score, rerank_score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 50")
 def rerank(spark, sf):
     return M.rerank(_candidates(spark, sf), "doc_id", "item_id").drop("_record", "_unit")
 
