@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import functions as F
 
 from recordloom.functions.urls import KNOWN_COMPANIES, company_url
@@ -135,7 +137,7 @@ def _live_titles(spark, sf):
     live = docs.select(
         "session_id",
         F.when(F.col("lang") == "de", F.concat(F.lit("New: "), "text"))
-        .when(F.col("lang") == "fr", F.concat(F.lit("  "), F.upper("text"), F.lit("\n")))
+        .when(F.col("lang") == "fr", F.concat(F.lit("  "), F.translate("text", ascii_lowercase, ascii_uppercase), F.lit("\n")))
         .when(F.col("lang") == "es", F.lit(""))
         .otherwise(F.col("text"))
         .alias("title"),
@@ -146,7 +148,7 @@ def _live_titles(spark, sf):
 LIVE = """
 WITH live AS (
   SELECT doc_id, text, source, lang,
-    CASE lang WHEN 'de' THEN 'New: ' || text WHEN 'fr' THEN '  ' || upper(text) || chr(10) WHEN 'es' THEN ''
+    CASE lang WHEN 'de' THEN 'New: ' || text WHEN 'fr' THEN '  ' || translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || chr(10) WHEN 'es' THEN ''
     ELSE text END AS title FROM documents),
 cmp AS (
   SELECT doc_id, text, source, regexp_replace(lower(title), '^\\s+|\\s+$', '', 'g') AS l,
