@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions import lists as L
-from recordloom.functions import schedule as S
 from recordloom.functions.text import (
     collapse,
     first_value,
@@ -43,6 +42,11 @@ LABELS = {
     "nvidia_technology": "NVIDIA Technology",
 }
 BUTTON_TEXT = ["Add to Schedule", "Register"]
+# Page furniture that ends an abstract, and headings that are no titles.
+ORAL_ENDS = ["\nChat\n", "\nDirectory"]
+WORKSHOP_ENDS = ["\nLog in", "\nSchedule\n", "\nChat\n", "\nICLR uses"]
+MENU_HEADING = "Main Navigation"
+SITE_NAME = "ICLR"
 
 
 def extract_fields(pages: DataFrame, spec: Mapping[str, Column]) -> DataFrame:
@@ -112,7 +116,7 @@ def oral_fields(heading: Column, people: Column, text: Column, links: Column, ba
         "date": strip(F.regexp_extract(text, when, 1)),
         "start_time": strip(F.regexp_extract(text, when, 2)),
         "end_time": strip(F.regexp_extract(text, when, 3)),
-        "abstract": slice_after(text, "Abstract:", ["\nChat\n", "\nDirectory"]),
+        "abstract": slice_after(text, "Abstract:", ORAL_ENDS),
     }
 
 
@@ -133,7 +137,7 @@ def workshop_fields(heading: Column, people: Column, text: Column, links: Column
         "organizers": first_value(
             F.get(F.filter(people, lambda p: F.contains(p, F.lit("·"))), 0), strip(F.get(dotted, 0))
         ),
-        "abstract": slice_after(text, "Abstract\n", ["\nLog in", "\nSchedule\n", "\nChat\n", "\nICLR uses"]),
+        "abstract": slice_after(text, "Abstract\n", WORKSHOP_ENDS),
         "project_url": or_empty(project["href"]),
     }
 
@@ -395,10 +399,10 @@ def tag_texts(html: Column, tag: str) -> Column:
     return F.transform(found, plain_text)
 
 
-def oral_page(html: Column, base: str, skip: str = "ICLR") -> dict[str, Column]:
+def oral_page(html: Column, base: str, skip: str = SITE_NAME) -> dict[str, Column]:
     """All fields of a talk page. The title is the first h2 that is not site furniture."""
     title = F.filter(
-        tag_texts(html, "h2"), lambda t: (t != "") & (t != "Main Navigation") & ~F.contains(t, F.lit(skip))
+        tag_texts(html, "h2"), lambda t: (t != "") & (t != MENU_HEADING) & ~F.contains(t, F.lit(skip))
     )
     return oral_fields(or_empty(F.get(title, 0)), tag_texts(html, "h3"), page_text(html), anchors(html), base)
 

@@ -1,7 +1,6 @@
 """The physical plans are the ones meant."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from recordloom.operators import match as M
 from recordloom.plans import QUERIES
