@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from recordloom.llm.byte_bpe import RANKS, round_trip
 from recordloom.llm.exact_dedup import exact_groups
+from recordloom.llm.mixing import Mix
+from recordloom.llm.near_dedup import near_groups
 from recordloom.llm.shared import keep, read, small
+from recordloom.llm.toxicity import fit_toxicity, grade_toxicity
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -15,17 +19,40 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(small(keep(dropped.select("doc_id").distinct(), "dropped")), "doc_id", "left_anti").select(*docs.columns)
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the graded model rejects go; it is fitted on the labelled ones of ``docs``."""
+    model = fit_toxicity(docs, read(spark, sf_dir, "labels"))
+    return without(docs, grade_toxicity(docs, model).filter("toxic"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The longest writing of each text stays."""
     return without(docs, exact_groups(docs).filter("not kept"))
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
+    return without(docs, near_groups(docs).filter("not kept"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources in the proportion of their weights: a row per document and repeat, with the words taken."""
+    mixed = Mix(docs).texts(docs)
+    return mixed.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
+
+
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and the bytes they decode to, as digests."""
     return round_trip(docs, public_tokenizers.path(RANKS))
 
 
-STAGES = [("exact_dedup", exact_dedup), ("byte_bpe", tokenize)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mixing", mixing),
+    ("byte_bpe", tokenize),
+]
 
 #: Neither a trained model nor a tokenizer can be said in SQL.
 ORACLE_SQL = None
