@@ -1,6 +1,27 @@
 """Operators of a training-data pipeline over documents, pages and vectors."""
 
-from recordloom.llm import byte_bpe, exact_dedup, mixing, near_dedup, permutation_index, toxicity, url_filter
+from recordloom.llm import (
+    byte_bpe,
+    exact_dedup,
+    mixing,
+    near_dedup,
+    permutation_index,
+    token_counts,
+    toxicity,
+    unit_dedup,
+    url_filter,
+)
 from recordloom.llm.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "byte_bpe", "exact_dedup", "mixing", "near_dedup", "permutation_index", "toxicity", "url_filter"]
+__all__ = [
+    "ORACLES", "QUERIES",
+    "byte_bpe",
+    "exact_dedup",
+    "mixing",
+    "near_dedup",
+    "permutation_index",
+    "token_counts",
+    "toxicity",
+    "unit_dedup",
+    "url_filter",
+]
