@@ -3,6 +3,7 @@
 from recordloom.llm import (
     byte_bpe,
     exact_dedup,
+    language_id,
     mixing,
     near_dedup,
     permutation_index,
@@ -17,6 +18,7 @@ __all__ = [
     "ORACLES", "QUERIES",
     "byte_bpe",
     "exact_dedup",
+    "language_id",
     "mixing",
     "near_dedup",
     "permutation_index",
