@@ -24,17 +24,19 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     one aggregate row, and the join on it can be split, as one side has one row per node.
     """
     links = links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links, before = keep(links, name), None
-    while True:
-        state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
+    links = keep(links, name)
+    while not _are_stars(links):
         both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = both.join(_star(both), "a").filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        large = keep(large.distinct(), name)
         small = large.join(_star(large), "a")
-        down = small.filter("b != least").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        links = keep(down.unionAll(small.select("a", F.col("least").alias("b"))).filter("a != b").distinct(), name)
+        ends = F.explode(F.array("a", "b")).alias("a")
+        links = keep(small.select(ends, F.col("least").alias("b")).filter("a != b").distinct(), name)
     nodes = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.unionAll(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every node points to one node, and that one to none."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("n")).unionAll(links.select(F.col("b").alias("node"), F.lit(0).alias("n")))
+    per = ends.groupBy("node").agg(F.sum("n").alias("n"), F.min("n").alias("least"))
+    return per.filter("n > 1 or (n = 1 and least = 0)").isEmpty()

@@ -142,123 +142,120 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Forest:
-    """Union-find over 0..n-1; ``join`` says whether two were apart."""
+    """Union-find over the nodes that a task has linked; a node is (order, id), the root of a set its first."""
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
+    def __init__(self):
+        self.up: dict[tuple, tuple] = {}
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
+    def root(self, i: tuple) -> tuple:
+        while (above := self.up.get(i, i)) != i:
+            self.up[i] = self.up.get(above, above)
+            i = above
         return i
 
-    def join(self, i: int, j: int) -> bool:
+    def join(self, i: tuple, j: tuple) -> None:
         i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
+        if i != j:
+            self.up[max(i, j)] = min(i, j)
 
+    def stars(self) -> pa.RecordBatch:
+        """(a, b): every linked node and the root of its set."""
+        roots = [(i, self.root(i)) for i in self.up]
+        pairs = [(i[-1], r[-1]) for i, r in roots if i != r]
+        a, b = zip(*pairs) if pairs else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-def _by_group(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The groups of rows that are sorted by ``keys``; a group may reach over batches."""
-    held: list[pa.RecordBatch] = []
-    last = None
+
+def _whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by ``keys`` in tables of whole groups, with the bounds of the groups."""
+
+    def cut(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows - 1, bool)
+        for key in keys:
+            c = table.column(key).to_numpy()
+            new |= c[1:] != c[:-1]
+        return np.concatenate([[0], np.flatnonzero(new) + 1, [table.num_rows]])
+
+    held: pa.Table | None = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        new = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            new[1:] |= c[1:] != c[:-1]
-        new[0] = last is not None and any(c[0] != v for c, v in zip(columns, last))
-        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
-        last = [c[-1] for c in columns]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if new[a] and held:
-                yield pa.Table.from_batches(held)
-                held = []
-            if b > a:
-                held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, POSITIONS)
+        if batch.num_rows:
+            table = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, table]).combine_chunks() if held is not None else table
+            bounds = cut(held)
+            if len(bounds) > 2:  # the last group may go on in the next batch
+                yield held.slice(0, bounds[-2]), bounds[:-1]
+                held = held.slice(bounds[-2])
+    if held is not None:
+        yield held, cut(held)
 
 
 def _close_pairs(left: np.ndarray, right: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of two signature matrices that differ in at most ``most`` positions, closest first."""
-    far = np.zeros((len(left), len(right)), np.uint8)
-    for p in range(POSITIONS):
-        far += left[:, p, None] != right[None, :, p]
+    if len(left) * len(right) <= 256:
+        far = (left[:, None] != right[None]).sum(2)
+    else:
+        far = np.zeros((len(left), len(right)), np.uint8)
+        for p in range(POSITIONS):
+            far += left[:, p, None] != right[None, :, p]
     i, j = np.nonzero(far <= most)
     order = np.argsort(far[i, j], kind="stable")
     return i[order], j[order]
 
 
-def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*found) if found else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-def _forest_of(table: pa.Table, most: int, confirm: Callable | None) -> list[tuple[int, int]]:
-    """Links of one group's spanning forest. ``side`` 0 meets 1; 2 meets its like as well."""
-    node, first = np.unique(table.column("class").to_numpy(), return_index=True)
-    side = table.column("side").to_numpy()[first]
-    group = table.column("root").to_numpy()[first] if "root" in table.column_names else None
-    marks = _matrix(table.column("signature"))[first]
-    forest = Forest(len(node))
-    if group is not None:  # what is linked already needs no more links
-        for same in _same(group):
-            for x in same[1:]:
-                forest.join(int(same[0]), int(x))
-    sets = confirm(table, first) if confirm else None
-    out = []
+def _link_group(
+    nodes: list[tuple], side: np.ndarray, marks: np.ndarray, most: int, linked: Callable | None, forest: Forest
+) -> None:
+    """Join in ``forest`` what is close in one group. ``side`` 0 meets 1; 2 meets its like as well."""
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     for at in range(0, len(left), BLOCK):
         part = left[at : at + BLOCK]
-        for i, j in zip(*_close_pairs(marks[part], marks[right], most)):
-            x, y = int(part[i]), int(right[j])
-            if x != y and forest.root(x) != forest.root(y) and (sets is None or sets(x, y)):
-                forest.join(x, y)
-                out.append((int(node[x]), int(node[y])))
-    return out
-
+        i, j = _close_pairs(marks[part], marks[right], most)
+        x, y = part[i], right[j]
+        while len(x):
+            numbers: dict[tuple, int] = {}
+            sets = np.array([numbers.setdefault(forest.root(n), len(numbers)) for n in nodes])
+            apart = sets[x] != sets[y]
+            x, y = x[apart], y[apart]
+            now = max(1_000, len(x) // 20)  # the closest first, which often link the others too
+            for p, q in zip(x[:now].tolist(), y[:now].tolist()):
+                if forest.root(nodes[p]) != forest.root(nodes[q]) and (linked is None or linked(p, q)):
+                    forest.join(nodes[p], nodes[q])
+            x, y = x[now:], y[now:]
+
+
+def _in_groups(rows: DataFrame, keys: list[str], most: int, percent: int | None, hubs: bool = False) -> DataFrame:
+    """Links (a, b) found in the groups of ``rows``: spanning stars of each task, not all pairs.
+
+    They are confirmed on full sets if ``percent`` is given. With ``hubs`` a row of side 0 or 2
+    is the root of a star that has one.
+    """
 
-def _same(values: np.ndarray) -> list[np.ndarray]:
-    order = np.argsort(values, kind="stable")
-    cuts = np.flatnonzero(np.diff(values[order])) + 1
-    return [x for x in np.split(order, cuts) if len(x) > 1]
+    def similar(shingles: pa.ChunkedArray) -> Callable:
+        sets = [np.frombuffer(x, np.uint64) for x in shingles.to_pylist()]
 
+        def linked(i, j):
+            a, b = sets[i], sets[j]
+            if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+                return False
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            return 100 * both >= percent * (len(a) + len(b) - both)
 
-def _in_groups(rows: DataFrame, keys: list[str], most: int, percent: int | None) -> DataFrame:
-    """Links (a, b) found in the groups of ``rows``; confirmed on full sets if ``percent`` is given."""
+        return linked
 
     def work(batches):
-        confirm = None
-        if percent is not None:
-
-            def confirm(table, first):
-                sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").take(first).to_pylist()]
-
-                def linked(i, j):
-                    a, b = sets[i], sets[j]
-                    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-                        return False
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    return 100 * both >= percent * (len(a) + len(b) - both)
-
-                return linked
-
-        out: list[tuple[int, int]] = []
-        for table in _by_group(batches, keys):
-            if table.num_rows > 1:
-                out += _forest_of(table, most, confirm)
-            if len(out) > 10_000:
-                yield _links(out)
-                out = []
-        yield _links(out)
+        forest = Forest()
+        for table, bounds in _whole_groups(batches, keys):
+            side = table.column("side").to_numpy()
+            nodes = [(int(hubs and s == 1), c) for s, c in zip(side.tolist(), table.column("class").to_pylist())]
+            marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, POSITIONS)
+            if "root" in table.column_names:  # what is linked already needs no more links
+                for node, root in zip(nodes, table.column("root").to_pylist()):
+                    forest.join(node, (0, root))
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                if len({forest.root(x) for x in nodes[a:b]}) > 1:
+                    linked = None if percent is None else similar(table.column("shingles").slice(a, b - a))
+                    _link_group(nodes[a:b], side[a:b], marks[a:b], most, linked, forest)
+        yield forest.stars()
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, "a long, b long")
 
@@ -340,14 +337,17 @@ def _confirmed(docs: DataFrame, classes: DataFrame, groups: DataFrame, most: int
     everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
     hubs = rows.withColumn("own", own).withColumn("j", F.explode(F.when(F.col("own") == 0, everywhere).otherwise(F.array("own"))))
     side = F.when(F.col("own") != 0, 1).when(F.col("j") == 0, 2).otherwise(0)
-    first = _in_groups(hubs.withColumn("side", side), ["group", "j"], most, percent)
+    first = _in_groups(hubs.withColumn("side", side), ["group", "j"], most, percent, hubs=True)
     first = keep(first, "near-hub-links")
     rest = rows.filter("blocks > 1")
     if rest.isEmpty():
         return first
 
-    linked = components(first, "near-linked").withColumnRenamed("root", "linked")
-    rest = rest.join(linked, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("linked", "class"))
+    # what is surely linked: the root in the own block's task, which is a hub where there is one, and its root
+    roots = keep(first.groupBy("a").agg(F.min("b").alias("root")), "near-roots")
+    one, two = (roots.select(F.col("a").alias(f"a{i}"), F.col("root").alias(f"root{i}")) for i in (1, 2))
+    rest = rest.join(one, F.col("class") == F.col("a1"), "left").join(two, F.col("root1") == F.col("a2"), "left")
+    rest = rest.withColumn("root", F.coalesce("root2", "root1", "class"))
     rest = keep(rest.select("class", "group", "signature", "shingles", "root"), "near-rest")
     sizes = rest.groupBy("group", "root").agg(F.count("*").alias("n"))
     # large linked parts have blocks of their own; all else of a group is dealt together
