@@ -40,7 +40,8 @@ def choose_pivots(vectors: DataFrame, pivots: int = PIVOTS) -> np.ndarray:
     first = first.orderBy(F.xxhash64("vec_id", F.lit("pivot")), "vec_id").limit(pivots)
     rows = sorted(first.collect(), key=lambda r: r["vec_id"])
     width = max((len(r["vector"]) for r in rows), default=0)
-    return np.array([r["vector"] for r in rows if len(r["vector"]) == width], float).reshape(-1, width)
+    alike = [r["vector"] for r in rows if len(r["vector"]) == width]
+    return np.array(alike, float).reshape(len(alike), width)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
