@@ -6,6 +6,8 @@ import json
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,9 +123,9 @@ def _tidy(c: Column) -> Column:
     return collapse(F.replace(F.regexp_replace(c, r"(?U)\bx000D\b", ""), F.lit("\r"), F.lit("")))
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+@F.arrow_udf(T.StringType())
+def _nfkc(s: pa.Array) -> pa.Array:
+    return pc.utf8_normalize(s, form="NFKC")
 
 
 def _nfkc_value(value):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from recordloom.functions.text import or_empty
 from recordloom.operators.scale import first_per_key
 
-# No list cell holds more than this many entries: longer ones continue in the next part.
+# No cell of the ``_parts`` functions holds more than this many entries: longer ones continue in the next part.
 PART_SIZE = 10_000
 
 
@@ -97,18 +97,26 @@ def invert_membership(
     return distinct_lists(pairs, key, theme, [theme_order], out)
 
 
-def text_per_unit(
+def _lines_in_order(position: str, category: str, text: str):
+    line = F.concat(F.lit("["), F.trim(F.col(category)), F.lit("] "), F.col(text))
+    listed = F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), line.alias("l"))))
+    return F.array_join(F.transform(listed, lambda s: s["l"]), "\n").alias("unit_text")
+
+
+def text_per_unit(df: DataFrame, unit: str, position: str, category: str, text: str) -> DataFrame:
+    """'[category] text' lines per unit in order, joined by newlines: one row per unit.
+
+    For units whose text fits in a cell, as statements of interest do.
+    """
+    return df.groupBy(unit).agg(_lines_in_order(position, category, text))
+
+
+def text_parts(
     df: DataFrame, unit: str, position: str, category: str, text: str, part_size: int = PART_SIZE
 ) -> DataFrame:
-    """'[category] text' lines per unit in order, joined by newlines.
+    """Like ``text_per_unit`` for units of any length, in rows (unit, part, unit_text).
 
-    A unit with more than ``part_size`` positions continues in the next ``part``; the parts
-    joined by newlines are the whole text.
+    A part covers ``part_size`` positions; the parts joined by newlines are the whole text.
     """
-    line = F.concat(F.lit("["), F.trim(F.col(category)), F.lit("] "), F.col(text))
-    listed = F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), line.alias("l"))))
-    return (
-        df.withColumn("part", F.floor(F.col(position) / part_size))
-        .groupBy(unit, "part")
-        .agg(F.array_join(F.transform(listed, lambda s: s["l"]), "\n").alias("unit_text"))
-    )
+    parted = df.withColumn("part", F.floor(F.col(position) / part_size))
+    return parted.groupBy(unit, "part").agg(_lines_in_order(position, category, text))

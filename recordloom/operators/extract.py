@@ -318,10 +318,12 @@ def extract_nodes(
     inside the task (places count all elements all the same).
     """
     wanted = None if tags is None else frozenset(tags)
+    numbers = dict(pages.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
+    id_type = pa.int64() if numbers else pa.string()
 
     arrow_schema = pa.schema(
         [
-            ("page_id", pa.int64()),
+            ("page_id", id_type),
             ("pos", pa.int32()),
             ("end_pos", pa.int32()),
             ("depth", pa.int32()),
@@ -334,7 +336,7 @@ def extract_nodes(
     )
 
     def batch_of(ids: list, nodes: list[dict]) -> pa.RecordBatch:
-        columns = [pa.array(ids, pa.int64())]
+        columns = [pa.array(ids, id_type)]
         for field in list(arrow_schema)[1:]:
             values = [n[field.name] for n in nodes]
             if field.name == "attrs":
@@ -357,8 +359,9 @@ def extract_nodes(
             if nodes:
                 yield batch_of(ids, nodes)
 
-    return pages.select(F.col(key).cast("long").alias("page_id"), F.col(html).alias("html")).mapInArrow(
-        parse, NODE_SCHEMA
+    spark_type = "long" if numbers else "string"
+    return pages.select(F.col(key).cast(spark_type).alias("page_id"), F.col(html).alias("html")).mapInArrow(
+        parse, NODE_SCHEMA.replace("page_id long", f"page_id {spark_type}")
     )
 
 

@@ -112,7 +112,7 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
 
 def _vectors(ids, column) -> tuple[np.ndarray, np.ndarray]:
     """(ids, float64 matrix) of an id and a list column, rows without a vector left out."""
-    if isinstance(column, pa.ChunkedArray):
+    if isinstance(ids, pa.ChunkedArray):
         ids, column = ids.combine_chunks(), column.combine_chunks()
     lengths = pc.fill_null(pc.list_value_length(column), 0)
     usable = pc.greater(lengths, 0)
@@ -121,7 +121,26 @@ def _vectors(ids, column) -> tuple[np.ndarray, np.ndarray]:
     if not len(column):
         return np.empty(0, np.int64), np.empty((0, 0))
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return ids.to_numpy(zero_copy_only=False), flat.reshape(len(column), -1)
+    return _ids(ids), flat.reshape(len(column), -1)
+
+
+def _ids(column: pa.Array) -> np.ndarray:
+    """Ids as an array that sorts like Spark does: whole numbers, or text by code point."""
+    text = pa.types.is_string(column.type) or pa.types.is_large_string(column.type)
+    return np.array(column.to_pylist(), dtype=str) if text else column.to_numpy(zero_copy_only=False)
+
+
+def _id_type(df: DataFrame, column: str) -> str:
+    """Whole-number ids are compared as such, all others as text."""
+    return "long" if dict(df.dtypes)[column] in ("tinyint", "smallint", "int", "bigint") else "string"
+
+
+_ARROW = {"long": pa.int64(), "string": pa.string()}
+
+
+def _found_batch(columns: Sequence[np.ndarray], unit_type: str, key_type: str) -> list[pa.Array]:
+    types = [_ARROW[unit_type], _ARROW[key_type], pa.float64()]
+    return [pa.array(c.tolist(), t) for c, t in zip(columns, types)]
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -163,7 +182,7 @@ class _Heads:
 
 def _small_units(units: DataFrame, unit: str, vector: str, max_units: int):
     """(ids, matrix) of the units when there are at most ``max_units`` of them, else None."""
-    rows = units.select(F.col(unit).cast("long"), vector).limit(max_units + 1).toArrow()
+    rows = units.select(unit, vector).limit(max_units + 1).toArrow()
     if rows.num_rows > max_units:
         return None
     ids, matrix = _vectors(rows.column(0), rows.column(1))
@@ -182,28 +201,30 @@ def search(
 ) -> DataFrame:
     """(unit, key, score, rank): the k most similar records per unit by cosine, ties by key.
 
-    Ids are whole numbers. Rows without a vector cannot be scored and take no part.
+    Ids are whole numbers or text. Rows without a vector cannot be scored and take no part.
     """
     # vectors are not tested in a filter: Spark would run a vectoriser once more for it
-    with_vector = records.select(F.col(key).cast("long").alias("_key"), vector)
-    wanted = units.select(F.col(unit).cast("long").alias("_unit"), vector)
+    key_type, unit_type = _id_type(records, key), _id_type(units, unit)
+    with_vector = records.select(F.col(key).cast(key_type).alias("_key"), vector)
+    wanted = units.select(F.col(unit).cast(unit_type).alias("_unit"), vector)
     small = _small_units(wanted, "_unit", vector, max_units)
     if small is None:
-        found = _search_blocks(with_vector, wanted, vector, k, max_units)
+        found = _search_blocks(with_vector, wanted, vector, k, max_units, unit_type, key_type)
     else:
-        found = _search_small(with_vector, small, vector, k)
+        found = _search_small(with_vector, small, vector, k, unit_type, key_type)
     ranked = top_k(found, ["_unit"], [F.desc("score"), F.col("_key")], k, ["_key"])
     return ranked.select(F.col("_unit").alias(unit), F.col("_key").alias(key), "score", "rank")
 
 
-_FOUND = "_unit long, _key long, score double"
+def _found(unit_type: str, key_type: str) -> str:
+    return f"_unit {unit_type}, _key {key_type}, score double"
 
 
-def _search_small(records: DataFrame, small, vector: str, k: int) -> DataFrame:
+def _search_small(records: DataFrame, small, vector: str, k: int, unit_type: str, key_type: str) -> DataFrame:
     """Every task scores its records against all units and passes on its k best per unit."""
     unit_ids, matrix = small
     if not len(unit_ids):
-        return records.sparkSession.createDataFrame([], _FOUND)
+        return records.sparkSession.createDataFrame([], _found(unit_type, key_type))
     shared = records.sparkSession.sparkContext.broadcast((unit_ids, matrix))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,12 +235,14 @@ def _search_small(records: DataFrame, small, vector: str, k: int) -> DataFrame:
                 heads.add(ids, vectors)
         columns = heads.columns()
         if len(columns[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["_unit", "_key", "score"])
+            yield pa.RecordBatch.from_arrays(_found_batch(columns, unit_type, key_type), ["_unit", "_key", "score"])
 
-    return records.mapInArrow(score, _FOUND)
+    return records.mapInArrow(score, _found(unit_type, key_type))
 
 
-def _search_blocks(records: DataFrame, units: DataFrame, vector: str, k: int, max_units: int) -> DataFrame:
+def _search_blocks(
+    records: DataFrame, units: DataFrame, vector: str, k: int, max_units: int, unit_type: str, key_type: str
+) -> DataFrame:
     """Many units: blocks of units meet slices of records by (block, slice).
 
     Both sides of a meeting are bounded: about ``max_units`` units and ``SLICE_ROWS`` records.
@@ -242,46 +265,54 @@ def _search_blocks(records: DataFrame, units: DataFrame, vector: str, k: int, ma
             columns = heads.columns()
         else:
             columns = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        return pa.table(dict(zip(["_unit", "_key", "score"], [pa.array(c) for c in columns])))
+        return pa.table(dict(zip(["_unit", "_key", "score"], _found_batch(columns, unit_type, key_type))))
 
     meet = left.groupBy("_block", "_slice").cogroup(right.groupBy("_block", "_slice"))
-    return meet.applyInArrow(score, _FOUND)
+    return meet.applyInArrow(score, _found(unit_type, key_type))
 
 
 def best_unit(
     records: DataFrame, units: DataFrame, key: str, unit: str, vector: str, max_units: int = MAX_UNITS
 ) -> DataFrame:
-    """(key, unit, score): the unit every record fits best, ties by unit. One row per record."""
+    """(key, unit, score): the unit every record fits best, ties by unit. One row per record.
+
+    A record without a vector, or without units to fit, has a null unit and score.
+    """
     # vectors are not tested in a filter: Spark would run a vectoriser once more for it
-    with_vector = records.select(F.col(key).cast("long").alias("_key"), vector)
-    wanted = units.select(F.col(unit).cast("long").alias("_unit"), vector)
+    key_type, unit_type = _id_type(records, key), _id_type(units, unit)
+    with_vector = records.select(F.col(key).cast(key_type).alias("_key"), vector)
+    wanted = units.select(F.col(unit).cast(unit_type).alias("_unit"), vector)
     small = _small_units(wanted, "_unit", vector, max_units)
     if small is None:
         # seen from the other side: the records are what is searched for, one hit each
         swapped = _search_blocks(
-            wanted.withColumnRenamed("_unit", "_key"), with_vector.withColumnRenamed("_key", "_unit"), vector, 1, max_units
+            wanted.withColumnRenamed("_unit", "_key"), with_vector.withColumnRenamed("_key", "_unit"), vector, 1, max_units,
+            key_type, unit_type,
         )
-        best = swapped.groupBy("_unit").agg(F.max_by("_key", F.struct("score", -F.col("_key"))).alias("u"), F.max("score").alias("score"))
-        return best.select(F.col("_unit").alias(key), F.col("u").alias(unit), "score")
-    if not len(small[0]):
-        empty = records.sparkSession.createDataFrame([], _FOUND)
-        return empty.select(F.col("_key").alias(key), F.col("_unit").alias(unit), "score")
+        best = swapped.groupBy("_unit").agg(F.min_by("_key", F.struct(-F.col("score"), "_key")).alias("u"), F.max("score").alias("score"))
+        best = with_vector.select("_key").join(best, F.col("_key") == F.col("_unit"), "left")
+        return best.select(F.col("_key").alias(key), F.col("u").alias(unit), "score")
     shared = records.sparkSession.sparkContext.broadcast(small)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit_ids, matrix = shared.value
         scaled = _unit_rows(matrix).T
         for batch in batches:
-            ids, vectors = _vectors(batch.column(0), batch.column(1))
+            usable = pc.greater(pc.fill_null(pc.list_value_length(batch.column(1)), 0), int(not len(unit_ids)) * 2**30)
+            without = batch.column(0).filter(pc.invert(usable)).to_pylist()
+            units, keys, best_scores = [None] * len(without), without, [None] * len(without)
+            ids, vectors = _vectors(batch.column(0).filter(usable), batch.column(1).filter(usable))
             if len(ids):
                 scores = np.round(_unit_rows(vectors) @ scaled, DIGITS)
                 best = scores.argmax(axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(unit_ids[best]), pa.array(ids), pa.array(scores[np.arange(len(best)), best])],
-                    ["_unit", "_key", "score"],
-                )
-
-    found = with_vector.mapInArrow(score, _FOUND)
+                units += unit_ids[best].tolist()
+                keys += ids.tolist()
+                best_scores += scores[np.arange(len(best)), best].tolist()
+            types = [_ARROW[unit_type], _ARROW[key_type], pa.float64()]
+            columns = [pa.array(c, t) for c, t in zip((units, keys, best_scores), types)]
+            yield pa.RecordBatch.from_arrays(columns, ["_unit", "_key", "score"])
+
+    found = with_vector.mapInArrow(score, _found(unit_type, key_type))
     return found.select(F.col("_key").alias(key), F.col("_unit").alias(unit), "score")
 
 

@@ -137,9 +137,9 @@ def default_recording(df: DataFrame) -> DataFrame:
     return df.withColumn("hasRecording", F.coalesce("hasRecording", F.lit(False)))
 
 
-def upload_batches(df: DataFrame, key: str, size: int = UPLOAD_LIMIT) -> DataFrame:
-    """Batch numbers from 0, at most ``size`` rows each, in key order."""
-    numbered = number_rows(df, key, "_row")
+def upload_batches(df: DataFrame, key: str, size: int = UPLOAD_LIMIT, group: Sequence[str] = ()) -> DataFrame:
+    """Batch numbers from 0, at most ``size`` rows each, in key order, in every group of its own."""
+    numbered = number_rows(df, key, "_row", group=group)
     return numbered.withColumn("batch", F.floor((F.col("_row") - 1) / size)).drop("_row")
 
 

@@ -7,19 +7,20 @@ through ``skew_join``.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions.text import empty, missing, strip
-from recordloom.operators.scale import (
-    MAX_BROADCAST_ROWS,
-    first_per_key,
-    last_per_key,
-    skew_join,
-    small_or_shuffled,
-)
+from recordloom.operators.scale import first_per_key, last_per_key, skew_join
+
+
+def _last(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """One row per key of the side that brings values: the last by ``order``, as in a table
+    written row after row. Rows that ``order`` does not part go by their other columns."""
+    rest = [c for c in df.columns if c != key and c not in order]
+    return last_per_key(df, [key], [*order, *rest]).drop(*[c for c in order if c.startswith("_")])
 
 
 def pending(inputs: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -31,8 +32,8 @@ def pending(inputs: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def named_only(df: DataFrame, names: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is on the list of names."""
-    return df.join(small_or_shuffled(names.select(key).distinct()), key, "left_semi")
+    """Rows whose key is on the list of names. A frequent key is dealt over many tasks if the list is long."""
+    return skew_join(df, names.select(key).distinct(), [key], df.columns, "left_semi")
 
 
 def snapshot_diff(
@@ -88,16 +89,17 @@ def change_list(diff: DataFrame, key: str, shown: Sequence[str]) -> DataFrame:
 
 
 def value_mismatch(stored: DataFrame, live: DataFrame, key: str, column: str) -> DataFrame:
-    """Rows whose live value is there and differs, case and outer blanks aside.
+    """Rows whose live value is there and differs, case and outer blanks aside: one row per key.
 
-    ``stored`` has a unique key; of several live rows any one that differs is enough, so
-    live values are reduced to the distinct ones per key first.
+    ``stored`` has a unique key; of several live rows any one that differs is enough, and
+    the first such value by text is shown.
     """
     seen = live.select(key, strip(F.lower(F.coalesce(column, F.lit("")))).alias("_live")).distinct()
     differs = (F.col("_live") != "") & (
         F.col("_live") != strip(F.lower(F.coalesce(F.col(column), F.lit(""))))
     )
-    return stored.join(seen, key).filter(differs).withColumnRenamed("_live", f"live_{column}")
+    found = first_per_key(stored.join(seen, key).filter(differs), [key], ["_live"])
+    return found.withColumnRenamed("_live", f"live_{column}")
 
 
 def mismatch_report(
@@ -118,9 +120,14 @@ def enrich(
     fields: Sequence[str],
     people: str,
     row_id: Sequence[str],
+    order: Sequence[str] = (),
 ) -> DataFrame:
-    """Left join of details with '' for absent ones; the detail list of people wins if any."""
-    right = details.select(key, *fields, F.col(people).alias("_people"))
+    """Left join of details with '' for absent ones; the detail list of people wins if any.
+
+    Of several details of a key the last by ``order`` counts.
+    """
+    right = details.select(key, *fields, F.col(people).alias("_people"), *[F.col(o).alias(f"_o_{o}") for o in order])
+    right = _last(right, key, [f"_o_{o}" for o in order])
     joined = skew_join(rows, right, [key], row_id)
     return joined.withColumns(
         {
@@ -130,16 +137,25 @@ def enrich(
     ).drop("_people")
 
 
-def attach_list(rows: DataFrame, lists: DataFrame, key: str, column: str, row_id: Sequence[str]) -> DataFrame:
-    """Left join of one list per key; rows without a list get an empty one."""
-    joined = skew_join(rows, lists.select(key, column), [key], row_id)
+def attach_list(
+    rows: DataFrame, lists: DataFrame, key: str, column: str, row_id: Sequence[str], order: Sequence[str] = ()
+) -> DataFrame:
+    """Left join of one list per key, the last by ``order``; rows without a list get an empty one."""
+    right = lists.select(key, column, *[F.col(o).alias(f"_o_{o}") for o in order])
+    joined = skew_join(rows, _last(right, key, [f"_o_{o}" for o in order]), [key], row_id)
     dtype = dict(lists.dtypes)[column]
     return joined.withColumn(column, F.coalesce(column, F.array().cast(dtype)))
 
 
-def fill_missing(rows: DataFrame, found: DataFrame, key: str, column: str, row_id: Sequence[str]) -> DataFrame:
-    """Fill ``column`` from ``found`` where missing; ``updated`` marks the filled rows."""
-    right = found.select(key, F.col(column).alias("_found"))
+def fill_missing(
+    rows: DataFrame, found: DataFrame, key: str, column: str, row_id: Sequence[str], order: Sequence[str] = ()
+) -> DataFrame:
+    """Fill ``column`` from ``found`` where missing; ``updated`` marks the filled rows.
+
+    Of several finds of a key the last by ``order`` counts.
+    """
+    right = found.select(key, F.col(column).alias("_found"), *[F.col(o).alias(f"_o_{o}") for o in order])
+    right = _last(right, key, [f"_o_{o}" for o in order])
     joined = skew_join(rows, right, [key], row_id)
     fill = missing(F.col(column)) & F.col("_found").isNotNull()
     return (
@@ -150,16 +166,17 @@ def fill_missing(rows: DataFrame, found: DataFrame, key: str, column: str, row_i
 
 
 def patch_columns(
-    rows: DataFrame, patch: DataFrame, key: str, columns: Sequence[str], mode: str = "fill"
+    rows: DataFrame, patch: DataFrame, key: str, columns: Sequence[str], mode: str = "fill", order: Sequence[str] = ()
 ) -> DataFrame:
-    """Set a group of columns from a patch with a unique key.
+    """Set a group of columns from a patch; of several patch rows of a key the last by ``order`` counts.
 
     ``fill`` keeps a present value when the patch has none for it; ``overwrite`` takes all
     the patch's columns for a matched row, so a present value can become ''.
     """
     if mode not in ("fill", "overwrite"):
         raise ValueError(f"unknown mode {mode!r}")
-    right = patch.select(key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_p_{c}") for c in columns])
+    right = patch.select(key, *[F.col(c).alias(f"_p_{c}") for c in columns], *[F.col(o).alias(f"_o_{o}") for o in order])
+    right = _last(right, key, [f"_o_{o}" for o in order]).withColumn("_hit", F.lit(True))
     joined = rows.join(right, key, "left")
     out = {}
     for c in columns:
@@ -172,23 +189,33 @@ def patch_columns(
 
 
 def replace_rows(
-    rows: DataFrame, fresh: DataFrame, key: str, keep: Sequence[str], fresh_id: str
+    rows: DataFrame, fresh: DataFrame, key: str, keep: Sequence[str], fresh_id: str, order: Sequence[str] = ()
 ) -> DataFrame:
     """Take the fresh row where its own id agrees with the key, except for the ``keep`` columns.
 
-    ``fresh`` has a unique ``key`` (the id asked for) and ``fresh_id`` (the id found).
+    ``fresh`` has ``key`` (the id asked for) and ``fresh_id`` (the id found); of several rows
+    of a key the last by ``order`` counts.
     """
     swap = [c for c in rows.columns if c != key and c not in keep]
-    right = fresh.select(key, F.col(fresh_id).alias("_id"), *[F.col(c).alias(f"_f_{c}") for c in swap])
-    joined = rows.join(right, key, "left")
+    right = fresh.select(
+        key, F.col(fresh_id).alias("_id"), *[F.col(c).alias(f"_f_{c}") for c in swap], *[F.col(o).alias(f"_o_{o}") for o in order]
+    )
+    joined = rows.join(_last(right, key, [f"_o_{o}" for o in order]), key, "left")
     ok = F.equal_null(F.col("_id"), F.col(key)) & F.col("_id").isNotNull()
     out = {c: F.when(ok, F.col(f"_f_{c}")).otherwise(F.col(c)) for c in swap}
     return joined.withColumns(out).select(*rows.columns)
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, value: str, default: str = "") -> DataFrame:
-    """Left join of a small label table, ``default`` where the label is unknown."""
-    joined = rows.join(small_or_shuffled(table.select(key, value)), key, "left")
+def lookup(
+    rows: DataFrame, table: DataFrame, key: str, value: str, default: str = "", order: Sequence[str] = ()
+) -> DataFrame:
+    """Left join of a label table, ``default`` where the label is unknown.
+
+    Of several entries of a label the last by ``order`` counts. A frequent label is dealt
+    over many tasks if the table is too large to be broadcast.
+    """
+    entries = table.select(key, value, *[F.col(o).alias(f"_o_{o}") for o in order])
+    joined = skew_join(rows, _last(entries, key, [f"_o_{o}" for o in order]), [key], rows.columns)
     return joined.withColumn(value, F.coalesce(value, F.lit(default)))
 
 
@@ -217,18 +244,51 @@ def upsert(base: DataFrame, updates: DataFrame, key: str, order: Sequence[str])
     return last_per_key(both, [key], ["_side", *order]).drop("_side")
 
 
-def override_column(rows: DataFrame, index: DataFrame, key: str, column: str) -> DataFrame:
-    """The index's value of ``column`` wins over the extracted one when it has any."""
-    right = index.select(key, F.col(column).alias("_index"))
+def override_column(
+    rows: DataFrame, index: DataFrame, key: str, column: str, order: Sequence[str] = ()
+) -> DataFrame:
+    """The index's value of ``column`` wins over the extracted one when it has any.
+
+    Of several index rows of a key the last by ``order`` counts.
+    """
+    right = index.select(key, F.col(column).alias("_index"), *[F.col(o).alias(f"_o_{o}") for o in order])
+    right = _last(right, key, [f"_o_{o}" for o in order])
     joined = rows.join(right, key, "left")
     value = F.coalesce(F.nullif(F.col("_index"), F.lit("")), F.col(column))
     return joined.withColumn(column, value).drop("_index").select(*rows.columns)
 
 
-def override_by_name(rows: DataFrame, known: Mapping[str, str], name: str, rule: Column, out: str) -> DataFrame:
-    """A table of special cases (by lower-cased name) goes before the rule."""
-    assert len(known) <= MAX_BROADCAST_ROWS
-    spark = rows.sparkSession
-    table = spark.createDataFrame(list(known.items()), "_name string, _known string")
-    joined = rows.withColumn("_name", F.lower(name)).join(F.broadcast(table), "_name", "left")
+def override_by_name(
+    rows: DataFrame, known: DataFrame, name: str, rule: Column, out: str, order: Sequence[str] = ()
+) -> DataFrame:
+    """A table of special cases (name, value) goes before the rule.
+
+    Names are compared in lower case; of several entries of a name the last by ``order``
+    counts. A table of any size will do.
+    """
+    cases = known.select(F.lower("name").alias("_name"), F.col("value").alias("_known"), *[F.col(o).alias(f"_o_{o}") for o in order])
+    cases = _last(cases, "_name", [f"_o_{o}" for o in order])
+    joined = skew_join(rows.withColumn("_name", F.lower(name)), cases, ["_name"], rows.columns)
     return joined.withColumn(out, F.coalesce("_known", rule)).drop("_name", "_known")
+
+
+def verify_and_replace(
+    stored: DataFrame,
+    live: DataFrame,
+    pages: DataFrame,
+    key: str,
+    column: str,
+    keep: Sequence[str],
+    extract: Callable[[DataFrame], DataFrame],
+    fresh_id: str = "found_id",
+    order: Sequence[str] = (),
+) -> DataFrame:
+    """Compare stored with live values, extract the pages of those that differ anew, and replace them.
+
+    Only pages of mismatched keys reach ``extract``, which returns rows with ``key``, ``fresh_id``
+    and the columns of ``stored``; ``keep`` columns stay as stored, and a page whose own id is
+    another leaves its row as it is.
+    """
+    wrong = value_mismatch(stored, live, key, column).select(key)
+    fresh = extract(skew_join(pages, wrong, [key], pages.columns, "left_semi"))
+    return replace_rows(stored, fresh, key, keep, fresh_id, order)

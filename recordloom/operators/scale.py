@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordloom.session import work_dir
+
 MAX_BROADCAST_ROWS = 20_000
 MAX_BROADCAST_BYTES = 128 * 1024 * 1024
 # Keys a sketch keeps count of: those above about a thousandth of all rows are never missed.
@@ -71,40 +73,45 @@ def top_k(
     )
 
 
-def number_rows(df: DataFrame, key: str, name: str = "row_no", bins: int = 8_192, fine: int = 10) -> DataFrame:
-    """1..n in ascending order of a unique whole-number ``key``, without one task sorting everything.
+def number_rows(df: DataFrame, key: str, name: str = "row_no", parts: int | None = None, group: Sequence[str] = ()) -> DataFrame:
+    """1..n in ascending order of a unique key of any type, without one task sorting everything.
 
-    The key range is cut into at most ``bins`` equal stretches by dropping low bits; stretches
-    with far more rows than the average are cut into ``2 ** fine`` more. Each stretch
-    numbers its own rows and adds the count of all rows before it. The counts are one row
-    per stretch, bounded by ``bins * (1 + 2 ** fine / 8)``, hence broadcast.
+    The keys alone are dealt to ranges of about as many rows each, whatever their spread, and
+    written; a range numbers its own rows and adds the count of all before it. With ``group``
+    every group of those columns has its own 1..n; it is the leading part of the order. Rows
+    without a key come first, in any order; they are dealt by a hash of the row.
     """
-    lo, hi, n = df.agg(F.min(key), F.max(key), F.count("*")).first()
-    if lo is None:
-        lo, hi = 0, 0
-    shift = 0
-    while (hi >> shift) - (lo >> shift) >= bins:
-        shift += 1
-    fine = min(fine, shift)
-    # rows without a key come first, in a stretch of their own
-    wide = F.coalesce(F.shiftright(F.col(key).cast("long"), shift), F.lit((lo >> shift) - 1))
-    counts = df.groupBy(wide.alias("_bin")).agg(F.count("*").alias("_rows"))
-    crowded = F.broadcast(counts.filter(F.col("_rows") > 8 * n / bins).select("_bin", F.lit(True).alias("_crowded")))
-    low_bits = F.shiftright(F.col(key).cast("long"), shift - fine).bitwiseAND(F.lit((1 << fine) - 1))
-    cut = df.withColumn("_bin", wide).join(crowded, "_bin", "left")
-    cut = cut.withColumn("_sub", F.coalesce(F.when(F.col("_crowded"), low_bits), F.lit(0).cast("long"))).drop("_crowded")
-    before = Window.orderBy("_bin", "_sub").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        cut.groupBy("_bin", "_sub")
-        .agg(F.count("*").alias("_n"))
-        .select("_bin", "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    )
-    inside = F.row_number().over(Window.partitionBy("_bin", "_sub").orderBy(key))
-    return (
-        cut.join(F.broadcast(offsets), ["_bin", "_sub"])
-        .withColumn(name, inside + F.col("_offset"))
-        .drop("_bin", "_sub", "_offset")
-    )
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [*group, key]
+    ranged = df.filter(F.col(key).isNotNull()).select(*order).repartitionByRange(parts, *order)
+    path = work_dir(spark, "ranges")
+    # written, so that both uses below see the same ranges
+    parted = ranged.withColumn("_part", F.spark_partition_id() + parts)
+    parted.write.parquet(path)
+    keyed = spark.read.schema(parted.schema).parquet(path)
+    loose = df.filter(F.col(key).isNull()).withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(parts)).cast("int"))
+
+    counts = keyed.select(*group, "_part").unionAll(loose.select(*group, "_part")).groupBy(*group, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    marks = [F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]
+    offsets = counts.select(*marks, F.col("_part").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    offsets = small_or_shuffled(offsets)
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        inside = F.row_number().over(Window.partitionBy(*group, "_part").orderBy(key))
+        same = F.col("_part") == F.col("_of")
+        for i, g in enumerate(group):
+            same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+        rows = rows.withColumn("_inside", inside).join(offsets, same)
+        return rows.withColumn(name, F.col("_inside") + F.col("_offset")).drop("_part", "_inside", "_of", "_offset", *[f"_g{i}" for i in range(len(group))])
+
+    numbers = numbered(keyed).select(F.col(key).alias("_key"), *[F.col(g).alias(f"_h{i}") for i, g in enumerate(group)], name)
+    same = F.col(key) == F.col("_key")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_h{i}"))
+    full = df.join(numbers, same).drop("_key", *[f"_h{i}" for i in range(len(group))])
+    return full.unionByName(numbered(loose))
 
 
 def carry_forward(
@@ -160,15 +167,21 @@ def skew_join(
     salts: int = 64,
     min_rows: int = 1_000_000,
     max_hot: int = 1_000,
+    max_small: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Join a many-rows side to a side with unique keys, spreading the hot keys.
 
+    A right side of at most ``max_small`` rows is measured and broadcast: no key is hot then.
+    Beyond that:
     A frequent-items sketch over the key column (one small partial result per task, no
     shuffle of keys) names the at most ``max_hot`` keys with about ``min_rows`` rows or
     more. Those are salted on the left and copied once per salt on the right; every other
     key joins as usual. Which keys get salted changes the spread, never the result. The
     list is bounded by ``max_hot``, hence broadcast. ``row_id`` tells left rows apart.
     """
+    measured = small_or_shuffled(right, max_small) if max_small else right
+    if measured is not right:
+        return left.join(measured, list(on), how)
     key_hash = F.xxhash64(*on)
     sketch = F.expr(f"approx_top_k(_key, {max_hot}, {SKETCH_ITEMS})")
     hot = (

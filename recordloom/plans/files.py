@@ -171,6 +171,24 @@ def papers_csv(spark, sf):
     return sinks.paper_csv_lines(papers).select("doc_id", "line")
 
 
+@query(
+    "papers_csv_file",
+    """SELECT text AS "Title", lang AS "Authors", source AS "Venue", CASE WHEN doc_id % 3 = 0 THEN '0' WHEN doc_id % 3 = 1 THEN CAST(doc_id AS VARCHAR)
+         ELSE doc_id || '.5' END AS "Affinity Score", CAST(doc_id AS VARCHAR) AS "Link", '' AS "Keywords" FROM documents""",
+)
+def papers_csv_file(spark, sf):
+    """The export written, and read back."""
+    third = F.col("doc_id") % 3
+    papers = table(spark, sf, "documents").select(
+        F.col("text").alias("title"), F.col("lang").alias("authors"), F.col("source").alias("venue"),
+        F.when(third == 1, F.col("doc_id").cast("double")).when(third == 2, F.col("doc_id") + 0.5).alias("affinity_score"),
+        F.col("doc_id").cast("string").alias("link"), F.lit("").alias("keywords"),
+    )
+    path = work_dir(spark, "papers")
+    sinks.write_papers_csv(papers, path)
+    return files.read_csv(spark, path, sinks.PAPER_HEADERS)
+
+
 @query(
     "labelled_files",
     "SELECT lang AS day, doc_id, source AS title FROM documents",

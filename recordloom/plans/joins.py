@@ -242,8 +242,10 @@ def fill_missing(spark, sf):
     found = table(spark, sf, "nation").filter("n_regionkey <> 3").select(
         F.col("n_nationkey").alias("n"),
         F.concat(F.lit("https://"), F.lower("n_name"), F.lit(".com/")).alias("company_url"),
+        F.lit(2).alias("at"),
     )
-    return R.fill_missing(rows, found, "n", "company_url", ["c_custkey"]).drop("n")
+    found = found.unionByName(found.withColumns({"company_url": F.lit("https://old.com/"), "at": F.lit(1)}))
+    return R.fill_missing(rows, found, "n", "company_url", ["c_custkey"], ["at"]).drop("n")
 
 
 def _schedule(spark, sf):
@@ -260,8 +262,11 @@ def _schedule(spark, sf):
         F.when(status == "F", "").otherwise(F.lit("2026-01-01")).alias("date"),
         F.lit("09:00").alias("time"),
         F.when(status == "O", "").otherwise(F.lit("room")).alias("location"),
+        F.lit(2).alias("at"),
     )
-    return rows, patch
+    # each key was patched before, in a row that the later one overwrites
+    earlier = patch.select("o_orderkey", F.lit("1999-12-31").alias("date"), F.lit("").alias("time"), F.lit("zoo").alias("location"), F.lit(1).alias("at"))
+    return rows, patch.unionByName(earlier)
 
 
 SCHEDULE = """
@@ -281,7 +286,7 @@ p AS (SELECT *, CASE WHEN st = 'F' THEN '' ELSE '2026-01-01' END AS pd, '09:00'
 )
 def patch_fill(spark, sf):
     rows, patch = _schedule(spark, sf)
-    return R.patch_columns(rows, patch, "o_orderkey", ["date", "time", "location"], "fill")
+    return R.patch_columns(rows, patch, "o_orderkey", ["date", "time", "location"], "fill", ["at"])
 
 
 @query(
@@ -292,7 +297,7 @@ def patch_fill(spark, sf):
 )
 def patch_overwrite(spark, sf):
     rows, patch = _schedule(spark, sf)
-    return R.patch_columns(rows, patch, "o_orderkey", ["date", "time", "location"], "overwrite")
+    return R.patch_columns(rows, patch, "o_orderkey", ["date", "time", "location"], "overwrite", ["at"])
 
 
 @query(
@@ -308,8 +313,10 @@ def replace_rows(spark, sf):
         "o_orderkey",
         F.when(F.col("o_orderstatus") == "P", F.col("o_orderkey") + 1).otherwise(F.col("o_orderkey")).alias("found_id"),
         F.concat(F.lit("fresh "), "o_orderstatus").alias("title"),
+        F.lit(2).alias("at"),
     )
-    return R.replace_rows(rows, fresh, "o_orderkey", ["date"], "found_id")
+    first_try = fresh.withColumns({"found_id": F.col("o_orderkey"), "title": F.lit("first try"), "at": F.lit(1)})
+    return R.replace_rows(rows, fresh.unionByName(first_try), "o_orderkey", ["date"], "found_id", ["at"])
 
 
 @query(
@@ -376,8 +383,10 @@ def column_override(spark, sf):
     index = orders.filter("o_orderstatus <> 'F'").select(
         "o_orderkey",
         F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("index "), "o_orderpriority")).otherwise("").alias("session_type"),
+        F.lit(2).alias("at"),
     )
-    return R.override_column(pages, index, "o_orderkey", "session_type")
+    index = index.unionByName(index.withColumns({"session_type": F.lit("first listed"), "at": F.lit(1)}))
+    return R.override_column(pages, index, "o_orderkey", "session_type", ["at"])
 
 
 NATION_URLS = """
@@ -400,7 +409,41 @@ def url_override(spark, sf):
         .otherwise(F.concat("n_name", F.lit(" GmbH")))
         .alias("name"),
     )
-    return R.override_by_name(rows, KNOWN_COMPANIES, "name", company_url(F.col("name")), "company_url")
+    known = spark.createDataFrame(list(KNOWN_COMPANIES.items()), "name string, value string")
+    return R.override_by_name(rows, known, "name", company_url(F.col("name")), "company_url")
+
+
+@query(
+    "url_override_table",
+    """SELECT c_custkey, c_name, CASE WHEN o_custkey IS NULL THEN 'https://www.' || regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') || '.com/'
+         ELSE '/orders/' || last_order END AS company_url
+       FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS last_order FROM orders GROUP BY 1) ON c_custkey = o_custkey""",
+)
+def url_override_table(spark, sf):
+    """Special cases from a table as large as the names, each entered many times: the last entry counts."""
+    names = table(spark, sf, "customer").select("c_custkey", "c_name")
+    orders = table(spark, sf, "orders")
+    known = orders.select(
+        F.concat(F.lit("CUSTOMER#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("name"),
+        F.concat(F.lit("/orders/"), "o_orderkey").alias("value"), "o_orderkey",
+    )
+    return R.override_by_name(names, known, "c_name", company_url(F.col("c_name")), "company_url", ["o_orderkey"])
+
+
+@query(
+    "verify_and_replace",
+    """SELECT doc_id AS session_id, CASE WHEN lang = 'de' THEN 'New: ' || text ELSE text END AS title, source AS url FROM documents""",
+)
+def verify_and_replace(spark, sf):
+    """Titles that changed on their pages are extracted anew; the url stays as stored."""
+    stored, live = _live_titles(spark, sf)
+    pages = live.select("session_id", F.concat(F.lit("<h1>"), F.col("title"), F.lit("</h1>")).alias("html"))
+
+    def extract(pages):
+        title = F.regexp_extract("html", "(?s)^<h1>(.*)</h1>$", 1)
+        return pages.select("session_id", F.col("session_id").alias("found_id"), title.alias("title"), F.lit("lost").alias("url"))
+
+    return R.verify_and_replace(stored, live, pages, "session_id", "title", ["url"], extract)
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from recordloom.functions.text import empty, missing
 from recordloom.operators import dedup as D
 from recordloom.operators import quality as Q
-from recordloom.operators.scale import skew_join
+from recordloom.operators.scale import first_per_key, skew_join
 from recordloom.plans.registry import query, table
 
 
@@ -75,13 +75,12 @@ def merge_labels(spark, sf):
 
 @query(
     "shared_labels",
-    """SELECT l_suppkey, count(DISTINCT l_linestatus) AS n FROM lineitem WHERE l_quantity > 49 GROUP BY 1
+    """SELECT l_orderkey, count(DISTINCT l_linestatus) AS n FROM lineitem GROUP BY 1
        HAVING count(DISTINCT l_linestatus) > 1""",
 )
 def shared_labels(spark, sf):
-    lines = table(spark, sf, "lineitem").filter("l_quantity > 49")
-    merged = D.merge_labels(lines, "l_suppkey", "l_linestatus", ["l_linestatus"])
-    return merged.filter("shared").select("l_suppkey", F.size("labels").cast("long").alias("n"))
+    merged = D.merge_labels(table(spark, sf, "lineitem"), "l_orderkey", "l_linestatus", ["l_linestatus"])
+    return merged.filter("shared").select("l_orderkey", F.size("labels").cast("long").alias("n"))
 
 
 @query(
@@ -179,13 +178,24 @@ def people_parts(spark, sf):
 
 @query(
     "text_per_unit",
-    """SELECT conv_id, CAST(floor(turn / 10000.0) AS BIGINT) AS part,
-         string_agg('[' || role || '] ' || text, chr(10) ORDER BY turn) AS unit_text FROM conversations GROUP BY 1, 2""",
+    """SELECT conv_id, string_agg('[' || role || '] ' || text, chr(10) ORDER BY turn) AS unit_text FROM conversations GROUP BY 1""",
 )
 def text_per_unit(spark, sf):
     return D.text_per_unit(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text")
 
 
+@query(
+    "text_parts",
+    """SELECT role, CAST(floor(conv_id / 25.0) AS BIGINT) AS part,
+         string_agg('[' || turn || '] ' || text, chr(10) ORDER BY conv_id, turn) AS unit_text
+       FROM (SELECT *, row_number() OVER (PARTITION BY role, conv_id ORDER BY turn) AS n FROM conversations) WHERE n = 1 GROUP BY 1, 2""",
+)
+def text_parts(spark, sf):
+    """The first text of every conversation and role, 25 conversations to a part."""
+    first = first_per_key(table(spark, sf, "conversations"), ["role", "conv_id"], ["turn"])
+    return D.text_parts(first.withColumn("turn", F.col("turn").cast("string")), "role", "conv_id", "turn", "text", part_size=25)
+
+
 @query(
     "completeness",
     """WITH w AS (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderstatus <> 'P'),

@@ -36,9 +36,9 @@ def write_record_arrays(df: DataFrame, path: str, key: str, size: int = UPLOAD_L
 def write_envelopes(
     df: DataFrame, path: str, items: str, key: str, venue: Column, year: Column, size: int = UPLOAD_LIMIT
 ) -> None:
-    """{venue, year, items: [...]} lines, each with at most ``size`` items of one venue and year."""
+    """{venue, year, items: [...]} lines: every venue and year in batches of ``size`` items, the last one smaller."""
     columns = df.columns
-    batched = upload_batches(df.withColumns({"_venue": venue, "_year": year}), key, size)
+    batched = upload_batches(df.withColumns({"_venue": venue, "_year": year}), key, size, ["_venue", "_year"])
     listed = F.array_sort(F.collect_list(F.struct(F.col(key).alias("_k"), F.struct(*columns).alias("r"))))
     envelopes = batched.groupBy("_venue", "_year", "batch").agg(F.transform(listed, lambda x: x["r"]).alias(items))
     value = F.to_json(F.struct(F.col("_venue").alias("venue"), F.col("_year").alias("year"), items))
@@ -97,11 +97,9 @@ def paper_csv_lines(papers: DataFrame) -> DataFrame:
 
 
 def write_papers_csv(papers: DataFrame, path: str) -> None:
-    """The export as CSV files with its six headers."""
-    shown = papers.select(
-        *[
-            (F.coalesce("affinity_score", F.lit(0.0)) if c == "affinity_score" else or_empty(F.col(c))).alias(h)
-            for c, h in zip(["title", "authors", "venue", "affinity_score", "link", "keywords"], PAPER_HEADERS)
-        ]
-    )
-    write_csv(shown, path, quote_all=True)
+    """The export as text files, each with the bare header line and then one line per paper."""
+    # a file holds one partition, whose first row has a number that ends in 33 zero bits
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)) == 0
+    header = F.lit(",".join(PAPER_HEADERS) + "\n")
+    lines = paper_csv_lines(papers).select(F.when(first, F.concat(header, "line")).otherwise(F.col("line")).alias("value"))
+    lines.write.mode("overwrite").text(path)

@@ -7,6 +7,7 @@ rewrites earlier batches; readers take the newest record per key.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -24,12 +25,21 @@ RETRY_BASE = 1_000_000_000
 def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """A parquet table, folder or single file, as a stream of its files."""
     schema = spark.read.parquet(path).schema
-    # a pattern, since a stream takes a folder or a pattern but no plain file
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path + "*")
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getFileStatus(fs_path).isFile():  # a stream takes a folder: this file's, and of it this file
+        name = re.sub(r"([\\*?\[\]{}])", r"\\\1", fs_path.getName())
+        return reader.option("pathGlobFilter", name).parquet(fs_path.getParent().toString())
+    return reader.parquet(path)
 
 
 def _log(spark: SparkSession, out: str) -> DataFrame | None:
-    """What earlier batches wrote, None before the first."""
+    """What earlier batches wrote, None before the first.
+
+    ``attempt`` is the time a record was processed, so the newest of a key is known whichever
+    batch it came with.
+    """
     try:
         return spark.read.option("basePath", out).parquet(out)
     except AnalysisException as e:
@@ -41,7 +51,7 @@ def _log(spark: SparkSession, out: str) -> DataFrame | None:
 def _write_batch(done: DataFrame, out: str, batch_id: int) -> None:
     # one write of both kinds, so that the work is done once
     status = F.when(missing(F.col("error")), "ok").otherwise("error")
-    done.withColumn("status", status).write.mode("overwrite").partitionBy("status").parquet(f"{out}/batch={batch_id}")
+    done.withColumns({"status": status, "attempt": F.current_timestamp()}).write.mode("overwrite").partitionBy("status").parquet(f"{out}/batch={batch_id}")
 
 
 def run_incremental(
@@ -73,21 +83,28 @@ def run_incremental(
 
 
 def results(spark: SparkSession, out: str, key: str) -> DataFrame:
-    """The newest good record per key."""
-    ok = _log(spark, out).filter("status = 'ok'").drop("status", "error")
-    return last_per_key(ok, [key], ["batch"]).drop("batch")
+    """The newest good record per key; before the first batch a table of no rows, and of the key alone."""
+    log = _log(spark, out)
+    if log is None:
+        return spark.createDataFrame([], f"`{key}` string")
+    ok = log.filter("status = 'ok'").drop("status", "error")
+    return last_per_key(ok, [key], ["attempt", "batch"]).drop("batch", "attempt")
 
 
 def failed(spark: SparkSession, out: str, key: str) -> DataFrame:
-    """The newest failure of every key that never worked."""
+    """The newest failure, by time of the attempt, of every key that never worked; none before the first batch."""
     log = _log(spark, out)
-    bad = last_per_key(log.filter("status = 'error'").drop("status"), [key], ["batch"])
-    return pending(bad, log.filter("status = 'ok'"), key).drop("batch")
+    if log is None:
+        return spark.createDataFrame([], f"`{key}` string, error string")
+    bad = last_per_key(log.filter("status = 'error'").drop("status"), [key], ["attempt", "batch"])
+    return pending(bad, log.filter("status = 'ok'"), key).drop("batch", "attempt")
 
 
 def retry_failed(spark: SparkSession, out: str, key: str, process: Callable[[DataFrame], DataFrame]) -> None:
     """Process the failed records once more, as a batch of their own."""
     log = _log(spark, out)
+    if log is None:
+        return
     last = log.agg(F.max(F.when(F.col("batch") >= RETRY_BASE, F.col("batch")))).first()[0]
     again = failed(spark, out, key).drop("error")
     _write_batch(process(again), out, RETRY_BASE if last is None else last + 1)

@@ -223,7 +223,8 @@ def test_company_url(spark, name, plain, strict):
 
 def test_known_company_goes_by_lower_case(spark):
     df = spark.createDataFrame([("Wistron & Wiwynn",), ("DREAM",), ("Other",)], "name string")
-    got = R.override_by_name(df, U.KNOWN_COMPANIES, "name", U.company_url(F.col("name")), "url")
+    known = spark.createDataFrame(list(U.KNOWN_COMPANIES.items()), "name string, value string")
+    got = R.override_by_name(df, known, "name", U.company_url(F.col("name")), "url")
     assert {r.name: r.url for r in got.collect()} == {
         "Wistron & Wiwynn": "https://www.wiwynn.com/", "DREAM": "https://dreamgroup.com/", "Other": "https://www.other.com/"}
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordloom.operators import match as M
-from recordloom.operators.dedup import distinct_list_parts, distinct_lists, text_per_unit
+from recordloom.operators.dedup import distinct_list_parts, distinct_lists, text_parts, text_per_unit
 from recordloom.operators.scale import (
     carry_forward,
     first_per_key,
@@ -52,7 +52,7 @@ def test_top_k_ranks_without_gaps(hot):
 def test_skew_join_equals_join(spark, hot, how, salts):
     df, rows = hot
     dims = spark.createDataFrame([(k, f"d{k}") for k in range(0, 40)], "k int, d string")
-    got = skew_join(df, dims, ["k"], ["id"], how, salts=salts, min_rows=60, max_hot=5)
+    got = skew_join(df, dims, ["k"], ["id"], how, salts=salts, min_rows=60, max_hot=5, max_small=0)
     want = df.join(dims, "k", how)
     key = lambda d: sorted((r.id, r.k, r.d or "") for r in d.collect())
     assert key(got) == key(want) and got.count() == want.count()
@@ -61,7 +61,17 @@ def test_skew_join_equals_join(spark, hot, how, salts):
 def test_skew_join_keeps_null_keys(spark):
     left = spark.createDataFrame([(i, None if i % 2 else "a") for i in range(100)], "id long, k string")
     right = spark.createDataFrame([("a", 1)], "k string, x int")
-    assert skew_join(left, right, ["k"], ["id"], min_rows=10).count() == 100
+    assert skew_join(left, right, ["k"], ["id"], min_rows=10, max_small=0).count() == 100
+    assert skew_join(left, right, ["k"], ["id"]).count() == 100
+
+
+def test_skew_join_broadcasts_a_measured_small_side(spark, hot):
+    df, _ = hot
+    dims = spark.createDataFrame([(k, f"d{k}") for k in range(40)], "k int, d string")
+    text = skew_join(df, dims, ["k"], ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "approx_top_k" not in text and text.count("BroadcastHashJoin") == 1
+    beyond = skew_join(df, dims, ["k"], ["id"], max_small=39)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_approx_top_k" in beyond
 
 
 @pytest.mark.parametrize("keys", ["dense", "sparse", "clustered", "negative"])
@@ -74,8 +84,32 @@ def test_number_rows(spark, keys):
         "negative": list(range(-700, 300)),
     }[keys]
     df = spark.createDataFrame([(i,) for i in ids], "id long").repartition(4)
-    got = {r.id: r.row_no for r in number_rows(df, "id", bins=64, fine=3).collect()}
+    got = {r.id: r.row_no for r in number_rows(df, "id", parts=16).collect()}
     assert got == {v: i for i, v in enumerate(sorted(ids), 1)}
+    text = df.select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("id"))
+    got = {r.id: r.row_no for r in number_rows(text, "id", parts=16).collect()}
+    assert got == {v: i for i, v in enumerate(sorted(f"S{i}" for i in ids), 1)}
+
+
+def test_one_far_key_does_not_put_all_rows_in_one_range(spark):
+    from recordloom.session import work_dir
+
+    df = spark.range(20_000).unionAll(spark.createDataFrame([(2**62,)], "id long"))
+    ranged = df.repartitionByRange(16, "id").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert ranged < 4_000 and work_dir(spark, "x")
+    got = number_rows(df, "id", parts=16).agg(F.min("row_no"), F.max("row_no"), F.countDistinct("row_no")).first()
+    assert tuple(got) == (1, 20_001, 20_001)
+
+
+def test_number_rows_inside_groups_and_without_keys(spark):
+    rows = [("a" if i % 3 else None, i if i % 10 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, id long").repartition(3)
+    for g in ("a", None):
+        mine = sorted(number_rows(df, "id", parts=5, group=["g"]).filter(F.col("g").eqNullSafe(F.lit(g))).collect(), key=lambda r: r.row_no)
+        assert [r.row_no for r in mine] == list(range(1, len(mine) + 1))
+        keys = [r.id for r in mine]
+        nulls = keys.count(None)
+        assert keys[:nulls] == [None] * nulls and keys[nulls:] == sorted(keys[nulls:])
 
 
 def test_carry_forward_over_segments(spark):
@@ -107,11 +141,17 @@ def test_distinct_lists_and_parts(hot):
 
 def test_text_parts_join_to_the_whole(spark):
     df = spark.createDataFrame([(1, i, "c ", f"t{i}") for i in range(25)], "u int, p int, c string, t string")
-    parts = text_per_unit(df, "u", "p", "c", "t", part_size=10).orderBy("part").collect()
+    parts = text_parts(df, "u", "p", "c", "t", part_size=10).orderBy("part").collect()
     assert len(parts) == 3
     assert "\n".join(r.unit_text for r in parts) == "\n".join(f"[c] t{i}" for i in range(25))
 
 
+def test_a_unit_of_many_positions_is_one_row(spark):
+    df = spark.range(12_000).select(F.lit(1).alias("u"), F.col("id").alias("p"), F.lit("c").alias("c"), F.concat(F.lit("t"), "id").alias("t"))
+    rows = text_per_unit(df, "u", "p", "c", "t").collect()
+    assert len(rows) == 1 and rows[0].unit_text == "\n".join(f"[c] t{i}" for i in range(12_000))
+
+
 def test_broadcast_only_when_small(spark):
     df = spark.range(100)
     hinted = small_or_shuffled(df, 100)._jdf.queryExecution().analyzed().toString()
@@ -154,7 +194,23 @@ def test_best_unit_both_ways(vectors):
     records, units, base, raw = vectors
     few = {r.rid: (r.uid, r.score) for r in M.best_unit(records, units, "rid", "uid", "v").collect()}
     many = {r.rid: (r.uid, r.score) for r in M.best_unit(records, units, "rid", "uid", "v", max_units=7).collect()}
-    assert few == many and len(few) == 400
+    assert few == many and len(few) == 402 and few[400] == few[401] == (None, None)
+    none = M.best_unit(records, units.limit(0), "rid", "uid", "v").collect()
+    assert len(none) == 402 and {r.uid for r in none} == {None}
+
+
+@pytest.mark.parametrize("max_units", [1000, 7])
+def test_search_with_text_ids(vectors, max_units):
+    records, units, base, raw = vectors
+    r = records.withColumn("rid", F.concat(F.lit("S"), F.lpad(F.col("rid").cast("string"), 5, "0")))
+    u = units.withColumn("uid", F.concat(F.lit("unit "), "uid"))
+    found = {}
+    for row in sorted(M.search(r, u, "rid", "uid", "v", k=120, max_units=max_units).collect(), key=lambda x: x["rank"]):
+        found.setdefault(row.uid, []).append(row.rid)
+    assert found == {f"unit {k}": [f"S{i:05d}" for i in v] for k, v in _brute(base, raw, 120).items()}
+    plain = {f"S{x.rid:05d}": x.uid for x in M.best_unit(records, units, "rid", "uid", "v").collect()}
+    named = {x.rid: x.uid for x in M.best_unit(r, units, "rid", "uid", "v", max_units=max_units).collect()}
+    assert named == plain
 
 
 def test_search_without_units(vectors):

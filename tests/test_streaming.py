@@ -54,3 +54,36 @@ def test_new_ids_over_loads(spark, tmp_path):
         writer = once.writeStream.format("parquet").option("path", out).option("checkpointLocation", chk)
         writer.trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+
+
+def test_a_stream_reads_its_own_folder_or_file_only(spark, tmp_path):
+    for name in ("events", "events_old"):
+        _files(spark, str(tmp_path / name), [[(name, 1)]])
+
+    def ids(path, n):
+        out, chk = str(tmp_path / f"out{n}"), str(tmp_path / f"chk{n}")
+        writer = I.read_stream(spark, path).writeStream.format("parquet").option("path", out).option("checkpointLocation", chk)
+        writer.trigger(availableNow=True).start().awaitTermination()
+        return {r.id for r in spark.read.parquet(out).collect()}
+
+    assert ids(str(tmp_path / "events"), 1) == {"events"}
+    spark.createDataFrame([("x", 1)], "id string, v int").coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+    file = sorted(p for p in (tmp_path / "events").iterdir() if p.suffix == ".parquet")[0]
+    assert len(ids(str(file), 2)) == 1
+
+
+def test_nothing_before_the_first_batch(spark, tmp_path):
+    out = str(tmp_path / "none")
+    assert I.results(spark, out, "id").count() == 0 and I.failed(spark, out, "id").count() == 0
+    I.retry_failed(spark, out, "id", _process)
+
+
+def test_a_newer_stream_failure_outranks_an_older_retry(spark, tmp_path):
+    src, out, chk = (str(tmp_path / n) for n in ("src", "out", "chk"))
+    _files(spark, src, [[("a", -1)]])
+    I.run_incremental(I.read_stream(spark, src), out, chk, "id", ["v"], _process).awaitTermination()
+    I.retry_failed(spark, out, "id", lambda d: d.withColumn("error", F.lit("retry")))
+    _files(spark, src, [[("a", -2)]])
+    newest = lambda b: b.withColumn("error", F.lit("newest"))
+    I.run_incremental(I.read_stream(spark, src), out, chk, "id", ["v"], newest).awaitTermination()
+    assert {(r.id, r.error) for r in I.failed(spark, out, "id").collect()} == {("a", "newest")}
