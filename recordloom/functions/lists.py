@@ -77,7 +77,7 @@ def bulleted(dom_items: Column, block: Column, stop_words: list[str]) -> Column:
     """List items from the page, else from a text block split on line starts with bullets."""
     kept = F.filter(F.transform(dom_items, strip), lambda x: x != "")
     fallback = F.filter(
-        F.transform(F.split(block, r"\n[\x{2022}*\-]?\s*"), strip),
+        F.transform(F.split(block, r"\n[•*\-]?\s*"), strip),
         lambda x: (x != "") & ~F.exists(
             F.array(*[F.lit(w) for w in stop_words]), lambda w: F.contains(x, w)
         ),

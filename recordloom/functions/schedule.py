@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions.text import let, or_empty, strip
 
+# The shapes of clock times.
 _CLOCK = r"^(\d+)(?::(\d+))?(am|pm|noon|midnight)?$"
 _DOTTED = r"\d{1,2}(?::\d{2})?\s*(?:a\.m\.|p\.m\.)"
 _PLAIN = r"\d{1,2}(?::\d{2})?\s*(?:AM|PM)"
@@ -47,7 +48,7 @@ def time_range(c: Column) -> Column:
             clock_24h(F.regexp_extract(s, pattern, 2)).alias("end"),
         )
 
-    return let(F.regexp_replace(or_empty(c), r"\s+(--|\x{2014}|-)\s+", " - "), convert)
+    return let(F.regexp_replace(or_empty(c), r"\s+(--|—|-)\s+", " - "), convert)
 
 
 # The month names that count.
@@ -72,7 +73,7 @@ def _iso_date(month: Column, day: Column, year: Column) -> Column:
 
 def date_line(c: Column) -> Column:
     """'Mon, May 18, 2026 * 8:45 AM - 9:05 AM PDT' -> struct(date, start, end)."""
-    pattern = rf"(?i)({_PLAIN})\s*[-\x{{2013}}\x{{2014}}]\s*({_PLAIN})"
+    pattern = rf"(?i)({_PLAIN})\s*[-–—]\s*({_PLAIN})"
     c = or_empty(c)
     return F.struct(
         long_date(c).alias("date"),
@@ -88,7 +89,7 @@ def short_date_line(c: Column, year: int) -> Column:
     """
     c = or_empty(c)
     day = r"(\w+day),\s*(\w+)\s+(\d{1,2})"
-    times = r"(?i)(\d{1,2}(?::\d{2})?)\s*(AM|PM)?\s*[-\x{2013}\x{2014}]\s*(\d{1,2}(?::\d{2})?)\s*(AM|PM)"
+    times = r"(?i)(\d{1,2}(?::\d{2})?)\s*(AM|PM)?\s*[-–—]\s*(\d{1,2}(?::\d{2})?)\s*(AM|PM)"
     month = F.regexp_extract(c, day, 2)
     date = _iso_date(F.initcap(month), F.regexp_extract(c, day, 3), F.lit(str(year)))
     half = F.coalesce(F.nullif(F.regexp_extract(c, times, 2), F.lit("")), F.regexp_extract(c, times, 4))

@@ -7,7 +7,6 @@ import unicodedata
 
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -125,7 +124,10 @@ def _tidy(c: Column) -> Column:
 
 @F.arrow_udf(T.StringType())
 def _nfkc(s: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(s, form="NFKC")
+    # Arrow's own normaliser decomposes without composing again (checked with the installed version)
+    normal = unicodedata.is_normalized
+    cleaned = [x if x is None or normal("NFKC", x) else unicodedata.normalize("NFKC", x) for x in s.to_pylist()]
+    return pa.array(cleaned, pa.string())
 
 
 def _nfkc_value(value):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions.text import first_value, or_empty, strip
 
+# The shape of a URL, and below the two forms in page snapshots.
 ANY_URL = r"https?://(?:www\.)?(?:[a-zA-Z0-9-]+\.)+[a-zA-Z]{2,}(?:/[^\s]*)?"
 
 # Legal-form endings, removed one after the other in this order.

@@ -98,7 +98,7 @@ def takeaways(items: Column, text: Column) -> Column:
 
 def oral_fields(heading: Column, people: Column, text: Column, links: Column, base: str) -> dict[str, Column]:
     """A talk page. ``links`` is array<struct<href, text>>; ``people`` the candidate headings."""
-    when = r"(?i)(\w{3}\s+\d+\s+\w+)\s+([\d:]+\s*[ap]\.m\.)\s*\w+\s*[-\x{2014}]\s*([\d:]+\s*[ap]\.m\.)\s*\w+"
+    when = r"(?i)(\w{3}\s+\d+\s+\w+)\s+([\d:]+\s*[ap]\.m\.)\s*\w+\s*[-—]\s*([\d:]+\s*[ap]\.m\.)\s*\w+"
     session = first_link(links, lambda a: F.contains(a["href"], F.lit("/session/")))
     slides = first_link(
         links,
@@ -123,7 +123,7 @@ def oral_fields(heading: Column, people: Column, text: Column, links: Column, ba
 def workshop_fields(heading: Column, people: Column, text: Column, links: Column) -> dict[str, Column]:
     """A workshop page; organizers fall back to a text line with at least three dotted parts."""
     when = (
-        r"(\w{3}, \w{3} \d+, \d{4})\s*[\x{2022}\x{00B7}]\s*([\d:]+\s*[AP]M)\s*[-\x{2013}]\s*"
+        r"(\w{3}, \w{3} \d+, \d{4})\s*[•·]\s*([\d:]+\s*[AP]M)\s*[-–]\s*"
         r"([\d:]+\s*[AP]M)\s*(\w+)"
     )
     dotted = F.filter(F.split(text, "\n"), lambda x: F.size(F.split(x, "·")) >= 3)
@@ -166,7 +166,7 @@ def talk_fields(texts: Column, title: Column, calendar: Mapping[str, Column]) ->
 
 def session_fields(texts: Column) -> dict[str, Column]:
     """A group session: its time line is the first text with weekday, day, month and a dash."""
-    pattern = r"^(Mon|Tue|Wed|Thu|Fri)\s+\d+\s+\w+\s+.+(\x{2014}|--).+"
+    pattern = r"^(Mon|Tue|Wed|Thu|Fri)\s+\d+\s+\w+\s+.+(—|--).+"
     return {"time_line": or_empty(collapse(F.get(F.filter(texts, lambda t: t.rlike(pattern)), 0)))}
 
 

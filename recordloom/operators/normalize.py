@@ -16,7 +16,7 @@ TRACKS = ["Research-Track", "Industry-Track"]
 GROUP_TYPE = "Paper Session"
 ITEM_TYPE = "Oral Session"
 
-_TIME_BRACKET = r"\s*\[\d{1,2}:\d{2}\s*[-\x{2013}\x{2014}]\s*\d{1,2}:\d{2}\]\s*$"
+_TIME_BRACKET = r"\s*\[\d{1,2}:\d{2}\s*[-–—]\s*\d{1,2}:\d{2}\]\s*$"
 
 
 def clean_title(detail: Column, calendar: Column) -> Column:

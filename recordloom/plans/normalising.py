@@ -42,6 +42,13 @@ def unicode_clean(spark, sf):
     return X.clean_frame(_marked(spark, sf))
 
 
+@query("unicode_compatibility", "SELECT doc_id, nfc_normalize('fi Ab 2 kg ガ é ' || text) AS text FROM documents")
+def unicode_compatibility(spark, sf):
+    """Ligatures, full-width letters, superscripts, square units, half-width kana and loose accents."""
+    marked = F.concat(F.lit("ﬁ Ａｂ ² ㎏ ｶﾞ e\u0301 "), "text")
+    return table(spark, sf, "documents").select("doc_id", X.clean_text(marked).alias("text"))
+
+
 @query(
     "unicode_clean_nested",
     "SELECT doc_id, nfc_normalize(" + MARKED.format("text", "... ", " ''the'' \"\" ", "-de-", " ⋅x000D ") + ") AS text FROM documents",
