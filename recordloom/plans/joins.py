@@ -180,7 +180,9 @@ def mismatch_report(spark, sf):
 
 
 def _flag_lists(spark, sf):
-    lines = table(spark, sf, "lineitem").filter("l_linestatus = 'F'")
+    # lines of the other status go to keys that no order has, so some orders have no list
+    key = F.when(F.col("l_linestatus") == "F", F.col("l_orderkey")).otherwise(-1 - F.col("l_orderkey"))
+    lines = table(spark, sf, "lineitem").withColumn("l_orderkey", key)
     lists = distinct_lists(lines, "l_orderkey", "l_returnflag", ["l_linenumber"], "people")
     return lists.withColumnRenamed("l_orderkey", "o_orderkey")
 
@@ -214,7 +216,9 @@ def detail_enrichment(spark, sf):
        SELECT c_custkey, coalesce(themes, '') AS themes FROM customer LEFT JOIN t ON c_custkey = o_custkey""",
 )
 def attach_themes(spark, sf):
-    orders = table(spark, sf, "orders").filter("o_orderstatus = 'F'")
+    # orders of another status go to keys that no customer has
+    key = F.when(F.col("o_orderstatus") == "F", F.col("o_custkey")).otherwise(-1 - F.col("o_custkey"))
+    orders = table(spark, sf, "orders").withColumn("o_custkey", key)
     lists = distinct_lists(orders, "o_custkey", "o_orderpriority", ["o_orderpriority"], "themes")
     lists = lists.withColumnRenamed("o_custkey", "c_custkey")
     out = R.attach_list(table(spark, sf, "customer").select("c_custkey"), lists, "c_custkey", "themes", ["c_custkey"])

@@ -201,7 +201,9 @@ def split_people(spark, sf):
 def _entries(spark, sf):
     """Calendar entries from orders; their papers are the brands on the order."""
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    lines = table(spark, sf, "lineitem").filter("l_returnflag = 'A'").select("l_orderkey", "l_linenumber", "l_partkey")
+    # lines with another flag go to keys that no order has, so some entries list no papers
+    key = F.when(F.col("l_returnflag") == "A", F.col("l_orderkey")).otherwise(-1 - F.col("l_orderkey"))
+    lines = table(spark, sf, "lineitem").select(key.alias("l_orderkey"), "l_linenumber", "l_partkey")
     named = skew_join(lines, part, ["l_partkey"], ["l_orderkey", "l_linenumber"], "inner")
     brands = distinct_lists(named, "l_orderkey", "p_brand", ["l_linenumber"], "brands")
     orders = table(spark, sf, "orders")
