@@ -1,7 +1,8 @@
 """Programme pages as node tables -> event, row and detail records.
 
 All windows and groups are per page (or per element of a page), and the nodes of a page
-come from one input row, so none of them grows with the number of pages.
+come from one input row, so none of them grows with the number of pages. Every job deals its
+nodes out by page once, which serves all windows and groups below.
 """
 
 from __future__ import annotations
@@ -14,8 +15,39 @@ from recordloom.functions.schedule import end_time
 from recordloom.functions.text import collapse, first_value, missing, or_empty, strip
 from recordloom.functions.urls import without_fragment
 from recordloom.operators.dedup import first_wins
-from recordloom.operators.extract import enclosing, has_class
-
+from recordloom.operators.extract import Container, has_class
+
+#: The containers that each job wants from ``extract_nodes``.
+EVENTS = {
+    "day_at": [Container("div", classes="container2.*day-")],
+    "box_at": [Container("div", ("timebox",))],
+    "event_at": [Container("div", ("eventsession",))],
+    "block_at": [Container("div", classes="(oral|poster)-session")],
+    "part_at": [Container("div", ("eventblock",))],
+    "item_at": [Container("div", classes=r"content\s+(oral|poster)")],
+    "booth_at": [Container("div", ("exhibitor-spot-talks",))],
+    "talk_at": [Container("div", classes="^content talk$")],
+    "title_at": [Container("div", ("title-style",))],
+}
+ROWS = {
+    "day_at": [Container("div", ("day-wrapper",))],
+    "row_at": [Container("tr", attr="data-slot-id")],
+    "muted_at": [Container(has=("text-muted",))],
+    "people_at": [Container(has=("performers",))],
+}
+DETAILS = {
+    "head_at": [Container(has=("modal-header",))],
+    "text_at": [Container(has=("event-description",))],
+    "person_at": [Container(has=("media",))],
+    "link_at": [Container("a")],
+}
+ENTRIES = {
+    "day_at": [Container("div", ("days",))],
+    "box_at": [Container(has=("timebox",))],
+    "block_at": [Container("div", ("eventsession", "pad")), Container("div", ("session", "pad"))],
+    "title_at": [Container("div", ("title-style",)), Container("div", ("sessiontitle",))],
+    "content_at": [Container("div", ("content",))],
+}
 
 
 def _in_order():
@@ -38,20 +70,7 @@ def _div(name: str) -> Column:
 
 def _with_context(nodes: DataFrame, inherit_time: bool) -> DataFrame:
     """Give every node its day, time box and blocks; a day without a text inherits the one above."""
-    n = nodes.withColumns(
-        {
-            "text": strip("text"),
-            "day_at": enclosing((F.col("tag") == "div") & _classes().rlike(r"container2.*day-")),
-            "box_at": enclosing(_div("timebox")),
-            "event_at": enclosing(_div("eventsession")),
-            "block_at": enclosing((F.col("tag") == "div") & _classes().rlike(r"(oral|poster)-session")),
-            "part_at": enclosing(_div("eventblock")),
-            "item_at": enclosing((F.col("tag") == "div") & _classes().rlike(r"content\s+(oral|poster)")),
-            "booth_at": enclosing(_div("exhibitor-spot-talks")),
-            "talk_at": enclosing((F.col("tag") == "div") & (_classes() == "content talk")),
-            "title_at": enclosing(_div("title-style")),
-        }
-    )
+    n = nodes.repartition("page_id").withColumn("text", strip("text"))
     n = n.withColumns(
         {
             "day_text": F.when(F.col("pos") == F.col("day_at"), first_in("day_at", _div("hdrbox"), F.col("text"))),
@@ -92,7 +111,7 @@ def item_times(text: Column, header: Column, box_time: Column) -> tuple[Column,
 
 
 def calendar_events(nodes: DataFrame, base: str, inherit_time: bool = True) -> DataFrame:
-    """Events, listed talks and posters, and exhibitor talks of calendar pages.
+    """Events, listed talks and posters, and exhibitor talks of calendar pages (nodes with EVENTS).
 
     A time box without a time takes the one above it, or '' when ``inherit_time`` is off.
     One pass: the pages are parsed and shuffled once, by page, and every window below
@@ -154,16 +173,8 @@ def calendar_events(nodes: DataFrame, base: str, inherit_time: bool = True) -> D
 
 
 def table_rows(nodes: DataFrame, day_label: str) -> DataFrame:
-    """Programme table rows of the first day whose header starts with the label, once per uuid."""
-    n = nodes.withColumns(
-        {
-            "text": strip("text"),
-            "day_at": enclosing(_div("day-wrapper")),
-            "row_at": enclosing((F.col("tag") == "tr") & F.col("attrs")["data-slot-id"].isNotNull()),
-            "muted_at": enclosing(has_class("text-muted")),
-            "people_at": enclosing(has_class("performers")),
-        }
-    )
+    """Programme table rows (nodes with ROWS) of the first day whose header starts with the label, once per uuid."""
+    n = nodes.repartition("page_id").withColumn("text", strip("text"))
     is_header = (F.col("tag") == "h4") & has_class("day-header")
     n = n.withColumn("day", first_in("day_at", is_header, F.col("text"))).filter(
         F.col("day").startswith(day_label)
@@ -202,16 +213,8 @@ def table_rows(nodes: DataFrame, day_label: str) -> DataFrame:
 
 
 def detail_rows(nodes: DataFrame) -> DataFrame:
-    """One record per detail page: track, time, room, session, abstract paragraphs, people."""
-    n = nodes.withColumns(
-        {
-            "text": strip("text"),
-            "head_at": enclosing(has_class("modal-header")),
-            "text_at": enclosing(has_class("event-description")),
-            "person_at": enclosing(has_class("media")),
-            "link_at": enclosing(F.col("tag") == "a"),
-        }
-    )
+    """One record per detail page (nodes with DETAILS): track, time, room, session, abstract paragraphs, people."""
+    n = nodes.repartition("page_id").withColumn("text", strip("text"))
     n = n.withColumns(
         {
             "person_name": first_in("person_at", has_class("media-heading"), F.col("text")),
@@ -252,17 +255,8 @@ def detail_rows(nodes: DataFrame) -> DataFrame:
 
 
 def calendar_entries(nodes: DataFrame, path: str) -> DataFrame:
-    """Top-level calendar blocks: kind and id from the link, times, label, room, listed papers."""
-    n = nodes.withColumns(
-        {
-            "text": collapse("text"),
-            "day_at": enclosing(_div("days")),
-            "box_at": enclosing(has_class("timebox")),
-            "block_at": enclosing((_div("eventsession") | _div("session")) & has_class("pad")),
-            "title_at": enclosing(_div("title-style") | _div("sessiontitle")),
-            "content_at": enclosing(_div("content")),
-        }
-    )
+    """Top-level calendar blocks (nodes with ENTRIES): kind and id from the link, times, label, room, listed papers."""
+    n = nodes.repartition("page_id").withColumn("text", collapse("text"))
     n = n.withColumns(
         {
             "day_no": F.dense_rank().over(Window.partitionBy("page_id").orderBy("day_at")),

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -249,11 +250,35 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 _SILENT = frozenset(("script", "style"))
 
 
+@dataclass(frozen=True)
+class Container:
+    """What makes an element a container: its tag, classes it has, its class text, an attribute it has."""
+
+    tag: str | None = None
+    has: tuple[str, ...] = ()
+    classes: str | None = None
+    attr: str | None = None
+
+    def fits(self, tag: str, attrs: Mapping[str, str]) -> bool:
+        text = attrs.get("class", "")
+        return (
+            (self.tag is None or tag == self.tag)
+            and all(c in text.split() for c in self.has)
+            and (self.classes is None or re.search(self.classes, text) is not None)
+            and (self.attr is None or self.attr in attrs)
+        )
+
+
 class _Outline(HTMLParser):
-    """Lists the elements of one page in document order with the text below each."""
+    """Lists the elements of one page in document order with the text below each.
 
-    def __init__(self) -> None:
+    ``containers`` names kinds of elements; each node gets the place of the nearest one of
+    every kind that it is in, or is, however they nest.
+    """
+
+    def __init__(self, containers: Mapping[str, Sequence[Container]] | None = None) -> None:
         super().__init__(convert_charrefs=True)
+        self.containers = containers or {}
         self.nodes: list[dict] = []
         self.open: list[dict] = []
 
@@ -269,6 +294,9 @@ class _Outline(HTMLParser):
             "href": attrs.get("href"),
             "text": [],
         }
+        above = self.open[-1] if self.open else {}
+        for name, kinds in self.containers.items():
+            node[name] = node["pos"] if any(k.fits(tag, attrs) for k in kinds) else above.get(name)
         self.nodes.append(node)
         if tag not in _VOID:
             self.open.append(node)
@@ -309,14 +337,21 @@ class _Outline(HTMLParser):
 
 
 def extract_nodes(
-    pages: DataFrame, key: str = "page_id", html: str = "html", tags: Sequence[str] | None = None
+    pages: DataFrame,
+    key: str = "page_id",
+    html: str = "html",
+    tags: Sequence[str] | None = None,
+    containers: Mapping[str, Sequence[Container]] | None = None,
 ) -> DataFrame:
     """One row per element: place, end of its subtree, depth, tag, classes, attributes, text.
 
     ``end_pos`` is the place of the last element below it, so "inside" is a range test. Outer
     elements repeat the text of inner ones; name the ``tags`` wanted to leave the others
-    inside the task (places count all elements all the same).
+    inside the task (places count all elements all the same). For every name in ``containers``
+    there is a column with the place of the nearest element around a node (or the node itself)
+    that fits one of its kinds, null outside; the parser knows it, so no window is needed.
     """
+    containers = dict(containers or {})
     wanted = None if tags is None else frozenset(tags)
     numbers = dict(pages.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
     id_type = pa.int64() if numbers else pa.string()
@@ -332,6 +367,7 @@ def extract_nodes(
             ("attrs", pa.map_(pa.string(), pa.string())),
             ("href", pa.string()),
             ("text", pa.string()),
+            *[(name, pa.int32()) for name in containers],
         ]
     )
 
@@ -348,7 +384,7 @@ def extract_nodes(
         for batch in batches:
             ids, nodes = [], []
             for page_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = _Outline().outline(text or "")
+                found = _Outline(containers).outline(text or "")
                 if wanted is not None:
                     found = [n for n in found if n["tag"] in wanted]
                 ids.extend([page_id] * len(found))
@@ -360,19 +396,8 @@ def extract_nodes(
                 yield batch_of(ids, nodes)
 
     spark_type = "long" if numbers else "string"
-    return pages.select(F.col(key).cast(spark_type).alias("page_id"), F.col(html).alias("html")).mapInArrow(
-        parse, NODE_SCHEMA.replace("page_id long", f"page_id {spark_type}")
-    )
-
-
-def enclosing(is_container: Column) -> Column:
-    """Place of the nearest container around a node (or the node itself), null outside.
-
-    For containers that do not nest in each other.
-    """
-    in_order = Window.partitionBy("page_id").orderBy("pos")
-    last = F.last(F.when(is_container, F.struct("pos", "end_pos")), ignorenulls=True).over(in_order)
-    return F.when(F.col("pos") <= last["end_pos"], last["pos"])
+    schema = NODE_SCHEMA.replace("page_id long", f"page_id {spark_type}") + "".join(f", {name} int" for name in containers)
+    return pages.select(F.col(key).cast(spark_type).alias("page_id"), F.col(html).alias("html")).mapInArrow(parse, schema)
 
 
 def has_class(name: str, classes: str = "classes") -> Column:
@@ -495,7 +520,7 @@ def detail_pages(pages: DataFrame, key: str = "page_id", html: str = "html", kin
         collapse(tag_text(F.col(html), "h5")).alias("session_room"),
     )
     heads = extract_fields(heads, {**fields, **session_fields(F.col("texts"))})
-    joined = heads.join(_abstract_and_cards(extract_nodes(pages, key, html)), "page_id", "left")
+    joined = heads.join(_abstract_and_cards(extract_nodes(pages, key, html, containers=CARDS)), "page_id", "left")
     talk = F.col("kind") == "invited-talk"
     detail = F.struct(
         F.when(talk, F.col("talk_title")).otherwise(F.col("session_title")).alias("title"),
@@ -509,19 +534,16 @@ def detail_pages(pages: DataFrame, key: str = "page_id", html: str = "html", kin
     return joined.select("page_id", "kind", detail.alias("detail"))
 
 
+CARDS = {"card_at": [Container("div", ("track-schedule-card",))], "title_at": [Container("h5")]}
+
+
 def page_parts(nodes: DataFrame) -> DataFrame:
-    """Per page one row per talk card (``card_at`` is its place) and one for all the rest.
+    """Per page (nodes with the containers CARDS) one row per talk card (``card_at`` is its place) and one for all the rest.
 
     ``after_head`` is the text of the element after the 'Abstract' heading.
     """
     in_page = Window.partitionBy("page_id")
-    n = nodes.withColumns(
-        {
-            "text": collapse("text"),
-            "card_at": enclosing((F.col("tag") == "div") & has_class("track-schedule-card")),
-            "title_at": enclosing(F.col("tag") == "h5"),
-        }
-    )
+    n = nodes.withColumn("text", collapse("text"))
     is_head = (F.col("tag") == "h3") & F.col("text").rlike("(?i)^abstract$")
     n = n.withColumn("head", F.min(F.when(is_head, F.struct("pos", "end_pos", "depth"))).over(in_page))
     follows = (F.col("pos") == F.col("head.end_pos") + 1) & (F.col("depth") == F.col("head.depth"))

@@ -319,7 +319,7 @@ BOOTHS = "SELECT event_id, 'Booth ' || user_id, date, time, '', '', 'Exhibitor T
 
 @query("calendar_events", CALENDAR + " UNION ALL " + BOOTHS)
 def calendar_events(spark, sf):
-    nodes = E.extract_nodes(_calendar_pages(spark, sf))
+    nodes = E.extract_nodes(_calendar_pages(spark, sf), containers=C.EVENTS)
     return C.calendar_events(nodes, "https://example.org").drop("pos")
 
 
@@ -336,7 +336,7 @@ def exhibitor_talks(spark, sf):
         F.regexp_extract(html, "(?s)<ul>(.*?)</ul>", 1),
         F.lit("</div></div></div>"),
     )
-    nodes = E.extract_nodes(table(spark, sf, "pages", spread="page_id").select("page_id", booth.alias("html")))
+    nodes = E.extract_nodes(table(spark, sf, "pages", spread="page_id").select("page_id", booth.alias("html")), containers=C.EVENTS)
     return C.calendar_events(nodes, "https://example.org").select("page_id", "title", "url", "session_type")
 
 
@@ -358,7 +358,7 @@ def table_rows(spark, sf):
     day = F.when(F.col("o_orderstatus") == "P", "Mon 1").otherwise("Sun 12 Apr")
     html = F.concat(F.lit('<div class="day-wrapper"><h4 class="day-header"> '), day, F.lit("</h4><table>"), row, row, F.lit("</table></div>"))
     pages = table(spark, sf, "orders", spread="o_orderkey").select(F.col("o_orderkey").alias("page_id"), html.alias("html"))
-    rows = C.table_rows(E.extract_nodes(pages), "Sun 12")
+    rows = C.table_rows(E.extract_nodes(pages, containers=C.ROWS), "Sun 12")
     people = F.transform("authors", lambda a: F.concat_ws(",", a["name"], a["affiliation"], a["profile_url"]))
     return rows.withColumn("authors", F.array_join(people, ";"))
 
@@ -393,7 +393,7 @@ def detail_rows(spark, sf):
         F.lit('</h5><span class="text-black">'), "c_mktsegment", F.lit("</span><small>N"), "c_nationkey", F.lit("</small></div></a>"),
     )
     pages = table(spark, sf, "customer", spread="c_custkey").select(F.col("c_custkey").alias("page_id"), html.alias("html"))
-    rows = C.detail_rows(E.extract_nodes(pages))
+    rows = C.detail_rows(E.extract_nodes(pages, containers=C.DETAILS))
     people = F.transform("authors", lambda a: F.concat_ws(",", a["name"], a["affiliation"], a["country"], a["profile_url"]))
     return rows.withColumn("authors", F.array_join(people, ";"))
 
@@ -429,7 +429,7 @@ def calendar_entries(spark, sf):
               '<div class="content"><a href="/p/'), "event_id", F.lit('#y">Paper '), "event_id", F.lit("</a></div></div></div></div>"),
     )
     pages = table(spark, sf, "events", spread="event_id").select(F.col("event_id").alias("page_id"), html.alias("html"))
-    rows = C.calendar_entries(E.extract_nodes(pages), "/v/").drop("pos", "day_no")
+    rows = C.calendar_entries(E.extract_nodes(pages, containers=C.ENTRIES), "/v/").drop("pos", "day_no")
     return rows.withColumn("papers", F.array_join(F.transform("papers", lambda p: F.concat_ws(" ", p["title"], p["url"])), ";"))
 
 
@@ -462,7 +462,7 @@ def session_cards(spark, sf):
         F.lit('</div></div><div class="track-schedule-card"><p>no title</p></div></main>'),
     )
     pages = table(spark, sf, "orders", spread="o_orderkey").select(F.col("o_orderkey").alias("page_id"), html.alias("html"))
-    return E.session_cards(E.extract_nodes(pages)).drop("pos")
+    return E.session_cards(E.extract_nodes(pages, containers=E.CARDS)).drop("pos")
 
 
 @query(

@@ -117,7 +117,7 @@ PAGE = """
 
 
 def test_calendar_page(spark):
-    nodes = E.extract_nodes(spark.createDataFrame([(1, PAGE)], "page_id long, html string"))
+    nodes = E.extract_nodes(spark.createDataFrame([(1, PAGE)], "page_id long, html string"), containers=C.EVENTS)
     rows = C.calendar_events(nodes, "https://e.org").orderBy("pos").collect()
     assert [(r.title, r.date, r.time, r.end_time, r.session_type, r.url) for r in rows] == [
         ("One & Two", "SAT 6 DEC", "8 a.m.", "11:00 AM", "Affinity Event", "https://e.org/e/1"),
@@ -131,7 +131,7 @@ def test_calendar_page(spark):
 
 
 def test_calendar_without_inherited_times(spark):
-    nodes = E.extract_nodes(spark.createDataFrame([(1, PAGE)], "page_id long, html string"))
+    nodes = E.extract_nodes(spark.createDataFrame([(1, PAGE)], "page_id long, html string"), containers=C.EVENTS)
     rows = C.calendar_events(nodes, "", inherit_time=False).collect()
     assert {r.title: r.time for r in rows if r.title in ("One & Two", "Booth", "Late")} == {"One & Two": "8 a.m.", "Booth": "", "Late": ""}
 
@@ -147,7 +147,7 @@ GROUP = """<main><h2>R1: Nets</h2><h5>Hall B</h5><div>Tue 19 May 1 p.m. PDT —
 
 
 def test_pages_to_published_sessions(spark):
-    entries = C.calendar_entries(E.extract_nodes(spark.createDataFrame([(1, CALENDAR)], "page_id long, html string")), "/v/")
+    entries = C.calendar_entries(E.extract_nodes(spark.createDataFrame([(1, CALENDAR)], "page_id long, html string"), containers=C.ENTRIES), "/v/")
     details = spark.createDataFrame([(7, "invited-talk", TALK), (8, "session", GROUP)], "page_id long, kind string, html string")
     details = E.detail_pages(details).select(F.col("page_id").cast("string").alias("id"), "detail")
     joined = entries.join(details, "id").withColumn("day", F.element_at(F.array(F.lit("MON 18 MAY")), F.col("day_no")))
@@ -352,3 +352,12 @@ def test_cascade_with_own_model_hooks(spark):
                     generator=lambda r, u: F.concat(u, F.lit("!"))).collect()
     assert [(r.rid, r["rank"], r.recommendation_reason) for r in sorted(got, key=lambda r: r["rank"])] == [
         (6, 1, "word!"), (5, 2, "word!"), (4, 3, "word!")]
+
+
+def test_containers_that_nest_in_their_own_kind(spark):
+    html = '<div class="c"><div class="c"><b>x</b></div><i>y</i></div><u>z</u>'
+    pages = spark.createDataFrame([("S1", html)], "page_id string, html string")
+    nodes = E.extract_nodes(pages, containers={"at": [E.Container("div", ("c",))]})
+    assert [(r.page_id, r.tag, r["at"]) for r in nodes.orderBy("pos").collect()] == [
+        ("S1", "div", 0), ("S1", "div", 1), ("S1", "b", 1), ("S1", "i", 0), ("S1", "u", None),
+    ]
