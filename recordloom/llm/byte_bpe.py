@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm.registry import query
-from recordloom.llm.shared import read
+from recordloom.llm.shared import read, short_batches
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Texts longer than this many characters are cut at safe places before they are encoded.
@@ -93,7 +93,7 @@ def _mapped(df: DataFrame, column: str, out: str, path: str, pattern: str, one)
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), values], [*names, out])
 
     kept = [f"`{n}` {t}" for n, t in df.dtypes if n not in (column, out)]
-    return df.mapInArrow(rows, ", ".join([*kept, f"`{out}` binary"]))
+    return short_batches(df).mapInArrow(rows, ", ".join([*kept, f"`{out}` binary"]))
 
 
 def encode(

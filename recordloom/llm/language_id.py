@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm.registry import query
-from recordloom.llm.shared import join_counted, keep, read
+from recordloom.llm.shared import join_counted, keep, read, short_batches
 from recordloom.llm.url_filter import url_host
 
 #: Bounds of what the text model is fitted on: about so many labelled documents, by a hash of the id.
@@ -79,7 +79,7 @@ def fit_text(docs: DataFrame, rows: int = SAMPLE_ROWS) -> TextModel:
                 ["lang", "place", "n"],
             )
 
-    sums = chosen.select("lang", "text").mapInArrow(count, "lang string, place int, n long")
+    sums = short_batches(chosen.select("lang", "text")).mapInArrow(count, "lang string, place int, n long")
     # languages times PLACES rows at most
     got = sums.groupBy("lang", "place").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r["lang"] for r in got})
@@ -114,7 +114,7 @@ def page_evidence(pages: DataFrame, model: TextModel, page_id: str = "page_id",
             )
 
     kept = ", ".join(f"{n} {t}" for n, t in rows.dtypes[:-1])
-    return rows.mapInArrow(score, f"{kept}, text array<double>, said int")
+    return short_batches(rows).mapInArrow(score, f"{kept}, text array<double>, said int")
 
 
 def _votes(rows: DataFrame, key: str, size: int) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from recordloom.llm.components import components
 from recordloom.llm.registry import query
-from recordloom.llm.shared import join_counted, keep, read, small
+from recordloom.llm.shared import join_counted, keep, read, short_batches, small
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -34,7 +34,7 @@ BLOCK = 256
 #: Shingles of such a block, about; groups of longer documents have more blocks.
 BLOCK_SHINGLES = 2_000_000
 #: Bytes of text that are hashed at once.
-SLICE = 2_000_000
+SLICE = 500_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _R = np.random.default_rng(7)
@@ -397,7 +397,7 @@ def near_groups(
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     docs = docs.withColumn("mark", F.xxhash64("doc_id", "text"))
     kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.mapInArrow(_sign, f"doc_id {kind}, mark long, n_shingles long, class long, signature binary")
+    rows = short_batches(docs).mapInArrow(_sign, f"doc_id {kind}, mark long, n_shingles long, class long, signature binary")
     rows = keep(rows, "near-rows")
     classes = rows.filter("class is not null").groupBy("class").agg(
         F.min("doc_id").alias("rep"), F.min("mark").alias("mark"), F.count("*").alias("n"),

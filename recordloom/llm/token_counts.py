@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from recordloom.llm.byte_bpe import RANKS, encoding, rank_bytes, safe_chunks
 from recordloom.llm.registry import query
-from recordloom.llm.shared import read
+from recordloom.llm.shared import read, short_batches
 
 RULES = ("start", "majority", "share")
 FIELDS = ("source", "lang", "text")
@@ -103,7 +103,7 @@ def section_tokens(
 
     named = docs.select(F.col(doc_id).alias("doc_id"), sections.alias("sections"))
     kind = dict(named.dtypes)["doc_id"]
-    return named.mapInArrow(
+    return short_batches(named).mapInArrow(
         rows, f"doc_id {kind}, section_no int, name string, start long, end long, n_tokens double, doc_tokens long"
     )
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm.registry import query
-from recordloom.llm.shared import keep, read
+from recordloom.llm.shared import keep, read, short_batches
 
 #: Bounds of what is fitted on: about so many labelled rows, chosen by a hash of their ids ...
 SAMPLE_ROWS = 20_000
@@ -113,14 +113,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 
 def _count_features(batches: Iterable[pa.RecordBatch]):
     for batch in batches:
-        rows: Counter = Counter()
-        for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
-            rows.update((name, toxic) for name in features(text))
-        names, toxic = zip(*rows) if rows else ((), ())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array(toxic, pa.int32()), pa.array(rows.values(), pa.int64())],
-            ["name", "toxic", "rows"],
-        )
+        for start in range(0, batch.num_rows, BATCH):  # a count holds the words of so many texts at most
+            part, rows = batch.slice(start, BATCH), Counter()
+            for toxic, text in zip(part.column("toxic").to_pylist(), part.column("text").to_pylist()):
+                rows.update((name, toxic) for name in features(text))
+            names, toxic = zip(*rows) if rows else ((), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), pa.array(toxic, pa.int32()), pa.array(rows.values(), pa.int64())],
+                ["name", "toxic", "rows"],
+            )
 
 
 def choose_features(sample: DataFrame, most: int = MAX_FEATURES) -> dict[str, int]:
@@ -128,7 +129,7 @@ def choose_features(sample: DataFrame, most: int = MAX_FEATURES) -> dict[str, in
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return {}
-    counts = sample.mapInArrow(_count_features, "name string, toxic int, rows long")
+    counts = short_batches(sample).mapInArrow(_count_features, "name string, toxic int, rows long")
     per = counts.groupBy("name").agg(*[F.sum(F.when(F.col("toxic") == t, F.col("rows")).otherwise(0)).alias(f"in_{t}") for t in (0, 1)])
     odds = {t: F.log((F.col(f"in_{t}") + 0.5) / (sizes[t] - F.col(f"in_{t}") + 0.5)) for t in (0, 1)}
     sure = F.sqrt(1 / (F.col("in_1") + 0.5) + 1 / (F.col("in_0") + 0.5))
@@ -159,7 +160,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, mo
             )
 
     # at most the sample's rows, each with the few chosen features that it holds
-    got = sample.mapInArrow(marked, "doc_id long, toxic int, at array<int>, n array<int>").collect()
+    got = short_batches(sample).mapInArrow(marked, "doc_id long, toxic int, at array<int>, n array<int>").collect()
     got.sort(key=lambda r: r["doc_id"])
     middle = np.median([sum(r["n"]) for r in got if r["toxic"]])
     rows_ = [
@@ -191,7 +192,7 @@ def grade_toxicity(docs: DataFrame, model: OrdinalModel, doc_id: str = "doc_id",
                 )
 
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return named.mapInArrow(rows, f"doc_id {dict(named.dtypes)['doc_id']}, severity double, grade int, p_toxic double, toxic boolean")
+    return short_batches(named).mapInArrow(rows, f"doc_id {dict(named.dtypes)['doc_id']}, severity double, grade int, p_toxic double, toxic boolean")
 
 
 @query("op5_toxicity")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm.registry import query
-from recordloom.llm.shared import join_counted, keep, read
+from recordloom.llm.shared import join_counted, keep, read, short_batches
 
 #: What parts units: an end of line, or one followed by an empty line.
 BREAKS = {"line": re.compile("\n"), "paragraph": re.compile("\n[ \t\r]*\n\\s*")}
@@ -55,7 +55,7 @@ def text_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", unit
 
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = dict(named.dtypes)["doc_id"]
-    return named.mapInArrow(rows, f"doc_id {kind}, start int, end int, words int, digest binary")
+    return short_batches(named).mapInArrow(rows, f"doc_id {kind}, start int, end int, words int, digest binary")
 
 
 def repeated_units(
