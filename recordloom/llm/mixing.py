@@ -183,11 +183,19 @@ class Mix:
         words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD))
         same = [F.col(doc_id).eqNullSafe(F.col("_id")), F.col(source).eqNullSafe(F.col("_source")), words == F.col("_size")]
         shown = docs.join(epochs, same[0] & same[1] & same[2]).withColumn("_epoch", F.explode("_epochs"))
-        cut = shown.withColumn("_words", F.regexp_extract_all(text, F.lit(SPACED_WORD), F.lit(1)))
-        part = F.flatten(
-            F.transform("_epoch.spans", lambda s: F.slice("_words", (s["first"] + 1).cast("int"), s["words"].cast("int")))
-        )
-        return cut.withColumn(text, F.array_join(part, "")).select(*docs.columns)
+        # a mark per word, so that the text is split once and not for every span
+        spans = F.col("_epoch.spans")
+
+        def mark(span, i):
+            last = F.get(spans, i - 1)
+            gap = span["first"] - F.when(i > 0, last["first"] + last["words"]).otherwise(0)
+            return F.concat(F.array_repeat(F.lit(False), gap.cast("int")), F.array_repeat(F.lit(True), span["words"].cast("int")))
+
+        marks = F.transform(spans, mark)
+        words = F.regexp_extract_all(text, F.lit(SPACED_WORD), F.lit(1))
+        marked = F.arrays_zip(words.alias("word"), F.flatten(marks).alias("taken"))
+        part = F.filter(marked, lambda w: w["taken"])["word"]
+        return shown.withColumn(text, F.array_join(part, "")).select(*docs.columns)
 
 
 @query("op4_source_mix")
