@@ -148,8 +148,12 @@ class Mix:
         )
 
     def rows(self) -> DataFrame:
-        """The mix: each slot's pieces, by shard and slot; blocks meet slots by source and index."""
-        return self.slots.join(self.pieces, ["source_no", "block"])
+        """The mix: each slot's pieces, by shard and slot; blocks meet slots by source and index.
+
+        Both grow with the corpus, which Spark cannot tell of rows made by ``explode``: without
+        the hint it would take the slots for as small as the sources and broadcast them.
+        """
+        return self.slots.hint("merge").join(self.pieces, ["source_no", "block"])
 
     def shard_counts(self) -> DataFrame:
         """How many slots each shard drew from each source."""
@@ -158,10 +162,10 @@ class Mix:
     def taken(self) -> DataFrame:
         """Per document, ``taken``: the words the mix takes from it, repeats counted."""
         times = self.slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
-        taken = self.pieces.join(times, ["source_no", "block"])
+        taken = self.pieces.join(times.hint("merge"), ["source_no", "block"])
         key = ["source_no", "start", "size"]
         taken = taken.groupBy(*key).agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-        return self.documents.join(taken, key, "left").select(
+        return self.documents.join(taken.hint("merge"), key, "left").select(
             "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
         )
 
@@ -182,7 +186,7 @@ class Mix:
         epochs = epochs.join(named, "source_no").select(F.col("doc_id").alias("_id"), "_source", F.col("size").alias("_size"), "_epochs")
         words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD))
         same = [F.col(doc_id).eqNullSafe(F.col("_id")), F.col(source).eqNullSafe(F.col("_source")), words == F.col("_size")]
-        shown = docs.join(epochs, same[0] & same[1] & same[2]).withColumn("_epoch", F.explode("_epochs"))
+        shown = docs.join(epochs.hint("merge"), same[0] & same[1] & same[2]).withColumn("_epoch", F.explode("_epochs"))
         # a mark per word, so that the text is split once and not for every span
         spans = F.col("_epoch.spans")
 

@@ -293,7 +293,7 @@ def candidate_groups(classes: DataFrame, most: int) -> DataFrame:
     """(node, root): classes joined into groups by signatures at most ``most`` positions apart."""
     posted = classes.select("class", F.explode(index_keys(F.col("signature"))).alias("key"))
     shared = posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = keep(posted.join(shared, "key"), "near-met")
+    met = keep(posted.join(shared.hint("merge"), "key"), "near-met")  # Spark cannot tell the size of exploded rows
     rows = met.join(classes.select("class", "signature"), "class")
     rows = dealt_blocks(rows, F.col("n"), 8 * BLOCK).select("key", "i", "j", "side", "class", "signature")
     return components(_in_groups(rows, ["key", "i", "j"], most, None), "near-groups")
