@@ -1,10 +1,11 @@
 """MinHash near-duplicates by a multi-index Hamming join.
 
-A document's signature is POSITIONS minima of its shingle hashes, BITS bits of each, in CHUNKS
-chunks. If two signatures differ in at most ``CHUNKS * (ERRORS + 1) - 1`` positions, then by the
-pigeonhole principle some chunk differs in at most ERRORS = 1 of its positions: all ways to
-leave out one position of a chunk are enumerated as keys, and the two share one of them. So
-every pair under that distance meets, and more distant ones mostly do.
+A document's signature is POSITIONS minima of its shingle hashes, a byte of each, in
+chunks, and each chunk bears a number of errors, chosen so that the sum of errors + 1 over the
+chunks is above the greatest distance looked at. By the pigeonhole principle some chunk of two
+signatures within that distance differs in no more positions than it bears: all ways to leave
+out so many positions of a chunk are enumerated as keys, and the two share one of them. So
+every pair within the distance meets.
 
 What meets is first compared by signature, inside the tasks, and only the links of a spanning
 forest leave a task. The groups they form are where full shingle sets are compared, again
@@ -14,6 +15,8 @@ inside the tasks and in blocks, so that no group is laid out as pairs.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +29,12 @@ from recordloom.llm.shared import join_counted, keep, read, short_batches, small
 
 WORDS = 5
 SIMILARITY = 0.8
-CHUNKS, CHUNK_SIZE = 9, 7
-POSITIONS = CHUNKS * CHUNK_SIZE
-GUARANTEED = 2 * CHUNKS - 1
+POSITIONS = 63
+#: The least distance that is looked at.
+GUARANTEED = 17
+#: Keys are made of so many positions, or fewer if there would be more than MAX_KEYS of them.
+KEY_POSITIONS = 4
+MAX_KEYS = 400
 #: Rows of a bucket or group that one task compares with as many others.
 BLOCK = 256
 #: Shingles of such a block, about; groups of longer documents have more blocks.
@@ -260,16 +266,35 @@ def _in_groups(rows: DataFrame, keys: list[str], most: int, percent: int | None,
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, "a long, b long")
 
 
-def index_keys(signature: Column) -> Column:
-    """Per chunk and position of it: a hash of the chunk's other positions."""
-    keys = []
-    for c in range(CHUNKS):
-        for k in range(CHUNK_SIZE):
-            begin = c * CHUNK_SIZE + 1
-            rest = [F.substring(signature, begin, k)] if k else []
-            rest += [F.substring(signature, begin + k + 1, CHUNK_SIZE - 1 - k)] if k < CHUNK_SIZE - 1 else []
-            keys.append(F.xxhash64(F.lit(c * CHUNK_SIZE + k), *rest))
-    return F.array(*keys)
+def kept_positions(most: int) -> list[list[int]]:
+    """The positions that each key is made of; signatures at most ``most`` positions apart share a key."""
+    for size in range(KEY_POSITIONS, 0, -1):
+        # as many chunks as fit: a chunk has the positions of a key and one more for each error
+        fits = [n for n in range(1, POSITIONS // size + 1) if size * n + max(0, most + 1 - n) <= POSITIONS]
+        if not fits:
+            continue
+        n = fits[-1]
+        even, more = divmod(max(0, most + 1 - n), n)
+        errors = [even + (c < more) for c in range(n)]
+        if sum(comb(size + e, e) for e in errors) <= MAX_KEYS:
+            starts = np.cumsum([0] + [size + e for e in errors]).tolist()
+            return [list(stay) for a, b in zip(starts, starts[1:]) for stay in combinations(range(a, b), size)]
+    return [[]]  # any two signatures meet
+
+
+def index_keys(signature: Column, most: int = GUARANTEED) -> Column:
+    """An array with a hash of every choice of ``kept_positions``: how two signatures meet that are ``most`` apart."""
+    choices = kept_positions(most)
+
+    @F.arrow_udf("array<bigint>")
+    def keys(marks: pa.Array) -> pa.Array:
+        rows = np.frombuffer(b"".join(marks.to_pylist()), np.uint8).reshape(-1, POSITIONS)
+        places = _mix(rows.astype(np.uint64) + np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(256))
+        found = np.stack([np.bitwise_xor.reduce(places[:, stay], axis=1) for stay in choices], axis=1)
+        bounds = np.arange(0, found.size + 1, len(choices), dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(bounds), pa.array(found.view(np.int64).ravel()))
+
+    return keys(signature)
 
 
 def dealt_blocks(rows: DataFrame, n: Column, per_block: int = BLOCK) -> DataFrame:
@@ -291,7 +316,7 @@ def dealt_blocks(rows: DataFrame, n: Column, per_block: int = BLOCK) -> DataFram
 
 def candidate_groups(classes: DataFrame, most: int) -> DataFrame:
     """(node, root): classes joined into groups by signatures at most ``most`` positions apart."""
-    posted = classes.select("class", F.explode(index_keys(F.col("signature"))).alias("key"))
+    posted = classes.select("class", F.explode(index_keys(F.col("signature"), most)).alias("key"))
     shared = posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     met = keep(posted.join(shared.hint("merge"), "key"), "near-met")  # Spark cannot tell the size of exploded rows
     rows = met.join(classes.select("class", "signature"), "class")
@@ -386,9 +411,11 @@ def near_groups(
     Rows with the same set are one class and linked whatever their ids; null ids do not
     count for component_id, and a component of nothing else has null and keeps its rows.
 
-    Pairs up to ``most`` signature positions apart are looked at. By default that is the mean
-    of pairs at the threshold and four and a half standard deviations, which leaves out about
-    one in 100,000 of those. All pairs up to GUARANTEED positions apart meet in the index.
+    Pairs up to ``most`` signature positions apart are looked at, and all of them meet in the
+    index. By default that is the mean of pairs at the threshold and four and a half standard
+    deviations; what is left out are pairs whose signatures are further apart than that: of
+    pairs of exactly the threshold 2 in 100,000 at 0.85 and 3 at 0.8, 0.7 at 0.7 (binomial).
+    Lower thresholds need more and shorter keys.
     """
     percent = round(100 * similarity)
     if most is None:

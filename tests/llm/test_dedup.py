@@ -113,6 +113,22 @@ def test_every_pair_under_the_guaranteed_distance_shares_a_key(spark):
     assert df.filter(shared).count() == 200
 
 
+@pytest.mark.parametrize("most", [18, 22, 26, 35, 49, POSITIONS])
+def test_every_pair_that_is_looked_at_shares_a_key(spark, most):
+    draw, rows = random.Random(most), []
+    for i in range(300):
+        a = bytes(draw.randrange(256) for _ in range(POSITIONS))
+        b = bytearray(a)
+        # as even over the chunks as can be, and at random
+        even = [p for k in range(7) for p in range(k, POSITIONS, 7)][:most]
+        for p in even if i % 2 else draw.sample(range(POSITIONS), most):
+            b[p] ^= 1 + draw.randrange(255)
+        rows.append((i, bytearray(a), b))
+    df = spark.createDataFrame(rows, "i int, a binary, b binary")
+    keys = [near_dedup.index_keys(F.col(c), most) for c in "ab"]
+    assert df.filter(F.arrays_overlap(*keys)).count() == 300
+
+
 def test_signatures_estimate_similarity():
     a = words(1, 400)
     x, y = signatures(shingle_sets([a.encode(), edited(a, 1, 8).encode()]))
