@@ -10,29 +10,42 @@ from recordloom.llm.byte_bpe import RANKS, round_trip
 from recordloom.llm.exact_dedup import exact_groups
 from recordloom.llm.mixing import Mix
 from recordloom.llm.near_dedup import near_groups
-from recordloom.llm.shared import keep, read, small
-from recordloom.llm.toxicity import fit_toxicity, grade_toxicity
+from recordloom.llm.shared import keep, read, row_key, small
+from recordloom.llm.toxicity import fit_toxicity, without_toxic
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the ids of ``dropped``; rows without an id stay."""
-    return docs.join(small(keep(dropped.select("doc_id").distinct(), "dropped")), "doc_id", "left_anti").select(*docs.columns)
+#: The column of row keys inside a dedup stage.
+ROW = "_row"
+
+
+def without(keyed: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` that ``groups``, made over its row keys, keeps; one of rows that are the same throughout."""
+    hashes = ["_one", "_two"]
+    rows = groups.select(F.col("doc_id.one").alias("_one"), F.col("doc_id.two").alias("_two"), "kept")
+    rows = keep(rows.groupBy(*hashes).agg(F.count("*").alias("n"), F.max("kept").alias("kept")).filter("n > 1 or not kept"), "verdicts")
+    gone, same = rows.filter("not kept").select(*hashes), rows.filter("kept").select(*hashes)
+    named = keyed.withColumns({h: F.col(f"{ROW}.{h[1:]}") for h in hashes}).drop(ROW)
+    left = named.join(small(gone), hashes, "left_anti")
+    once = left.join(small(same), hashes, "left_anti")
+    again = left.join(small(same), hashes, "left_semi").dropDuplicates(hashes)
+    return once.unionAll(again).drop(*hashes)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the graded model rejects go; it is fitted on the labelled ones of ``docs``."""
-    model = fit_toxicity(docs, read(spark, sf_dir, "labels"))
-    return without(docs, grade_toxicity(docs, model).filter("toxic"))
+    """Rows whose text the graded model rejects go; it is fitted on the labelled ones of ``docs``."""
+    return without_toxic(docs, fit_toxicity(docs, read(spark, sf_dir, "labels")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The longest writing of each text stays."""
-    return without(docs, exact_groups(docs).filter("not kept"))
+    """The longest writing of each text stays, in one row, also where ids are null or repeated."""
+    keyed = docs.withColumn(ROW, row_key(docs))
+    return without(keyed, exact_groups(keyed, ROW))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
-    return without(docs, near_groups(docs).filter("not kept"))
+    """One row of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
+    keyed = docs.withColumn(ROW, row_key(docs))
+    return without(keyed, near_groups(keyed, ROW))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

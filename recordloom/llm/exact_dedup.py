@@ -59,9 +59,9 @@ def exact_groups(
 
     read_whole = rows.join(small(suspects.select(*pair)), pair, "left_semi")
     read_whole = keep(read_whole.withColumn("full", F.sha2("content", 256)).drop("content", "prefix"), "exact-read")
-    order = F.struct("points", F.col("doc_id").isNotNull(), -F.coalesce("doc_id", F.lit(0)))
+    order = F.struct(-F.col("points"), F.col("doc_id").isNull(), "doc_id")
     groups = read_whole.groupBy("length", "full").agg(
-        F.max_by(F.struct("doc_id"), order).alias("best"), F.count("*").alias("n")
+        F.min_by(F.struct("doc_id"), order).alias("best"), F.count("*").alias("n")
     )
     groups = keep(groups.select("length", "full", F.col("best.doc_id").alias("keep_id"), "n"), "exact-groups")
     found = join_counted(read_whole, groups, ["length", "full"], "n", ["doc_id"])

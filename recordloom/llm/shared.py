@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.session import work_dir
@@ -29,6 +29,17 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_key(df: DataFrame, doc_id: str = "doc_id") -> Column:
+    """A key of every row by all its columns, for rows whose ids may be null or repeated.
+
+    Keys are ordered as ids are, null last, then by two 64-bit hashes. Only rows that are the
+    same throughout share a key.
+    """
+    whole = [*df.columns, *[F.col(c).isNull() for c in df.columns]]  # hashes pass over nulls
+    hashes = [F.xxhash64(F.lit(i), *whole).alias(name) for i, name in enumerate(("one", "two"))]
+    return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), *hashes)
+
+
 def short_batches(df: DataFrame) -> DataFrame:
     """``df``, and a session whose Arrow batches have TEXT_ROWS rows at most.
 

@@ -195,6 +195,20 @@ def grade_toxicity(docs: DataFrame, model: OrdinalModel, doc_id: str = "doc_id",
     return short_batches(named).mapInArrow(rows, f"doc_id {dict(named.dtypes)['doc_id']}, severity double, grade int, p_toxic double, toxic boolean")
 
 
+def without_toxic(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not ``toxic`` by their own text, whatever their ids."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_FEATURES
+
+    def rows(batches):
+        model = sent.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, BATCH):
+                part = batch.slice(start, BATCH)
+                yield part.filter(pa.array([bool(model.above(t.as_py())[0] < REJECT) for t in part.column(text)], pa.bool_()))
+
+    return short_batches(docs).mapInArrow(rows, docs.schema)
+
+
 @query("op5_toxicity")
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
