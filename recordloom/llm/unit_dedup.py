@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm.registry import query
-from recordloom.llm.shared import join_counted, keep, read, short_batches
+from recordloom.llm.shared import join_counted, keep, read, row_key, short_batches
 
 #: What parts units: an end of line, or one followed by an empty line.
 BREAKS = {"line": re.compile("\n"), "paragraph": re.compile("\n[ \t\r]*\n\\s*")}
@@ -86,9 +86,17 @@ def repeated_units(
 
 
 def without_spans(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the characters of ``spans`` (doc_id, start, end), and the break after each."""
+    """``docs`` without the characters of ``spans`` (doc_id, start, end), and the break after each.
+
+    Spans name rows by their ids, null included, which must not repeat where there are spans;
+    for other tables there is ``without_repeats``.
+    """
     per = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
-    joined = docs.join(per.withColumnRenamed("doc_id", "_id"), F.col(doc_id) == F.col("_id"), "left").drop("_id")
+    per = keep(per.withColumnRenamed("doc_id", "_id"), "unit-cuts")
+    ids = docs.select(F.col(doc_id).alias("_doc")).groupBy("_doc").count().filter("count > 1")
+    if not ids.join(per, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi").isEmpty():
+        raise ValueError("ids repeat, so spans do not tell their rows: use without_repeats")
+    joined = docs.join(per, F.col(doc_id).eqNullSafe(F.col("_id")), "left").drop("_id")
 
     @F.udf("string")
     def cut(value, spans):
@@ -97,12 +105,24 @@ def without_spans(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", tex
         out, at = [], 0
         for s in spans:
             out.append(value[at : s["start"]])
-            at = s["end"] + (value[s["end"] : s["end"] + 1] == "\n")
+            at = max(at, s["end"] + (value[s["end"] : s["end"] + 1] == "\n"))
         return "".join([*out, value[at:]])
 
     return joined.withColumn(text, cut(text, "_spans")).select(*docs.columns)
 
 
+def without_repeats(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", unit: str = "line", min_words: int = MIN_WORDS
+) -> DataFrame:
+    """``docs`` without their repeated units: every row is cut at its own, one copy stays in the corpus.
+
+    Ids may be null or repeat. Rows are named by ``row_key`` and a number, written with them.
+    """
+    key = F.struct(row_key(docs, doc_id).alias("row"), F.monotonically_increasing_id().alias("number"))
+    keyed = keep(docs.withColumn("_row", key), "unit-rows")
+    return without_spans(keyed, repeated_units(keyed, "_row", text, unit, min_words), "_row", text).select(*docs.columns)
+
+
 @query(
     "op3_line_dedup",
     """
