@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +38,32 @@ def units_of(text: str | None, unit: str = "line") -> Iterator[tuple[int, int, i
         start = onward
 
 
-def text_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", unit: str = "line") -> DataFrame:
-    """doc_id, start, end, words and digest of every unit; nothing for null and empty texts."""
+def passages_of(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int, bytes]]:
+    """(start, end, words, digest) of the shortest runs of lines with ``min_words`` words, from and up to every line.
+
+    Lines without words do not count. Whatever its line lengths, a passage of so many words is
+    covered by those of its runs that lie inside it: up to its last line, and from those before.
+    """
+    lines = list(units_of(text))
+    sums = [0, *accumulate(n for _, _, n, _ in lines)]
+    runs = set()
+    for i in range(len(lines)):
+        if (j := bisect_left(sums, sums[i] + min_words, i + 1)) <= len(lines):
+            runs.add((i, j))
+        if sums[i + 1] >= min_words:
+            runs.add((bisect_right(sums, sums[i + 1] - min_words, 0, i + 1) - 1, i + 1))
+    for i, j in sorted(runs):
+        digest = hashlib.sha256(b"".join(line[3] for line in lines[i:j])).digest()[:16]
+        yield lines[i][0], lines[j - 1][1], sums[j] - sums[i], digest
+
+
+def text_units(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", unit: str = "line", min_words: int = MIN_WORDS
+) -> DataFrame:
+    """doc_id, start, end, words and digest of every unit; nothing for null and empty texts.
+
+    Units are lines, paragraphs or, as ``passage``, runs of lines of ``min_words`` words, which overlap.
+    """
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "end", "words", "digest"]
@@ -46,7 +72,8 @@ def text_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", unit
             types[0] = batch.schema.field("doc_id").type
             held: list[tuple] = []
             for i, value in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                held += [(i, *u) for u in units_of(value.as_py(), unit)]
+                units = passages_of(value.as_py(), min_words) if unit == "passage" else units_of(value.as_py(), unit)
+                held += [(i, *u) for u in units]
                 if len(held) >= BATCH_ROWS:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
                     held = []
@@ -68,8 +95,11 @@ def repeated_units(
     a null id comes last. Every other one is a row, in the same document or another. ``copies``
     counts all. Rows that repeat an id and a text are equal units at one place, of which one
     stays and the others are rows.
+
+    With ``unit="passage"`` a repeated passage of short lines gives spans too; they may overlap,
+    and every line in one of them stays in another place.
     """
-    units = keep(text_units(docs, doc_id, text, unit).filter(F.col("words") >= min_words), "unit-digests")
+    units = keep(text_units(docs, doc_id, text, unit, min_words).filter(F.col("words") >= min_words), "unit-digests")
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "start", "end")
     first = units.groupBy("digest").agg(F.count("*").alias("copies"), F.min(rank).alias("first"))
     first = first.filter("copies > 1").select(
@@ -112,7 +142,7 @@ def without_spans(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", tex
 
 
 def without_repeats(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", unit: str = "line", min_words: int = MIN_WORDS
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", unit: str = "passage", min_words: int = MIN_WORDS
 ) -> DataFrame:
     """``docs`` without their repeated units: every row is cut at its own, one copy stays in the corpus.
 
@@ -150,3 +180,46 @@ def without_repeats(
 )
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_units(read(spark, folder, "documents"))
+
+
+@query(
+    "op3_passage_dedup",
+    """
+    with lines as (
+      select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+        generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as place
+      from documents),
+    placed as (
+      select doc_id, place, line, cast(coalesce(sum(length(line) + 1) over (
+        partition by doc_id order by place rows between unbounded preceding and 1 preceding), 0) as integer) as start
+      from lines),
+    worded as (
+      select doc_id, start, cast(start + length(line) as integer) as "end",
+        regexp_extract_all(translate(
+          line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as said
+      from placed),
+    units as (
+      select doc_id, start, "end", array_to_string(said, ' ') as said, len(said) as words,
+        row_number() over w as i, cast(sum(len(said)) over w as bigint) as upto
+      from worded where len(said) > 0 window w as (partition by doc_id order by start)),
+    whole as (select doc_id, list(said order by i) as says, list(start order by i) as starts, list("end" order by i) as ends, list(upto order by i) as sums
+      from units group by doc_id),
+    runs as (
+      select a.doc_id, a.i as i, b.i as j from units a asof join units b on a.doc_id = b.doc_id and a.upto - a.words + 20 <= b.upto
+      union
+      select a.doc_id, b.i as i, a.i as j from (select *, upto - 20 as least from units) a
+        asof join (select *, upto - words as before from units) b on a.doc_id = b.doc_id and a.least >= b.before),
+    passages as (
+      select doc_id, starts[i] as start, ends[j] as "end", array_to_string(says[i:j], chr(10)) as said,
+        cast(sums[j] - case when i > 1 then sums[i - 1] else 0 end as integer) as words
+      from runs join whole using (doc_id)),
+    ranked as (
+      select doc_id, start, "end", words,
+        row_number() over w as n, count(*) over (partition by said) as copies,
+        first_value(doc_id) over w as keep_id, first_value(start) over w as keep_start, first_value("end") over w as keep_end
+      from passages window w as (partition by said order by doc_id, start))
+    select doc_id, start, "end", words, keep_id, keep_start, keep_end, copies from ranked where n > 1
+    """,
+)
+def op3_passage_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_units(read(spark, folder, "documents"), unit="passage")

@@ -1,11 +1,34 @@
 """Repeated units are cut out of the rows they are in."""
 
+import random
+
 import pytest
 
-from recordloom.llm.unit_dedup import repeated_units, without_repeats, without_spans
+from recordloom.llm.unit_dedup import passages_of, repeated_units, without_repeats, without_spans
 from tests.llm.tables import docs, words
 
 
+def test_a_repeated_passage_of_short_lines_goes(spark):
+    passage = "\n".join(words(60 + k, 3 + k % 4) for k in range(14))
+    df = docs(spark, [(1, f"a\n{passage}\nb", None, None, None), (2, f"c\n{passage}\n\nd", None, None, None), (3, "a\nb", None, None, None)])
+    assert repeated_units(df).count() == 0
+    got = {r["doc_id"]: r["text"] for r in without_repeats(df).collect()}
+    assert got == {1: f"a\n{passage}\nb", 2: "c\n\nd", 3: "a\nb"}
+
+
+def test_passages_of_every_layout_are_covered(spark):
+    draw = random.Random(8)
+    for k in range(50):
+        passage = "\n".join(words(1000 * k + i, draw.randint(1, 9)) for i in range(30))
+        df_rows = [(1, f"{words(k, 3)}\n{passage}\n{words(k + 1, 2)}"), (2, f"{words(k + 2, 4)}\n{passage}\n{words(k + 3, 5)}")]
+        places = [{u[3]: u for u in passages_of(t)} for _, t in df_rows]
+        left = df_rows[1][1]
+        cut = sorted(u[:2] for d, u in places[1].items() if d in places[0])
+        covered = {c for a, b in cut for c in range(a, b + 1)}
+        rest = "".join(c for i, c in enumerate(left) if i not in covered)
+        assert rest == f"{words(k + 2, 4)}\n{words(k + 3, 5)}"
+
+
 def test_rows_are_cut_by_themselves(spark):
     unit, other = words(70, 25), words(71, 25)
     rows = [(5, unit), (5, unit), (5, f"{other}\nx"), (None, f"y\n{unit}"), (None, f"{other}\nz"), (6, other)]
