@@ -2,6 +2,7 @@
 
 from recordloom.llm import (
     byte_bpe,
+    conversation_repair,
     exact_dedup,
     language_id,
     mixing,
@@ -17,6 +18,7 @@ from recordloom.llm.registry import ORACLES, QUERIES
 __all__ = [
     "ORACLES", "QUERIES",
     "byte_bpe",
+    "conversation_repair",
     "exact_dedup",
     "language_id",
     "mixing",
