@@ -43,18 +43,28 @@ LEGAL = ("su", "ua", "au")
 BATCH = 1_000
 
 
+#: LEAD[x][y]: whatever can follow in state y can follow in x for so much more at most. A survivor that
+#: is more than that behind another one can't be part of the cheapest way, and is dropped.
+LEAD = {
+    START: {SYSTEM: 0, USER: INSERT, ASSISTANT: 0},
+    SYSTEM: {START: 2 * INSERT, USER: INSERT, ASSISTANT: 2 * INSERT},
+    USER: {START: INSERT + DELETE, SYSTEM: INSERT, ASSISTANT: INSERT},
+    ASSISTANT: {START: DELETE, SYSTEM: 0, USER: INSERT},
+}
+
+
 class Node:
-    """One step of a way: roles put in before a row, and what becomes of the row."""
+    """One step of a way: roles put in before a row, what becomes of the row, and how many rows after it must go."""
 
-    __slots__ = ("parent", "children", "inserts", "letter", "role", "row")
+    __slots__ = ("parent", "children", "inserts", "letter", "role", "row", "gone")
 
     def __init__(self, parent, inserts=(), letter="", role=None, row=None):
-        self.parent, self.children = parent, 0
+        self.parent, self.children, self.gone = parent, 0, 0
         self.inserts, self.letter, self.role, self.row = inserts, letter, role, row
 
 
-def _ways() -> dict[tuple[int, str, bool], list[tuple]]:
-    """(state, initial, must go) to all that can be done with a row: (cost, letters, inserts, role or None to keep it, next state).
+def _ways() -> dict[tuple[int, str], list[tuple]]:
+    """(state, initial) to all that can be done with a row: (cost, letters, inserts, role or None to keep it, next state).
 
     Roles are put in before rows that stay only: before a row that goes, the same edits in the
     other order cost the same and come first.
@@ -62,9 +72,7 @@ def _ways() -> dict[tuple[int, str, bool], list[tuple]]:
     ways = {}
     for state in NEXT:
         for initial in ("s", "u", "a", ""):
-            gone = (DELETE, "D", (), None, state)
-            ways[state, initial, True] = [gone]
-            found = [gone]
+            found = [(DELETE, "D", (), None, state)]
             if state == START and initial == "s":
                 found.append((0, "K", (), None, SYSTEM))
             at, inserts, cost = state, (), 0
@@ -74,7 +82,7 @@ def _ways() -> dict[tuple[int, str, bool], list[tuple]]:
                     found.append((cost, "I" * len(inserts) + "K", inserts, None, then))
                 found.append((cost + REROLE, "I" * len(inserts) + "R", inserts, role, then))
                 at, inserts, cost = then, (*inserts, role), cost + INSERT
-            ways[state, initial, False] = found
+            ways[state, initial] = found
     return ways
 
 
@@ -82,42 +90,53 @@ WAYS = _ways()
 
 
 class Walk:
-    """The walk over one conversation. ``emit(letter, role, row)`` gets every edit once all survivors agree on it."""
+    """The walk over one conversation. ``emit(letter, role, row)`` gets every edit once all survivors agree on it.
 
-    def __init__(self, emit: Callable):
-        self.emit, self.cost = emit, 0
+    A run of rows that must go is a number in the leaves: ``gone(n)`` gets it in its place.
+    """
+
+    def __init__(self, emit: Callable, gone: Callable):
+        self.emit, self.gone = emit, gone
         self.root = Node(None)
         self.survivors = {START: (0, 0, self.root)}  # state: cost, place in the order of letters, leaf
 
-    def row(self, initial: str, must_go: bool, extra: int, row) -> None:
+    def must_go(self) -> None:
+        """One more row, which can only be deleted."""
+        for state, (cost, order, leaf) in self.survivors.items():
+            leaf.gone += 1
+            self.survivors[state] = (cost + DELETE, order, leaf)
+        if len(self.survivors) == 1:
+            self.gone(self.root.gone)
+            self.root.gone = 0
+
+    def row(self, initial: str, extra: int, row) -> None:
         """One more row. ``extra`` is what it costs unless it goes; ``row`` is handed on."""
         initial = initial if initial in ("s", "u", "a") else ""
         best: dict[int, tuple] = {}
         for state, (cost, order, leaf) in self.survivors.items():
-            for more, letters, inserts, role, then in WAYS[state, initial, must_go]:
+            for more, letters, inserts, role, then in WAYS[state, initial]:
                 key = (cost + more + (0 if letters == "D" else extra), order, letters)
                 if then not in best or key < best[then][0]:
                     best[then] = (key, leaf, inserts, role)
         old = [leaf for _, _, leaf in self.survivors.values()]
         self.survivors = {}
-        ordered = sorted(best.items(), key=lambda x: x[1][0][1:])
+        behind = [y for y in best if any(best[y][0][0] > best[x][0][0] + LEAD[x][y] for x in best if x != y)]
+        ordered = sorted((x for x in best.items() if x[0] not in behind), key=lambda x: x[1][0][1:])
         for place, (state, ((cost, _, letters), leaf, inserts, role)) in enumerate(ordered):
             leaf.children += 1
             self.survivors[state] = (cost, place, Node(leaf, inserts, letters[-1], role, row))
         for leaf in old:
             while leaf is not None and leaf.children == 0:
-                leaf, gone = leaf.parent, leaf
-                gone.parent = None
+                leaf, out = leaf.parent, leaf
+                out.parent = None
                 if leaf is not None:
                     leaf.children -= 1
         if self.root.children == 1:
             self._agree()
 
     def _agree(self) -> None:
-        """Write out what all survivors share: the way down to the first node with several children."""
-        leaf = next(iter(self.survivors.values()))[2]
-        way = self._way(leaf)
-        for node in way:
+        """Write out what all survivors share: the way down to the first node with several children, or none."""
+        for node in self._way(next(iter(self.survivors.values()))[2]):
             if self.root.children != 1:
                 break
             self._write(node)
@@ -131,6 +150,9 @@ class Walk:
         return way[::-1]
 
     def _write(self, node: Node) -> None:
+        """Write out a child of the root, after the rows that must go before it."""
+        if self.root.gone:
+            self.gone(self.root.gone)
         for role in node.inserts:
             self.emit("I", role, None)
         self.emit(node.letter, node.role, node.row)
@@ -141,6 +163,9 @@ class Walk:
         (cost, _), state, leaf = min(ends, key=lambda x: x[0])
         for node in self._way(leaf):
             self._write(node)
+            self.root = node
+        if self.root.gone:
+            self.gone(self.root.gone)
         for role in LACKS[state]:
             self.emit("I", role, None)
         return cost
@@ -201,7 +226,10 @@ def _events(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def _walk_row(walk: Walk, role: str, fault: str | None, row) -> None:
-    walk.row(role[:1], fault in (BLANK, DUPLICATE), LEFT_TRUNCATED if fault == TRUNCATED else 0, row)
+    if fault in (BLANK, DUPLICATE):
+        walk.must_go()
+    else:
+        walk.row(role[:1], LEFT_TRUNCATED if fault == TRUNCATED else 0, row)
 
 
 def _packed(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -211,16 +239,18 @@ def _packed(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def repair_edits(conversations: DataFrame, **names) -> DataFrame:
-    """The edits of every conversation: conv_id, place, edit, turn, role, text.
+    """The edits of every conversation: conv_id, row, step, edit, turn, role, text.
 
-    ``edit`` is Keep, Rerole, Delete or Insert, ``place`` counts a conversation's edits from 1, and
-    role and text are what stands there after the repair (for Delete, what stood there before).
-    The repaired conversation is the rows but for Delete. Names and order as for ``ordered_rows``.
+    ``edit`` is Keep, Rerole, Delete or Insert; role and text are what stands there after the repair
+    (for Delete, what stood there before). ``row`` counts a conversation's rows from 1. What is put in
+    comes before its row as step 0, the row is step 1; what is put in at the end has a row of its
+    own. So (row, step) is the order, and the repaired conversation is all but Delete. Names and
+    order of rows as for ``ordered_rows``.
     """
     rows = ordered_rows(conversations, **names)
     ids = StructType([StructField(n, rows.schema[n].dataType) for n in ("conv_id", "turn")])
     schema = StructType([
-        ids["conv_id"], StructField("place", LongType()), StructField("edit", StringType()), ids["turn"],
+        ids["conv_id"], StructField("row", LongType()), StructField("step", LongType()), StructField("edit", StringType()), ids["turn"],
         StructField("role", StringType()), StructField("text", StringType()),
     ])
     arrow = to_arrow_schema(schema)
@@ -230,23 +260,37 @@ def repair_edits(conversations: DataFrame, **names) -> DataFrame:
         out, walk = [], None
 
         def fresh(conv_id):
-            place = 0
+            waiting = []  # what is put in before the next row
 
             def emit(letter, role, row):
-                nonlocal place
-                place += 1
-                turn, old, text = row or (None, None, "")
-                out.append((conv_id, place, words[letter], turn, role or old, text))
+                if letter == "I":
+                    waiting.append(role)
+                    return
+                n, turn, old, text = row
+                put_in(conv_id, n, waiting)
+                out.append((conv_id, n, 1, words[letter], turn, role or old, text))
+
+            return Walk(emit, lambda n: None), waiting
+
+        def put_in(conv_id, n, waiting):
+            out.extend((conv_id, n, step, "Insert", None, role, "") for step, role in enumerate(waiting))
+            waiting.clear()
 
-            return Walk(emit)
+        def finish(conv_id, n):
+            walk.end()
+            put_in(conv_id, n + 1, waiting)
 
+        n, at, waiting = 0, None, []
         for conv_id, row in _events(batches):
             if row is None:
                 if walk is not None:
-                    walk.end()
-                walk = fresh(conv_id)
+                    finish(at, n)
+                (walk, waiting), at, n = fresh(conv_id), conv_id, 0
             else:
-                _walk_row(walk, row[1], row[3], row[:3])
+                n += 1
+                if row[3] in (BLANK, DUPLICATE):  # certain at once
+                    out.append((conv_id, n, 1, "Delete", *row[:3]))
+                _walk_row(walk, row[1], row[3], (n, *row[:3]))
             if len(out) >= BATCH:
                 yield _packed(out, arrow)
         if out:
@@ -264,7 +308,7 @@ class Digest:
         self.faults = dict.fromkeys((BLANK, DUPLICATE, TRUNCATED), 0)
         self.illegal, self.initial = 0, None
         self.audit, self.hash, self.empty = [], hashlib.sha256(), True
-        self.walk = Walk(self.edit)
+        self.walk = Walk(self.edit, lambda n: self.audit.append("D" * n))
 
     def row(self, turn, role: str, text: str, fault: str | None) -> None:
         if turn is not None and turn != self.last:

@@ -108,10 +108,10 @@ def test_damage_and_query(spark, tmp_path):
 def test_edits_are_the_repaired_rows(spark):
     rows = draw_rows(4, 80)
     df = spark.createDataFrame(rows, SCHEMA)
-    edits = repair_edits(df).orderBy("conv_id", "place").collect()
+    edits = repair_edits(df).orderBy("conv_id", "row", "step").collect()
     for conv_id, *_, audit, digest in got(repair_digests(df)):
         own = [r for r in edits if r["conv_id"] == conv_id]
-        assert "".join(r["edit"][0] for r in own) == audit and [r["place"] for r in own] == list(range(1, len(own) + 1))
+        assert "".join(r["edit"][0] for r in own) == audit
         text = "\n".join(f"{r['role']}:{r['text']}" for r in own if r["edit"] != "Delete")
         assert hashlib.sha256(text.encode()).hexdigest() == digest
 
@@ -119,11 +119,17 @@ def test_edits_are_the_repaired_rows(spark):
 def test_survivors_agree_early():
     """A long conversation is written out on the way: what is not agreed on stays short."""
     written, most = [], 0
-    walk = Walk(lambda letter, role, row: written.append(letter))
+    walk = Walk(lambda letter, role, row: written.append(letter), lambda n: written.append("D" * n))
     draw = random.Random(5)
     for i in range(20_000):
-        walk.row("ua"[i % 2] if draw.random() < 0.9 else "s", draw.random() < 0.05, 0, i)
+        if draw.random() < 0.05:
+            walk.must_go()
+        else:
+            walk.row("ua"[i % 2] if draw.random() < 0.9 else "s", draw.randint(0, 1), i)
         most = max(most, len(walk._way(next(iter(walk.survivors.values()))[2])))
     assert most < 200
+    for _ in range(100_000):
+        walk.must_go()
+    assert len(walk._way(next(iter(walk.survivors.values()))[2])) < 200
     walk.end()
-    assert sum(x != "I" for x in written) == 20_000
+    assert sum(x != "I" for x in "".join(written)) == 120_000
