@@ -8,6 +8,7 @@ from recordloom.llm import (
     mixing,
     near_dedup,
     permutation_index,
+    subspace_dedup,
     token_counts,
     toxicity,
     unit_dedup,
@@ -24,6 +25,7 @@ __all__ = [
     "mixing",
     "near_dedup",
     "permutation_index",
+    "subspace_dedup",
     "token_counts",
     "toxicity",
     "unit_dedup",
