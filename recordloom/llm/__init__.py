@@ -4,6 +4,7 @@ from recordloom.llm import (
     byte_bpe,
     conversation_repair,
     exact_dedup,
+    hard_negatives,
     language_id,
     mixing,
     near_dedup,
@@ -21,6 +22,7 @@ __all__ = [
     "byte_bpe",
     "conversation_repair",
     "exact_dedup",
+    "hard_negatives",
     "language_id",
     "mixing",
     "near_dedup",
