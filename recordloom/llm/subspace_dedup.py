@@ -26,16 +26,18 @@ from recordloom.llm.registry import query
 from recordloom.llm.shared import join_counted, keep, read
 from recordloom.llm.vectors import centres_of, lengths, matrix, not_zero, sample, usable
 
-BLOCK_DIMS = 8
+BLOCK_DIMS = 16
 #: Vectors that live in a cell, about, and the most cells of a block.
 CELL = 4_096
 MOST_CELLS = 256
-#: Rows of a cell that one task compares with as many others; larger cells are dealt to pairs of parts.
-PART = 16_384
-#: What rounding may add to squared distances of unit vectors and to distances from borders.
-SLACK = 1e-6
-#: Rows, and pairs, that are looked at together inside a task.
-STEP, PAIRS = 256, 50_000
+#: Vectors that are placed together; those of one cell are one row of the shuffle.
+CHUNK = 8_192
+#: Bytes of vectors of a cell that one task compares with as many others; larger cells are dealt to pairs of parts.
+PART_BYTES = 32_000_000
+#: What rounding may add to squared distances of unit vectors, also in single precision, and to distances from borders.
+SLACK = 1e-5
+#: Rows on either side of a tile of pairs, and pairs, that are looked at together inside a task.
+TILE, PAIRS = (128, 4_096), 20_000
 
 
 class Space:
@@ -50,10 +52,9 @@ class Space:
         turned = unit(some) @ self.turn
         self.centres = [centres_of(turned[:, b], cells) for b in self.blocks]
 
-    def spots(self, x: np.ndarray) -> list[list[int]]:
-        """For each vector the cells it lives in (odd) and visits (even), as 2 * (block * MOST_CELLS + cell) + home."""
+    def cells(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(cell, places, home) of all cells that some of the vectors live in or visit. Cells count through all blocks."""
         turned = unit(x) @ self.turn
-        out: list[list[int]] = [[] for _ in x]
         for k, (block, budget, centres) in enumerate(zip(self.blocks, self.budgets, self.centres)):
             far = np.sum((turned[:, None, block] - centres[None]) ** 2, axis=2)
             home = far.argmin(1)
@@ -63,9 +64,9 @@ class Space:
             for c in range(len(centres)):
                 # the border between c and another centre is so far on the other side, for those who live before c
                 border = ((far[:, c, None] - far) / (2 * apart[c])).max(1)
-                for i in np.flatnonzero((home == c) | ((home < c) & (border <= reach))):
-                    out[i].append(2 * (k * MOST_CELLS + c) + int(home[i] == c))
-        return out
+                there = np.flatnonzero((home == c) | ((home < c) & (border <= reach)))
+                if len(there):
+                    yield k * MOST_CELLS + c, there, home[there] == c
 
     def first_block(self, difference: np.ndarray) -> np.ndarray:
         """The first block within its budget for each row, or -1. Every step is one rounding, the same in every task."""
@@ -115,31 +116,49 @@ class _Links:
                 self.label[np.isin(self.label, roots)] = roots[0]
 
 
+def _close_pairs(here: np.ndarray, there: np.ndarray, budget: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (in ``here``, in ``there``) of pairs within a squared distance, tile by tile.
+
+    With ``same`` the rows of ``here`` are the first of ``there``, and a pair comes once.
+    """
+    one = lambda x: np.ones((len(x), 1), np.float32)
+    squares = lambda x: (x * x).sum(1, keepdims=True)
+    left = np.hstack([-2 * here, squares(here) - np.float32(budget), one(here)])
+    right = np.ascontiguousarray(np.hstack([there, one(there), squares(there)]).T)
+    for a in range(0, len(here), TILE[0]):
+        for b in range(a // TILE[1] * TILE[1] if same else 0, len(there), TILE[1]):
+            p, q = np.divmod(np.flatnonzero(left[a : a + TILE[0]] @ right[:, b : b + TILE[1]] <= 0), min(TILE[1], len(there) - b))
+            p, q = p + a, q + b
+            if same:
+                p, q = p[q > p], q[q > p]
+            if len(p):
+                yield p, q
+
+
 def _link(space: Space, block: int, x: np.ndarray, home: np.ndarray, side: np.ndarray | None, weights: np.ndarray) -> _Links:
     """Links of one task: of everyone with everyone, or of side 0 with side 1. Visitors don't meet each other."""
     scaled = x / np.exp2(np.frexp(np.abs(x).max(1))[1])[:, None]
     norms = np.sqrt((scaled * scaled).sum(1))
     units = unit(x)
-    here = units @ space.turn[:, space.blocks[block]]
-    squares = (here * here).sum(1)
+    short = units.astype(np.float32)
+    here = (units @ space.turn[:, space.blocks[block]]).astype(np.float32)
     found, budget = _Links(weights), space.budgets[block] + SLACK
-    rows, others = (np.arange(len(x)),) * 2 if side is None else (np.flatnonzero(side == s) for s in (0, 1))
-    for a in range(0, len(rows), STEP):
-        at = rows[a : a + STEP]
-        near = squares[at, None] + squares[others] - 2 * (here[at] @ here[others].T) <= budget
-        near &= home[at, None] | home[others]
-        if side is None:
-            near &= others > at[:, None]
-        if near.mean() > 0.05:  # many copies: leave out what is clearly further apart, all at once
-            near &= units[at] @ units[others].T >= space.similarity - SLACK
-        p, q = np.nonzero(near)
-        p, q = at[p], others[q]
-        for b in range(0, len(p), PAIRS):
-            i, j = p[b : b + PAIRS], q[b : b + PAIRS]
-            close = _cosines(scaled, norms, i, j) >= space.similarity
-            i, j = i[close], j[close]
-            first = space.first_block(units[i] - units[j]) == block
-            found.add(i[first], j[first])
+    if side is None:
+        meetings = [(np.flatnonzero(home), np.concatenate([np.flatnonzero(home), np.flatnonzero(~home)]), True)]
+    else:
+        lives, visits = np.flatnonzero(home & (side == 0)), np.flatnonzero(~home & (side == 0))
+        meetings = [(lives, np.flatnonzero(side == 1), False), (visits, np.flatnonzero(home & (side == 1)), False)]
+    for rows, others, same in meetings:
+        for p, q in _close_pairs(here[rows], here[others], budget, same):
+            p, q = rows[p], others[q]
+            for b in range(0, len(p), PAIRS):
+                i, j = p[b : b + PAIRS], q[b : b + PAIRS]
+                near = np.einsum("nd,nd->n", short[i], short[j]) >= space.similarity - SLACK
+                i, j = i[near], j[near]
+                close = _cosines(scaled, norms, i, j) >= space.similarity
+                i, j = i[close], j[close]
+                first = space.first_block(units[i] - units[j]) == block
+                found.add(i[first], j[first])
     return found
 
 
@@ -149,36 +168,49 @@ def _links(classes: DataFrame, width: int, similarity: float, rows: int) -> Data
     cells = min(MOST_CELLS, max(1, -(-rows // CELL)))
     space = spark.sparkContext.broadcast(Space(sample(classes), similarity, cells))
     kind = np.float32 if dict(classes.dtypes)["vector"] == "array<float>" else np.float64
+    part_rows = max(CHUNK, PART_BYTES // (8 * width))
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            ids, weights = (table.column(c).to_numpy() for c in ("class", "n"))
+            x = matrix(table.column("vector").combine_chunks())
+            short = x.astype(kind)
+            out = [(c, ids[at[0]], len(at), ids[at].tobytes(), weights[at].tobytes(), home.tobytes(), short[at].tobytes()) for c, at, home in space.value.cells(x)]
+            types = (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["cell", "chunk", "rows", "ids", "weights", "home", "x"])
+
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for a in range(0, batch.num_rows, 1_000):
-                part = batch.slice(a, 1_000)
-                x = matrix(part.column("vector"))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("class"), part.column("n"), pa.array([v.tobytes() for v in x.astype(kind)], pa.binary()),
-                     pa.array(space.value.spots(x), pa.list_(pa.int32()))],
-                    ["class", "n", "x", "spots"],
-                )
-
-    placed = keep(classes.select("class", "n", "vector").mapInArrow(place, "class long, n long, x binary, spots array<int>"), "subspace-placed")
-    spread = placed.withColumn("spot", F.explode("spots")).drop("spots")
-    spread = spread.select("class", "n", "x", (F.col("spot") / 2).cast("int").alias("cell"), (F.col("spot") % 2 == 1).alias("home"))
+            for a in range(0, batch.num_rows, CHUNK):
+                held.append(batch.slice(a, CHUNK))
+                if sum(b.num_rows for b in held) >= CHUNK:
+                    yield packed(held)
+                    held = []
+        if held:
+            yield packed(held)
+
+    schema = "cell int, chunk long, rows long, ids binary, weights binary, home binary, x binary"
+    placed = keep(classes.select("class", "n", "vector").mapInArrow(place, schema), "subspace-placed")
     # a row per block and cell: at most MOST_CELLS for every BLOCK_DIMS components
-    parts = spread.groupBy("cell").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    dealt = spread.join(F.broadcast(keep(parts, "subspace-parts")), "cell")
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("class", "cell"), F.col("parts")).cast("int"))
+    parts = placed.groupBy("cell").agg(F.ceil(F.sum("rows") / part_rows).cast("int").alias("parts"))
+    dealt = placed.join(F.broadcast(keep(parts, "subspace-parts")), "cell")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("chunk", "cell"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select(
         "cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
-        (F.col("part") > F.col("other")).cast("int").alias("side"), "home", "class", "n", "x",
+        (F.col("part") > F.col("other")).cast("int").alias("side"), "ids", "weights", "home", "x", "rows",
     )
 
     def link(table: pa.Table) -> pa.Table:
-        x = np.frombuffer(b"".join(table.column("x").to_pylist()), kind).reshape(table.num_rows, width).astype(float)
-        home, side, weights, ids = (table.column(c).to_numpy() for c in ("home", "side", "n", "class"))
+        def whole(name, kind):
+            return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+
+        ids, weights, home = whole("ids", np.int64), whole("weights", np.int64), whole("home", bool)
+        x = whole("x", kind).reshape(len(ids), width).astype(float)
         cell, i, j = (table.column(c)[0].as_py() for c in ("cell", "i", "j"))
-        found = _link(space.value, cell // MOST_CELLS, x, home, None if i == j else side, weights)
+        side = None if i == j else np.repeat(table.column("side").to_numpy(), table.column("rows").to_numpy())
+        found = _link(space.value, cell // MOST_CELLS, x, home, side, weights)
         some = np.flatnonzero(found.counts)
         return pa.table({"class": ids[some], "n": found.counts[some], "root": ids[found.label[some]]})
 

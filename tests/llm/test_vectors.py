@@ -65,7 +65,8 @@ def clustered(seed, width, n, spread):
 @pytest.mark.parametrize("width, cell, part", [(64, 4096, 16384), (64, 40, 64), (13, 60, 100), (3, 50, 90)])
 def test_links_equal_brute_force(spark, monkeypatch, width, cell, part):
     monkeypatch.setattr(subspace_dedup, "CELL", cell)
-    monkeypatch.setattr(subspace_dedup, "PART", part)
+    monkeypatch.setattr(subspace_dedup, "PART_BYTES", part * 8 * width)
+    monkeypatch.setattr(subspace_dedup, "CHUNK", part // 2)
     rows = clustered(width, width, 600, 0.33)
     rows += [(1000 + i, rows[i % 7][1]) for i in range(90)]  # equal vectors
     want = brute_near(rows, 0.9)
@@ -75,7 +76,9 @@ def test_links_equal_brute_force(spark, monkeypatch, width, cell, part):
 
 def test_one_large_group_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(subspace_dedup, "CELL", 100)
-    monkeypatch.setattr(subspace_dedup, "PART", 150)
+    monkeypatch.setattr(subspace_dedup, "PART_BYTES", 150 * 8 * 16)
+    monkeypatch.setattr(subspace_dedup, "CHUNK", 40)
+    monkeypatch.setattr(subspace_dedup, "TILE", (16, 64))
     draw = np.random.default_rng(3)
     x = draw.normal(size=(900, 16))
     x[::3] = x[0] + 0.05 * draw.normal(size=(300, 16))
@@ -108,14 +111,13 @@ def test_every_close_pair_meets_in_its_first_block():
     x[250:] = x[:250] + 0.4 * draw.normal(size=(250, 24))
     x /= np.linalg.norm(x, axis=1)[:, None]
     space = Space(x, 0.9, 12)
-    spots = space.spots(x)
     first = space.first_block(x[:250] - x[250:])
     close = (x[:250] * x[250:]).sum(1) >= 0.9
     assert close.sum() > 50 and (first[close] >= 0).all()
+    cells = {c: dict(zip(at.tolist(), home.tolist())) for c, at, home in space.cells(x)}
     for i in np.flatnonzero(first >= 0):
-        cells = [{s // 2 for s in spots[k] if s // 2 // subspace_dedup.MOST_CELLS == first[i]} for k in (i, i + 250)]
-        homes = [{s // 2 for s in spots[k] if s % 2} for k in (i, i + 250)]
-        assert cells[0] & cells[1] & (homes[0] | homes[1])
+        together = [m for c, m in cells.items() if c // subspace_dedup.MOST_CELLS == first[i] and i in m and i + 250 in m]
+        assert any(m[i] or m[i + 250] for m in together)
 
 
 def test_centres_of_equal_rows():
