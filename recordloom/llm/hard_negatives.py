@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from recordloom.llm.registry import query
 from recordloom.llm.shared import keep, read
-from recordloom.llm.vectors import centres_of, lengths, matrix, sample, usable
+from recordloom.llm.vectors import centres_of, lengths, matrix, sample, squared_distances, usable
 
 #: The most codes of a half. There are about as many as the fourth root of the rows, so cells hold about their square root.
 MOST_CODES = 64
@@ -52,8 +52,8 @@ class Book:
         """For each half the nearest code of each row, and the distance from it."""
         out = []
         for h, centres in zip(self.halves, self.centres):
-            far = ((x[:, None, h] - centres[None]) ** 2).sum(2)
-            out.append((far.argmin(1), np.sqrt(far.min(1))))
+            near = squared_distances(x[:, h], centres).argmin(1)
+            out.append((near, np.sqrt(((x[:, h] - centres[near]) ** 2).sum(1))))
         return out
 
     def bounds(self, anchor: np.ndarray) -> list[np.ndarray]:

@@ -24,16 +24,16 @@ from pyspark.sql import functions as F
 from recordloom.llm.components import components
 from recordloom.llm.registry import query
 from recordloom.llm.shared import join_counted, keep, read
-from recordloom.llm.vectors import centres_of, lengths, matrix, not_zero, sample, usable
+from recordloom.llm.vectors import centres_of, lengths, matrix, not_zero, sample, squared_distances, usable
 
 BLOCK_DIMS = 16
 #: Vectors that live in a cell, about, and the most cells of a block.
 CELL = 4_096
 MOST_CELLS = 256
 #: Vectors that are placed together; those of one cell are one row of the shuffle.
-CHUNK = 8_192
+CHUNK = 4_096
 #: Bytes of vectors of a cell that one task compares with as many others; larger cells are dealt to pairs of parts.
-PART_BYTES = 32_000_000
+PART_BYTES = 16_000_000
 #: What rounding may add to squared distances of unit vectors, also in single precision, and to distances from borders.
 SLACK = 1e-5
 #: Rows on either side of a tile of pairs, and pairs, that are looked at together inside a task.
@@ -56,7 +56,7 @@ class Space:
         """(cell, places, home) of all cells that some of the vectors live in or visit. Cells count through all blocks."""
         turned = unit(x) @ self.turn
         for k, (block, budget, centres) in enumerate(zip(self.blocks, self.budgets, self.centres)):
-            far = np.sum((turned[:, None, block] - centres[None]) ** 2, axis=2)
+            far = squared_distances(turned[:, block], centres)
             home = far.argmin(1)
             apart = np.sqrt(np.sum((centres[:, None] - centres[None]) ** 2, axis=2))
             np.fill_diagonal(apart, np.inf)

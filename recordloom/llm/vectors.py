@@ -38,7 +38,7 @@ def sample(vectors: DataFrame, n: int = SAMPLE, seed: str = "sample") -> np.ndar
     return np.array([r["vector"] for r in few], float)
 
 
-def _squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+def squared_distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Squared distances of all rows from all centres."""
     return np.maximum((x * x).sum(1)[:, None] + (centres * centres).sum(1)[None] - 2 * (x @ centres.T), 0)
 
@@ -48,7 +48,7 @@ def centres_of(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     some = np.unique(x, axis=0)
     centres = some[np.random.default_rng(11).permutation(len(some))[:k]]
     for _ in range(rounds):
-        near = _squared(x, centres).argmin(1)
+        near = squared_distances(x, centres).argmin(1)
         sums = np.zeros_like(centres)
         np.add.at(sums, near, x)
         counts = np.bincount(near, minlength=len(centres))
