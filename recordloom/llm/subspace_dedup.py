@@ -28,12 +28,12 @@ from recordloom.llm.vectors import centres_of, lengths, matrix, not_zero, sample
 
 BLOCK_DIMS = 16
 #: Vectors that live in a cell, about, and the most cells of a block.
-CELL = 4_096
+CELL = 8_192
 MOST_CELLS = 256
-#: Vectors that are placed together; those of one cell are one row of the shuffle.
-CHUNK = 4_096
+#: Bytes of vectors that are placed together; those of one cell are one row of the shuffle.
+CHUNK_BYTES = 256_000
 #: Bytes of vectors of a cell that one task compares with as many others; larger cells are dealt to pairs of parts.
-PART_BYTES = 16_000_000
+PART_BYTES = 32_000_000
 #: What rounding may add to squared distances of unit vectors, also in single precision, and to distances from borders.
 SLACK = 1e-5
 #: Rows on either side of a tile of pairs, and pairs, that are looked at together inside a task.
@@ -91,11 +91,15 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(squared)[:, None]
 
 
-def _cosines(x: np.ndarray, norms: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    dots = np.zeros(len(p))
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The cosine of each row of x and the same row of y. Rows are scaled by powers of two first, which changes no digit."""
+    x, y = (v / np.exp2(np.frexp(np.abs(v).max(1))[1])[:, None] for v in (x, y))
+    dots, one, two = np.zeros((3, len(x)))
     for d in range(x.shape[1]):
-        dots += x[p, d] * x[q, d]
-    return dots / (norms[p] * norms[q])
+        dots += x[:, d] * y[:, d]
+        one += x[:, d] * x[:, d]
+        two += y[:, d] * y[:, d]
+    return dots / (np.sqrt(one) * np.sqrt(two))
 
 
 class _Links:
@@ -137,11 +141,10 @@ def _close_pairs(here: np.ndarray, there: np.ndarray, budget: float, same: bool)
 
 def _link(space: Space, block: int, x: np.ndarray, home: np.ndarray, side: np.ndarray | None, weights: np.ndarray) -> _Links:
     """Links of one task: of everyone with everyone, or of side 0 with side 1. Visitors don't meet each other."""
-    scaled = x / np.exp2(np.frexp(np.abs(x).max(1))[1])[:, None]
-    norms = np.sqrt((scaled * scaled).sum(1))
-    units = unit(x)
-    short = units.astype(np.float32)
-    here = (units @ space.turn[:, space.blocks[block]]).astype(np.float32)
+    short, here = np.empty(x.shape, np.float32), np.empty((len(x), len(space.turn[0, space.blocks[block]])), np.float32)
+    for a in range(0, len(x), PAIRS):  # whole rows in double precision are made for some at a time only
+        units = unit(x[a : a + PAIRS].astype(float))
+        short[a : a + PAIRS], here[a : a + PAIRS] = units, units @ space.turn[:, space.blocks[block]]
     found, budget = _Links(weights), space.budgets[block] + SLACK
     if side is None:
         meetings = [(np.flatnonzero(home), np.concatenate([np.flatnonzero(home), np.flatnonzero(~home)]), True)]
@@ -155,9 +158,10 @@ def _link(space: Space, block: int, x: np.ndarray, home: np.ndarray, side: np.nd
                 i, j = p[b : b + PAIRS], q[b : b + PAIRS]
                 near = np.einsum("nd,nd->n", short[i], short[j]) >= space.similarity - SLACK
                 i, j = i[near], j[near]
-                close = _cosines(scaled, norms, i, j) >= space.similarity
-                i, j = i[close], j[close]
-                first = space.first_block(units[i] - units[j]) == block
+                one, two = x[i].astype(float), x[j].astype(float)
+                close = cosines(one, two) >= space.similarity
+                i, j, one, two = i[close], j[close], one[close], two[close]
+                first = space.first_block(unit(one) - unit(two)) == block if len(i) else []
                 found.add(i[first], j[first])
     return found
 
@@ -168,7 +172,8 @@ def _links(classes: DataFrame, width: int, similarity: float, rows: int) -> Data
     cells = min(MOST_CELLS, max(1, -(-rows // CELL)))
     space = spark.sparkContext.broadcast(Space(sample(classes), similarity, cells))
     kind = np.float32 if dict(classes.dtypes)["vector"] == "array<float>" else np.float64
-    part_rows = max(CHUNK, PART_BYTES // (8 * width))
+    chunk = max(1, CHUNK_BYTES // (4 * width))
+    part_rows = max(chunk, PART_BYTES // (8 * width))
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -182,9 +187,9 @@ def _links(classes: DataFrame, width: int, similarity: float, rows: int) -> Data
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            for a in range(0, batch.num_rows, CHUNK):
-                held.append(batch.slice(a, CHUNK))
-                if sum(b.num_rows for b in held) >= CHUNK:
+            for a in range(0, batch.num_rows, chunk):
+                held.append(batch.slice(a, chunk))
+                if sum(b.num_rows for b in held) >= chunk:
                     yield packed(held)
                     held = []
         if held:
@@ -207,7 +212,7 @@ def _links(classes: DataFrame, width: int, similarity: float, rows: int) -> Data
             return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
         ids, weights, home = whole("ids", np.int64), whole("weights", np.int64), whole("home", bool)
-        x = whole("x", kind).reshape(len(ids), width).astype(float)
+        x = whole("x", kind).reshape(len(ids), width)
         cell, i, j = (table.column(c)[0].as_py() for c in ("cell", "i", "j"))
         side = None if i == j else np.repeat(table.column("side").to_numpy(), table.column("rows").to_numpy())
         found = _link(space.value, cell // MOST_CELLS, x, home, side, weights)

@@ -66,7 +66,7 @@ def clustered(seed, width, n, spread):
 def test_links_equal_brute_force(spark, monkeypatch, width, cell, part):
     monkeypatch.setattr(subspace_dedup, "CELL", cell)
     monkeypatch.setattr(subspace_dedup, "PART_BYTES", part * 8 * width)
-    monkeypatch.setattr(subspace_dedup, "CHUNK", part // 2)
+    monkeypatch.setattr(subspace_dedup, "CHUNK_BYTES", part * 2 * width)
     rows = clustered(width, width, 600, 0.33)
     rows += [(1000 + i, rows[i % 7][1]) for i in range(90)]  # equal vectors
     want = brute_near(rows, 0.9)
@@ -77,7 +77,7 @@ def test_links_equal_brute_force(spark, monkeypatch, width, cell, part):
 def test_one_large_group_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(subspace_dedup, "CELL", 100)
     monkeypatch.setattr(subspace_dedup, "PART_BYTES", 150 * 8 * 16)
-    monkeypatch.setattr(subspace_dedup, "CHUNK", 40)
+    monkeypatch.setattr(subspace_dedup, "CHUNK_BYTES", 40 * 4 * 16)
     monkeypatch.setattr(subspace_dedup, "TILE", (16, 64))
     draw = np.random.default_rng(3)
     x = draw.normal(size=(900, 16))
