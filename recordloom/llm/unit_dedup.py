@@ -115,30 +115,37 @@ def repeated_units(
     return moved.unionAll(twice.select(*columns, F.explode(F.sequence(F.lit(2).cast("long"), "count")).alias("_")).drop("_"))
 
 
+def _cut(value: str | None, spans: list[dict] | None) -> str | None:
+    if not spans or value is None:
+        return value
+    out, at = [], 0
+    for s in spans:
+        out.append(value[at : s["start"]])
+        at = max(at, s["end"] + (value[s["end"] : s["end"] + 1] == "\n"))
+    return "".join([*out, value[at:]])
+
+
 def without_spans(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the characters of ``spans`` (doc_id, start, end), and the break after each.
 
     Spans name rows by their ids, null included, which must not repeat where there are spans;
     for other tables there is ``without_repeats``.
     """
-    per = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
-    per = keep(per.withColumnRenamed("doc_id", "_id"), "unit-cuts")
-    ids = docs.select(F.col(doc_id).alias("_doc")).groupBy("_doc").count().filter("count > 1")
-    if not ids.join(per, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi").isEmpty():
+    per = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    per = keep(per.withColumnRenamed("doc_id", "id"), "unit-cuts")
+    rows = short_batches(docs).select(F.struct(*docs.columns).alias("doc"))
+    own = F.col("doc").getField(doc_id)
+    ids = docs.select(F.col(doc_id).alias("doc_id")).groupBy("doc_id").count().filter("count > 1")
+    if not ids.join(per, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").isEmpty():
         raise ValueError("ids repeat, so spans do not tell their rows: use without_repeats")
-    joined = docs.join(per, F.col(doc_id).eqNullSafe(F.col("_id")), "left").drop("_id")
+    joined = rows.join(per, own.eqNullSafe(F.col("id")), "left")
 
-    @F.udf("string")
-    def cut(value, spans):
-        if not spans or value is None:
-            return value
-        out, at = [], 0
-        for s in spans:
-            out.append(value[at : s["start"]])
-            at = max(at, s["end"] + (value[s["end"] : s["end"] + 1] == "\n"))
-        return "".join([*out, value[at:]])
+    @F.arrow_udf("string")
+    def cut(values: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([_cut(value.as_py(), own) for value, own in zip(values, spans.to_pylist())], pa.string())
 
-    return joined.withColumn(text, cut(text, "_spans")).select(*docs.columns)
+    whole = cut(F.col("doc").getField(text), F.col("spans"))
+    return joined.select(*[(whole if c == text else F.col("doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def without_repeats(
@@ -149,8 +156,9 @@ def without_repeats(
     Ids may be null or repeat. Rows are named by ``row_key`` and a number, written with them.
     """
     key = F.struct(row_key(docs, doc_id).alias("row"), F.monotonically_increasing_id().alias("number"))
-    keyed = keep(docs.withColumn("_row", key), "unit-rows")
-    return without_spans(keyed, repeated_units(keyed, "_row", text, unit, min_words), "_row", text).select(*docs.columns)
+    name = max(docs.columns, key=len) + "_"  # longer than any column's name, so none of them
+    keyed = keep(docs.withColumn(name, key), "unit-rows")
+    return without_spans(keyed, repeated_units(keyed, name, text, unit, min_words), name, text).select(*docs.columns)
 
 
 @query(
@@ -164,26 +172,41 @@ def without_repeats(
       select doc_id, place, line, cast(coalesce(sum(length(line) + 1) over (
         partition by doc_id order by place rows between unbounded preceding and 1 preceding), 0) as integer) as start
       from lines),
-    units as (
+    worded as (
       select doc_id, start, cast(start + length(line) as integer) as "end",
-        array_to_string(regexp_extract_all(translate(
-          line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), ' ') as said,
-        cast(len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) as integer) as words
+        regexp_extract_all(translate(
+          line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as said
       from placed),
+    units as (
+      select doc_id, start, "end", array_to_string(said, ' ') as said, len(said) as words,
+        row_number() over w as i, cast(sum(len(said)) over w as bigint) as upto
+      from worded where len(said) > 0 window w as (partition by doc_id order by start)),
+    whole as (select doc_id, list(said order by i) as says, list(start order by i) as starts, list("end" order by i) as ends, list(upto order by i) as sums
+      from units group by doc_id),
+    runs as (
+      select a.doc_id, a.i as i, b.i as j from units a asof join units b on a.doc_id = b.doc_id and a.upto - a.words + 20 <= b.upto
+      union
+      select a.doc_id, b.i as i, a.i as j from (select *, upto - 20 as least from units) a
+        asof join (select *, upto - words as before from units) b on a.doc_id = b.doc_id and a.least >= b.before),
+    passages as (
+      select doc_id, starts[i] as start, ends[j] as "end", array_to_string(says[i:j], chr(10)) as said,
+        cast(sums[j] - case when i > 1 then sums[i - 1] else 0 end as integer) as words
+      from runs join whole using (doc_id)),
     ranked as (
       select doc_id, start, "end", words,
         row_number() over w as n, count(*) over (partition by said) as copies,
         first_value(doc_id) over w as keep_id, first_value(start) over w as keep_start, first_value("end") over w as keep_end
-      from units where words >= 20 window w as (partition by said order by doc_id, start))
+      from passages window w as (partition by said order by doc_id, start))
     select doc_id, start, "end", words, keep_id, keep_start, keep_end, copies from ranked where n > 1
     """,
 )
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return repeated_units(read(spark, folder, "documents"))
+    """Repeated runs of lines: a line of enough words alone, shorter ones together with their neighbours."""
+    return repeated_units(read(spark, folder, "documents"), unit="passage")
 
 
 @query(
-    "op3_passage_dedup",
+    "op3_long_line_dedup",
     """
     with lines as (
       select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
@@ -193,33 +216,20 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
       select doc_id, place, line, cast(coalesce(sum(length(line) + 1) over (
         partition by doc_id order by place rows between unbounded preceding and 1 preceding), 0) as integer) as start
       from lines),
-    worded as (
+    units as (
       select doc_id, start, cast(start + length(line) as integer) as "end",
-        regexp_extract_all(translate(
-          line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as said
+        array_to_string(regexp_extract_all(translate(
+          line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), ' ') as said,
+        cast(len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) as integer) as words
       from placed),
-    units as (
-      select doc_id, start, "end", array_to_string(said, ' ') as said, len(said) as words,
-        row_number() over w as i, cast(sum(len(said)) over w as bigint) as upto
-      from worded where len(said) > 0 window w as (partition by doc_id order by start)),
-    whole as (select doc_id, list(said order by i) as says, list(start order by i) as starts, list("end" order by i) as ends, list(upto order by i) as sums
-      from units group by doc_id),
-    runs as (
-      select a.doc_id, a.i as i, b.i as j from units a asof join units b on a.doc_id = b.doc_id and a.upto - a.words + 20 <= b.upto
-      union
-      select a.doc_id, b.i as i, a.i as j from (select *, upto - 20 as least from units) a
-        asof join (select *, upto - words as before from units) b on a.doc_id = b.doc_id and a.least >= b.before),
-    passages as (
-      select doc_id, starts[i] as start, ends[j] as "end", array_to_string(says[i:j], chr(10)) as said,
-        cast(sums[j] - case when i > 1 then sums[i - 1] else 0 end as integer) as words
-      from runs join whole using (doc_id)),
     ranked as (
       select doc_id, start, "end", words,
         row_number() over w as n, count(*) over (partition by said) as copies,
         first_value(doc_id) over w as keep_id, first_value(start) over w as keep_start, first_value("end") over w as keep_end
-      from passages window w as (partition by said order by doc_id, start))
+      from units where words >= 20 window w as (partition by said order by doc_id, start))
     select doc_id, start, "end", words, keep_id, keep_start, keep_end, copies from ranked where n > 1
     """,
 )
-def op3_passage_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return repeated_units(read(spark, folder, "documents"), unit="passage")
+def op3_long_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for lone lines only."""
+    return repeated_units(read(spark, folder, "documents"))

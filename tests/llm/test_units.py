@@ -40,3 +40,13 @@ def test_rows_are_cut_by_themselves(spark):
         without_spans(df, repeated_units(df))
     alone = docs(spark, [(1, unit, None, None, None), (None, f"{unit}\nz", None, None, None)])
     assert {r["text"] for r in without_spans(alone, repeated_units(alone)).collect()} == {unit, "z"}
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["_id", "_doc", "_spans", "_row", "id", "doc", "spans", "start", "end"]
+    rows = [(i, t, None, None, None) for i, t in [(1, words(7, 25)), (2, words(7, 25) + "\nx")]]
+    df = docs(spark, rows).drop(*names).selectExpr("*", *[f"'{c}' as `{c}`" for c in names])
+    for got in (without_repeats(df), without_spans(df, repeated_units(df))):
+        assert got.columns == df.columns
+        assert {r["doc_id"]: r["text"] for r in got.collect()} == {1: words(7, 25), 2: "x"}
+        assert all(r[c] == c for r in got.collect() for c in names)
