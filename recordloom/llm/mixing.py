@@ -1,11 +1,12 @@
 """Mix sources to target weights: fixed-length blocks, drawn counts per shard, permuted indexes.
 
 Every source is one long stream of words, cut into blocks of the same length. Its target says
-how many slots of the output its blocks fill. A pseudorandom permutation of all slots deals them
-to shards: what a shard gets of each source is a multinomial draw, conditioned on the totals
-(a draw without replacement), so that shards vary and sources still meet their targets. The
-slots of a source count through a pseudorandom permutation of its blocks, again and again
-if the target is above the source's size, and slots and blocks meet by source and index.
+how many slots of the output its blocks fill. The output is shards of so many slots, and every slot
+draws its source by the shares of the targets: the counts of a shard are a multinomial draw. A
+source's slots are numbered through the shards; those beyond its target, which lie in the last
+shards, go to the sources that drew too few, so that all meet their targets. The numbers of a
+source count through a pseudorandom permutation of its blocks, again and again if the target
+is above the source's size, and slots and blocks meet by source and index.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordloom.llm.registry import query
-from recordloom.llm.shared import keep, read, small
+from recordloom.llm.shared import keep, read, row_key, small
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: A word with the white space before it.
@@ -27,6 +28,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEAT = 3
 ROUNDS = 20
 ROWS_AT_ONCE = 65_536
+#: Up to so many sources their shares are an expression; of more, slots are dealt by one permutation.
+DRAWN_SOURCES = 1_000
 
 
 def permuted(index: Column, n: Column, *key: Column) -> Column:
@@ -75,17 +78,90 @@ def source_targets(
     return levels.select("source", "source_no", "source_size", target.alias("target"))
 
 
+#: What tells a row of ``documents`` from all others.
+ROW = ["one", "two", "copy"]
+
+
+def _counted(df: DataFrame, n: str, name: str, key: list[str]) -> DataFrame:
+    """``df`` with each row ``n`` times and numbered from 0, without ``n``: in two steps, as one row may stand for most."""
+    step = F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(ROWS_AT_ONCE).cast("long")))
+    steps = df.withColumn("from", step).repartition(*key, "from")
+    upto = F.least(F.col("from") + ROWS_AT_ONCE, n) - 1
+    return steps.withColumn(name, F.explode(F.sequence("from", upto))).drop("from", n)
+
+
+def _dealt_slots(of: DataFrame, shard_slots: int, seed: int) -> DataFrame:
+    """shard, slot, source_no, k, blocks: the slots of ``of`` (source_no, blocks, n) in the order of one permutation.
+
+    What a shard gets of each source is then a multinomial draw, conditioned on the totals.
+    """
+    all_before = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
+    of = of.withColumn("begin", F.coalesce(F.sum("n").over(all_before), F.lit(0))).withColumn("all", F.sum("n").over(Window.partitionBy()))
+    slots = _counted(of.withColumn("times", F.col("n")), "times", "k", ["source_no"])
+    place = permuted(F.col("begin") + F.col("k"), F.col("all"), F.lit(seed))
+    slots = slots.select(place.alias("place"), "source_no", "k", "blocks")
+    return slots.select(F.expr(f"place div {shard_slots}").alias("shard"), F.expr(f"place % {shard_slots}").alias("slot"), "source_no", "k", "blocks")
+
+
+def _drawn_slots(of: DataFrame, shard_slots: int, seed: int) -> DataFrame:
+    """shard, slot, source_no, k, blocks: every slot draws its source; those beyond a target go where some are lacking.
+
+    ``of`` (source_no, blocks, n) has at most DRAWN_SOURCES rows, which are read by the driver and
+    become expressions. ``k`` numbers the slots of a source from 0 to n - 1.
+    """
+    spark = of.sparkSession
+    sources = sorted((r["source_no"], r["blocks"], r["n"]) for r in of.collect())
+    total = sum(n for _, _, n in sources)
+    at = spark.range(total).select(F.expr(f"id div {shard_slots}").alias("shard"), F.expr(f"id % {shard_slots}").alias("slot"))
+
+    def pick(values: list, place: Column) -> Column:
+        return F.get(F.array(*map(F.lit, values or [0])), place)
+
+    def steps(counts: list[int]) -> list[int]:
+        return [sum(counts[: i + 1]) for i in range(len(counts))]
+
+    def place_of(x: Column, bounds: list[int]) -> Column:
+        """How many of the rising ``bounds`` are at or below x."""
+        return F.size(F.filter(F.array(*map(F.lit, bounds or [0])), lambda b: b <= x))
+
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.lit("source"), "shard", "slot"), F.lit(max(total, 1)))
+    drawn = at.withColumn("no", place_of(draw, steps([n for _, _, n in sources])))
+    # numbers inside a shard, of which none has more slots than the others
+    inside = Window.partitionBy("shard", "no").orderBy("slot")
+    drawn = keep(drawn.withColumn("k", F.row_number().over(inside) - 1), "mix-draws")
+    counts = drawn.groupBy("no", "shard").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    counts = keep(counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))), "mix-draw-counts")
+    got = {r["no"]: r["n"] for r in counts.groupBy("no").agg(F.sum("n").alias("n")).collect()}  # a row per source
+    lacking = [max(0, n - got.get(i, 0)) for i, (_, _, n) in enumerate(sources)]
+
+    named = drawn.join(counts.drop("n"), ["no", "shard"]).withColumn("k", F.col("k") + F.col("before")).drop("before")
+    wanted = pick([n for _, _, n in sources], F.col("no"))
+    own, beyond = named.filter(F.col("k") < wanted), named.filter(F.col("k") >= wanted)
+    # what is beyond is numbered through all shards
+    beyond = beyond.withColumn("m", F.row_number().over(Window.partitionBy("shard").orderBy("slot")) - 1)
+    rest = beyond.groupBy("shard").agg(F.count("*").alias("n"))
+    rest = rest.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    beyond = beyond.join(rest, "shard").withColumn("m", F.col("m") + F.col("before"))
+    beyond = beyond.withColumn("no", place_of(F.col("m"), steps(lacking)))
+    begins = [got.get(i, 0) - sum(lacking[:i]) for i in range(len(sources))]
+    beyond = beyond.withColumn("k", F.col("m") + pick(begins, F.col("no"))).select(*named.columns)
+    every = own.unionAll(beyond)
+    return every.select("shard", "slot", pick([s for s, _, _ in sources], F.col("no")).alias("source_no"), "k", pick([b for _, b, _ in sources], F.col("no")).alias("blocks"))
+
+
 class Mix:
     """A mix of ``docs``: ``documents``, ``sources``, ``slots`` and ``pieces`` are DataFrames.
 
     A size is a number of words; a null text has none, and a null source is one of its own. An
     empty table gives an empty mix. Reruns agree: nothing depends on how rows are dealt to tasks.
-    Rows that repeat id, source and size take neighbouring places in their source's stream.
+    Ids may be null or repeat: rows are told apart by two hashes of all their columns, and rows that are
+    the same throughout, which are as good as one another, by a number.
 
-    ``documents``  doc_id, source, source_no, size, start (in its source's stream), source_size, target
+    ``documents``  one, two, copy, doc_id, source_no, size, start (in its source's stream), source_size, target
     ``slots``      shard, slot, source_no, epoch, block: ``slot`` of ``shard`` shows ``block`` for the
                    ``epoch``-th time
-    ``pieces``     doc_id, source_no, start, size, block, first, words: the words of a block that are
+    ``pieces``     one, two, copy, source_no, block, first, words: the words of a block that are
                    words ``first`` to ``first + words`` of a document
 
     Every source's slots are its target in blocks of its mean length, so at most ``max_repeat``
@@ -98,20 +174,22 @@ class Mix:
         block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 0,
     ):
         words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
-        rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words.alias("size"))
-        rows = keep(rows, "mix-sizes")
-        sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+        key = row_key(docs, doc_id)
+        rows = docs.select(key["one"].alias("one"), key["two"].alias("two"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words.alias("size"))
+        rows = keep(rows.groupBy(*rows.columns).agg(F.count("*").alias("copies")), "mix-sizes")
+        sizes = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"))
         self.sources = keep(source_targets(sizes, weights, max_repeat, share), "mix-sources")
-        chunks = max(1, -(-rows.count() // CHUNK_DOCS))
+        chunks = max(1, -(-(rows.agg(F.sum("copies")).first()[0] or 0) // CHUNK_DOCS))
 
         numbered = small(self.sources.withColumnRenamed("source", "of"))
-        rows = rows.join(numbered, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(chunks)))
+        rows = rows.join(numbered, F.col("source").eqNullSafe(F.col("of"))).drop("of", "source")
+        rows = _counted(rows, "copies", "copy", ["one", "two"])
+        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("one", "two", "copy", F.lit(seed)), F.lit(chunks)))
         part = ["source_no", "chunk"]
         before = Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
         begins = rows.groupBy(*part).agg(F.sum("size").alias("words"))
         begins = begins.select(*part, F.coalesce(F.sum("words").over(before), F.lit(0)).alias("begin"))
-        inside = Window.partitionBy(*part).orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+        inside = Window.partitionBy(*part).orderBy(*ROW).rowsBetween(Window.unboundedPreceding, 0)
         placed = rows.withColumn("start", F.sum("size").over(inside) - F.col("size")).join(begins, part)
         placed = placed.withColumn("start", F.col("start") + F.col("begin")).drop("begin", "chunk")
         self.documents = keep(placed, "mix-documents")
@@ -121,31 +199,14 @@ class Mix:
         filled = self.documents.filter("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
         begin = F.greatest("start", F.col("block") * size)
         end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * size)
-        self.pieces = filled.select(
-            "doc_id", "source_no", "start", "size", "block", (begin - F.col("start")).alias("first"), (end - begin).alias("words")
-        )
-        self.slots = self._slots(size, shard_slots, seed)
-
-    def _slots(self, size: Column, shard_slots: int, seed: int) -> DataFrame:
+        self.pieces = filled.select(*ROW, "source_no", "block", (begin - F.col("start")).alias("first"), (end - begin).alias("words"))
         blocks = F.ceil(F.col("source_size") / size)
         wanted = F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long")
         of = self.sources.filter("source_size > 0").withColumn("blocks", blocks).withColumn("n", wanted)
-        all_before = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
-        of = of.withColumn("begin", F.coalesce(F.sum("n").over(all_before), F.lit(0)))
-        of = of.withColumn("all", F.sum("n").over(Window.partitionBy()))
-        of = of.filter("n > 0").select("source_no", "blocks", "n", "begin", "all")
-        # the slots of a source are laid out in two steps, as one source may hold most of them
-        step = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(ROWS_AT_ONCE).cast("long")))
-        steps = of.withColumn("from", step).repartition("source_no", "from")
-        upto = F.least(F.col("from") + ROWS_AT_ONCE, "n") - 1
-        slots = steps.withColumn("k", F.explode(F.sequence("from", upto)))
-        place = permuted(F.col("begin") + F.col("k"), F.col("all"), F.lit(seed))
+        of = keep(of.filter("n > 0").select("source_no", "blocks", "n"), "mix-slots-of")
+        drawn = _drawn_slots(of, shard_slots, seed) if of.count() <= DRAWN_SOURCES else _dealt_slots(of, shard_slots, seed)
         shown = permuted(F.pmod("k", "blocks"), F.col("blocks"), F.lit(seed), F.col("source_no"))
-        slots = slots.withColumns({"place": place, "block": shown})
-        return slots.select(
-            F.expr(f"place div {shard_slots}").alias("shard"), F.expr(f"place % {shard_slots}").alias("slot"),
-            "source_no", F.expr("k div blocks").alias("epoch"), "block",
-        )
+        self.slots = drawn.select("shard", "slot", "source_no", F.expr("k div blocks").alias("epoch"), shown.alias("block"))
 
     def rows(self) -> DataFrame:
         """The mix: each slot's pieces, by shard and slot; blocks meet slots by source and index.
@@ -163,32 +224,29 @@ class Mix:
         """Per document, ``taken``: the words the mix takes from it, repeats counted."""
         times = self.slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
         taken = self.pieces.join(times.hint("merge"), ["source_no", "block"])
-        key = ["source_no", "start", "size"]
-        taken = taken.groupBy(*key).agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-        return self.documents.join(taken.hint("merge"), key, "left").select(
+        taken = taken.groupBy(*ROW).agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+        return self.documents.join(taken.hint("merge"), ROW, "left").select(
             "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
         )
 
-    def texts(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    def texts(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """``docs`` as the mix shows them: a row per document and epoch with the words taken, in order.
 
-        The other columns stay. Words keep the white space before them. Rows that repeat id,
-        source and size all show the spans of the first.
+        The other columns stay. Words keep the white space before them. Of rows that are the same
+        throughout each shows what was drawn for it.
         """
-        spans = self.rows().groupBy("doc_id", "source_no", "start", "size", "epoch").agg(
-            F.sort_array(F.collect_list(F.struct("first", "words"))).alias("spans")
-        )
-        epochs = spans.groupBy("doc_id", "source_no", "start", "size").agg(
-            F.sort_array(F.collect_list(F.struct("epoch", "spans"))).alias("epochs")
-        )
-        epochs = epochs.groupBy("doc_id", "source_no", "size").agg(F.min_by("epochs", "start").alias("_epochs"))
-        named = small(self.sources.select(F.col("source").alias("_source"), "source_no"))
-        epochs = epochs.join(named, "source_no").select(F.col("doc_id").alias("_id"), "_source", F.col("size").alias("_size"), "_epochs")
-        words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD))
-        same = [F.col(doc_id).eqNullSafe(F.col("_id")), F.col(source).eqNullSafe(F.col("_source")), words == F.col("_size")]
-        shown = docs.join(epochs.hint("merge"), same[0] & same[1] & same[2]).withColumn("_epoch", F.explode("_epochs"))
+        spans = self.rows().groupBy(*ROW).agg(F.sort_array(F.collect_list(F.struct("epoch", "first", "words"))).alias("spans"))
+        key, hashes = row_key(docs, doc_id), ROW[:2]
+        rows = docs.select(F.struct(*docs.columns).alias("doc"), key["one"].alias("one"), key["two"].alias("two"))
+        again = keep(self.documents.filter("copy = 1").select(*hashes), "mix-again")  # rows that are there more than once
+        if again.isEmpty():
+            once = rows
+        else:
+            once = rows.join(small(again), hashes, "left_anti")
+            once = once.unionAll(rows.join(small(again), hashes, "left_semi").dropDuplicates(hashes))
+        shown = once.join(spans.hint("merge"), hashes).withColumn("epoch", F.explode(F.array_distinct("spans.epoch")))
         # a mark per word, so that the text is split once and not for every span
-        spans = F.col("_epoch.spans")
+        spans = F.filter("spans", lambda span: span["epoch"] == F.col("epoch"))
 
         def mark(span, i):
             last = F.get(spans, i - 1)
@@ -196,10 +254,10 @@ class Mix:
             return F.concat(F.array_repeat(F.lit(False), gap.cast("int")), F.array_repeat(F.lit(True), span["words"].cast("int")))
 
         marks = F.transform(spans, mark)
-        words = F.regexp_extract_all(text, F.lit(SPACED_WORD), F.lit(1))
+        words = F.regexp_extract_all(F.col("doc").getField(text), F.lit(SPACED_WORD), F.lit(1))
         marked = F.arrays_zip(words.alias("word"), F.flatten(marks).alias("taken"))
-        part = F.filter(marked, lambda w: w["taken"])["word"]
-        return shown.withColumn(text, F.array_join(part, "")).select(*docs.columns)
+        part = F.array_join(F.filter(marked, lambda w: w["taken"])["word"], "")
+        return shown.select(*[(part if c == text else F.col("doc").getField(c)).alias(c) for c in docs.columns])
 
 
 @query("op4_source_mix")

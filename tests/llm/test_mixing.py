@@ -5,7 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from recordloom.llm.mixing import Mix, permuted, source_targets
+from recordloom.llm import mixing
+from recordloom.llm.mixing import Mix, _dealt_slots, _drawn_slots, permuted, source_targets
 from tests.llm.tables import cases, docs, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -84,6 +85,47 @@ def test_texts_hold_the_words_taken(spark):
         assert all(w in it for w in WORD.findall(r["text"]))  # in the order of the document
 
 
+@pytest.mark.parametrize("slots", [_drawn_slots, _dealt_slots])
+def test_shards_draw_multinomial_counts(spark, slots):
+    n = {1: 6_000, 2: 3_000, 4: 1_000}
+    of = spark.createDataFrame([(s, 100 * s, k) for s, k in n.items()], "source_no int, blocks long, n long")
+    got = slots(of, 100, 0).collect()
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(i // 100, i % 100) for i in range(10_000)]
+    for s, k in n.items():
+        own = [r for r in got if r["source_no"] == s]
+        assert sorted(r["k"] for r in own) == list(range(k)) and {r["blocks"] for r in own} == {100 * s}
+        counts = [sum(r["shard"] == i for r in own) for i in range(90)]  # what is beyond a target lies in the last shards
+        p, mean = k / 10_000, sum(counts) / 90
+        spread = sum((c - mean) ** 2 for c in counts) / 89
+        assert abs(mean - 100 * p) < 2 and 0.6 < spread / (100 * p * (1 - p)) < 1.6
+    assert sorted(map(str, got)) == sorted(map(str, slots(of.repartition(3), 100, 0).collect()))
+
+
+def test_many_sources_are_dealt_by_one_permutation(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "DRAWN_SOURCES", 2)
+    test_mix_meets_its_targets(spark)
+
+
+def test_repeated_rows_and_null_ids_show_what_each_drew(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS_AT_ONCE", 4)
+    monkeypatch.setattr(mixing, "CHUNK_DOCS", 20)
+    same = words(5, 40)
+    table = [(7, same, "en", "a", 1)] * 9 + [(None, words(k, 30), "en", "a", 1) for k in range(60)] + [(k, words(k, 50), "en", "b", 1) for k in range(30)]
+    df = docs(spark, table).withColumns({c: F.lit("clash") for c in ["_id", "_source", "_size", "_epochs", "one", "two", "copy", "doc", "spans", "epoch"]})
+    mix = Mix(df, block=8)
+    assert mix.documents.count() == 99 and mix.documents.filter("doc_id = 7").select("copy").distinct().count() == 9
+    assert mix.documents.groupBy("source_no", "start").count().filter("count > 1").isEmpty()
+    shown = mix.texts(df)
+    assert shown.columns == df.columns
+    count = F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).alias("n")
+    got = {(r["doc_id"], r["source"]): r["n"] for r in shown.groupBy("doc_id", "source").agg(count).collect()}
+    taken = mix.taken().groupBy("doc_id", "source_size").agg(F.sum("taken").alias("n")).collect()
+    assert sum(r["n"] for r in taken) == sum(got.values())
+    assert got[7, "a"] == sum(r["n"] for r in taken if r["doc_id"] == 7 and r["source_size"] == 9 * 40 + 60 * 30)
+    again = Mix(df.repartition(5), block=8).texts(df)
+    assert sorted(map(str, again.collect())) == sorted(map(str, shown.collect()))
+
+
 def test_mix_of_the_cases(spark):
     df = docs(spark)
     taken = Mix(df).taken().collect()
