@@ -14,20 +14,24 @@ from recordloom.llm.shared import keep, read, row_key, small
 from recordloom.llm.toxicity import fit_toxicity, without_toxic
 
 
-#: The column of row keys inside a dedup stage.
-ROW = "_row"
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def without(keyed: DataFrame, groups: DataFrame) -> DataFrame:
+def without(keyed: DataFrame, groups: DataFrame, row: str) -> DataFrame:
     """The rows of ``keyed`` that ``groups``, made over its row keys, keeps; one of rows that are the same throughout."""
-    hashes = ["_one", "_two"]
-    rows = groups.select(F.col("doc_id.one").alias("_one"), F.col("doc_id.two").alias("_two"), "kept")
+    one, two = hashes = free_name(keyed, "one"), free_name(keyed, "two")
+    rows = groups.select(F.col("doc_id.one").alias(one), F.col("doc_id.two").alias(two), "kept")
     rows = keep(rows.groupBy(*hashes).agg(F.count("*").alias("n"), F.max("kept").alias("kept")).filter("n > 1 or not kept"), "verdicts")
     gone, same = rows.filter("not kept").select(*hashes), rows.filter("kept").select(*hashes)
-    named = keyed.withColumns({h: F.col(f"{ROW}.{h[1:]}") for h in hashes}).drop(ROW)
-    left = named.join(small(gone), hashes, "left_anti")
-    once = left.join(small(same), hashes, "left_anti")
-    again = left.join(small(same), hashes, "left_semi").dropDuplicates(hashes)
+    named = keyed.withColumns({one: F.col(row).getField("one"), two: F.col(row).getField("two")}).drop(row)
+    left = named.join(small(gone), [*hashes], "left_anti")
+    once = left.join(small(same), [*hashes], "left_anti")
+    again = left.join(small(same), [*hashes], "left_semi").dropDuplicates([*hashes])
     return once.unionAll(again).drop(*hashes)
 
 
@@ -38,20 +42,23 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The longest writing of each text stays, in one row, also where ids are null or repeated."""
-    keyed = docs.withColumn(ROW, row_key(docs))
-    return without(keyed, exact_groups(keyed, ROW))
+    row = free_name(docs, "row")
+    keyed = docs.withColumn(row, row_key(docs))
+    return without(keyed, exact_groups(keyed, row), row)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
-    keyed = docs.withColumn(ROW, row_key(docs))
-    return without(keyed, near_groups(keyed, ROW))
+    row = free_name(docs, "row")
+    keyed = docs.withColumn(row, row_key(docs))
+    return without(keyed, near_groups(keyed, row), row)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in the proportion of their weights: a row per document and repeat, with the words taken."""
     mixed = Mix(docs).texts(docs)
-    return mixed.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
+    kinds = dict(docs.dtypes)
+    return mixed.withColumn("n_chars", F.char_length("text").cast(kinds["n_chars"])) if "n_chars" in kinds else mixed
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
