@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from recordloom.session import work_dir
 
@@ -74,44 +75,38 @@ def top_k(
 
 
 def number_rows(df: DataFrame, key: str, name: str = "row_no", parts: int | None = None, group: Sequence[str] = ()) -> DataFrame:
-    """1..n in ascending order of a unique key of any type, without one task sorting everything.
+    """1..n in ascending order of a key of any type, without one task sorting everything.
 
-    The keys alone are dealt to ranges of about as many rows each, whatever their spread, and
-    written; a range numbers its own rows and adds the count of all before it. With ``group``
-    every group of those columns has its own 1..n; it is the leading part of the order. Rows
-    without a key come first, in any order; they are dealt by a hash of the row.
+    Whole rows are dealt to ranges of about as many rows each, whatever the spread of the keys, are
+    sorted and written with their places in the range; a row's number is its place and the
+    count of all rows before the range. With ``group`` every group of those columns has its own
+    1..n; it is the leading part of the order.
+
+    Every row comes out once. Rows without a key come first; rows of one key have numbers next to
+    each other in an order that a hash of the row decides, by which a hot key is also parted.
     """
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [*group, key]
-    ranged = df.filter(F.col(key).isNotNull()).select(*order).repartitionByRange(parts, *order)
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]  # what has a hash
+    order = [*group, F.asc_nulls_first(key), F.xxhash64(*plain)]
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     path = work_dir(spark, "ranges")
-    # written, so that both uses below see the same ranges
-    parted = ranged.withColumn("_part", F.spark_partition_id() + parts)
-    parted.write.parquet(path)
-    keyed = spark.read.schema(parted.schema).parquet(path)
-    loose = df.filter(F.col(key).isNull()).withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(parts)).cast("int"))
-
-    counts = keyed.select(*group, "_part").unionAll(loose.select(*group, "_part")).groupBy(*group, "_part").agg(F.count("*").alias("_n"))
+    # ids count a partition's rows in their lower 33 bits; written, so that both uses below see the same ranges
+    placed = ranged.withColumn("_id", F.monotonically_increasing_id())
+    placed.write.parquet(path)
+    placed = spark.read.schema(placed.schema).parquet(path)
+    placed = placed.withColumn("_part", F.shiftright("_id", 33)).withColumn("_place", F.col("_id").bitwiseAND(F.lit(2**33 - 1))).drop("_id")
+
+    # a row per range and, with groups, per group in it
+    counts = placed.groupBy(*group, "_part").agg(F.count("*").alias("_n"), F.min("_place").alias("_least"))
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     marks = [F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]
-    offsets = counts.select(*marks, F.col("_part").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    offsets = small_or_shuffled(offsets)
-
-    def numbered(rows: DataFrame) -> DataFrame:
-        inside = F.row_number().over(Window.partitionBy(*group, "_part").orderBy(key))
-        same = F.col("_part") == F.col("_of")
-        for i, g in enumerate(group):
-            same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-        rows = rows.withColumn("_inside", inside).join(offsets, same)
-        return rows.withColumn(name, F.col("_inside") + F.col("_offset")).drop("_part", "_inside", "_of", "_offset", *[f"_g{i}" for i in range(len(group))])
-
-    numbers = numbered(keyed).select(F.col(key).alias("_key"), *[F.col(g).alias(f"_h{i}") for i, g in enumerate(group)], name)
-    same = F.col(key) == F.col("_key")
+    offset = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_least") + 1
+    offsets = small_or_shuffled(counts.select(*marks, F.col("_part").alias("_of"), offset.alias("_offset")))
+    same = F.col("_part") == F.col("_of")
     for i, g in enumerate(group):
-        same = same & F.col(g).eqNullSafe(F.col(f"_h{i}"))
-    full = df.join(numbers, same).drop("_key", *[f"_h{i}" for i in range(len(group))])
-    return full.unionByName(numbered(loose))
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return placed.join(offsets, same).select(*df.columns, (F.col("_place") + F.col("_offset")).alias(name))
 
 
 def carry_forward(

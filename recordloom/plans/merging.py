@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from recordloom.functions.text import empty, missing
 from recordloom.operators import dedup as D
 from recordloom.operators import quality as Q
-from recordloom.operators.scale import first_per_key, skew_join
+from recordloom.operators.scale import number_rows, skew_join
 from recordloom.plans.registry import query, table
 
 
@@ -189,14 +189,14 @@ def text_per_unit(spark, sf):
 
 @query(
     "text_parts",
-    """SELECT role, CAST(floor(conv_id / 25.0) AS BIGINT) AS part,
-         string_agg('[' || turn || '] ' || text, chr(10) ORDER BY conv_id, turn) AS unit_text
-       FROM (SELECT *, row_number() OVER (PARTITION BY role, conv_id ORDER BY turn) AS n FROM conversations) WHERE n = 1 GROUP BY 1, 2""",
+    """SELECT role, CAST(n // 100 AS BIGINT) AS part, string_agg('[' || turn || '] ' || text, chr(10) ORDER BY n) AS unit_text
+       FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS n FROM conversations) GROUP BY 1, 2""",
 )
 def text_parts(spark, sf):
-    """The first text of every conversation and role, 25 conversations to a part."""
-    first = first_per_key(table(spark, sf, "conversations"), ["role", "conv_id"], ["turn"])
-    return D.text_parts(first.withColumn("turn", F.col("turn").cast("string")), "role", "conv_id", "turn", "text", part_size=25)
+    """All texts of every role in order, a hundred to a part."""
+    rows = table(spark, sf, "conversations").withColumn("at", F.struct("conv_id", "turn"))
+    rows = number_rows(rows, "at", "n", group=["role"]).withColumn("turn", F.col("turn").cast("string"))
+    return D.text_parts(rows, "role", "n", "turn", "text", part_size=100)
 
 
 @query(

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+#: Folders of local sessions that name none, by application.
+_LOCAL: dict[str, str] = {}
+
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
@@ -38,6 +41,6 @@ def work_dir(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="recordloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        application = spark.sparkContext.applicationId
+        base = _LOCAL.get(application) or _LOCAL.setdefault(application, tempfile.mkdtemp(prefix="recordloom-"))
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -112,6 +112,48 @@ def test_number_rows_inside_groups_and_without_keys(spark):
         assert keys[:nulls] == [None] * nulls and keys[nulls:] == sorted(keys[nulls:])
 
 
+def test_rows_of_one_key_are_numbered_once_each(spark):
+    rows = [(7, i) for i in range(50)] + [(i, i) for i in range(100, 130)] + [(None, 1), (None, 1), (8, 5), (8, 5)]
+    df = spark.createDataFrame(rows, "id long, v int").repartition(4)
+    got = number_rows(df, "id", parts=6).collect()
+    assert sorted(r.row_no for r in got) == list(range(1, len(rows) + 1))
+    assert sorted((str(r.id), r.v) for r in got) == sorted((str(i), v) for i, v in rows)
+    assert [r.id for r in sorted(got, key=lambda r: r.row_no)] == [None, None, *sorted(i for i, _ in rows if i is not None)]
+    again = number_rows(df.repartition(3), "id", parts=9).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
+def test_a_hot_key_is_parted_over_ranges(spark):
+    df = spark.range(9_000).select(F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).alias("k"), "id", F.create_map(F.lit("a"), "id").alias("m"))
+    got = number_rows(df, "k", parts=12)
+    assert got.agg(F.min("row_no"), F.max("row_no"), F.countDistinct("row_no")).first()[:] == (1, 9_000, 9_000)
+    ranged = df.repartitionByRange(12, F.asc_nulls_first("k"), F.xxhash64("k", "id")).groupBy(F.spark_partition_id()).count()
+    assert ranged.agg(F.max("count")).first()[0] < 2_000
+
+
+def test_a_plain_local_session_has_a_work_folder(monkeypatch):
+    """Where the session names no folder a local one gets its own, the same each time; a cluster must name one."""
+    from recordloom import session
+
+    class Plain:
+        master, applicationId = "local[2]", "app-1"
+        sparkContext = property(lambda self: self)
+        conf = property(lambda self: self)
+
+        def get(self, name, default=None):
+            return default
+
+        def getCheckpointDir(self):
+            return None
+
+    plain = Plain()
+    a, b = (session.work_dir(plain, "x").rsplit("/", 1) for _ in range(2))
+    assert a[0] == b[0] and a[1] != b[1]
+    plain.master = "spark://host:7077"
+    with pytest.raises(RuntimeError):
+        session.work_dir(plain, "x")
+
+
 def test_carry_forward_over_segments(spark):
     rng = random.Random(5)
     rows = [(0 if rng.random() < 0.5 else rng.randrange(1, 4), i, rng.choice(["x", "y", None, None, None])) for i in range(2000)]
