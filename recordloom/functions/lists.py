@@ -51,12 +51,19 @@ def badge_recording(badges: Column) -> Column:
     return F.when(unrecorded, "No").otherwise("Yes")
 
 
+def title_case(c: Column) -> Column:
+    """Every letter after something that is no letter in upper case, all others in lower case: 'q&a panel' -> 'Q&A Panel'."""
+    # a blank, which is taken out again, begins a word where other marks stand before a letter
+    parted = F.regexp_replace(c, r"([^\p{Lu}\p{Ll}\p{Lt} ])(?=[\p{Lu}\p{Ll}\p{Lt}])", "$1\x00 ")
+    return F.replace(F.initcap(parted), F.lit("\x00 "), F.lit(""))
+
+
 def class_type(classes: Column, header: Column | None = None) -> Column:
     """Event type: a header text wins, else the first telling class in title case, else 'Event'."""
     telling = F.filter(
         classes, lambda c: ~c.isin("eventsession", "pad") & ~F.startswith(c, F.lit("room-"))
     )
-    from_class = F.initcap(F.replace(F.get(telling, 0), F.lit("-"), F.lit(" ")))
+    from_class = title_case(F.replace(F.get(telling, 0), F.lit("-"), F.lit(" ")))
     if header is None:
         return F.coalesce(from_class, F.lit("Event"))
     text = F.regexp_replace(strip(header), r":+$", "")

@@ -131,12 +131,15 @@ def date_line(spark, sf):
 @query(
     "short_date_line",
     """SELECT o_orderkey, CASE WHEN strftime(o_orderdate, '%m-%d') = '02-29' THEN '' ELSE '2026' || strftime(o_orderdate, '-%m-%d') END AS date,
-         '08:30' AS start, '09:30' AS "end" FROM orders""",
+         CASE o_orderstatus WHEN 'O' THEN '08:30' WHEN 'F' THEN '11:30' ELSE '13:15' END AS start,
+         CASE o_orderstatus WHEN 'O' THEN '09:30' WHEN 'F' THEN '12:30' ELSE '14:00' END AS "end" FROM orders""",
 )
 def short_date_line(spark, sf):
     orders = table(spark, sf, "orders")
     # 29 February is no date in 2026
-    text = F.concat(F.date_format("o_orderdate", "EEEE, MMMM d"), F.lit(" | 8:30 - 9:30 AM"))
+    status = F.col("o_orderstatus")
+    times = F.when(status == "O", "8:30 - 9:30 AM").when(status == "F", "11:30 - 12:30 PM").otherwise("1:15 – 2 pm")
+    text = F.concat(F.date_format("o_orderdate", "EEEE, MMMM d"), F.lit(" | "), times)
     out = orders.select("o_orderkey", S.short_date_line(text, 2026).alias("d"))
     return out.select("o_orderkey", "d.date", "d.start", "d.end")
 

@@ -361,3 +361,38 @@ def test_containers_that_nest_in_their_own_kind(spark):
     assert [(r.page_id, r.tag, r["at"]) for r in nodes.orderBy("pos").collect()] == [
         ("S1", "div", 0), ("S1", "div", 1), ("S1", "b", 1), ("S1", "i", 0), ("S1", "u", None),
     ]
+
+
+def test_short_date_lines_over_noon(spark):
+    from recordloom.functions.schedule import clock_24h, date_line, short_date_line
+
+    lines = {
+        "Tuesday, May 5 | 11:30 - 12:30 PM": ("2026-05-05", "11:30", "12:30"),
+        "Tuesday, May 5 | 8:30 - 9:30 AM": ("2026-05-05", "08:30", "09:30"),
+        "Tuesday, May 5 | 8:30 - 9:30 pm": ("2026-05-05", "20:30", "21:30"),
+        "Tuesday, May 5 | 11 AM – 1:15 PM": ("2026-05-05", "11:00", "13:15"),
+        "Tuesday, May 5 | 10 - 1 PM": ("2026-05-05", "10:00", "13:00"),
+        "Tuesday, May 5 | 11 PM - 12:30 AM": ("2026-05-05", "23:00", "00:30"),
+        "Tuesday, May 5 | 11:30 - 12:30 AM": ("2026-05-05", "23:30", "00:30"),
+        "Tuesday, Apr 31 | soon": ("", "", ""),
+        "Tuesday, April 31 | 1 - 2 PM": ("", "13:00", "14:00"),
+        None: ("", "", ""),
+    }
+    df = spark.createDataFrame([(x,) for x in lines], "x string")
+    got = {r["x"]: tuple(r["d"]) for r in df.select("x", short_date_line(F.col("x"), 2026).alias("d")).collect()}
+    assert got == lines
+    dates = {"Mon, february 29, 2024 * 9 AM - 10 AM": "2024-02-29", "Mon, February 29, 2100": "", "Mon, May 0, 2026": "", "Sun, Sept 1, 2026": "", "x": ""}
+    df = spark.createDataFrame([(x,) for x in dates], "x string")
+    assert {r["x"]: r["d"]["date"] for r in df.select("x", date_line(F.col("x")).alias("d")).collect()} == dates
+    clocks = {" 8:45 a.m.\n": "08:45", "1 p.m.": "13:00", "12 noon": "12:00", "12 midnight": "00:00", "123": "123:00", "9\t": "09:00", "8 x": "", "\u00a08 PM": "20:00", "": "", "8:5": "08:05", "9" * 30: ""}
+    df = spark.createDataFrame([(x,) for x in clocks], "x string")
+    assert {r["x"]: r["c"] for r in df.select("x", clock_24h(F.col("x")).alias("c")).collect()} == clocks
+
+
+def test_event_types_in_title_case(spark):
+    from recordloom.functions.lists import class_type
+
+    texts = ["q&a-panel", "affinity-event", "they're here", "3d-talk", "x2y (panel)", "éte/äpfel", "ALL-CAPS", "日本a b"]
+    df = spark.createDataFrame([(["pad", "room-a", t],) for t in texts], "c array<string>")
+    got = [r[0] for r in df.select(class_type(F.col("c"))).collect()]
+    assert got == [t.replace("-", " ").title() for t in texts]
