@@ -195,12 +195,11 @@ def project_columns(spark, sf):
 
 @query(
     "report_head",
-    """SELECT s_suppkey, s_name, (SELECT count(*) FROM supplier WHERE s_acctbal < 5000) AS total FROM supplier
-       WHERE s_acctbal < 5000 ORDER BY s_suppkey LIMIT 20""",
+    "SELECT s_suppkey, s_name, (SELECT count(*) FROM supplier) AS total FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 20",
 )
 def report_head(spark, sf):
-    rows = table(spark, sf, "supplier").filter("s_acctbal < 5000").select("s_suppkey", "s_name")
-    return Q.report_head(rows, ["s_suppkey"], 20)
+    rows = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    return Q.report_head(rows, [F.desc("s_acctbal"), "s_suppkey"], 20).drop("s_acctbal")
 
 
 def _fetched(spark, sf):

@@ -126,8 +126,11 @@ def track_ids(stream: DataFrame, key: str, order: str, out: str, checkpoint: str
 
 
 def tracked_ids(spark: SparkSession, out: str, key: str) -> DataFrame:
-    """The current state: later batches hold newer totals of the ids they touched."""
-    return last_per_key(_log(spark, out), [key], ["batch"]).drop("batch")
+    """The current state: later batches hold newer totals of the ids they touched. No rows before the first batch."""
+    log = _log(spark, out)
+    if log is None:
+        return spark.createDataFrame([], f"`{key}` string, first_seen string, sightings long")
+    return last_per_key(log, [key], ["batch"]).drop("batch")
 
 
 def new_ids(stream: DataFrame, key: str, row_id: Sequence[str], salts: int = 64) -> DataFrame:
