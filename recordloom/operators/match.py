@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator, Sequence
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,9 @@ from recordloom.functions.text import clip, or_empty
 from recordloom.operators.scale import small_or_shuffled, top_k
 from recordloom.session import work_dir
 
+if TYPE_CHECKING:
+    from recordloom.operators.vector_index import VectorIndex
+
 SEARCH_K = 150
 FINAL_K = 50
 MAX_UNITS = 2_000
@@ -161,13 +165,15 @@ class _Heads:
         self.unit_ids, self.units, self.k = unit_ids, _unit_rows(units), k
         self.kept = [(np.empty(0, np.int64), np.empty(0)) for _ in unit_ids]
 
-    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        scores = np.round(_unit_rows(vectors) @ self.units.T, DIGITS)
-        for u in range(len(self.unit_ids)):
+    def add(self, ids: np.ndarray, vectors: np.ndarray, only: np.ndarray | None = None) -> None:
+        """Score these records, for all units or for those at the places ``only``."""
+        only = np.arange(len(self.unit_ids)) if only is None else only
+        scores = np.round(_unit_rows(vectors) @ self.units[only].T, DIGITS)
+        for at, u in enumerate(only):
             old_ids, old_scores = self.kept[u]
-            near = _best(ids, scores[:, u], self.k)
+            near = _best(ids, scores[:, at], self.k)
             both_ids = np.concatenate([old_ids, ids[near]])
-            both_scores = np.concatenate([old_scores, scores[near, u]])
+            both_scores = np.concatenate([old_scores, scores[near, at]])
             best = _best(both_ids, both_scores, self.k)
             self.kept[u] = (both_ids[best], both_scores[best])
 
@@ -394,15 +400,21 @@ def cascade(
     prepare: Callable[[Column], Column] = S.tokens,
     scorer: Callable[[Column, Column], Column] = overlap_scorer,
     generator: Callable[[Column, Column], Column] = shared_words,
+    index: VectorIndex | None = None,
 ) -> DataFrame:
     """All units in one plan: cheap vector search, costly scorer on its hits only, reasons, ranks.
 
     The hits are few (at most ``search_k`` per unit) and used twice, to fetch their texts and
-    to pair them with units, so they are computed once and kept in the shared work folder.
+    to pair them with units, so they are computed once and kept in the shared work folder. With
+    ``index``, a stored index of the records' vectors by the same vectoriser, records are neither
+    made into vectors again nor read in full.
     """
-    r = vectorise(records.select(key, record_text), record_text, "vector", vectoriser)
     u = vectorise(units.select(unit, unit_text), unit_text, "vector", vectoriser)
-    hits = keep(search(r, u, key, unit, "vector", search_k), "hits")
+    if index is not None:
+        hits = keep(index.search(u, unit, "vector", search_k), "hits")
+    else:
+        r = vectorise(records.select(key, record_text), record_text, "vector", vectoriser)
+        hits = keep(search(r, u, key, unit, "vector", search_k), "hits")
     pairs = with_contents(hits, records, units, key, unit, record_text, unit_text, prepare)
     reasons = annotate(rerank(pairs, key, unit, final_k, scorer), generator=generator)
     return reasons.select(unit, key, "rank", "score", "rerank_score", "recommendation_reason")

@@ -7,10 +7,12 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import functions as F
 
 from recordloom.functions.urls import KNOWN_COMPANIES, company_url
+from recordloom.operators import digests as D
 from recordloom.operators import reconcile as R
 from recordloom.operators.dedup import distinct_lists
 from recordloom.operators.scale import last_per_key, skew_join
 from recordloom.plans.registry import query, table
+from recordloom.session import work_dir
 
 DAY = "yyyy-MM-dd"
 
@@ -64,6 +66,33 @@ def snapshot_diff_content(spark, sf):
     return diff.groupBy("change").agg(F.count("*").alias("n"))
 
 
+@query(
+    "snapshot_changed_rows",
+    SNAPSHOTS
+    + """SELECT * REPLACE (CASE WHEN change = 'common' THEN 'changed' ELSE change END AS change) FROM diff
+         WHERE change <> 'common' OR old_title <> new_title OR old_url <> new_url""",
+)
+def snapshot_changed_rows(spark, sf):
+    """The same by digests of key buckets; only rows of buckets that differ are joined."""
+    old, new = snapshots(spark, sf)
+    return D.changed_rows(old, new, "session_id", ["title", "url"])
+
+
+@query(
+    "snapshot_change_counts",
+    SNAPSHOTS
+    + """SELECT CASE WHEN change = 'common' AND old_title <> new_title THEN 'changed' ELSE change END AS change,
+         CAST(count(*) AS BIGINT) AS n FROM diff GROUP BY 1""",
+)
+def snapshot_change_counts(spark, sf):
+    """Counts of all rows from what changed and the digests that were stored with the old snapshot."""
+    old, new = snapshots(spark, sf)
+    columns, path = ["title", "url"], work_dir(spark, "digests")
+    D.snapshot_digests(old, "session_id", columns).write.parquet(path)
+    stored = spark.read.parquet(path)
+    return D.change_counts(D.changed_rows(old, new, "session_id", columns, old_digests=stored), stored)
+
+
 @query(
     "snapshot_diff_batches",
     """WITH o AS (SELECT l_partkey AS k, arg_min(l_shipmode, pos) AS t FROM (

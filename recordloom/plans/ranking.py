@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from recordloom.functions import lists as L
 from recordloom.functions import scores as S
 from recordloom.operators import match as M
+from recordloom.operators import tournament as C
+from recordloom.operators.vector_index import read_vector_index, write_vector_index
 from recordloom.plans.registry import query, table
 from recordloom.session import work_dir
 
@@ -176,6 +178,26 @@ def match_cascade(spark, sf):
     return M.cascade(records, units, "doc_id", "item_id", "record_text", "unit_text")
 
 
+@query(
+    "match_cascade_indexed",
+    MATCH
+    + """SELECT item_id, doc_id, CAST(rank AS INTEGER) AS rank, score, rerank_score, 'Shared terms: ' || words AS recommendation_reason
+         FROM ranked WHERE rank <= 50""",
+)
+def match_cascade_indexed(spark, sf):
+    """The cascade over a stored index, which is written first and would be searched many times."""
+    records, units = _texts(spark, sf)
+    index = write_vector_index(M.vectorise(records, "record_text"), "doc_id", "vector", work_dir(spark, "stored-index"))
+    return M.cascade(records, units, "doc_id", "item_id", "record_text", "unit_text", index=index)
+
+
+@query("indexed_search", UNITS + "SELECT CAST(label AS BIGINT) AS label, vec_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20")
+def indexed_search(spark, sf):
+    path = work_dir(spark, "stored-index")
+    write_vector_index(table(spark, sf, "embeddings"), "vec_id", "embedding", path)
+    return read_vector_index(spark, path).search(_units(spark, sf), "label", "embedding", 20)
+
+
 @query("text_search", MATCH + "SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM hits")
 def text_search(spark, sf):
     records, units = _texts(spark, sf)
@@ -198,3 +220,14 @@ def rerank(spark, sf):
 @query("annotate", MATCH + "SELECT item_id, doc_id, 'Shared terms: ' || words AS recommendation_reason FROM scored")
 def annotate(spark, sf):
     return M.annotate(_candidates(spark, sf)).select("item_id", "doc_id", "recommendation_reason")
+
+
+@query(
+    "top_k_by_comparison",
+    MATCH
+    + """SELECT item_id, doc_id, CAST(rank AS INTEGER) AS rank FROM (
+           SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rerank_score DESC, doc_id) AS rank FROM scored) WHERE rank <= 50""",
+)
+def top_k_by_comparison(spark, sf):
+    """The re-rank without scores: which of two records holds more of the unit's words."""
+    return C.top_k_by_comparison(_candidates(spark, sf), "doc_id", "item_id").drop("compared")
