@@ -194,7 +194,7 @@ def _mine(vectors: DataFrame, width: int, positives: int, negatives: int, window
     """The result for the rows of one length: row, vec_id, label, vector, anchor."""
     spark = vectors.sparkSession
     rows = vectors.count()
-    book = Book(sample(vectors), min(MOST_CODES, max(1, round(rows**0.25))))
+    book = Book(sample(vectors, "vec_id"), min(MOST_CODES, max(1, round(rows**0.25))))
     sent = spark.sparkContext.broadcast(book)
 
     def code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -170,7 +170,7 @@ def _links(classes: DataFrame, width: int, similarity: float, rows: int) -> Data
     """class, n, root for the classes of one length: weights of links, and a star per linked part, of each task."""
     spark = classes.sparkSession
     cells = min(MOST_CELLS, max(1, -(-rows // CELL)))
-    space = spark.sparkContext.broadcast(Space(sample(classes), similarity, cells))
+    space = spark.sparkContext.broadcast(Space(sample(classes, "first_id"), similarity, cells))
     kind = np.float32 if dict(classes.dtypes)["vector"] == "array<float>" else np.float64
     chunk = max(1, CHUNK_BYTES // (4 * width))
     part_rows = max(chunk, PART_BYTES // (8 * width))

@@ -32,9 +32,9 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(len(column), -1)
 
 
-def sample(vectors: DataFrame, n: int = SAMPLE, seed: str = "sample") -> np.ndarray:
-    """At most ``n`` vectors, the first by a hash of the vector; the same for every run. One length only."""
-    few = vectors.select("vector").orderBy(F.xxhash64("vector", F.lit(seed)), "vector").limit(n).collect()
+def sample(vectors: DataFrame, by: str, n: int = SAMPLE) -> np.ndarray:
+    """At most ``n`` vectors, the first by a hash of ``by``; the same for every run. One length only."""
+    few = vectors.select("vector", by).orderBy(F.xxhash64(by, F.lit("sample")), by, "vector").limit(n).collect()
     return np.array([r["vector"] for r in few], float)
 
 

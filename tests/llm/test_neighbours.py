@@ -66,3 +66,28 @@ def test_copies_of_one_vector_come_in_order(spark):
     df = table(spark, rows)
     got = found(nearest_vectors(df, df.filter("vec_id = 0"), 20))
     assert [j for j, _ in got[0]] == list(range(300, 320))
+
+
+def test_every_length_is_searched(spark):
+    """One longer vector does not hide the others, nor is a length of a few rows left out."""
+    draw = np.random.default_rng(5)
+    rows = [(i, draw.normal(size=6).astype(np.float32).tolist()) for i in range(60)]
+    rows += [(100, [1.0] * 9)] + [(200 + i, [float(i), 1.0]) for i in range(4)]
+    df = table(spark, rows)
+    got = found(nearest_vectors(df, df, 5))
+    assert len(got) == 64 and 100 not in got and all(len(v) == 5 for i, v in got.items() if i < 60)
+    assert all({j for j, _ in v} < set(range(60)) for i, v in got.items() if i < 60)
+    assert [j for j, _ in got[203]] == [202, 201, 200]
+
+
+def test_recall_on_ten_times_the_rows(spark):
+    folder = "/root/testdata/sf0.1"
+    got = found(op9_permutation_index(spark, folder))
+    rows = [(r["vec_id"], list(r["embedding"])) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
+    x, ids = np.array([v for _, v in rows], float), np.array([i for i, _ in rows])
+    hits = 0
+    for at in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[at]
+        score[at] = -np.inf
+        hits += len(set(ids[np.lexsort((ids, -score))[:20]].tolist()) & {j for j, _ in got[ids[at]]})
+    assert hits >= 0.92 * 20 * (ids % 20 == 0).sum()
