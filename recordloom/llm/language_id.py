@@ -30,12 +30,32 @@ EVIDENCE = 100.0
 #: Pseudo-counts: of trigrams, of what is declared, and of the parent's prior.
 SMOOTH_TEXT, SMOOTH_SAID, SMOOTH_PRIOR = 0.5, 1.0, 20.0
 
-_NOT_TEXT = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+_MARKUP = re.compile(r"(?i)<(?:(script|style)\b|(!--))?")
+_ENDS = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style")} | {"!--": re.compile("-->")}
 DECLARED = r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})\b"
 
 
 def visible(page: str | None) -> str:
-    return html.unescape(_NOT_TEXT.sub(" ", page or ""))
+    """The text outside tags, comments, scripts and styles, each of which counts as a blank.
+
+    A script or comment that is not closed is a tag like others, and a tag that is not closed is
+    text. What was looked for in vain once is not looked for again, so a page is read a bounded
+    number of times, whatever it holds.
+    """
+    page, out, at, missing = page or "", [], 0, set()
+    while (m := _MARKUP.search(page, at)) is not None:
+        kind = (m[1] or m[2] or "").lower()
+        end = None
+        if kind and kind not in missing:
+            end = _ENDS[kind].search(page, m.end())
+            if end is None:
+                missing.add(kind)
+        close = end.end() if end else page.find(">", m.start()) + 1
+        if not close:
+            break
+        out += [page[at : m.start()], " "]
+        at = close
+    return html.unescape("".join([*out, page[at:]]))
 
 
 def trigram_counts(text: str | None) -> np.ndarray:
@@ -154,24 +174,31 @@ def fuse_languages(
         return F.zip_with(others, parent, lambda v, p: (v + p * SMOOTH_PRIOR) / (n + SMOOTH_PRIOR))
 
     def said_by(key: str) -> DataFrame:
-        """log P(value | language) for every value of ``key``, smoothed over its distinct values."""
-        seen = keep(_votes(rows, key, size), f"language-{key}")
-        kinds = F.lit(float(seen.count()))
-        of = F.zip_with("votes", totals, lambda v, t: F.log((v + SMOOTH_SAID) / (t + kinds * SMOOTH_SAID)))
-        return seen.select(key, "n", of.alias(f"by_{key}"))
+        """For every value of ``key`` the votes of its pages, ``n`` of them."""
+        return keep(_votes(rows, key, size), f"language-{key}").select(key, "n", F.col("votes").alias(f"by_{key}"))
+
+    def told_by(votes: str, kinds: int) -> Column:
+        """log P(value | language), smoothed over its ``kinds`` of values, without the page's own vote."""
+
+        def one(v, t, i):
+            own = F.when(F.col("said") == i, 1.0).otherwise(0.0)
+            return F.log((v - own + SMOOTH_SAID) / (t - own + kinds * SMOOTH_SAID))
+
+        both = F.arrays_zip(F.col(votes).alias("v"), totals.alias("t"))
+        return F.transform(both, lambda x, i: one(x["v"], x["t"], i))
 
     hosts = keep(_votes(rows, "host", size).withColumnRenamed("votes", "host_votes"), "language-hosts")
     domains = keep(_votes(rows, "domain", size).withColumnRenamed("votes", "domain_votes"), "language-domains")
     told = join_counted(rows, hosts, ["host"], "n", ["page_id"]).drop("n")
     told = join_counted(told, domains, ["domain"], "n", ["page_id"]).drop("n")
     # at most some 18,000 values of two or three letters, and one for none
-    told = told.join(F.broadcast(said_by("declared").drop("n")), "declared")
-    suffixes = said_by("suffix")
+    declared, suffixes = said_by("declared"), said_by("suffix")
+    told = told.join(F.broadcast(declared.drop("n")), "declared")
     told = join_counted(told, suffixes, ["suffix"], "n", ["page_id"])
 
     prior = drawn(F.col("host_votes"), F.col("said"), drawn(F.col("domain_votes"), F.col("said"), corpus))
     prior = F.when(F.col("host") == "", corpus).otherwise(prior)
-    known = F.arrays_zip(F.col("text").alias("t"), F.col("by_declared").alias("d"), F.col("by_suffix").alias("s"), prior.alias("p"))
+    known = F.arrays_zip(F.col("text").alias("t"), told_by("by_declared", declared.count()).alias("d"), told_by("by_suffix", suffixes.count()).alias("s"), prior.alias("p"))
     told = told.withColumn("score", F.transform(known, lambda x: x["t"] + x["d"] + x["s"] + F.log(x["p"])))
     top = F.array_max("score")
     mass = F.aggregate("score", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max("score")))

@@ -1,6 +1,8 @@
 """URL rules, toxicity and language of pages."""
 
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -151,3 +153,29 @@ def test_language_cases(spark):
 def test_visible_text():
     assert visible('<style>p{}</style><script>var t="</p>";</script><!-- x --><p>a&amp;b</p>').split() == ["a&b"]
     assert trigram_counts(None).sum() == 0 and trigram_counts("123").sum() == 0
+
+
+def test_visible_text_equals_the_pattern_and_long_pages_take_no_longer():
+    """One pass over the page finds what the pattern finds, also where tags, comments and scripts stay open."""
+    pattern = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+    draw = random.Random(2)
+    bits = ["<script", "<SCRIPT x>", "</script >", "<style>", "</style", ">", "<!--", "-->", "<", "a", " b ", "<p class='x'>", "</p>", "<scripted>", "\n"]
+    for _ in range(3_000):
+        page = "".join(draw.choices(bits, k=draw.randint(0, 12)))
+        assert visible(page) == pattern.sub(" ", page), page
+    began = time.process_time()
+    for bit in ("<script ", "<!--", "<", "<style>", "</script"):
+        visible(bit * (1_000_000 // len(bit)))
+    assert time.process_time() - began < 10
+
+
+def test_a_rare_declaration_does_not_confirm_itself(spark):
+    """A page's own vote counts neither for its host, nor for what it declares, nor for its suffix."""
+    train, df, _ = web(spark, 90)
+    alone = df.limit(0).unionAll(spark.createDataFrame([(900, "http://only.zz/1", "<html lang=qq><p>" + "the of and to in " * 3)], df.schema))
+    rows = df.unionAll(alone)
+    got = {r["page_id"]: r for r in fuse_languages(rows, fit_text(train)).collect()}
+    # the declaration and the suffix are seen on this page alone: what is left of them says nothing
+    plain = df.unionAll(spark.createDataFrame([(900, "", "<html><p>" + "the of and to in " * 3)], df.schema))
+    assert got[900]["lang"] == "en" == {r["page_id"]: r for r in fuse_languages(plain, fit_text(train)).collect()}[900]["lang"]
+    assert got[900]["declared"] == "qq" and got[900]["suffix"] == "zz"
