@@ -336,6 +336,11 @@ class _Outline(HTMLParser):
         return self.nodes
 
 
+def _key_type(pages: DataFrame, key: str) -> str:
+    """Whole-number keys of pages stay such, all others are text."""
+    return "long" if dict(pages.dtypes)[key] in ("tinyint", "smallint", "int", "bigint") else "string"
+
+
 def extract_nodes(
     pages: DataFrame,
     key: str = "page_id",
@@ -353,8 +358,7 @@ def extract_nodes(
     """
     containers = dict(containers or {})
     wanted = None if tags is None else frozenset(tags)
-    numbers = dict(pages.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
-    id_type = pa.int64() if numbers else pa.string()
+    id_type = pa.int64() if _key_type(pages, key) == "long" else pa.string()
 
     arrow_schema = pa.schema(
         [
@@ -395,7 +399,7 @@ def extract_nodes(
             if nodes:
                 yield batch_of(ids, nodes)
 
-    spark_type = "long" if numbers else "string"
+    spark_type = _key_type(pages, key)
     schema = NODE_SCHEMA.replace("page_id long", f"page_id {spark_type}") + "".join(f", {name} int" for name in containers)
     return pages.select(F.col(key).cast(spark_type).alias("page_id"), F.col(html).alias("html")).mapInArrow(parse, schema)
 
@@ -451,7 +455,7 @@ def session_details(pages: DataFrame, key: str = "page_id", html: str = "html")
         text, r"(?s)Key Takeaways:\n(.+?)(?:\n(?:Add to Schedule|Register|Share)|\z)", 1
     )
     from_text = pages.select(
-        F.col(key).cast("long").alias("page_id"),
+        F.col(key).cast(_key_type(pages, key)).alias("page_id"),
         tag_text(F.col(html), "h1").alias("heading"),
         block.alias("block"),
         *[value.alias(name) for name, value in labelled_fields(text).items()],
@@ -512,7 +516,7 @@ def detail_pages(pages: DataFrame, key: str = "page_id", html: str = "html", kin
     talk_title = collapse(tag_text(F.col(html), "h1"))
     fields = talk_fields(F.col("texts"), F.col("talk_title"), {"title": F.lit("")})
     heads = pages.select(
-        F.col(key).cast("long").alias("page_id"),
+        F.col(key).cast(_key_type(pages, key)).alias("page_id"),
         F.col(kind).alias("kind"),
         texts.alias("texts"),
         talk_title.alias("talk_title"),
