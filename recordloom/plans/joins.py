@@ -11,6 +11,7 @@ from recordloom.operators import digests as D
 from recordloom.operators import reconcile as R
 from recordloom.operators.dedup import distinct_lists
 from recordloom.operators.scale import last_per_key, skew_join
+from recordloom.operators.stored import StoredTable
 from recordloom.plans.registry import query, table
 from recordloom.session import work_dir
 
@@ -389,6 +390,25 @@ def check_references(spark, sf):
     )
 
 
+@query(
+    "upsert_stored",
+    """WITH u AS (SELECT o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn
+                  FROM orders WHERE o_orderstatus = 'P')
+       SELECT coalesce(c_custkey, o_custkey) AS session_id, coalesce(o_orderpriority, c_mktsegment) AS title,
+         CASE WHEN o_custkey IS NULL THEN c_name END AS speaker
+       FROM customer FULL OUTER JOIN (SELECT * FROM u WHERE rn = 1) ON c_custkey = o_custkey""",
+)
+def upsert_stored(spark, sf):
+    """A stored table, updated in the buckets that the updates touch."""
+    base = table(spark, sf, "customer").select(F.col("c_custkey").alias("session_id"), F.col("c_mktsegment").alias("title"), F.col("c_name").alias("speaker"))
+    updates = table(spark, sf, "orders").filter("o_orderstatus = 'P'").select(
+        F.col("o_custkey").alias("session_id"), F.col("o_orderpriority").alias("title"), F.col("o_orderkey").alias("at")
+    )
+    stored = StoredTable(spark, work_dir(spark, "stored"), "session_id").create(base)
+    stored.upsert(updates, ["at"])
+    return stored.read()
+
+
 @query(
     "upsert",
     """WITH u AS (SELECT o_custkey, o_orderkey, o_orderpriority,

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recordloom.operators import quality as Q
+from recordloom.operators.text_index import write_text_index
 from recordloom.plans.registry import query, table
+from recordloom.session import work_dir
 
 DAY = "yyyy-MM-dd"
 
@@ -67,6 +69,18 @@ def search_text(spark, sf):
     return Q.search(table(spark, sf, "documents"), "AND the ", ["text", "lang"]).select("doc_id")
 
 
+@query(
+    "search_indexed",
+    """SELECT p_partkey, p_name, p_brand, p_type FROM part
+       WHERE contains(lower(p_name), 'ring') OR contains(lower(p_brand), 'ring') OR contains(lower(p_type), 'ring')""",
+)
+def search_indexed(spark, sf):
+    """The same through trigram postings, which are written first and would be searched many times."""
+    rows = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    index = write_text_index(rows, "p_partkey", ["p_name", "p_brand", "p_type"], work_dir(spark, "postings"))
+    return index.search(rows, "RING")
+
+
 @query(
     "paper_display",
     """SELECT doc_id, CASE WHEN lang = 'en' THEN 'Untitled' ELSE text END AS title,
