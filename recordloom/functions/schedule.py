@@ -13,29 +13,29 @@ _DOTTED = r"\d{1,2}(?::\d{2})?\s*(?:a\.m\.|p\.m\.)"
 _PLAIN = r"\d{1,2}(?::\d{2})?\s*(?:AM|PM)"
 
 
-def _two_digits(n: Column) -> Column:
-    return F.concat(F.when(n < 10, "0").otherwise(""), n.cast("string"))
-
-
 def clock_24h(c: Column) -> Column:
     """'8:45 a.m.', '1 p.m.', '10 AM', '12 noon' -> 'HH:MM'; anything else -> ''."""
-    # outer white space, dots and blanks go at once; nothing that is left of a clock holds a blank
-    bare = F.regexp_replace(F.lower(or_empty(c)), r"(?U)^\s+|\s+$|[. ]", "")
 
-    def show(read: Column) -> Column:
-        hour, minute, half = (F.split_part(read, F.lit(" "), F.lit(i)) for i in (1, 2, 3))
-        hour = hour.try_cast("bigint")
+    def read(s: Column) -> Column:
+        return F.struct(
+            F.regexp_extract(s, _CLOCK, 1).try_cast("bigint").alias("hour"),
+            F.regexp_extract(s, _CLOCK, 2).try_cast("bigint").alias("minute"),
+            F.regexp_extract(s, _CLOCK, 3).alias("half"),
+        )
+
+    def show(t: Column) -> Column:
+        hour, half = t["hour"], t["half"]
         hour24 = (
             F.when((half == "pm") & (hour != 12), hour + 12)
             .when(((half == "am") & (hour == 12)) | (half == "midnight"), F.lit(0))
             .when(half == "noon", F.lit(12))
             .otherwise(hour)
         )
-        minute = F.coalesce(minute.try_cast("bigint"), F.lit(0))
-        text = F.concat(_two_digits(hour24), F.lit(":"), _two_digits(minute))
-        return F.when(F.contains(read, F.lit(" ")), F.coalesce(text, F.lit(""))).otherwise("")
+        text = F.format_string("%02d:%02d", hour24, F.coalesce(t["minute"], F.lit(0)))
+        return F.when(hour.isNotNull(), text).otherwise("")
 
-    return let(F.regexp_replace(bare, _CLOCK, "$1 $2 $3"), show)
+    bare = F.regexp_replace(F.lower(strip(or_empty(c))), r"[. ]", "")
+    return F.when(bare != "", let(let(bare, read), show)).otherwise("")
 
 
 def time_range(c: Column) -> Column:
@@ -65,39 +65,26 @@ _FROM_TO = rf"(?i)({_PLAIN})\s*[-–—]\s*({_PLAIN})"
 _SHORT_FROM_TO = r"(?i)(\d{1,2}(?::\d{2})?)\s*(AM|PM)?\s*[-–—]\s*(\d{1,2}(?::\d{2})?)\s*(AM|PM)"
 
 
-def _groups(c: Column, pattern: str, groups: list[int], show) -> Column:
-    """``show`` of the groups of the first match, '' where there is none: the text is searched once. No group holds a '|'."""
-    found = F.regexp_replace(F.regexp_extract(c, pattern, 0), pattern, "|".join(f"${i}" for i in groups))
-    return let(found, lambda f: show(*[F.split_part(f, F.lit("|"), F.lit(i)) for i, _ in enumerate(groups, 1)]))
-
-
 def long_date(c: Column) -> Column:
     """'Mon, May 18, 2026 ...' -> '2026-05-18'; only full month names count, else ''."""
-    return _groups(c, _LONG_DATE, [2, 3, 4], _iso_date)
+    month, day, year = (F.regexp_extract(c, _LONG_DATE, i) for i in (2, 3, 4))
+    return _iso_date(F.initcap(month), day, year)
 
 
 def _iso_date(month: Column, day: Column, year: Column) -> Column:
-    """'2026-05-18', '' when it is no date. Only full month names count."""
-    read = F.struct(
-        F.find_in_set(F.initcap(month), F.lit(",".join(MONTHS))).alias("month"), day.try_cast("int").alias("day"),
-        year.try_cast("int").alias("y"), year.alias("year"),
-    )
-
-    def show(d: Column) -> Column:
-        month, day, y = d["month"], d["day"], d["y"]
-        leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
-        days = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
-        fine = (month > 0) & (y > 0) & (day > 0) & (day <= days)
-        return F.when(fine, F.concat(d["year"], F.lit("-"), _two_digits(month), F.lit("-"), _two_digits(day))).otherwise("")
-
-    return let(read, show)
+    """'2026-05-18', '' when it is no date. Only full month names reach the parser."""
+    parsed = F.try_to_timestamp(F.concat_ws(" ", month, day, year), F.lit("MMMM d yyyy"))
+    return F.coalesce(F.when(month.isin(MONTHS), F.date_format(parsed, "yyyy-MM-dd")), F.lit(""))
 
 
 def date_line(c: Column) -> Column:
     """'Mon, May 18, 2026 * 8:45 AM - 9:05 AM PDT' -> struct(date, start, end)."""
     c = or_empty(c)
-    times = _groups(c, _FROM_TO, [1, 2], lambda start, end: F.struct(clock_24h(start).alias("start"), clock_24h(end).alias("end")))
-    return F.struct(long_date(c).alias("date"), times["start"].alias("start"), times["end"].alias("end"))
+    return F.struct(
+        long_date(c).alias("date"),
+        clock_24h(F.regexp_extract(c, _FROM_TO, 1)).alias("start"),
+        clock_24h(F.regexp_extract(c, _FROM_TO, 2)).alias("end"),
+    )
 
 
 def short_date_line(c: Column, year: int) -> Column:
@@ -107,19 +94,22 @@ def short_date_line(c: Column, year: int) -> Column:
     come after the end: '11:30 - 12:30 PM' starts before noon.
     """
     c = or_empty(c)
-    date = _groups(c, _SHORT_DATE, [2, 3], lambda month, day: _iso_date(month, day, F.lit(f"{year:04d}")))
-
-    def read(start: Column, own: Column, end: Column, half: Column) -> Column:
-        starts = clock_24h(F.concat(start, F.when(own != "", own).otherwise(half)))
-        return F.struct(starts.alias("start"), clock_24h(F.concat(end, half)).alias("end"), (own == "").alias("open"))
+    month = F.regexp_extract(c, _SHORT_DATE, 2)
+    date = _iso_date(F.initcap(month), F.regexp_extract(c, _SHORT_DATE, 3), F.lit(str(year)))
+    start, own, end, half = (F.regexp_extract(c, _SHORT_FROM_TO, i) for i in (1, 2, 3, 4))
+    read = F.struct(
+        clock_24h(F.concat(start, F.coalesce(F.nullif(own, F.lit("")), half))).alias("start"),
+        clock_24h(F.concat(end, half)).alias("end"),
+        (own == "").alias("open"),
+    )
 
     def show(t: Column) -> Column:
-        other = F.concat(_two_digits((F.left(t["start"], F.lit(2)).try_cast("int") + 12) % 24), F.substr(t["start"], F.lit(3)))
+        hour = (F.left(t["start"], F.lit(2)).try_cast("int") + 12) % 24
+        other = F.concat(F.format_string("%02d", hour), F.substr(t["start"], F.lit(3)))
         starts = F.when(t["open"] & (t["start"] > t["end"]), other).otherwise(t["start"])
         return F.struct(starts.alias("start"), t["end"].alias("end"))
 
-    times = let(_groups(c, _SHORT_FROM_TO, [1, 2, 3, 4], read), show)
-    return F.struct(date.alias("date"), times["start"].alias("start"), times["end"].alias("end"))
+    return let(F.struct(date.alias("date"), let(read, show).alias("t")), lambda d: F.struct(d["date"].alias("date"), d["t"]["start"].alias("start"), d["t"]["end"].alias("end")))
 
 
 def end_time(c: Column) -> Column:
