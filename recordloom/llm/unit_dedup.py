@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.registry import query
+from recordloom.llm.registry import ORACLES, query
 from recordloom.llm.shared import join_counted, keep, read, row_key, short_batches
 
 #: What parts units: an end of line, or one followed by an empty line.
@@ -233,3 +233,9 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op3_long_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """The same for lone lines only."""
     return repeated_units(read(spark, folder, "documents"))
+
+
+@query("op3_passage_dedup", ORACLES["op3_line_dedup"])
+def op3_passage_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """The earlier name of ``op3_line_dedup``."""
+    return op3_line_dedup(spark, folder)
