@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from recordloom.functions.text import empty, missing
 from recordloom.operators import dedup as D
 from recordloom.operators import quality as Q
+from recordloom.operators.bitmaps import BatchCounts
 from recordloom.operators.scale import number_rows, skew_join
 from recordloom.plans.registry import query, table
+from recordloom.session import work_dir
 
 
 @query(
@@ -211,3 +213,35 @@ def completeness(spark, sf):
     wanted = table(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"))
     done = table(spark, sf, "lineitem").filter("l_linestatus = 'F'").select(F.col("l_orderkey").alias("id"))
     return Q.completeness(wanted, done, "id")
+
+
+@query(
+    "coverage_merged",
+    """SELECT count(*) AS total, count(*) FILTER (o_totalprice > 150000) AS dear, count(*) FILTER (o_orderstatus = 'F') AS closed
+       FROM orders""",
+)
+def coverage_merged(spark, sf):
+    """A batch per priority, all orders again as the last batch: counted once, from bitmaps."""
+    orders = table(spark, sf, "orders")
+    checks = {"dear": F.col("o_totalprice") > 150000, "closed": F.col("o_orderstatus") == "F"}
+    counts = BatchCounts(spark, work_dir(spark, "bitmaps"))
+    urgent = F.col("o_orderpriority").startswith("1") | F.col("o_orderpriority").startswith("2")
+    for name, batch in (("a", orders.filter(urgent)), ("b", orders.filter(~urgent)), ("c", orders)):
+        counts.add(name, batch, "o_orderkey", checks)
+    return counts.coverage(*checks)
+
+
+@query(
+    "completeness_merged",
+    """WITH w AS (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderstatus <> 'P'),
+            d AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_linestatus = 'F')
+       SELECT count(w.k) AS wanted, count(d.k) AS done, count(*) FILTER (d.k IS NULL) AS open,
+         count(*) FILTER (w.k IS NULL) AS extra, count(*) FILTER (d.k IS NULL OR w.k IS NULL) = 0 AS complete
+       FROM w FULL OUTER JOIN d ON w.k = d.k""",
+)
+def completeness_merged(spark, sf):
+    """Orders and lines arrive as batches of their own; nothing is joined."""
+    counts = BatchCounts(spark, work_dir(spark, "bitmaps"))
+    counts.add("orders", table(spark, sf, "orders"), "o_orderkey", {"wanted": F.col("o_orderstatus") != "P"})
+    counts.add("lines", table(spark, sf, "lineitem"), "l_orderkey", {"done": F.col("l_linestatus") == "F"})
+    return counts.completeness("wanted", "done")

@@ -8,6 +8,7 @@ from recordloom.functions import lists as L
 from recordloom.functions import scores as S
 from recordloom.operators import match as M
 from recordloom.operators import tournament as C
+from recordloom.operators.remembered import Remembered
 from recordloom.operators.vector_index import read_vector_index, write_vector_index
 from recordloom.plans.registry import query, table
 from recordloom.session import work_dir
@@ -222,6 +223,15 @@ def annotate(spark, sf):
     return M.annotate(_candidates(spark, sf)).select("item_id", "doc_id", "recommendation_reason")
 
 
+@query("annotate_remembered", MATCH + "SELECT item_id, doc_id, 'Shared terms: ' || words AS recommendation_reason FROM scored")
+def annotate_remembered(spark, sf):
+    """The same with a stored table of texts, by a second run that has nothing left to ask."""
+    pairs, notes = _candidates(spark, sf), Remembered(spark, work_dir(spark, "remembered"))
+    notes.annotate(pairs, "shared terms")
+    again = notes.annotate(pairs, "shared terms", generator=lambda record, unit: F.raise_error(F.lit("asked again")).cast("string"))
+    return again.select("item_id", "doc_id", "recommendation_reason")
+
+
 @query(
     "top_k_by_comparison",
     MATCH

@@ -42,6 +42,17 @@ def incremental_retry(spark, sf):
     return I.results(spark, out, "event_id")
 
 
+@query("incremental_keyed", "SELECT event_id, user_id, event_type FROM events WHERE event_type <> 'error'")
+def incremental_keyed(spark, sf):
+    """Keys known by the stream's state; failures stay in the queue, a second run of the stream changes nothing."""
+    out = work_dir(spark, "keyed")
+    run = I.KeyedRun(spark, out, "event_id", _process)
+    for _ in range(2):
+        stream = I.read_stream(spark, f"{sf}/events.parquet").select("event_id", "user_id", "event_type")
+        run.start(stream, f"{out}/checkpoint", ["event_id"]).awaitTermination()
+    return run.results()
+
+
 @query("seen_ids", "SELECT user_id, min(event_id) AS first_seen, count(*) AS sightings FROM events GROUP BY 1")
 def seen_ids(spark, sf):
     out = work_dir(spark, "seen")

@@ -110,6 +110,98 @@ def retry_failed(spark: SparkSession, out: str, key: str, process: Callable[[Dat
     _write_batch(process(again), out, RETRY_BASE if last is None else last + 1)
 
 
+# --- the same with the state of keys in the stream ---------------------------------------------
+
+#: Tries of a failing record before it is left for good.
+MAX_TRIES = 5
+#: Runs outside the stream come between two of its batches, at most this many less one.
+STRIDE = 1000
+
+
+def _folders(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the whole folders ``seq=N`` below ``path``, in order."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(fs_path):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(fs_path) if f.isDirectory()]
+    done = [n for n in names if n.startswith("seq=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return sorted(int(n.removeprefix("seq=")) for n in done)
+
+
+class KeyedRun:
+    """Every key once, by state in the stream, with a queue of failures that waits longer each time.
+
+    The stream keeps, for every key, when it came first and last: a key is new if both are the time
+    of this micro-batch, which Spark writes to its log, so a replay decides alike. No batch reads
+    what earlier ones wrote but the queue, which holds the open failures alone. Copies of a key
+    merge before the shuffle; the state is one row per key. ``process`` keeps all columns and adds
+    a text ``error``, '' or null for rows that worked; keys may be null, one key like any other.
+
+    Folders: ``log/seq=N`` holds what was processed, ``open/seq=N`` the whole queue after that. A
+    failure is due again after ``wait`` seconds, then twice that, and so on, up to ``max_tries`` tries in all.
+    """
+
+    def __init__(self, spark: SparkSession, out: str, key: str, process: Callable[[DataFrame], DataFrame], wait: float = 60, max_tries: int = MAX_TRIES):
+        self.spark, self.out, self.key, self.process, self.wait, self.max_tries = spark, out, key, process, wait, max_tries
+
+    def start(self, stream: DataFrame, checkpoint: str, order: Sequence[str]) -> StreamingQuery:
+        """Process what is available now; of a key's rows in a micro-batch the first by ``order``."""
+        row, now = F.struct(*stream.columns), F.current_timestamp()
+        timed = stream.select(F.col(self.key).alias("_key"), row.alias("_row"), F.struct(*order).alias("_order"), now.alias("_at"))
+        state = timed.groupBy("_key").agg(
+            F.min_by("_row", F.struct("_at", "_order")).alias("row"), F.min("_at").alias("first"), F.max("_at").alias("last")
+        )
+
+        def save(batch: DataFrame, batch_id: int) -> None:
+            self._step(batch.filter(F.col("first") == F.col("last")).select("row.*"), batch_id * STRIDE)
+
+        writer = state.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint)
+        return writer.trigger(availableNow=True).start()
+
+    def retry(self) -> None:
+        """Try the failures that are due, between two runs of the stream."""
+        before = _folders(self.spark, f"{self.out}/open")
+        if before:
+            self._step(None, before[-1] + 1)
+
+    def _queue(self, before: int | None = None) -> DataFrame | None:
+        found = [n for n in _folders(self.spark, f"{self.out}/open") if before is None or n < before]
+        return self.spark.read.parquet(f"{self.out}/open/seq={found[-1]}") if found else None
+
+    def _step(self, fresh: DataFrame | None, seq: int) -> None:
+        log, waiting = f"{self.out}/log/seq={seq}", None
+        queue = self._queue(seq)
+        todo = [] if fresh is None else [fresh.withColumn("_tries", F.lit(0))]
+        if queue is not None:
+            now = F.lit(self.spark.range(1).select(F.current_timestamp()).first()[0])
+            due = (F.col("_due") <= now) & (F.col("_tries") < self.max_tries)
+            todo.append(queue.filter(due).drop("_due", "error"))
+            waiting = queue.filter(~due)
+        rows = todo[0] if len(todo) == 1 else todo[0].unionByName(todo[1])
+        columns = rows.columns
+        status = F.when(missing(F.col("error")), "ok").otherwise("error")
+        done = self.process(rows).withColumns({"_status": status, "_attempt": F.current_timestamp()})
+        done.write.mode("overwrite").parquet(log)
+        bad = self.spark.read.parquet(log).filter("_status = 'error'").withColumn("_tries", F.col("_tries") + 1)
+        seconds = F.lit(float(self.wait)) * F.pow(F.lit(2.0), F.col("_tries") - 1)
+        bad = bad.withColumn("_due", F.timestamp_micros(F.unix_micros("_attempt") + (seconds * 1_000_000).cast("long")))
+        bad = bad.select(*columns, "error", "_due")
+        if waiting is not None:
+            bad = waiting.unionByName(bad)
+        bad.write.mode("overwrite").parquet(f"{self.out}/open/seq={seq}")
+
+    def results(self) -> DataFrame:
+        """The record of every key that worked. Needs a run before it."""
+        log = self.spark.read.option("basePath", f"{self.out}/log").parquet(f"{self.out}/log")
+        ok = log.filter("_status = 'ok'")
+        return last_per_key(ok, [self.key], ["_attempt", "seq"]).drop("error", "seq", "_tries", "_status", "_attempt")
+
+    def failures(self) -> DataFrame:
+        """Open failures with the number of tries. Needs a run before it."""
+        return self._queue().withColumnRenamed("_tries", "tries").drop("_due")
+
+
 def track_ids(stream: DataFrame, key: str, order: str, out: str, checkpoint: str) -> StreamingQuery:
     """Every id once, with its first place and how often it was seen.
 
