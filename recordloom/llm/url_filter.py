@@ -3,7 +3,9 @@
 The first level encodes the listed keys. The keys of the corpus that it takes for listed by
 mistake go into the second level, listed keys that the second level takes for mistakes go
 into the third, and so on until no mistake is left. For every key of the corpus the answer is
-then exact, from a few bits per listed key and without a join.
+then exact, from a few bits per listed key and without a join. The first level is sized so that
+the second has fewer keys than the list, whatever the corpus; each later one halves the mistakes.
+So the bits grow with the list, and with the corpus by its logarithm only.
 """
 
 from __future__ import annotations
@@ -16,9 +18,21 @@ from pyspark.sql import functions as F
 from recordloom.llm.registry import query
 from recordloom.llm.shared import keep, read
 
-BITS_PER_KEY = 10
-#: A level goes to every task and row as one value, so its size is bounded; beyond, keys are joined.
+#: The levels go to every task and row as values, so their bits are bounded; beyond, keys are joined.
 MAX_BITS = 2**21
+#: No level is smaller, so that the last few mistakes do not take a level each.
+MIN_BITS = 1024
+
+
+def level_bits(n: int, rate: float) -> int:
+    """Bits of a level of ``n`` keys that takes a share ``rate`` of others by mistake."""
+    return max(MIN_BITS, math.ceil(n * -math.log2(rate) / math.log(2) / 64) * 64)
+
+
+def level_hashes(n: int, bits: int, rate: float) -> int:
+    """The fewest places per key that keep mistakes at ``rate``; they are computed for every key that is looked up."""
+    best = max(1, round(bits / n * math.log(2)))
+    return next((k for k in range(1, best) if (1 - math.exp(-k * n / bits)) ** k <= rate), best)
 
 
 class Cascade:
@@ -26,22 +40,31 @@ class Cascade:
 
     ``listed`` and ``universe`` are one-column tables ``key`` of distinct strings without null.
     ``attach`` adds the levels' bits to a table, one value for all rows, which ``holds`` reads.
+    ``rate`` is the share of mistakes of the first level, by default sqrt(1/2) times listed by
+    universe. If the levels need more than ``max_bits`` together, none is built any more and ``fits`` is false.
     """
 
-    def __init__(self, listed: DataFrame, universe: DataFrame, bits_per_key: int = BITS_PER_KEY):
+    def __init__(self, listed: DataFrame, universe: DataFrame, rate: float | None = None, max_bits: int = MAX_BITS):
         self.name = uuid.uuid4().hex[:8]
         self.levels: list[tuple[Column, int, int]] = []
+        self.bits, self.fits = 0, True
+        n = listed.count()
+        if rate is None:
+            rate = min(0.5, math.sqrt(0.5) * max(n, 1) / max(universe.count(), 1))
         inside, outside = listed, universe.join(listed, "key", "left_anti")
-        while (n := inside.count()) or not self.levels:
-            level = self._level(inside, max(n, 1), bits_per_key)
-            self.levels.append(level)
+        while n or not self.levels:
+            self.bits += level_bits(max(n, 1), rate)
+            if self.bits > max_bits:
+                self.fits = False
+                return
+            self.levels.append(self._level(inside, max(n, 1), rate))
             wrong = self.attach(outside).filter(self._in(F.col("key"), len(self.levels) - 1)).select("key")
             wrong = keep(wrong, "url-wrong")
-            inside, outside = wrong, inside
+            inside, outside, n, rate = wrong, inside, wrong.count(), 0.5
 
-    def _level(self, keys: DataFrame, n: int, bits_per_key: int) -> tuple[Column, int, int]:
-        bits = max(64, math.ceil(n * bits_per_key / 64) * 64)
-        hashes = max(1, round(bits_per_key * math.log(2)))
+    def _level(self, keys: DataFrame, n: int, rate: float) -> tuple[Column, int, int]:
+        bits = level_bits(n, rate)
+        hashes = level_hashes(n, bits, rate)
         place = F.explode(self._places(F.col("key"), len(self.levels), bits, hashes)).alias("place")
         one = F.expr("shiftleft(1L, cast(place % 64 as int))").alias("bit")
         words = keys.select(place).select(F.expr("cast(place div 64 as int)").alias("at"), one)
@@ -109,7 +132,7 @@ def _candidates(host: Column, path: Column, lengths: list[int], labels: int) ->
 
 def judge_urls(
     pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str = "url", default: str = "allow",
-    bits_per_key: int = BITS_PER_KEY, max_bits: int = MAX_BITS,
+    max_bits: int = MAX_BITS,
 ) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict.
 
@@ -133,12 +156,14 @@ def judge_urls(
     keys = _candidates(F.col("host"), F.col("path"), sorted(lengths), labels or 0)
     if not n:
         return urls.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    if n * bits_per_key > max_bits:
+    if level_bits(n, 0.5) > max_bits:  # the least that a list of this size takes
         return _joined(urls, rules, keys, default)
     listed = rules.select("key")
     universe = keep(urls.select(F.explode(keys).alias("k")).select("k.key").distinct(), "url-keys")
-    is_rule = Cascade(listed, universe, bits_per_key)
-    allows = Cascade(rules.filter("verdict = 'allow'").select("key"), listed, bits_per_key)
+    is_rule = Cascade(listed, universe, max_bits=max_bits)
+    allows = Cascade(rules.filter("verdict = 'allow'").select("key"), listed, max_bits=max_bits)
+    if not (is_rule.fits and allows.fits):
+        return _joined(urls, rules, keys, default)
     found = allows.attach(is_rule.attach(urls)).withColumn("best", F.array_max(F.filter(keys, lambda k: is_rule.holds(k["key"]))))
     rule = F.col("best.key")
     verdict = F.when(rule.isNull(), F.lit(default)).when(allows.holds(rule), "allow").otherwise("block")

@@ -66,12 +66,33 @@ def test_many_rules_and_no_rules(spark):
 
 def test_cascade_is_exact_with_few_bits(spark):
     keys = spark.range(5_000).select(F.concat(F.lit("k"), "id").alias("key"))
-    cascade = Cascade(keys.filter("key like '%7'"), keys, bits_per_key=2)
+    cascade = Cascade(keys.filter("key like '%7'"), keys, rate=0.4)
     assert len(cascade.levels) > 3
     told = cascade.attach(keys).filter(cascade.holds(F.col("key"))).select("key")
     assert sorted(r["key"] for r in told.collect()) == sorted(f"k{i}" for i in range(7, 5_000, 10))
 
 
+def test_bits_follow_the_list_and_not_the_corpus(spark):
+    listed = spark.range(2_000).select(F.concat(F.lit("k"), "id").alias("key"))
+    bits = {}
+    for size in (20_000, 200_000):
+        keys = spark.range(size).select(F.concat(F.lit("k"), "id").alias("key"))
+        cascade = Cascade(listed, keys)
+        told = cascade.attach(keys).filter(cascade.holds(F.col("key")))
+        assert told.count() == 2_000 and told.join(listed, "key", "left_anti").isEmpty()
+        bits[size] = cascade.bits / 2_000
+    assert bits[20_000] < 14 and bits[200_000] < bits[20_000] + 6
+    assert not Cascade(listed, keys, max_bits=4_096).fits
+
+
+def test_too_many_bits_are_joined(spark):
+    many = [("block" if i % 3 else "allow", f"h{i}.net", "/a" if i % 2 else "/") for i in range(600)]
+    urls = [f"http://{'w.' * (i % 3)}h{i}.net/{'a/b' if i % 5 else ''}" for i in range(900)]
+    want = [(i, *brute_judge(u, many)) for i, u in enumerate(urls)]
+    for max_bits in (2**21, 3_000):  # enough for the list, but not for all levels
+        assert sorted(map(tuple, judge_urls(pages(spark, urls), rules(spark, many), max_bits=max_bits).collect())) == want
+
+
 def test_ordinal_fit_shares_weights_over_ordered_cuts():
     draw = np.random.default_rng(1)
     x = draw.normal(size=(3_000, 2))
