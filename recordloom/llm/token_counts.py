@@ -22,7 +22,7 @@ from recordloom.llm.registry import query
 from recordloom.llm.shared import read, short_batches
 
 RULES = ("start", "majority", "share")
-FIELDS = ("source", "lang", "text")
+HEADER = ("source", "lang")
 
 
 @lru_cache(maxsize=4)
@@ -54,7 +54,19 @@ def attribute(ends: np.ndarray, bounds: np.ndarray, rule: str) -> np.ndarray:
     last = np.searchsorted(bounds, ends, "left") - 1
     inside = first == last
     counts = np.bincount(first[inside], minlength=sections).astype(float)
-    for t in np.flatnonzero(~inside):
+
+    def add(section, n):
+        counts[:] += np.bincount(section, n, sections)
+
+    two = np.flatnonzero(last == first + 1)
+    left, right = first[two], last[two]
+    before, after = bounds[right] - starts[two], ends[two] - bounds[right]
+    if rule == "share":
+        add(left, before / (before + after))
+        add(right, after / (before + after))
+    else:
+        add(left if rule == "start" else np.where(before >= after, left, right), np.ones(len(two)))
+    for t in np.flatnonzero(last > first + 1):  # a token over a whole section and more
         here = np.arange(first[t], last[t] + 1)
         parts = np.minimum(bounds[here + 1], ends[t]) - np.maximum(bounds[here], starts[t])
         if rule == "start":
@@ -116,8 +128,23 @@ def field_sections(fields: Iterable[str]) -> Column:
     return F.array(*[F.struct(F.lit(f).alias("name"), t.alias("text")) for f, t in texts])
 
 
+#: A sentence ends after a mark and one space, or after a line break; both stay with it.
+SENTENCE_ENDS = r"(?<=[.!?] )|(?<=\n)"
+
+
+def sentence_sections(header: Iterable[str], text: str) -> Column:
+    """Header fields, each with a line break after it, then the text's sentences, which together are the whole text.
+
+    The space before a word belongs to the word's token but to the sentence before, so tokens cross there.
+    """
+    fields = [F.struct(F.lit(f).alias("name"), F.concat(F.coalesce(F.col(f).cast("string"), F.lit("")), F.lit("\n")).alias("text")) for f in header]
+    sentences = F.split(F.coalesce(F.col(text), F.lit("")), SENTENCE_ENDS)
+    parts = F.transform(sentences, lambda s: F.struct(F.lit("sentence").alias("name"), s.alias("text")))
+    return F.concat(F.array(*fields), parts) if fields else parts
+
+
 @query("op2_token_counts")
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """The header fields and the text of every document, encoded as one."""
+    """The header fields and the sentences of every document, encoded as one."""
     docs = read(spark, folder, "documents")
-    return section_tokens(docs, field_sections(FIELDS), public_tokenizers.path(RANKS))
+    return section_tokens(docs, sentence_sections(HEADER, "text"), public_tokenizers.path(RANKS))

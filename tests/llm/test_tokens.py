@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from recordloom.llm.byte_bpe import RANKS, decode, encode, encode_text, encoding, rank_bytes, round_trip
-from recordloom.llm.token_counts import attribute, field_sections, section_tokens
+from recordloom.llm.token_counts import attribute, field_sections, sentence_sections, section_tokens
 from tests.llm.tables import cases, docs
 
 PATH = public_tokenizers.path(RANKS)
@@ -87,6 +87,26 @@ def test_section_counts(spark, enc, rule):
     assert section_tokens(docs(spark, []), field_sections(["text"]), PATH).count() == 0
 
 
+@pytest.mark.parametrize("rule", ["start", "majority", "share"])
+def test_sentence_counts(spark, enc, rule):
+    """Spaces before words make tokens that cross from sentence to sentence."""
+    rows = [(i, t, "en", "a", 0) for i, t in enumerate(["One. Two.\nThree!\n\nFour?\nfive", "", None, "\n", "a.\n", "\n\n.\n\n\n\nb", "\n\nx. y" * 60, "é! Ünd. 😀? ja. "])]
+    got = section_tokens(docs(spark, rows), sentence_sections(["lang"], "text"), PATH, rule=rule).collect()
+    got = sorted((r["doc_id"], r["section_no"], r["name"], round(r["n_tokens"], 6), r["doc_tokens"]) for r in got)
+    want, crossed = [], 0
+    for doc_id, text, *_ in rows:
+        texts = ["en\n", ""]
+        for i, c in enumerate(text or ""):
+            texts[-1] += c
+            if c == "\n" or (c == " " and i and text[i - 1] in ".!?"):
+                texts.append("")
+        counts, tokens = brute_counts(enc, texts, rule), len(enc.encode_ordinary("".join(texts)))
+        crossed += tokens != sum(len(enc.encode_ordinary(t)) for t in texts)
+        want += [(doc_id, i, "sentence" if i else "lang", round(c, 6), tokens) for i, c in enumerate(counts)]
+    assert got == want
+    assert crossed >= 3
+
+
 def test_tokens_over_several_sections():
     ends, bounds = np.array([10]), np.array([0, 2, 2, 8, 10])
     assert attribute(ends, bounds, "start").tolist() == [1, 0, 0, 0]
