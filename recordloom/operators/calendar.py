@@ -1,13 +1,13 @@
 """Programme pages as node tables -> event, row and detail records.
 
-All windows and groups are per page (or per element of a page), and the nodes of a page
-come from one input row, so none of them grows with the number of pages. Every job deals its
-nodes out by page once, which serves all windows and groups below.
+All groups are per page (or per element of a page), and the nodes of a page come from one input
+row: the parser knows what is first in them, so no job shuffles or sorts its nodes. A job's mapping
+names the columns it reads, its ``_ROWS`` the groups whose first nodes are its rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions.lists import class_type, room_of
@@ -15,77 +15,104 @@ from recordloom.functions.schedule import end_time
 from recordloom.functions.text import collapse, first_value, missing, or_empty, strip
 from recordloom.functions.urls import without_fragment
 from recordloom.operators.dedup import first_wins
-from recordloom.operators.extract import Container, has_class
+from recordloom.operators.extract import Above, All, Container, First
 
-#: The containers that each job wants from ``extract_nodes``.
+_LINK = Container("a")
+_SELF = Container()  # fits the first element of a group
+
+
+def _div(*names: str) -> Container:
+    return Container("div", names)
+
+
+_SESSION = Container("div", classes="(oral|poster)-session")
+_TIMED = ("day_at", "box_at")
+#: The containers and columns that each job wants from ``extract_nodes``.
 EVENTS = {
     "day_at": [Container("div", classes="container2.*day-")],
-    "box_at": [Container("div", ("timebox",))],
-    "event_at": [Container("div", ("eventsession",))],
-    "block_at": [Container("div", classes="(oral|poster)-session")],
-    "part_at": [Container("div", ("eventblock",))],
+    "box_at": [_div("timebox")],
+    "event_at": [_div("eventsession")],
+    "block_at": [_SESSION],
+    "part_at": [_div("eventblock")],
     "item_at": [Container("div", classes=r"content\s+(oral|poster)")],
-    "booth_at": [Container("div", ("exhibitor-spot-talks",))],
+    "booth_at": [_div("exhibitor-spot-talks")],
     "talk_at": [Container("div", classes="^content talk$")],
-    "title_at": [Container("div", ("title-style",))],
+    "title_at": [_div("title-style")],
+    "day_text": First(("day_at",), _div("hdrbox")),
+    "box_text": First(("box_at",), _div("time")),
+    "box_depth": First(("box_at",), _SELF, "depth"),
+    "date": Above("day_text"),
+    "box_above": Above("box_text"),
+    "event_title": First(("event_at",), _div("title-style"), within=_TIMED),
+    "event_link": First(("event_at",), _LINK, within=("title_at", *_TIMED)),
+    "event_href": First(("event_at",), _LINK, "href", within=("title_at", *_TIMED)),
+    "event_header": First(("event_at",), _div("hdr-style"), within=_TIMED),
+    "end_note": First(("event_at",), Container("span", ("end-time",)), within=_TIMED),
+    "block_classes": First(("block_at",), _SESSION, "class", within=_TIMED),
+    "header": First(("part_at",), _div("subevent-header"), within=_TIMED),
+    "header_classes": First(("part_at",), _div("subevent-header"), "classes", within=_TIMED),
+    "item_link": First(("item_at",), _LINK, within=_TIMED),
+    "item_href": First(("item_at",), _LINK, "href", within=_TIMED),
+    "talk_link": First(("talk_at",), _LINK, within=_TIMED),
+    "talk_href": First(("talk_at",), _LINK, "href", within=_TIMED),
 }
+EVENT_ROWS = [("event_at",), ("item_at",), ("talk_at",)]
+_ROW = ("day_at", "row_at")
+_MODAL = Container("a", attr="data-event-modal")
 ROWS = {
-    "day_at": [Container("div", ("day-wrapper",))],
+    "day_at": [_div("day-wrapper")],
     "row_at": [Container("tr", attr="data-slot-id")],
     "muted_at": [Container(has=("text-muted",))],
     "people_at": [Container(has=("performers",))],
+    "day": First(("day_at",), Container("h4", ("day-header",))),
+    "days": All((), _div("day-wrapper"), values=("pos", "day")),
+    "part_at": First(_ROW, _SELF, "pos"),
+    "data_event_modal": First(_ROW, _MODAL, "data-event-modal"),
+    "title": First(_ROW, _MODAL),
+    "start_time": First(_ROW, Container(has=("start-time",))),
+    "duration": First(_ROW, Container("strong"), within=("muted_at",)),
+    "event_type": First(_ROW, Container(has=("event-type",))),
+    "track": First(_ROW, Container(has=("prog-track",))),
+    "people": All(_ROW, Container("a", ("navigate",)), within=("people_at",), values=("end_pos", "text", "href")),
+    "places": All(_ROW, Container(has=("prog-aff",)), values=("pos", "text")),
 }
+TABLE_ROWS = [_ROW]
 DETAILS = {
     "head_at": [Container(has=("modal-header",))],
     "text_at": [Container(has=("event-description",))],
     "person_at": [Container(has=("media",))],
-    "link_at": [Container("a")],
+    "link_at": [_LINK],
+    "person_name": First(("person_at",), Container(has=("media-heading",))),
+    "person_place": First(("person_at",), Container(has=("text-black",))),
+    "person_country": First(("person_at",), Container("small")),
+    "link_href": First(("link_at",), _SELF, "href"),
+    "track_full_name": First((), Container(has=("text-muted",)), within=("head_at",)),
+    "datetime_str": First((), Container("strong"), within=("head_at",)),
+    "session_name": First((), Container("a", ("navigate",)), within=("head_at",)),
+    "room": First((), Container("a", ("room-link",)), within=("head_at",)),
+    "paragraphs": All((), Container("p"), within=("text_at",)),
+    "people": All((), Container(has=("media",)), values=("person_name", "person_place", "person_country", "link_at", "link_href")),
 }
+DETAIL_ROWS = [()]
+_BLOCK = ("day_at", "block_at")
 ENTRIES = {
-    "day_at": [Container("div", ("days",))],
+    "day_at": [_div("days")],
     "box_at": [Container(has=("timebox",))],
-    "block_at": [Container("div", ("eventsession", "pad")), Container("div", ("session", "pad"))],
-    "title_at": [Container("div", ("title-style",)), Container("div", ("sessiontitle",))],
-    "content_at": [Container("div", ("content",))],
+    "block_at": [_div("eventsession", "pad"), _div("session", "pad")],
+    "title_at": [_div("title-style"), _div("sessiontitle")],
+    "content_at": [_div("content")],
+    "days": All((), _div("days"), values=("pos",)),
+    "no_day": First((), _SELF, "pos", outside="day_at"),
+    "part_at": First(_BLOCK, _SELF, "pos"),
+    "start_raw": First(("box_at",), Container(has=("time",))),
+    "url": First(_BLOCK, _LINK, "href", within=("title_at",)),
+    "title": First(_BLOCK, _LINK, within=("title_at",)),
+    "end_note": First(_BLOCK, Container(has=("end-time",))),
+    "label": First(_BLOCK, Container(has=("hdr-style",))),
+    "speaker_on_calendar": First(_BLOCK, Container(has=("speaker-style",))),
+    "papers": All(_BLOCK, _LINK, within=("content_at",), values=("text", "href")),
 }
-
-
-def _in_order():
-    return Window.partitionBy("page_id").orderBy("pos")
-
-
-def first_in(container: str, condition: Column, value: Column) -> Column:
-    """``value`` of the first node inside the container that fits, on all its nodes."""
-    inside = Window.partitionBy("page_id", container)
-    return F.min_by(F.when(condition, value), F.when(condition, F.col("pos"))).over(inside)
-
-
-def _classes() -> Column:
-    return or_empty(F.col("attrs")["class"])
-
-
-def _div(name: str) -> Column:
-    return (F.col("tag") == "div") & has_class(name)
-
-
-def _with_context(nodes: DataFrame, inherit_time: bool) -> DataFrame:
-    """Give every node its day, time box and blocks; a day without a text inherits the one above."""
-    n = nodes.repartition("page_id").withColumn("text", strip("text"))
-    n = n.withColumns(
-        {
-            "day_text": F.when(F.col("pos") == F.col("day_at"), first_in("day_at", _div("hdrbox"), F.col("text"))),
-            "box_text": F.when(F.col("pos") == F.col("box_at"), first_in("box_at", _div("time"), F.col("text"))),
-            "box_depth": first_in("box_at", F.col("pos") == F.col("box_at"), F.col("depth")),
-        }
-    )
-    above = F.last("box_text", ignorenulls=True).over(_in_order())
-    own = or_empty(F.max("box_text").over(Window.partitionBy("page_id", "box_at")))
-    return n.withColumns(
-        {
-            "date": F.last("day_text", ignorenulls=True).over(_in_order()),
-            "time": above if inherit_time else own,
-        }
-    ).filter(F.col("day_at").isNotNull() & F.col("box_at").isNotNull())
+ENTRY_ROWS = [_BLOCK]
 
 
 def item_type(item_classes: Column, header_classes: Column, block_classes: Column) -> Column:
@@ -113,30 +140,16 @@ def item_times(text: Column, header: Column, box_time: Column) -> tuple[Column,
 def calendar_events(nodes: DataFrame, base: str, inherit_time: bool = True) -> DataFrame:
     """Events, listed talks and posters, and exhibitor talks of calendar pages (nodes with EVENTS).
 
-    A time box without a time takes the one above it, or '' when ``inherit_time`` is off.
-    One pass: the pages are parsed and shuffled once, by page, and every window below
-    works on that partitioning.
+    A time box without a time takes the one above it, or '' when ``inherit_time`` is off; a day
+    without a text takes the one above it. One pass over the nodes, without a shuffle.
     """
-    is_link = F.col("tag") == "a"
-    in_title = is_link & F.col("title_at").isNotNull()
-    is_header = _div("subevent-header")
-    href = or_empty(F.col("href"))
-    n = _with_context(nodes, inherit_time).withColumns(
-        {
-            "event_title": first_in("event_at", _div("title-style"), F.col("text")),
-            "event_link": first_in("event_at", in_title, F.col("text")),
-            "event_href": first_in("event_at", in_title, href),
-            "event_header": first_in("event_at", _div("hdr-style"), F.col("text")),
-            "end_note": first_in("event_at", (F.col("tag") == "span") & has_class("end-time"), F.col("text")),
-            "block_classes": first_in("block_at", F.col("pos") == F.col("block_at"), _classes()),
-            "header": first_in("part_at", is_header, F.col("text")),
-            "header_classes": first_in("part_at", is_header, F.col("classes")),
-            "item_link": first_in("item_at", is_link, F.col("text")),
-            "item_href": first_in("item_at", is_link, href),
-            "talk_link": first_in("talk_at", is_link, F.col("text")),
-            "talk_href": first_in("talk_at", is_link, href),
-        }
-    )
+    texts = ["text", "date", "event_title", "event_link", "event_header", "end_note", "header", "item_link", "talk_link"]
+    n = nodes.filter(F.col("day_at").isNotNull() & F.col("box_at").isNotNull())
+    n = n.withColumns({
+        **{c: strip(c) for c in texts},
+        "time": strip("box_above") if inherit_time else or_empty(strip("box_text")),
+        "block_classes": or_empty(F.col("block_classes")),
+    })
     is_event = (
         (F.col("pos") == F.col("event_at"))
         & (F.col("depth") == F.col("box_depth") + 1)
@@ -167,38 +180,25 @@ def calendar_events(nodes: DataFrame, base: str, inherit_time: bool = True) -> D
         .when(item, item_type(F.col("classes"), F.col("header_classes"), F.col("block_classes")))
         .otherwise("Exhibitor Talk")
         .alias("session_type"),
-        F.when(link.isNotNull(), F.concat(F.lit(base), target)).otherwise("").alias("url"),
+        F.when(link.isNotNull(), F.concat(F.lit(base), or_empty(target))).otherwise("").alias("url"),
         F.lit("").alias("abstract"),
     ).filter(~missing(F.col("title")))
 
 
 def table_rows(nodes: DataFrame, day_label: str) -> DataFrame:
     """Programme table rows (nodes with ROWS) of the first day whose header starts with the label, once per uuid."""
-    n = nodes.repartition("page_id").withColumn("text", strip("text"))
-    is_header = (F.col("tag") == "h4") & has_class("day-header")
-    n = n.withColumn("day", first_in("day_at", is_header, F.col("text"))).filter(
-        F.col("day").startswith(day_label)
-    )
-    n = n.withColumn("first_day", F.min("day_at").over(Window.partitionBy("page_id")))
-    inside = n.filter((F.col("day_at") == F.col("first_day")) & F.col("row_at").isNotNull())
-    uuid = F.col("attrs")["data-event-modal"]
-    is_link = (F.col("tag") == "a") & uuid.isNotNull()
-
-    def pick(condition: Column, value: Column) -> Column:
-        return F.min_by(F.when(condition, value), F.when(condition, F.col("pos")))
-
-    is_person = F.col("people_at").isNotNull() & (F.col("tag") == "a") & has_class("navigate") & (F.col("text") != "")
-    person = F.struct("pos", "end_pos", F.col("text").alias("name"), or_empty(F.col("href")).alias("url"))
-    place = F.struct(F.col("pos"), F.col("text"))
-    rows = inside.groupBy("page_id", "row_at").agg(
-        pick(is_link, uuid).alias("data_event_modal"),
-        or_empty(pick(is_link, F.col("text"))).alias("title"),
-        or_empty(pick(has_class("start-time"), F.col("text"))).alias("start_time"),
-        or_empty(pick((F.col("tag") == "strong") & F.col("muted_at").isNotNull(), F.col("text"))).alias("duration"),
-        or_empty(pick(has_class("event-type"), F.col("text"))).alias("event_type"),
-        or_empty(pick(has_class("prog-track"), F.col("text"))).alias("track"),
-        F.array_sort(F.collect_list(F.when(is_person, person))).alias("people"),
-        F.map_from_entries(F.collect_list(F.when(has_class("prog-aff"), place))).alias("places"),
+    first_day = F.get(F.filter("days", lambda d: strip(d["day"]).startswith(day_label)), 0)["pos"]
+    rows = nodes.filter((F.col("pos") == F.col("part_at")) & (F.col("day_at") == first_day) & F.col("row_at").isNotNull())
+    texts = {c: or_empty(strip(c)) for c in ("title", "start_time", "duration", "event_type", "track")}
+    person = lambda p: F.struct(p["end_pos"], strip(p["text"]).alias("name"), or_empty(p["href"]).alias("url"))
+    place = lambda p: F.struct(p["pos"], strip(p["text"]))
+    rows = rows.select(
+        "page_id",
+        "row_at",
+        "data_event_modal",
+        *[c.alias(name) for name, c in texts.items()],
+        F.filter(F.transform("people", person), lambda p: p["name"] != "").alias("people"),
+        F.map_from_entries(F.transform("places", place)).alias("places"),
     )
     authors = F.transform(
         "people",
@@ -214,72 +214,36 @@ def table_rows(nodes: DataFrame, day_label: str) -> DataFrame:
 
 def detail_rows(nodes: DataFrame) -> DataFrame:
     """One record per detail page (nodes with DETAILS): track, time, room, session, abstract paragraphs, people."""
-    n = nodes.repartition("page_id").withColumn("text", strip("text"))
-    n = n.withColumns(
-        {
-            "person_name": first_in("person_at", has_class("media-heading"), F.col("text")),
-            "person_place": first_in("person_at", has_class("text-black"), F.col("text")),
-            "person_country": first_in("person_at", F.col("tag") == "small", F.col("text")),
-            "link_href": first_in("link_at", F.col("pos") == F.col("link_at"), F.col("href")),
-        }
-    )
-    in_head = F.col("head_at").isNotNull()
-    is_link = (F.col("tag") == "a") & in_head
-
-    def pick(condition: Column) -> Column:
-        return or_empty(F.min_by(F.when(condition, F.col("text")), F.when(condition, F.col("pos"))))
-
-    paragraph = (F.col("tag") == "p") & F.col("text_at").isNotNull() & (F.col("text") != "")
-    is_person = (F.col("pos") == F.col("person_at")) & ~missing(F.col("person_name"))
-    person = F.struct(
-        "pos",
-        F.col("person_name").alias("name"),
-        or_empty(F.col("person_place")).alias("affiliation"),
-        or_empty(F.col("person_country")).alias("country"),
-        or_empty(F.col("link_href")).alias("profile_url"),
+    person = lambda p: F.struct(
+        strip(p["person_name"]).alias("name"),
+        or_empty(strip(p["person_place"])).alias("affiliation"),
+        or_empty(strip(p["person_country"])).alias("country"),
+        or_empty(F.when(p["link_at"].isNotNull(), p["link_href"])).alias("profile_url"),
     )
-    rows = n.groupBy("page_id").agg(
-        pick(in_head & has_class("text-muted")).alias("track_full_name"),
-        pick(in_head & (F.col("tag") == "strong")).alias("datetime_str"),
-        pick(is_link & has_class("navigate")).alias("session_name"),
-        pick(is_link & has_class("room-link")).alias("room"),
-        F.array_sort(F.collect_list(F.when(paragraph, F.struct("pos", "text")))).alias("paragraphs"),
-        F.array_sort(F.collect_list(F.when(is_person, person))).alias("people"),
+    paragraphs = F.filter(F.transform("paragraphs", lambda p: strip(p["text"])), lambda t: t != "")
+    return nodes.filter("pos = 0").select(
+        "page_id",
+        *[or_empty(strip(c)).alias(c) for c in ("track_full_name", "datetime_str", "session_name", "room")],
+        F.array_join(paragraphs, "\n\n").alias("abstract"),
+        F.filter(F.transform("people", person), lambda p: ~missing(p["name"])).alias("authors"),
     )
-    return rows.withColumns(
-        {
-            "abstract": F.array_join(F.transform("paragraphs", lambda p: p["text"]), "\n\n"),
-            "authors": F.transform("people", lambda p: p.dropFields("pos")),
-        }
-    ).drop("paragraphs", "people")
 
 
 def calendar_entries(nodes: DataFrame, path: str) -> DataFrame:
     """Top-level calendar blocks (nodes with ENTRIES): kind and id from the link, times, label, room, listed papers."""
-    n = nodes.repartition("page_id").withColumn("text", collapse("text"))
-    n = n.withColumns(
-        {
-            "day_no": F.dense_rank().over(Window.partitionBy("page_id").orderBy("day_at")),
-            "start_raw": first_in("box_at", has_class("time"), F.col("text")),
-        }
-    ).filter(F.col("block_at").isNotNull() & F.col("day_at").isNotNull())
-
-    def pick(condition: Column, value: Column = F.col("text")) -> Column:
-        return or_empty(F.min_by(F.when(condition, value), F.when(condition, F.col("pos"))))
-
-    is_title = (F.col("tag") == "a") & F.col("title_at").isNotNull()
-    paper = (F.col("tag") == "a") & F.col("content_at").isNotNull()
-    listed = F.struct("pos", F.col("text").alias("title"), without_fragment(F.col("href")).alias("url"))
-    own = F.col("pos") == F.col("block_at")
-    blocks = n.groupBy("page_id", "day_no", F.col("block_at").alias("pos")).agg(
-        pick(is_title, without_fragment(F.col("href"))).alias("url"),
-        pick(is_title).alias("title"),
-        or_empty(F.first("start_raw")).alias("start_raw"),
-        pick(has_class("end-time")).alias("end_note"),
-        pick(has_class("hdr-style")).alias("label"),
-        pick(has_class("speaker-style")).alias("speaker_on_calendar"),
-        F.min_by(F.when(own, room_of(F.col("classes"))), F.when(own, F.col("pos"))).alias("room"),
-        F.array_sort(F.collect_list(F.when(paper, listed))).alias("papers"),
+    n = nodes.filter((F.col("pos") == F.col("part_at")) & F.col("block_at").isNotNull() & F.col("day_at").isNotNull())
+    # what is outside all days counts as one, before them
+    days = F.size(F.filter("days", lambda d: d["pos"] <= F.col("day_at"))) + F.col("no_day").isNotNull().cast("int")
+    paper = lambda p: F.struct(collapse(p["text"]).alias("title"), without_fragment(p["href"]).alias("url"))
+    texts = ("title", "start_raw", "end_note", "label", "speaker_on_calendar")
+    blocks = n.select(
+        "page_id",
+        days.alias("day_no"),
+        F.col("block_at").alias("pos"),
+        or_empty(without_fragment(F.col("url"))).alias("url"),
+        *[or_empty(collapse(F.col(c))).alias(c) for c in texts],
+        F.when(F.col("pos") == F.col("block_at"), room_of(F.col("classes"))).alias("room"),
+        F.transform("papers", paper).alias("papers"),
     )
     pattern = path + r"([a-z-]+)/(\d+)"
     kind = F.regexp_extract("url", pattern, 1)
@@ -297,5 +261,5 @@ def calendar_entries(nodes: DataFrame, path: str) -> DataFrame:
         first_value(strip(F.regexp_replace("label", ":$", "")), default_label).alias("kind_label"),
         "speaker_on_calendar",
         "room",
-        F.transform("papers", lambda p: p.dropFields("pos")).alias("papers"),
+        "papers",
     )

@@ -8,8 +8,10 @@ function for), on which everything else is DataFrame work.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from bisect import bisect_right
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -28,6 +30,7 @@ from recordloom.functions.text import (
     strip,
 )
 from recordloom.functions.urls import absolute, without_fragment
+from recordloom.session import short_batches
 
 # --- fields by expression ---------------------------------------------------------------
 
@@ -245,9 +248,19 @@ NODE_SCHEMA = (
     "page_id long, pos int, end_pos int, depth int, tag string, classes array<string>, "
     "attrs map<string,string>, href string, text string"
 )
-NODES_PER_BATCH = 20_000
+_NODE_TYPES = {
+    "pos": pa.int32(), "end_pos": pa.int32(), "depth": pa.int32(), "tag": pa.string(), "classes": pa.list_(pa.string()),
+    "attrs": pa.map_(pa.string(), pa.string()), "href": pa.string(), "text": pa.string(),
+}
+NODES_PER_BATCH = 5_000
+#: Combinations of a tag and classes whose kinds a task remembers.
+KNOWN_SHAPES = 10_000
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _SILENT = frozenset(("script", "style"))
+# plain markup: tags with quoted attributes and text; whose tags' content is text, declarations, comments and the like are not
+_TOKEN = re.compile(r'(</([a-zA-Z][a-zA-Z0-9]*)>|<([a-zA-Z][a-zA-Z0-9]*)((?:[ \t\n]+[a-zA-Z][a-zA-Z0-9-]*="[^"<>&]*")*)>|[^<]+)')
+_ATTR = re.compile(r'([a-zA-Z][a-zA-Z0-9-]*)="([^"]*)"')
+_RAW = frozenset("script style title textarea xmp iframe noembed noframes noscript plaintext svg math".split())
 
 
 @dataclass(frozen=True)
@@ -269,34 +282,116 @@ class Container:
         )
 
 
+@dataclass(frozen=True)
+class First:
+    """A value of the first element of a group that fits; null without one.
+
+    A group is the elements of a page whose nearest containers ``inside`` are the same ones (or
+    are missing alike); without names it is the page. ``within`` and ``outside`` name containers
+    that the element is and is not in, ``text`` is what its stripped text is, whatever its case.
+    ``value`` is text, href, pos, end_pos, depth, classes, or the name of an attribute or of another column.
+    """
+
+    inside: tuple[str, ...]
+    fits: Container
+    value: str = "text"
+    within: tuple[str, ...] = ()
+    outside: str | None = None
+    text: str | None = None
+
+
+@dataclass(frozen=True)
+class All(First):
+    """The same of all elements of a group that fit, in order: array<struct> of the ``values``."""
+
+    values: tuple[str, ...] = ("pos", "text")
+
+
+@dataclass(frozen=True)
+class Above:
+    """The value of the column ``first`` on the last container so far that has one."""
+
+    first: str
+
+
+@dataclass(frozen=True)
+class After:
+    """The text of the element that follows the one of the column ``first``, next to it."""
+
+    first: str
+
+
+Wanted = Mapping[str, "Sequence[Container] | First | Above | After"]
+
+
+class _Rules:
+    """The containers and columns wanted, and which elements fit them (remembered by tag and classes)."""
+
+    def __init__(self, wanted: Wanted | None) -> None:
+        wanted = dict(wanted or {})
+        self.kinds = {n: w for n, w in wanted.items() if not isinstance(w, (First, Above, After))}
+        self.columns = {n: w for n, w in wanted.items() if n not in self.kinds}
+        self.sought = {n: w for n, w in self.columns.items() if isinstance(w, First)}
+        every = [k for kinds in self.kinds.values() for k in kinds] + [w.fits for w in self.sought.values()]
+        self.attrs = sorted({k.attr for k in every if k.attr is not None})
+        self.known: dict[tuple, tuple] = {}
+
+    def fits(self, tag: str, attrs: Mapping[str, str]) -> tuple[list[str], list[str]]:
+        """Names of the containers that an element is, and of the columns it fits."""
+        shape = (tag, attrs.get("class", ""), *[a in attrs for a in self.attrs])
+        if (names := self.known.get(shape)) is None:
+            if len(self.known) >= KNOWN_SHAPES:
+                self.known.clear()
+            names = self.known[shape] = (
+                [n for n, kinds in self.kinds.items() if any(k.fits(tag, attrs) for k in kinds)],
+                [n for n, w in self.sought.items() if w.fits.fits(tag, attrs)],
+            )
+        return names
+
+    def arrow_type(self, value: str) -> pa.DataType:
+        if value in self.kinds:
+            return pa.int32()
+        match self.columns.get(value):
+            case All(values=values):
+                return pa.list_(pa.struct([(v, self.arrow_type(v)) for v in values]))
+            case First(value=inner) | Above(first=inner):
+                return self.arrow_type(inner)
+        return _NODE_TYPES.get(value, pa.string())
+
+    def spark_type(self, value: str) -> str:
+        match self.columns.get(value):
+            case All(values=values):
+                return f"array<struct<{', '.join(f'{v}: {self.spark_type(v)}' for v in values)}>>"
+            case First(value=inner) | Above(first=inner):
+                return self.spark_type(inner)
+        if value in self.kinds or value in ("pos", "end_pos", "depth"):
+            return "int"
+        return {"classes": "array<string>", "attrs": "map<string,string>"}.get(value, "string")
+
+
 class _Outline(HTMLParser):
     """Lists the elements of one page in document order with the text below each.
 
-    ``containers`` names kinds of elements; each node gets the place of the nearest one of
-    every kind that it is in, or is, however they nest.
+    Each node knows the place of the nearest container of every kind that it is in, or is,
+    however they nest (``at``), and which columns it fits; ``value`` gives a column on a node.
     """
 
-    def __init__(self, containers: Mapping[str, Sequence[Container]] | None = None) -> None:
+    def __init__(self, rules: _Rules) -> None:
         super().__init__(convert_charrefs=True)
-        self.containers = containers or {}
+        self.rules = rules
         self.nodes: list[dict] = []
         self.open: list[dict] = []
+        self.found: dict[tuple, list[dict]] = {}
+        self.above: dict[str, tuple[list[int], list]] = {}
 
     def handle_starttag(self, tag, attrs):
         attrs = {k: v or "" for k, v in attrs}
-        node = {
-            "pos": len(self.nodes),
-            "end_pos": len(self.nodes),
-            "depth": len(self.open),
-            "tag": tag,
-            "classes": attrs.get("class", "").split(),
-            "attrs": attrs,
-            "href": attrs.get("href"),
-            "text": [],
-        }
-        above = self.open[-1] if self.open else {}
-        for name, kinds in self.containers.items():
-            node[name] = node["pos"] if any(k.fits(tag, attrs) for k in kinds) else above.get(name)
+        pos = len(self.nodes)
+        own, fits = self.rules.fits(tag, attrs)
+        at = self.open[-1]["at"] if self.open else {}
+        if own:
+            at = {**at, **dict.fromkeys(own, pos)}
+        node = {"pos": pos, "end_pos": pos, "depth": len(self.open), "tag": tag, "attrs": attrs, "text": [], "at": at, "fits": fits}
         self.nodes.append(node)
         if tag not in _VOID:
             self.open.append(node)
@@ -326,15 +421,61 @@ class _Outline(HTMLParser):
         if self.open:
             self.open[-1]["text"].append(data)
 
+    def _read(self, html: str) -> None:
+        """Feed the parser; plain markup, which needs none of its care, goes to the same handlers by one match a token."""
+        tokens = _TOKEN.findall(html)
+        if sum([len(t[0]) for t in tokens]) < len(html) or not _RAW.isdisjoint([t[2].lower() for t in tokens]):
+            self.feed(html)
+            self.close()
+            return
+        for whole, ended, tag, attrs in tokens:
+            if tag:
+                self.handle_starttag(tag.lower(), [(k.lower(), v) for k, v in _ATTR.findall(attrs)] if attrs else ())
+            elif ended:
+                self.handle_endtag(ended.lower())
+            else:
+                self.handle_data(unescape(whole) if "&" in whole else whole)
+
     def outline(self, html: str) -> list[dict]:
-        self.feed(html)
-        self.close()
+        self._read(html)
         self._close(0)
         for node in self.nodes:
             if isinstance(node["text"], list):
                 node["text"] = "".join(node["text"])
+            for name in node["fits"]:
+                w, at = self.rules.sought[name], node["at"]
+                if all([c in at for c in w.within]) and (w.outside is None or w.outside not in at):
+                    if w.text is None or node["text"].strip().lower() == w.text:
+                        self.found.setdefault((name, *map(at.get, w.inside)), []).append(node)
+        for name, w in self.rules.columns.items():
+            if isinstance(w, Above):
+                (inside,) = self.rules.sought[w.first].inside
+                values = [(n["pos"], self.value(n, w.first)) for n in self.nodes if n["at"].get(inside) == n["pos"]]
+                self.above[name] = tuple(zip(*[v for v in values if v[1] is not None])) or ((), ())
         return self.nodes
 
+    def value(self, node: dict, name: str):
+        """A column, a property or an attribute of a node."""
+        w = self.rules.columns.get(name)
+        if w is None:
+            if name in self.rules.kinds:
+                return node["at"].get(name)
+            if name in node:
+                return node[name]
+            return node["attrs"].get("class", "").split() if name == "classes" else node["attrs"].get(name)
+        if isinstance(w, Above):
+            places, values = self.above[name]
+            i = bisect_right(places, node["pos"])
+            return values[i - 1] if i else None
+        if isinstance(w, After):
+            hit = self.found.get((w.first,))
+            at = hit[0]["end_pos"] + 1 if hit else len(self.nodes)
+            return self.nodes[at]["text"] if at < len(self.nodes) and self.nodes[at]["depth"] == hit[0]["depth"] else None
+        hits = self.found.get((name, *map(node["at"].get, w.inside)), ())
+        if isinstance(w, All):
+            return [{v: self.value(hit, v) for v in w.values} for hit in hits]
+        return self.value(hits[0], w.value) if hits else None
+
 
 def _key_type(pages: DataFrame, key: str) -> str:
     """Whole-number keys of pages stay such, all others are text."""
@@ -346,7 +487,8 @@ def extract_nodes(
     key: str = "page_id",
     html: str = "html",
     tags: Sequence[str] | None = None,
-    containers: Mapping[str, Sequence[Container]] | None = None,
+    containers: Wanted | None = None,
+    groups: Sequence[Sequence[str]] | None = None,
 ) -> DataFrame:
     """One row per element: place, end of its subtree, depth, tag, classes, attributes, text.
 
@@ -354,54 +496,75 @@ def extract_nodes(
     elements repeat the text of inner ones; name the ``tags`` wanted to leave the others
     inside the task (places count all elements all the same). For every name in ``containers``
     there is a column with the place of the nearest element around a node (or the node itself)
-    that fits one of its kinds, null outside; the parser knows it, so no window is needed.
+    that fits one of its kinds, null outside, or the value of a ``First``, ``All``, ``Above`` or
+    ``After``; the parser knows them, so no window and no shuffle is needed. With ``groups`` only the first
+    element of every group comes out, a group being the elements that are in the same nearest containers of all names given.
     """
-    containers = dict(containers or {})
+    groups = None if groups is None else [tuple(g) for g in groups]
     wanted = None if tags is None else frozenset(tags)
-    id_type = pa.int64() if _key_type(pages, key) == "long" else pa.string()
-
-    arrow_schema = pa.schema(
-        [
-            ("page_id", id_type),
-            ("pos", pa.int32()),
-            ("end_pos", pa.int32()),
-            ("depth", pa.int32()),
-            ("tag", pa.string()),
-            ("classes", pa.list_(pa.string())),
-            ("attrs", pa.map_(pa.string(), pa.string())),
-            ("href", pa.string()),
-            ("text", pa.string()),
-            *[(name, pa.int32()) for name in containers],
-        ]
-    )
 
-    def batch_of(ids: list, nodes: list[dict]) -> pa.RecordBatch:
-        columns = [pa.array(ids, id_type)]
-        for field in list(arrow_schema)[1:]:
-            values = [n[field.name] for n in nodes]
-            if field.name == "attrs":
-                values = [list(v.items()) for v in values]
-            columns.append(pa.array(values, field.type))
-        return pa.RecordBatch.from_arrays(columns, schema=arrow_schema)
+    def chosen(nodes: list[dict]) -> list[dict]:
+        if wanted is not None:
+            nodes = [n for n in nodes if n["tag"] in wanted]
+        if groups is None:
+            return nodes
+        seen, first = set(), []
+        for n in nodes:
+            at = n["at"]
+            places = {(i, *[at[c] for c in g]) for i, g in enumerate(groups) if all([c in at for c in g])}
+            if not places <= seen:
+                seen |= places
+                first.append(n)
+        return first
+
+    names = [c.split()[0] for c in NODE_SCHEMA.split(", ")[1:]] + list(containers or {})
+    return _parsed(pages.select(F.col(key), F.col(html)), key, html, containers, names, chosen)
+
+
+def extract_pages(
+    pages: DataFrame, key: str = "page_id", html: str = "html", containers: Wanted | None = None, names: Sequence[str] = ()
+) -> DataFrame:
+    """``pages`` (without the html) and the columns ``names`` of ``containers`` on the first element of each; null without one."""
+    return _parsed(pages, key, html, containers, names, lambda nodes: nodes[:1] or [None])
+
+
+def _parsed(
+    pages: DataFrame, key: str, html: str, containers: Wanted | None, names: Sequence[str], chosen: Callable[[list[dict]], list]
+) -> DataFrame:
+    """(page_id, the other columns of ``pages``, ``names``) of the chosen nodes of every page."""
+    rules = _Rules(containers)
+    rest = [c for c in pages.columns if c not in (key, html)]
+    id_type = _key_type(pages, key)
+    types = {name: rules.arrow_type(name) for name in names}
+    schema = ", ".join([
+        f"page_id {id_type}",
+        *[f"`{c}` {t}" for c, t in pages.select(rest).dtypes],
+        *[f"{name} {rules.spark_type(name)}" for name in names],
+    ])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, nodes = [], []
-            for page_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = _Outline(containers).outline(text or "")
-                if wanted is not None:
-                    found = [n for n in found if n["tag"] in wanted]
-                ids.extend([page_id] * len(found))
-                nodes.extend(found)
-                if len(nodes) > NODES_PER_BATCH:
-                    yield batch_of(ids, nodes)
-                    ids, nodes = [], []
-            if nodes:
-                yield batch_of(ids, nodes)
-
-    spark_type = _key_type(pages, key)
-    schema = NODE_SCHEMA.replace("page_id long", f"page_id {spark_type}") + "".join(f", {name} int" for name in containers)
-    return pages.select(F.col(key).cast(spark_type).alias("page_id"), F.col(html).alias("html")).mapInArrow(parse, schema)
+            rows, columns = [], {name: [] for name in names}
+
+            def made() -> pa.RecordBatch:
+                kept = batch.select(["page_id", *rest]).take(pa.array(rows, pa.int32()))
+                values = [pa.array([list(v.items()) if v is not None else v for v in c] if name == "attrs" else c, types[name]) for name, c in columns.items()]
+                return pa.RecordBatch.from_arrays([*kept.columns, *values], ["page_id", *rest, *names])
+
+            for row, text in enumerate(batch.column("_html")):
+                page = _Outline(rules)
+                for node in chosen(page.outline(text.as_py() or "")):
+                    rows.append(row)
+                    for name, column in columns.items():
+                        column.append(None if node is None else page.value(node, name))
+                if len(rows) > NODES_PER_BATCH:
+                    yield made()
+                    rows, columns = [], {name: [] for name in names}
+            if rows:
+                yield made()
+
+    given = short_batches(pages).select(F.col(key).cast(id_type).alias("page_id"), *rest, F.col(html).alias("_html"))
+    return given.mapInArrow(parse, schema)
 
 
 def has_class(name: str, classes: str = "classes") -> Column:
@@ -518,13 +681,14 @@ def detail_pages(pages: DataFrame, key: str = "page_id", html: str = "html", kin
     heads = pages.select(
         F.col(key).cast(_key_type(pages, key)).alias("page_id"),
         F.col(kind).alias("kind"),
+        F.col(html).alias("html"),
         texts.alias("texts"),
         talk_title.alias("talk_title"),
         collapse(tag_text(F.col(html), "h2")).alias("session_title"),
         collapse(tag_text(F.col(html), "h5")).alias("session_room"),
     )
-    heads = extract_fields(heads, {**fields, **session_fields(F.col("texts"))})
-    joined = heads.join(_abstract_and_cards(extract_nodes(pages, key, html, containers=CARDS)), "page_id", "left")
+    heads = extract_fields(heads, {**fields, **session_fields(F.col("texts"))}).drop("texts")
+    joined = _abstract_and_cards(extract_pages(heads, "page_id", "html", CARDS, ("after_head", "cards")))
     talk = F.col("kind") == "invited-talk"
     detail = F.struct(
         F.when(talk, F.col("talk_title")).otherwise(F.col("session_title")).alias("title"),
@@ -538,31 +702,37 @@ def detail_pages(pages: DataFrame, key: str = "page_id", html: str = "html", kin
     return joined.select("page_id", "kind", detail.alias("detail"))
 
 
-CARDS = {"card_at": [Container("div", ("track-schedule-card",))], "title_at": [Container("h5")]}
+_CARD = Container("div", ("track-schedule-card",))
+CARDS = {
+    "card_at": [_CARD],
+    "title_at": [Container("h5")],
+    "part_at": First(("card_at",), Container(), "pos"),
+    "title": First(("card_at",), Container("h5")),
+    "url": First(("card_at",), Container("a"), "href", within=("title_at",)),
+    "authors": First(("card_at",), Container("p")),
+    "abstract": First(("card_at",), Container(has=("abstract",))),
+    "cards": All((), _CARD, values=("title", "url", "authors", "abstract")),
+    "head": First((), Container("h3"), "pos", text="abstract"),
+    "after_head": After("head"),
+}
+#: For ``extract_nodes``: the rows that ``session_cards`` reads.
+CARD_ROWS = [("card_at",)]
+
+
+def _card(of: Callable[[str], Column]) -> dict[str, Column]:
+    """The columns of a talk card from what the parser found."""
+    url = or_empty(without_fragment(of("url")))
+    return {c: url if c == "url" else or_empty(collapse(of(c))) for c in ("title", "url", "authors", "abstract")}
 
 
 def page_parts(nodes: DataFrame) -> DataFrame:
-    """Per page (nodes with the containers CARDS) one row per talk card (``card_at`` is its place) and one for all the rest.
+    """Per page (nodes with CARDS) one row per talk card (``card_at`` is its place) and one for all the rest.
 
-    ``after_head`` is the text of the element after the 'Abstract' heading.
+    ``after_head`` is the text of the element after the page's 'Abstract' heading, on all its rows.
     """
-    in_page = Window.partitionBy("page_id")
-    n = nodes.withColumn("text", collapse("text"))
-    is_head = (F.col("tag") == "h3") & F.col("text").rlike("(?i)^abstract$")
-    n = n.withColumn("head", F.min(F.when(is_head, F.struct("pos", "end_pos", "depth"))).over(in_page))
-    follows = (F.col("pos") == F.col("head.end_pos") + 1) & (F.col("depth") == F.col("head.depth"))
-
-    def pick(condition: Column, value: Column) -> Column:
-        return or_empty(F.min_by(F.when(condition, value), F.when(condition, F.col("pos"))))
-
-    title_link = (F.col("tag") == "a") & F.col("title_at").isNotNull()
-    return n.groupBy("page_id", "card_at").agg(
-        pick(F.col("tag") == "h5", F.col("text")).alias("title"),
-        pick(title_link, without_fragment(F.col("href"))).alias("url"),
-        pick(F.col("tag") == "p", F.col("text")).alias("authors"),
-        pick(has_class("abstract"), F.col("text")).alias("abstract"),
-        pick(follows, F.col("text")).alias("after_head"),
-    )
+    parts = nodes.filter(F.col("pos") == F.col("part_at"))
+    found = [c.alias(n) for n, c in _card(F.col).items()]
+    return parts.select("page_id", "card_at", *found, or_empty(collapse(F.col("after_head"))).alias("after_head"))
 
 
 def session_cards(nodes: DataFrame) -> DataFrame:
@@ -571,10 +741,8 @@ def session_cards(nodes: DataFrame) -> DataFrame:
     return cards.withColumnRenamed("card_at", "pos").drop("after_head")
 
 
-def _abstract_and_cards(nodes: DataFrame) -> DataFrame:
-    is_card = F.col("card_at").isNotNull() & (F.col("title") != "")
-    card = F.struct("card_at", "title", "url", "authors", "abstract")
-    listed = F.array_sort(F.collect_list(F.when(is_card, card)))
-    return page_parts(nodes).groupBy("page_id").agg(
-        F.max("after_head").alias("abstract"), F.transform(listed, lambda p: p.dropFields("card_at")).alias("papers")
-    )
+def _abstract_and_cards(pages: DataFrame) -> DataFrame:
+    cards = F.transform("cards", lambda c: F.struct(*[v.alias(n) for n, v in _card(lambda name: c[name]).items()]))
+    return pages.withColumns(
+        {"abstract": or_empty(collapse(F.col("after_head"))), "papers": F.filter(cards, lambda c: c["title"] != "")}
+    ).drop("cards", "after_head")

@@ -319,7 +319,7 @@ BOOTHS = "SELECT event_id, 'Booth ' || user_id, date, time, '', '', 'Exhibitor T
 
 @query("calendar_events", CALENDAR + " UNION ALL " + BOOTHS)
 def calendar_events(spark, sf):
-    nodes = E.extract_nodes(_calendar_pages(spark, sf), containers=C.EVENTS)
+    nodes = E.extract_nodes(_calendar_pages(spark, sf), containers=C.EVENTS, groups=C.EVENT_ROWS)
     return C.calendar_events(nodes, "https://example.org").drop("pos")
 
 
@@ -336,7 +336,7 @@ def exhibitor_talks(spark, sf):
         F.regexp_extract(html, "(?s)<ul>(.*?)</ul>", 1),
         F.lit("</div></div></div>"),
     )
-    nodes = E.extract_nodes(table(spark, sf, "pages", spread="page_id").select("page_id", booth.alias("html")), containers=C.EVENTS)
+    nodes = E.extract_nodes(table(spark, sf, "pages", spread="page_id").select("page_id", booth.alias("html")), containers=C.EVENTS, groups=C.EVENT_ROWS)
     return C.calendar_events(nodes, "https://example.org").select("page_id", "title", "url", "session_type")
 
 
