@@ -358,7 +358,7 @@ def table_rows(spark, sf):
     day = F.when(F.col("o_orderstatus") == "P", "Mon 1").otherwise("Sun 12 Apr")
     html = F.concat(F.lit('<div class="day-wrapper"><h4 class="day-header"> '), day, F.lit("</h4><table>"), row, row, F.lit("</table></div>"))
     pages = table(spark, sf, "orders", spread="o_orderkey").select(F.col("o_orderkey").alias("page_id"), html.alias("html"))
-    rows = C.table_rows(E.extract_nodes(pages, containers=C.ROWS), "Sun 12")
+    rows = C.table_rows(E.extract_nodes(pages, containers=C.ROWS, groups=C.TABLE_ROWS), "Sun 12")
     people = F.transform("authors", lambda a: F.concat_ws(",", a["name"], a["affiliation"], a["profile_url"]))
     return rows.withColumn("authors", F.array_join(people, ";"))
 

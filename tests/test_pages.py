@@ -34,3 +34,8 @@ def test_groups_leave_the_rows_of_a_job(spark):
     rows = E.extract_nodes(pages, containers=C.ROWS, groups=C.TABLE_ROWS)
     assert rows.count() == 2
     assert C.table_rows(rows, "Sun").collect() == C.table_rows(E.extract_nodes(pages, containers=C.ROWS), "Sun").collect() != []
+
+
+def test_table_rows_sorts_only_for_its_distinct_ids(spark):
+    text = plan(spark, "table_rows")
+    assert "Window" not in text and "collect_list" not in text and text.count("hashpartitioning(page_id") <= 1
