@@ -429,7 +429,7 @@ def calendar_entries(spark, sf):
               '<div class="content"><a href="/p/'), "event_id", F.lit('#y">Paper '), "event_id", F.lit("</a></div></div></div></div>"),
     )
     pages = table(spark, sf, "events", spread="event_id").select(F.col("event_id").alias("page_id"), html.alias("html"))
-    rows = C.calendar_entries(E.extract_nodes(pages, containers=C.ENTRIES), "/v/").drop("pos", "day_no")
+    rows = C.calendar_entries(E.extract_nodes(pages, containers=C.ENTRIES, groups=C.ENTRY_ROWS), "/v/").drop("pos", "day_no")
     return rows.withColumn("papers", F.array_join(F.transform("papers", lambda p: F.concat_ws(" ", p["title"], p["url"])), ";"))
 
 

@@ -39,3 +39,8 @@ def test_groups_leave_the_rows_of_a_job(spark):
 def test_table_rows_sorts_only_for_its_distinct_ids(spark):
     text = plan(spark, "table_rows")
     assert "Window" not in text and "collect_list" not in text and text.count("hashpartitioning(page_id") <= 1
+
+
+def test_calendar_entries_is_map_only(spark):
+    text = plan(spark, "calendar_entries")
+    assert "Window" not in text and "Aggregate" not in text and "Sort" not in text
