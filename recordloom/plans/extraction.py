@@ -393,7 +393,7 @@ def detail_rows(spark, sf):
         F.lit('</h5><span class="text-black">'), "c_mktsegment", F.lit("</span><small>N"), "c_nationkey", F.lit("</small></div></a>"),
     )
     pages = table(spark, sf, "customer", spread="c_custkey").select(F.col("c_custkey").alias("page_id"), html.alias("html"))
-    rows = C.detail_rows(E.extract_nodes(pages, containers=C.DETAILS))
+    rows = C.detail_rows(E.extract_nodes(pages, containers=C.DETAILS, groups=C.DETAIL_ROWS))
     people = F.transform("authors", lambda a: F.concat_ws(",", a["name"], a["affiliation"], a["country"], a["profile_url"]))
     return rows.withColumn("authors", F.array_join(people, ";"))
 
@@ -462,7 +462,7 @@ def session_cards(spark, sf):
         F.lit('</div></div><div class="track-schedule-card"><p>no title</p></div></main>'),
     )
     pages = table(spark, sf, "orders", spread="o_orderkey").select(F.col("o_orderkey").alias("page_id"), html.alias("html"))
-    return E.session_cards(E.extract_nodes(pages, containers=E.CARDS)).drop("pos")
+    return E.session_cards(E.extract_nodes(pages, containers=E.CARDS, groups=E.CARD_ROWS)).drop("pos")
 
 
 @query(

@@ -44,3 +44,17 @@ def test_table_rows_sorts_only_for_its_distinct_ids(spark):
 def test_calendar_entries_is_map_only(spark):
     text = plan(spark, "calendar_entries")
     assert "Window" not in text and "Aggregate" not in text and "Sort" not in text
+
+
+def test_detail_pages_joins_nothing(spark):
+    text = plan(spark, "detail_pages")
+    assert "Join" not in text and "Window" not in text and "Aggregate" not in text
+    pages = spark.createDataFrame([("a", "session", ""), ("b", "session", "<p>x</p>"), (None, "invited-talk", "<h1>T</h1><h3>Abstract</h3><p>A</p>")], "page_id string, kind string, html string")
+    rows = {r["page_id"]: r["detail"] for r in E.detail_pages(pages).collect()}
+    assert rows["a"]["papers"] is None and rows["b"]["papers"] == [] and rows[None]["abstract"] == "A"
+
+
+def test_session_cards_and_detail_rows_are_map_only(spark):
+    for name in ("session_cards", "detail_rows"):
+        text = plan(spark, name)
+        assert "Window" not in text and "Aggregate" not in text and "Sort" not in text
