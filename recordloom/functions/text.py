@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 import unicodedata
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recordloom.session import short_batches
+
 # Every Unicode whitespace character.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680"
@@ -126,8 +127,8 @@ def _tidy(c: Column) -> Column:
 def _nfkc(s: pa.Array) -> pa.Array:
     # Arrow's own normaliser decomposes without composing again (checked with the installed version)
     normal = unicodedata.is_normalized
-    cleaned = [x if x is None or normal("NFKC", x) else unicodedata.normalize("NFKC", x) for x in s.to_pylist()]
-    return pa.array(cleaned, pa.string())
+    texts = (x.as_py() for x in s)
+    return pa.array((x if x is None or normal("NFKC", x) else unicodedata.normalize("NFKC", x) for x in texts), pa.string())
 
 
 def _nfkc_value(value):
@@ -140,11 +141,13 @@ def _nfkc_value(value):
     return value
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc_json(s: pd.Series) -> pd.Series:
-    return s.map(
-        lambda x: None if x is None else json.dumps(_nfkc_value(json.loads(x)), ensure_ascii=False)
-    )
+@F.arrow_udf(T.StringType())
+def _nfkc_json(s: pa.Array) -> pa.Array:
+    # value by value, so that the texts of a batch are not all held as objects
+    def clean(x: pa.Scalar) -> str | None:
+        return json.dumps(_nfkc_value(json.loads(x.as_py())), ensure_ascii=False) if x.is_valid else None
+
+    return pa.array(map(clean, s), pa.string())
 
 
 _NON_ASCII = r"[^\x00-\x7F]"
@@ -186,6 +189,7 @@ def _has_string(dtype: T.DataType) -> bool:
 
 def clean_frame(df: DataFrame, variant: str = "full") -> DataFrame:
     """Clean every string of every column, at any depth."""
+    short_batches(df)
     out = []
     for field in df.schema.fields:
         c, dtype = F.col(f"`{field.name}`"), field.dataType
