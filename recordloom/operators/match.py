@@ -25,7 +25,7 @@ from recordloom.functions import scores as S
 from recordloom.functions.lists import people_text, takeaways_text
 from recordloom.functions.text import clip, or_empty
 from recordloom.operators.scale import small_or_shuffled, top_k
-from recordloom.session import work_dir
+from recordloom.session import short_batches, work_dir
 
 if TYPE_CHECKING:
     from recordloom.operators.vector_index import VectorIndex
@@ -38,6 +38,8 @@ SLICE_ROWS = 100_000
 MAX_HITS = 500_000
 # Scores are compared after rounding, so that equal vectors tie whatever the summation order.
 DIGITS = 6
+#: Words whose bucket a task remembers, beside those of one batch.
+KNOWN_WORDS = 50_000
 
 
 def record_text(records: DataFrame, out: str = "record_text") -> DataFrame:
@@ -75,7 +77,7 @@ def hashed_words(dimensions: int = 256) -> Callable:
     def vectorise(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bucket = Buckets()
         for texts in batches:
-            if len(bucket) > 1_000_000:
+            if len(bucket) > KNOWN_WORDS:
                 bucket.clear()
             vectors = []
             for text in texts:
@@ -89,7 +91,7 @@ def hashed_words(dimensions: int = 256) -> Callable:
 
 def vectorise(df: DataFrame, text: str, out: str = "vector", vectoriser: Callable | None = None) -> DataFrame:
     """Add a vector per row from its text; pass any column function as ``vectoriser``."""
-    return df.withColumn(out, (vectoriser or hashed_words())(F.col(text)))
+    return short_batches(df).withColumn(out, (vectoriser or hashed_words())(F.col(text)))
 
 
 def build_index(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -169,13 +171,16 @@ class _Heads:
         """Score these records, for all units or for those at the places ``only``."""
         only = np.arange(len(self.unit_ids)) if only is None else only
         scores = np.round(_unit_rows(vectors) @ self.units[only].T, DIGITS)
+        best = scores.max(axis=0) if len(scores) else np.empty(0)
         for at, u in enumerate(only):
             old_ids, old_scores = self.kept[u]
+            if not len(scores) or (len(old_ids) == self.k and best[at] < old_scores[-1]):
+                continue  # none of these is among the best
             near = _best(ids, scores[:, at], self.k)
             both_ids = np.concatenate([old_ids, ids[near]])
             both_scores = np.concatenate([old_scores, scores[near, at]])
-            best = _best(both_ids, both_scores, self.k)
-            self.kept[u] = (both_ids[best], both_scores[best])
+            places = _best(both_ids, both_scores, self.k)
+            self.kept[u] = (both_ids[places], both_scores[places])
 
     def columns(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         counts = [len(ids) for ids, _ in self.kept]
@@ -211,7 +216,7 @@ def search(
     """
     # vectors are not tested in a filter: Spark would run a vectoriser once more for it
     key_type, unit_type = _id_type(records, key), _id_type(units, unit)
-    with_vector = records.select(F.col(key).cast(key_type).alias("_key"), vector)
+    with_vector = short_batches(records).select(F.col(key).cast(key_type).alias("_key"), vector)
     wanted = units.select(F.col(unit).cast(unit_type).alias("_unit"), vector)
     small = _small_units(wanted, "_unit", vector, max_units)
     if small is None:
@@ -286,7 +291,7 @@ def best_unit(
     """
     # vectors are not tested in a filter: Spark would run a vectoriser once more for it
     key_type, unit_type = _id_type(records, key), _id_type(units, unit)
-    with_vector = records.select(F.col(key).cast(key_type).alias("_key"), vector)
+    with_vector = short_batches(records).select(F.col(key).cast(key_type).alias("_key"), vector)
     wanted = units.select(F.col(unit).cast(unit_type).alias("_unit"), vector)
     small = _small_units(wanted, "_unit", vector, max_units)
     if small is None:

@@ -32,6 +32,7 @@ from recordloom.operators.match import (
     keep,
 )
 from recordloom.operators.scale import top_k
+from recordloom.session import short_batches
 
 #: Centres are fitted on so many vectors at most, chosen by a hash of their keys.
 SAMPLE = 4_096
@@ -169,7 +170,7 @@ def write_vector_index(df: DataFrame, key: str, vector: str, path: str, clusters
                 )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in built.schema.fields)
-    placed = built.mapInArrow(place, f"{fields}, cluster int, far double")
+    placed = short_batches(built).mapInArrow(place, f"{fields}, cluster int, far double")
     # a cluster's rows come together in a file; one that is too large for a task is split over several
     placed.hint("rebalance", "cluster").write.mode("overwrite").partitionBy("cluster").parquet(f"{path}/rows")
     written = spark.read.schema(placed.schema).parquet(f"{path}/rows")

@@ -1,8 +1,10 @@
 """What Python tasks hold does not grow with the rows of a partition."""
 
+import numpy as np
 import pytest
 
 from recordloom.functions import text as X
+from recordloom.operators import match as M
 from recordloom.session import TEXT_ROWS
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -21,3 +23,29 @@ def test_cleaning_sends_short_batches(long_batches):
     out = X.clean_frame(df)
     assert int(long_batches.conf.get(BATCH)) == TEXT_ROWS
     assert [r["items"] and [tuple(i) for i in r["items"]] for r in out.orderBy("id").collect()] == [[("é...", 1), (None, 2)], None, [("fi", 3)]]
+
+
+def test_vectors_are_made_and_searched_in_short_batches(long_batches):
+    df = long_batches.createDataFrame([(i, f"w{i % 7} w{i % 5} x") for i in range(60)], "id long, t string")
+    vectors = M.vectorise(df, "t")
+    assert int(long_batches.conf.get(BATCH)) == TEXT_ROWS
+    long_batches.conf.set(BATCH, "10000")
+    M.search(vectors, vectors, "id", "id", "vector", 3)
+    assert int(long_batches.conf.get(BATCH)) == TEXT_ROWS
+
+
+@pytest.mark.parametrize("k", [1, 7])
+def test_heads_are_those_of_all_rows_whatever_the_batches(k):
+    draw = np.random.default_rng(2)
+    units, rows = draw.integers(0, 3, (5, 4)).astype(float), draw.integers(0, 3, (400, 4)).astype(float)
+    ids = draw.permutation(400)
+    whole, parts = M._Heads(np.arange(5), units, k), M._Heads(np.arange(5), units, k)
+    whole.add(ids, rows)
+    for i in range(0, 400, 30):
+        parts.add(ids[i : i + 30], rows[i : i + 30])
+    for a, b in zip(whole.columns(), parts.columns()):
+        assert a.tolist() == b.tolist()
+
+
+def test_few_words_are_remembered():
+    assert M.KNOWN_WORDS <= 50_000
