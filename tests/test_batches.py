@@ -5,6 +5,7 @@ import pytest
 
 from recordloom.functions import text as X
 from recordloom.operators import match as M
+from recordloom.operators.vector_index import write_vector_index
 from recordloom.session import TEXT_ROWS
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -49,3 +50,9 @@ def test_heads_are_those_of_all_rows_whatever_the_batches(k):
 
 def test_few_words_are_remembered():
     assert M.KNOWN_WORDS <= 50_000
+
+
+def test_an_index_is_written_in_short_batches(long_batches, tmp_path):
+    df = long_batches.createDataFrame([(i, [float(i % 9 + 1), 1.0]) for i in range(40)], "id long, v array<double>")
+    index = write_vector_index(df, "id", "v", str(tmp_path / "i"))
+    assert int(long_batches.conf.get(BATCH)) == TEXT_ROWS and index.counts.sum() == 40
