@@ -6,7 +6,9 @@ import pytest
 from recordloom.functions import text as X
 from recordloom.operators import match as M
 from recordloom.operators.vector_index import write_vector_index
+from recordloom.plans import QUERIES
 from recordloom.session import TEXT_ROWS
+from tests.conftest import FOLDER
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -56,3 +58,9 @@ def test_an_index_is_written_in_short_batches(long_batches, tmp_path):
     df = long_batches.createDataFrame([(i, [float(i % 9 + 1), 1.0]) for i in range(40)], "id long, v array<double>")
     index = write_vector_index(df, "id", "v", str(tmp_path / "i"))
     assert int(long_batches.conf.get(BATCH)) == TEXT_ROWS and index.counts.sum() == 40
+
+
+@pytest.mark.parametrize("name", ["top_k_by_comparison", "annotate_remembered"])
+def test_queries_on_hits_send_short_batches(long_batches, name):
+    QUERIES[name](long_batches, FOLDER)
+    assert int(long_batches.conf.get(BATCH)) == TEXT_ROWS
