@@ -94,14 +94,21 @@ def vectorise(df: DataFrame, text: str, out: str = "vector", vectoriser: Callabl
     return short_batches(df).withColumn(out, (vectoriser or hashed_words())(F.col(text)))
 
 
-def build_index(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(key, vector, norm) scaled to length one; rows without a usable vector are left out."""
+def scaled_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, vector, norm) of every row, scaled to length one; the vector is null where it has no length.
+
+    Nothing is filtered here: Spark would run a vectoriser once more for a filter on the norm.
+    """
     norm = F.sqrt(
         F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
     )
     scaled = F.transform(vector, lambda x: x.cast("double") / F.col("norm"))
-    indexed = df.select(key, vector).withColumn("norm", norm).filter("norm > 0")
-    return indexed.select(key, scaled.alias(vector), "norm")
+    return df.select(key, vector).withColumn("norm", norm).select(key, F.when(F.col("norm") > 0, scaled).alias(vector), "norm")
+
+
+def build_index(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, vector, norm) scaled to length one; rows without a usable vector are left out."""
+    return scaled_vectors(df, key, vector).filter("norm > 0")
 
 
 def write_index(index: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:

@@ -28,8 +28,8 @@ from recordloom.operators.match import (
     _id_type,
     _unit_rows,
     _vectors,
-    build_index,
     keep,
+    scaled_vectors,
 )
 from recordloom.operators.scale import top_k
 from recordloom.session import short_batches
@@ -151,7 +151,8 @@ def write_vector_index(df: DataFrame, key: str, vector: str, path: str, clusters
     About as many clusters as the square root of the rows. Vectors have one length.
     """
     spark = df.sparkSession
-    built = keep(build_index(df, key, vector), "index-rows")
+    # filtered as read back, so that vectors are made once
+    built = keep(scaled_vectors(df, key, vector), "index-rows").filter("norm > 0")
     n = built.count()
     clusters = min(MAX_CLUSTERS, clusters or max(1, round(n**0.5)))
     few = built.select(vector).orderBy(F.xxhash64(key), key).limit(SAMPLE).collect()

@@ -1,7 +1,9 @@
 """What Python tasks hold does not grow with the rows of a partition."""
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from recordloom.functions import text as X
 from recordloom.operators import match as M
@@ -64,3 +66,16 @@ def test_an_index_is_written_in_short_batches(long_batches, tmp_path):
 def test_queries_on_hits_send_short_batches(long_batches, name):
     QUERIES[name](long_batches, FOLDER)
     assert int(long_batches.conf.get(BATCH)) == TEXT_ROWS
+
+
+def test_an_index_makes_every_vector_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<float>")
+    def lengths(texts: pd.Series) -> pd.Series:
+        made.add(len(texts))
+        return texts.map(lambda t: [float(len(t)), 1.0 if t else 0.0])
+
+    df = spark.createDataFrame([(i, "x" * (i % 4)) for i in range(40)], "id long, t string")
+    index = write_vector_index(M.vectorise(df, "t", vectoriser=lengths), "id", "vector", str(tmp_path / "i"))
+    assert made.value == 40 and index.counts.sum() == 30  # a text in four is empty
