@@ -79,3 +79,19 @@ def test_an_index_makes_every_vector_once(spark, tmp_path):
     df = spark.createDataFrame([(i, "x" * (i % 4)) for i in range(40)], "id long, t string")
     index = write_vector_index(M.vectorise(df, "t", vectoriser=lengths), "id", "vector", str(tmp_path / "i"))
     assert made.value == 40 and index.counts.sum() == 30  # a text in four is empty
+
+
+def test_a_search_gets_every_text_once_and_in_short_batches(long_batches):
+    counts = [long_batches.sparkContext.accumulator(0) for _ in range(2)]
+
+    @F.pandas_udf("array<float>")
+    def lengths(texts: pd.Series) -> pd.Series:
+        counts[0].add(len(texts))
+        counts[1].add(len(texts) > TEXT_ROWS)
+        return texts.map(lambda t: [float(len(t)), 1.0])
+
+    df = long_batches.range(2 * TEXT_ROWS + 500, numPartitions=1).selectExpr("id", "repeat('x', cast(id % 9 as int)) as t")
+    units = long_batches.createDataFrame([(1, [1.0, 0.0])], "unit long, vector array<float>")
+    hits = M.search(M.vectorise(df, "t", vectoriser=lengths), units, "id", "unit", "vector", 5)
+    assert [r["id"] for r in hits.orderBy("rank").collect()] == [8, 17, 26, 35, 44]
+    assert [c.value for c in counts] == [2 * TEXT_ROWS + 500, 0]
