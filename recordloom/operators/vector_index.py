@@ -145,6 +145,16 @@ def _first_k(found: DataFrame, k: int) -> DataFrame:
     return top_k(found, ["_unit"], [F.desc("score"), F.col("_key")], k, ["_key"])
 
 
+def _sample(rows: DataFrame, key: str) -> DataFrame:
+    """The rows of the ``SAMPLE`` smallest hashes of keys, more where keys repeat.
+
+    Only hashes are ordered: an ordered head of the vectors would send that many of every task to the driver.
+    """
+    hashed = F.xxhash64(key)
+    last = rows.select(hashed.alias("h")).orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    return rows.filter(hashed <= F.lit(last))
+
+
 def write_vector_index(df: DataFrame, key: str, vector: str, path: str, clusters: int | None = None) -> VectorIndex:
     """Cluster the vectors of ``df`` and write them below ``path``; rows without a usable vector are left out.
 
@@ -155,7 +165,7 @@ def write_vector_index(df: DataFrame, key: str, vector: str, path: str, clusters
     built = keep(scaled_vectors(df, key, vector), "index-rows").filter("norm > 0")
     n = built.count()
     clusters = min(MAX_CLUSTERS, clusters or max(1, round(n**0.5)))
-    few = built.select(vector).orderBy(F.xxhash64(key), key).limit(SAMPLE).collect()
+    few = _sample(built, key).select(vector).limit(SAMPLE).collect()
     centres = _fit_centres(np.array([r[0] for r in few]), clusters) if few else np.empty((0, 0))
     shared = spark.sparkContext.broadcast(centres)
 

@@ -1,5 +1,7 @@
 """The stored vector index, ranking by comparison, and snapshot digests, against brute force."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from recordloom.operators import digests as D
 from recordloom.operators import match as M
 from recordloom.operators import reconcile as R
+from recordloom.operators import vector_index as V
 from recordloom.operators.tournament import top_k_by_comparison
 from recordloom.operators.vector_index import read_vector_index, write_vector_index
 
@@ -157,3 +160,15 @@ def test_batches_and_repeated_keys_go_by_their_first_row(spark):
     new = catalogue(spark, [(3, (3, "new", None))]).withColumn("pos", F.col("id"))
     got = D.changed_rows(old, new, "id", ["title"], ["pos"])
     assert [(r["id"], r["change"]) for r in got.collect()] == [(3, "changed")]
+
+
+def test_centres_are_fitted_without_ordering_vectors(spark, tmp_path, monkeypatch):
+    df = table(spark, clustered(300), "rid").repartition(6)
+    smallest = sorted(r[0] for r in df.select(F.xxhash64("rid")).collect())[:40]
+    plans, collect = [], type(df).collect
+    monkeypatch.setattr(V, "SAMPLE", 40)
+    monkeypatch.setattr(type(df), "collect", lambda self: plans.append(self._jdf.queryExecution().executedPlan().toString()) or collect(self))
+    index = V.write_vector_index(df, "rid", "v", str(tmp_path / "i"))
+    assert plans and not any(re.search(r"TakeOrderedAndProject\(.*\bv#", p) for p in plans)
+    assert sorted(r[0] for r in V._sample(df, "rid").select(F.xxhash64("rid")).collect()) == smallest
+    assert index.counts.sum() == 300 and V.write_vector_index(df.limit(0), "rid", "v", str(tmp_path / "e")).counts.sum() == 0
