@@ -9,6 +9,7 @@ from recordloom.llm import (
     mixing,
     near_dedup,
     permutation_index,
+    stretch_dedup,
     subspace_dedup,
     token_counts,
     toxicity,
@@ -27,6 +28,7 @@ __all__ = [
     "mixing",
     "near_dedup",
     "permutation_index",
+    "stretch_dedup",
     "subspace_dedup",
     "token_counts",
     "toxicity",
