@@ -25,7 +25,7 @@ from recordloom.functions import scores as S
 from recordloom.functions.lists import people_text, takeaways_text
 from recordloom.functions.text import clip, or_empty
 from recordloom.operators.scale import small_or_shuffled, top_k
-from recordloom.session import short_batches, work_dir
+from recordloom.session import TEXT_ROWS, short_batches, work_dir
 
 if TYPE_CHECKING:
     from recordloom.operators.vector_index import VectorIndex
@@ -275,14 +275,17 @@ def _search_blocks(
     right = right.withColumn("_slice", every_slice)
 
     def score(a: pa.Table, b: pa.Table) -> pa.Table:
-        ids, vectors = _vectors(a.column("_key"), a.column(vector))
         unit_ids, matrix = _vectors(b.column("_unit"), b.column(vector))
-        if len(ids) and len(unit_ids):
+        columns = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        if len(unit_ids):
             heads = _Heads(unit_ids, matrix, k)
-            heads.add(ids, vectors)
+            # a slice's scores against a block are many times its vectors: they are held for TEXT_ROWS rows at a time
+            for at in range(0, a.num_rows, TEXT_ROWS):
+                rows = a.slice(at, TEXT_ROWS)
+                ids, vectors = _vectors(rows.column("_key"), rows.column(vector))
+                if len(ids):
+                    heads.add(ids, vectors)
             columns = heads.columns()
-        else:
-            columns = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pa.table(dict(zip(["_unit", "_key", "score"], _found_batch(columns, unit_type, key_type))))
 
     meet = left.groupBy("_block", "_slice").cogroup(right.groupBy("_block", "_slice"))

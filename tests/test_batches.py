@@ -95,3 +95,23 @@ def test_a_search_gets_every_text_once_and_in_short_batches(long_batches):
     hits = M.search(M.vectorise(df, "t", vectoriser=lengths), units, "id", "unit", "vector", 5)
     assert [r["id"] for r in hits.orderBy("rank").collect()] == [8, 17, 26, 35, 44]
     assert [c.value for c in counts] == [2 * TEXT_ROWS + 500, 0]
+
+
+def test_blocks_of_units_are_scored_in_short_batches(spark, monkeypatch):
+    seen, long = (spark.sparkContext.accumulator(0) for _ in range(2))
+
+    class Counted(M._Heads):
+        def add(self, ids, vectors, only=None):
+            seen.add(len(ids))
+            long.add(len(ids) > TEXT_ROWS)
+            super().add(ids, vectors, only)
+
+    df = spark.range(2 * TEXT_ROWS + 500).selectExpr("id", "array(1.0D, id % 17, id % 5) as v")
+    units = spark.createDataFrame([(i, [float(i % 3), 1.0, float(i % 4)]) for i in range(8)], "unit long, v array<double>")
+    whole = M.search(df, units, "id", "unit", "v", 20).collect()
+    monkeypatch.setattr(M, "_Heads", Counted)
+    blocks = M.search(df, units, "id", "unit", "v", 20, max_units=3).collect()
+    assert sorted(blocks) == sorted(whole) and len(whole) == 160
+    assert seen.value >= 2 * (2 * TEXT_ROWS + 500) and long.value == 0
+    best = M.best_unit(units, df, "unit", "id", "v", max_units=3)  # the same from the other side
+    assert best.count() == 8 and long.value == 0
