@@ -176,7 +176,12 @@ class _Chunk:
         self.first, self.weights, self.x = first, weights, x
         self.short, turn = np.empty(x.shape, np.float32), space.turn.astype(np.float32)
         for a in range(0, len(x), PAIRS):  # whole rows in double precision are made for some at a time only
-            np.matmul(unit(x[a : a + PAIRS].astype(float)).astype(np.float32), turn, out=self.short[a : a + PAIRS])
+            units = x[a : a + PAIRS].astype(float)
+            if x.dtype == np.float32:  # squares of these neither overflow nor vanish in double precision
+                units /= np.sqrt(np.einsum("nd,nd->n", units, units))[:, None]
+            else:
+                units = unit(units)
+            np.matmul(units.astype(np.float32), turn, out=self.short[a : a + PAIRS])
         self.few = self.short[:, : space.few]
         self.squares, self.one = (self.few * self.few).sum(1, keepdims=True), np.ones((len(x), 1), np.float32)
 
@@ -324,7 +329,8 @@ def _links(chunks: DataFrame, width: int, kind: np.dtype, broadcast) -> DataFram
         for batch in batches:
             for i in range(batch.num_rows):
                 def chunk(first, weights, x):
-                    weights, x = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in ((weights, np.int64), (x, kind)))
+                    # copies, as what is held must not hold whole batches
+                    weights, x = (np.frombuffer(batch.column(c)[i].as_buffer(), t).copy() for c, t in ((weights, np.int64), (x, kind)))
                     return _Chunk(space, first, weights, x.reshape(-1, width))
 
                 first, other = (batch.column(c)[i].as_py() for c in ("first", "other_first"))
@@ -360,15 +366,17 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.9, vec_id: str = "vec
     """
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("vector"))
     fine = usable(F.col("vector")) & not_zero(F.col("vector")) & F.col("vec_id").isNotNull()
-    alone = rows.filter(~fine).distinct().select("vec_id")
+    counts = rows.groupBy(F.when(fine, F.size("vector")).alias("width")).count().collect()  # a number per length
+    linkable = {r["width"]: r["count"] for r in counts if r["width"] is not None and r["count"] > 1}
+    alone = None
+    if len(linkable) < max(len(counts), 1):  # else there are no such rows to look for
+        alone = rows.filter(~fine | ~F.size("vector").isin(list(linkable))).distinct()
+        alone = alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     hashes = [F.xxhash64(F.lit(i), "vector").alias(name) for i, name in enumerate(("one", "two"))]
     rows = rows.filter(fine).select("vec_id", "vector", *hashes)
-    counts = rows.groupBy(F.size("vector").alias("width")).count().filter("count > 1").collect()  # a number per length
-    counts = {r["width"]: r["count"] for r in counts}
-    alone = alone.unionAll(rows.filter(~F.size("vector").isin(list(counts))).select("vec_id"))
     kind = np.dtype(np.float32 if dict(rows.dtypes)["vector"] == "array<float>" else np.float64)
     part, members, found = 0, None, None
-    for width, count in sorted(counts.items()):
+    for width, count in sorted(linkable.items()):
         same = rows.filter(F.size("vector") == width)
         some = sample(same, "vec_id")
         space = Space(some, similarity, min(MOST_CELLS, max(1, -(-count // CELL))), width)
@@ -381,7 +389,6 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.9, vec_id: str = "vec
         ids = chunks.select(F.explode(F.arrays_zip("member_class", "member_id")).alias("m"))
         ids = ids.select(F.col("m.member_class").alias("class"), F.col("m.member_id").alias("vec_id"))
         members, found = (ids, links) if found is None else (members.unionAll(ids), found.unionAll(links))
-    alone = alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     if found is not None:
         classes = members.groupBy("class").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"))
         per_class = found.groupBy("class").agg(F.sum("n").alias("links"))
@@ -394,7 +401,7 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.9, vec_id: str = "vec
         labels = named.select("class", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
         linked = join_counted(members, keep(labels, "subspace-labels"), ["class"], "n", ["vec_id"], "left")
         linked = linked.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-        alone = linked.unionAll(alone)
+        alone = linked if alone is None else linked.unionAll(alone)
     return alone.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 

@@ -25,6 +25,25 @@ def test_a_vector_is_written_once_however_many_cells_it_visits(spark, monkeypatc
     assert written() - before < 2 * rows * width * 4
 
 
+def test_chunks_of_cells_beyond_the_range_do_not_meet(spark, monkeypatch):
+    kept = {}
+
+    def keep(df, name, write=subspace_dedup.keep):
+        kept[name] = write(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(subspace_dedup, "keep", keep)
+    monkeypatch.setattr(subspace_dedup, "CELL", 100)
+    draw = np.random.default_rng(6)
+    x = np.repeat(np.eye(4, 20), 100, axis=0) + 0.02 * draw.normal(size=(400, 20))
+    rows = list(enumerate(x.astype(np.float32).tolist()))
+    assert found(near_vectors(table(spark, rows))) == brute_near(rows, 0.9)
+    chunks = kept["subspace-chunks"].collect()
+    groups = {r["cell"]: {i // 100 for i in r["member_id"]} for r in chunks}
+    assert len(groups) > 1
+    assert all(groups[r["cell"]] & groups[c] for r in chunks for c in r["visits"] if c in groups)
+
+
 @pytest.mark.parametrize("part", [40, 100_000])
 def test_repeated_rows_and_hot_vectors_in_several_files(spark, monkeypatch, part):
     width = 16
